@@ -146,14 +146,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-_BUILT: dict[int, ByteBpe] = {}
+_BUILT: dict[tuple[str, str], ByteBpe] = {}
 
 
-def _codec(broadcast, pattern: str) -> ByteBpe:
-    if broadcast.id not in _BUILT:
-        _BUILT.clear()
-        _BUILT[broadcast.id] = ByteBpe(broadcast.value, pattern)
-    return _BUILT[broadcast.id]
+def _codec(shipped, ranks_path: str, pattern: str) -> ByteBpe:
+    """A worker's codec, which outlives a task so that its memo does too."""
+    if (key := (ranks_path, pattern)) not in _BUILT:
+        _BUILT[key] = ByteBpe(shipped.value, pattern)
+    return _BUILT[key]
 
 
 def _shipped(spark: SparkSession, ranks_path: str):
@@ -171,7 +171,7 @@ def encode_documents(
     shipped = _shipped(docs.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shipped, pattern)
+        codec = _codec(shipped, ranks_path, pattern)
         for b in batches:
             ids = [codec.encode(t) for t in texts(b, text_col)]
             yield pa.RecordBatch.from_arrays(
@@ -187,7 +187,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id"
     shipped = _shipped(encoded.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shipped, public_tokenizers.PATTERN)
+        codec = _codec(shipped, ranks_path, public_tokenizers.PATTERN)
         for b in batches:
             out = [codec.decode(ids or []) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [id_col, "decoded"])
@@ -203,7 +203,7 @@ def round_trip_digests(
     shipped = _shipped(docs.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shipped, pattern)
+        codec = _codec(shipped, ranks_path, pattern)
         spelled = Memo(str)
         for b in batches:
             n, shas, decoded = [], [], []
