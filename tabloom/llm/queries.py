@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import byte_bpe, packing
+from tabloom.llm import byte_bpe, near_dedup, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op6_packing": packing.op6_packing,
+    "op8_quality": quality.op8_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
