@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import byte_bpe, near_dedup, packing, quality, token_counts
+from tabloom.llm import byte_bpe, gif, near_dedup, packing, quality, secrets, suffix_dedup, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_secrets": secrets.op5_secrets,
     "op6_packing": packing.op6_packing,
+    "op7_gif": gif.op7_gif,
     "op8_quality": quality.op8_quality,
+    "op9_topk": topk.op9_topk,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_topk": topk.ORACLE_SQL}
