@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,8 +45,10 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def int_column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
+def release(spark: SparkSession) -> None:
+    """Let the cleaner remove shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -7,7 +7,9 @@ postings are merged and frequent ones are skipped. The order is that of a sketch
 
 Merging runs twice. First every node of a posting meets the posting's most central node alone, which joins a large
 group of copies in as many pairs as it has nodes. Then only pairs of nodes in one posting that are still in different
-components meet; collisions of each pair are counted. Pairs with enough equal coordinates are confirmed on full sets.
+components meet; collisions of each pair are counted. Postings of more than MERGED nodes are not merged pair by pair:
+their nodes meet where they share one of their rarest shingles, which loses no link and skips what many of them hold.
+Every link is confirmed on full sets.
 
 Two sets at the similarity threshold (0.75) agree in fewer than MATCHES of the coordinates with a chance of about 3e-5.
 
@@ -24,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Memo, table, texts, written
+from tabloom.llm.common import Memo, release, table, texts, written
 from tabloom.llm.components import connected_components
 
 WORDS = 5
@@ -35,6 +37,8 @@ COORDINATES = 64
 MATCHES = 34
 COLLISIONS = 2
 PREFIX = COORDINATES - MATCHES + COLLISIONS
+#: Nodes of one posting that are met pair by pair; those of larger postings are met by their rarest shingles.
+MERGED = 64
 #: Similarity threshold in hundredths.
 PERCENT = 75
 SKETCH = 1 << 16
@@ -86,20 +90,22 @@ def _bucket(matrix: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature) of every row."""
+    """(doc_id, n_shingles, digest, sig, low) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, sig = [], [], []
+            n, digest, sig, low = [], [], [], []
             for t in texts(b, text_col):
                 s = shingles(t)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+                low.append(_low_bytes(sig[-1]) if len(s) else None)
+            columns = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(low, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_shingles", "digest", "sig", "low"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, sig binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, sig binary, low array<bigint>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -136,31 +142,38 @@ def _postings(nodes: DataFrame, sketch: np.ndarray) -> DataFrame:
             token = (np.arange(COORDINATES, dtype=np.int64) << 32) | m.astype(np.int64)
             rare = np.lexsort((token, seen), axis=1)[:, :PREFIX]
             rows = np.repeat(np.arange(b.num_rows), PREFIX)
-            rank = np.repeat(-seen.sum(axis=1), PREFIX)
+            rank = np.repeat(-np.take_along_axis(seen, rare, 1).sum(axis=1), PREFIX)
             yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(token, rare, 1).ravel()), b.column(0).take(pa.array(rows)), pa.array(rank)], ["token", "node", "rank"])
 
     return nodes.select("digest", "sig").mapInArrow(run, "token bigint, node binary, rank bigint")
 
 
-def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in enough coordinates."""
-    sig = nodes.select("digest", "sig")
-    both = pairs.join(sig.withColumnsRenamed({"digest": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"digest": "b", "sig": "sb"}), "b")
+def _low_bytes(sig: bytes) -> np.ndarray:
+    """The lowest byte of each coordinate, eight to an integer."""
+    return np.ascontiguousarray(np.frombuffer(sig, np.uint8)[::4]).view("<i8")
+
+
+def _alike(one: str, two: str) -> F.Column:
+    """May two nodes be linked: their sizes allow it and enough coordinates agree in the lowest byte (all that agree do)."""
+    differ = []
+    for k in range(COORDINATES // 8):
+        x = F.col(f"{one}.low")[k].bitwiseXOR(F.col(f"{two}.low")[k])
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        differ.append(F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101))))
+    sizes = (100 * F.least(f"{one}.n", f"{two}.n")) >= PERCENT * F.greatest(f"{one}.n", f"{two}.n")
+    return sizes & (sum(differ[1:], differ[0]) <= COORDINATES - MATCHES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                same = (_matrix(b.column(2)) == _matrix(b.column(3))).sum(axis=1) >= MATCHES
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+def _similar(one: str, two: str) -> F.Column:
+    shared = F.size(F.array_intersect(one, two))
+    return 100 * shared >= PERCENT * (F.size(one) + F.size(two) - shared)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose full sets are as similar as asked."""
     one, two = (sets.select(F.col("digest").alias(k), F.col("set").alias(f"s{k}")) for k in "ab")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(100 * shared >= PERCENT * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(_similar("sa", "sb")).select("a", "b")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -176,28 +189,59 @@ def _sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> Dat
     return chosen.select("_id", "_text").mapInArrow(run, "digest binary, set array<bigint>").dropDuplicates(["digest"])
 
 
+def _rare_pairs(members: DataFrame, sets: DataFrame, about: DataFrame) -> DataFrame:
+    """Pairs of members with different labels, met where they share one of their rarest shingles.
+
+    Of n shingles, all but a quarter must be shared in a link; so two linked sets share one of the n - ceil(0.75 n) + 1
+    that are rarest among the members, whatever order is common to all. A passage that many members hold is not rare.
+    """
+    shingle = members.join(sets.withColumnRenamed("digest", "node"), "node").select("node", "label", F.size("set").alias("n"), F.explode("set").alias("s"))
+    often = shingle.groupBy("s").count().where("count > 1")
+    shared = shingle.join(often, "s")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("count", "s")) + F.col("n") - F.count("*").over(Window.partitionBy("node"))
+    rare = written(shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("s", "node", "label", "n"), "rare")
+    full = rare.join(about, "node")
+    one, two = (full.select("s", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "label", "node_is"))) for k in "ab")
+    apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
+    meet = (one["s"] == two["s"]) & apart & _alike("a_node_is", "b_node_is")
+    return one.join(two, meet).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; kept marks the document that stays of each component."""
+    spark = docs.sparkSession
     signed = written(_signed(docs, id_col, text_col), "signed")
     own = signed.where("digest is not null")
-    nodes = written(own.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "nodes")
+    once = own.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low"))
+    nodes = written(once, "nodes")
+    release(spark)
     postings = _postings(nodes, _sketch(nodes))
     hubs = postings.groupBy("token").agg(F.min(F.struct("rank", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("token", F.col("hub.node").alias("hub"))
     shared = written(postings.join(hubs, "token").select("token", "node", "hub"), "postings")
+    release(spark)
     needed = shared.groupBy("node").count().where(F.col("count") >= COLLISIONS).select(F.col("node").alias("digest")).join(nodes.select("digest", "doc_id"), "digest")
     sets = written(_sets(docs, needed, id_col, text_col), "sets")
+    release(spark)
 
+    about = lambda k: nodes.select(F.col("digest").alias(k), F.struct("n", "low").alias(f"{k}_is"))
     first = shared.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = written(_confirmed(_agreeing(first, nodes), sets), "links")
+    first = first.join(about("a"), "a").join(about("b"), "b").where(_alike("a_is", "b_is")).select("a", "b")
+    links = written(_confirmed(first, sets), "links")
     labels = written(connected_components(links), "labels")
+    release(spark)
 
     named = shared.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
-    rest = written(named.join(mixed, "token"), "mixed")
-    one, two = (rest.select("token", F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
-    met = one.join(two, "token").where("a < b and la != lb").groupBy("a", "b").count().where(F.col("count") >= COLLISIONS).select("a", "b")
-    more = _confirmed(_agreeing(met, nodes), sets)
+    rest = written(named.join(mixed, "token").join(about("node"), "node"), "mixed")
+    crowded = rest.groupBy("token").count().where(F.col("count") > MERGED).select("token")
+    small = rest.join(crowded, "token", "left_anti")
+    one, two = (small.select("token", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("node_is").alias(f"{k}_is")) for k in "ab")
+    meet = (one["token"] == two["token"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike("a_is", "b_is")
+    met = one.join(two, meet).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= COLLISIONS).select("a", "b")
+    apart = rest.join(crowded, "token", "left_semi").select("node", "label").distinct()
+    more = _confirmed(met.union(_rare_pairs(apart, sets, about("node"))).distinct(), sets)
     labels = connected_components(links.union(more)).select(F.col("node").alias("digest"), "label")
+    release(spark)
 
     placed = nodes.select("digest", "doc_id").join(labels, "digest")
     least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -22,7 +22,6 @@ text columns are read.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import discard, table, texts, written
+from tabloom.llm.common import discard, release, table, texts, written
 
 LENGTH = 100
 GRAM = 16
@@ -219,12 +218,6 @@ def intervals(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]
     return [(int(starts[a]), int(starts[b]) + length) for a, b in zip(firsts, lasts, strict=True)]
 
 
-def _release(spark: SparkSession) -> None:
-    """Let the cleaner remove shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, sub, text): sub tells rows of one id apart."""
     d = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
@@ -301,10 +294,10 @@ def repeat_marks(keyed: DataFrame) -> DataFrame:
     """(d, sub, marks array<struct<pos, size>>): covered stretches of every text that has any. A size of 0 is a whole context around pos."""
     spark = keyed.sparkSession
     repeated = written(_anchored(keyed, False).groupBy("h").count().where("count > 1").select("h"), "grams")
-    _release(spark)
+    release(spark)
     anchored = written(_anchored(keyed, True).join(repeated, "h"), "anchors")
     discard(repeated)
-    _release(spark)
+    release(spark)
     first = written(anchored.groupBy("h", "context").agg(F.min(F.struct("d", "ps")).alias("first")), "firsts")
     later = anchored.join(first, ["h", "context"]).where((F.col("d") != F.col("first.d")) | (F.col("ps") != F.col("first.ps")))
     inside = written(later.select("d", "ps", F.lit(0).cast("bigint").alias("size")), "inside")
@@ -312,7 +305,7 @@ def repeat_marks(keyed: DataFrame) -> DataFrame:
     edges = written(first.join(several, "h").select("h", "first.d", "first.ps", "hot"), "edges")
     discard(anchored)
     discard(first)
-    _release(spark)
+    release(spark)
     buckets = max(1, edges.count() * (_BACK + LENGTH) // BUCKET_BYTES)
     contexts, strings = _contexts(keyed, edges, buckets)
     earliest = strings.groupBy("h").agg(F.min(F.struct("d", "ps")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -320,7 +313,7 @@ def repeat_marks(keyed: DataFrame) -> DataFrame:
     marks = inside.union(_indexed(contexts)).union(hot)
     packed = F.struct(F.col("ps").bitwiseAND(_POS).alias("pos"), "size")
     out = written(marks.select("d", F.shiftright("ps", _SHIFT).alias("sub"), packed.alias("m")).groupBy("d", "sub").agg(F.collect_list("m").alias("marks")), "marks")
-    _release(spark)
+    release(spark)
     return out
 
 
