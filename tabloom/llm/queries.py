@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import byte_bpe, gif, near_dedup, packing, quality, secrets, suffix_dedup, token_counts, topk
+from tabloom.llm import byte_bpe, chat, gif, near_dedup, packing, quality, secrets, suffix_dedup, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op3_chat": chat.op3_chat,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_secrets": secrets.op5_secrets,
     "op6_packing": packing.op6_packing,
@@ -20,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_topk": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op9_topk": topk.ORACLE_SQL}

@@ -109,6 +109,13 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
+def string_hashes(part: bytes) -> np.ndarray:
+    """Hashes of all LENGTH-byte strings of a context."""
+    sums = _prefix(np.frombuffer(part, np.uint8))
+    n = len(part) - LENGTH + 1
+    return _mixed((sums[LENGTH:] - sums[:n]) * _DOWN[:n]).view(np.int64)
+
+
 def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Suffixes in order; `left` is how many bytes each has before its context ends, where an end sorts first and ends by place."""
     n, width = len(text), 6
@@ -264,9 +271,7 @@ def _contexts(keyed: DataFrame, edges: DataFrame, buckets: int) -> tuple[DataFra
                     if not p["hot"]:
                         rows.append((p["h"] % buckets, p["h"], d, (sub << _SHIFT) | lo, part))
                         continue
-                    sums = _prefix(np.frombuffer(part, np.uint8))
-                    n = len(part) - LENGTH + 1
-                    hashed = _mixed((sums[LENGTH:] - sums[:n]) * _DOWN[:n]).view(np.int64)
+                    hashed = string_hashes(part)
                     rows += [(-1, int(w), d, (sub << _SHIFT) | (lo + k), None) for k, w in enumerate(hashed)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], names)
