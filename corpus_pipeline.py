@@ -1,13 +1,60 @@
-"""Corpus pipeline: quality, near-duplicates, repeated passages, secrets, packing."""
+"""Corpus pipeline: reject low quality, keep one of near-duplicates, drop repeated passages, mask secrets, pack.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; stages but the last return
+the columns of documents. run() writes each stage's rows to the shared folder and reads them back for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabloom.llm import near_dedup, packing, quality, secrets, suffix_dedup
+from tabloom.llm.common import table, written
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier rejects. It learns from labelled rows of the input."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.add_quality(docs, model, score_col="_score").where("_score >= 0.5").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each group of near-duplicates."""
+    dropped = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 100 bytes or more that start earlier in the corpus, in whole characters."""
+    return suffix_dedup.remove_repeats(docs, length_col="n_chars")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets by a mask and keep the length column true."""
+    return secrets.redact(docs, secrets.fit(docs)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", drop_repeats),
+    ("secrets", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+#: No stage but the first filter has a form in SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
