@@ -156,9 +156,9 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(64 * x::double)::bigint) as e from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
   where embedding is not null and vec_id is not null
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 q as (select vec_id as query_id, e as qe from v where vec_id % 20 = 0),
 s as (select query_id, vec_id, list_inner_product(qe::double[], e::double[])::bigint as score from q join v on v.vec_id <> q.query_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
