@@ -50,11 +50,11 @@ def count_encode(spark, d):
     return encode.count_encode(orders(spark, d), "p").select("o_orderkey", "p_counts")
 
 
-@query("target_mean_encode", ORDERS + ", t as (select o_custkey, avg(y) as m from o where train group by 1 having count(*) > 1) select o_orderkey, train, round(coalesce(m, (select avg(y) from o where train)), 2) as encoded from o left join t using (o_custkey)")
+@query("target_mean_encode", ORDERS + ", t as (select o_custkey, avg(y) as m from o where train group by 1 having count(*) > 1) select o_orderkey, train, round(coalesce(m, (select avg(y) from o where train)), 6) as encoded from o left join t using (o_custkey)")
 def target_mean_encode(spark, d):
     df = orders(spark, d)
     out = encode.apply_target_mean(df, encode.fit_target_mean(df.where("train"), "o_custkey", "y"), "o_custkey", "encoded")
-    return out.select("o_orderkey", "train", F.round("encoded", 2).alias("encoded"))
+    return out.select("o_orderkey", "train", F.round("encoded", 6).alias("encoded"))
 
 
 @query("rare_collapse", "with t as (select p_partkey, case when p_partkey % 7 <> 0 then p_type end as t from part), c as (select t from t group by t having count(*) > (select count(*) / 8 from part)) select p_partkey, case when t in (select t from c where t is not null) then t else 'Other' end as t from t")
