@@ -37,7 +37,7 @@ LENGTH = 100
 GRAM = 16
 #: Bytes of contexts in one index, on average.
 BUCKET_BYTES = 2 << 20
-MOST_CONTEXTS = 2048
+MOST_CONTEXTS = 16384
 #: Bytes of a text that are anchored at once.
 CHUNK = 1 << 20
 
@@ -117,27 +117,38 @@ def string_hashes(part: bytes) -> np.ndarray:
 
 
 def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Suffixes in order; `left` is how many bytes each has before its context ends, where an end sorts first and ends by place."""
-    n, width = len(text), 6
-    key = np.zeros(n, np.int64)
-    for k in range(width):
-        symbol = np.zeros(n, np.int64)
-        symbol[: n - k] = text[k:].astype(np.int64) + 1
-        symbol[left <= k] = 0
-        key = (key << 9) | symbol
+    """Suffixes in order; `left` is how many bytes each has before its context ends, where an end sorts first and ends by place.
+
+    Ranks double in width from eight bytes on; only suffixes that still tie are sorted again. Bytes are those of UTF-8,
+    which leaves room for the end below them.
+    """
+    n, width = len(text), 8
+    padded = np.zeros(n + width, np.uint8)
+    np.add(text, 1, out=padded[:n])
+    key = np.lib.stride_tricks.sliding_window_view(padded, width)[:n].copy().view(">u8").ravel().astype(np.uint64)
+    keep = np.array([0, *((~((1 << 8 * (width - k)) - 1)) & ((1 << 64) - 1) for k in range(1, width + 1))], np.uint64)
+    key &= keep[np.minimum(left, width)]
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    differs = np.ones(n, bool)
+    differs[1:] = (ordered[1:] != ordered[:-1]) | (left[order[1:]] < width)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(differs, np.arange(n), 0))
     while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        differs = np.ones(n, bool)
-        differs[1:] = (ordered[1:] != ordered[:-1]) | (left[order[1:]] < width)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(differs)
-        if differs.all() or width > left.max(initial=0):
+        tied = ~differs
+        tied[:-1] |= ~differs[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
             return order
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:]
-        after[left <= width] = 0
-        key = rank * (n + 1) + after
+        part = order[at]
+        after = np.where(left[part] == width, part - n, rank[np.minimum(part + width, n - 1)])
+        key = rank[part] * (2 * n + 2) + (after + n)
+        by_key = np.argsort(key)
+        part, key = part[by_key], key[by_key]
+        heads = np.ones(len(at), bool)
+        heads[1:] = key[1:] != key[:-1]
+        order[at], differs[at] = part, heads
+        rank[part] = np.maximum.accumulate(np.where(heads, at, 0))
         width *= 2
 
 
