@@ -74,7 +74,7 @@ def grid_search(spark, d):
     df = items(spark, d).cache()
     found = model.cross_validated(df, model.booster("regression", GIVEN), {"maxDepth": [2, 3], "stepSize": [0.1, 0.3]}, 3)
     maps = [{p.name: v for p, v in m.items()} for m in found.getEstimatorParamMaps()]
-    return spark.createDataFrame([(m["maxDepth"], m["stepSize"], e) for m, e in zip(maps, found.avgMetrics, strict=True)], "depth int, rate double, rmse double")
+    return spark.createDataFrame([(m["maxDepth"], m["stepSize"], float(e)) for m, e in zip(maps, found.avgMetrics, strict=True)], "depth int, rate double, rmse double")
 
 
 @query("linear_cv")
