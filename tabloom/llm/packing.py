@@ -29,6 +29,8 @@ from tabloom.llm.common import Memo, table, texts, written
 
 CAPACITY = 2048
 END_ID = 0
+#: Where the letters end whose classes all libraries agree on.
+LATIN_END = "\u0250"
 #: Pieces in one shard, on average.
 SHARD_PIECES = 60_000
 
@@ -67,7 +69,10 @@ class WordEncoder:
 
     def _chunk(self, chunk: str) -> bytes:
         plain = chunk.lower() if chunk.isascii() and chunk.isprintable() else self.normalize(chunk)
-        return b"".join(map(self.words.__getitem__, self.find(plain)))
+        if not plain or max(plain) < LATIN_END:
+            return b"".join(map(self.words.__getitem__, self.find(plain)))
+        # Beyond Latin, classes of characters depend on a library's tables: the tokenizer's own are used.
+        return b"".join(t.id.to_bytes(4, "little") for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain) for t in self.model.tokenize(piece))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text: no word holds a space, and the normaliser never joins text across one."""
