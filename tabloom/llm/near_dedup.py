@@ -7,7 +7,7 @@ postings are merged and frequent ones are skipped. The order is that of a sketch
 
 Merging runs twice. First every node of a posting meets the posting's most central node alone, which joins a large
 group of copies in as many pairs as it has nodes. Then only pairs of nodes in one posting that are still in different
-components meet; collisions of each pair are counted. Postings of more than MERGED nodes are not merged pair by pair:
+components meet. Postings of more than MERGED nodes are not merged pair by pair:
 their nodes meet where they share one of their rarest shingles, which loses no link and skips what many of them hold.
 Every link is confirmed on full sets.
 
@@ -194,16 +194,20 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, about: DataFrame) -> DataFr
 
     Of n shingles, all but a quarter must be shared in a link; so two linked sets share one of the n - ceil(0.75 n) + 1
     that are rarest among the members, whatever order is common to all. A passage that many members hold is not rare.
+    At the first of their common shingles a pair cannot share more than that one and what either set has after it, so
+    pairs are left out where that is too little.
     """
     shingle = members.join(sets.withColumnRenamed("digest", "node"), "node").select("node", "label", F.size("set").alias("n"), F.explode("set").alias("s"))
     often = shingle.groupBy("s").count().where("count > 1")
     shared = shingle.join(often, "s")
     place = F.row_number().over(Window.partitionBy("node").orderBy("count", "s")) + F.col("n") - F.count("*").over(Window.partitionBy("node"))
-    rare = written(shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("s", "node", "label", "n"), "rare")
+    rare = written(shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("s", "node", "label", "n", "place"), "rare")
     full = rare.join(about, "node")
-    one, two = (full.select("s", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "label", "node_is"))) for k in "ab")
+    one, two = (full.select("s", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "label", "node_is", "n", "place"))) for k in "ab")
+    most = 1 + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    enough = (100 + PERCENT) * most >= PERCENT * (F.col("a_n") + F.col("b_n"))
     apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
-    meet = (one["s"] == two["s"]) & apart & _alike("a_node_is", "b_node_is")
+    meet = (one["s"] == two["s"]) & apart & enough & _alike("a_node_is", "b_node_is")
     return one.join(two, meet).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
@@ -234,12 +238,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
     rest = written(named.join(mixed, "token").join(about("node"), "node"), "mixed")
     crowded = rest.groupBy("token").count().where(F.col("count") > MERGED).select("token")
-    small = rest.join(crowded, "token", "left_anti")
-    one, two = (small.select("token", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("node_is").alias(f"{k}_is")) for k in "ab")
-    meet = (one["token"] == two["token"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike("a_is", "b_is")
-    met = one.join(two, meet).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= COLLISIONS).select("a", "b")
-    apart = rest.join(crowded, "token", "left_semi").select("node", "label").distinct()
-    more = _confirmed(met.union(_rare_pairs(apart, sets, about("node"))).distinct(), sets)
+    apart = written(rest.join(crowded, "token", "left_semi").select("node", "label").distinct(), "crowded")
+    inside = apart.select("node", F.lit(True).alias("inside"))
+    small = rest.join(crowded, "token", "left_anti").join(inside, "node", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    one, two = (small.select("token", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("node_is").alias(f"{k}_is"), F.col("inside").alias(f"{k}_in")) for k in "ab")
+    other = ~(F.col("a_in") & F.col("b_in"))  # two nodes of crowded postings meet by their shingles
+    meet = (one["token"] == two["token"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & other & _alike("a_is", "b_is")
+    met = one.join(two, meet).select("a", "b").distinct()
+    more = _confirmed(met.union(_rare_pairs(apart, sets, about("node"))), sets)
     labels = connected_components(links.union(more)).select(F.col("node").alias("digest"), "label")
     release(spark)
 
