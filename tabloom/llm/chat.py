@@ -6,8 +6,9 @@ turn, whichever is later, and no window over a conversation is needed. Arguments
 required and typed fields, and every message becomes canonical JSON: sorted keys, no white space, minimal escapes.
 
 Results without a call and calls without a result stay, marked. Of rows that repeat an identifier every call meets every
-result. A null identifier links with nothing; null texts are JSON nulls, and invalid where a string is required. Only
-the named columns are read.
+result. A null identifier links with nothing, and neither does a turn that is null; null texts are JSON nulls, and invalid
+where a string is required. Turns of other roles, or of none, are messages of their own kind that link with nothing, so
+every row of the table is in the result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -35,6 +36,20 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit("}"))
 
 
+def number(c: str) -> Column:
+    """A JSON number of a whole number, null for null."""
+    return F.coalesce(F.col(c).cast("string"), F.lit("null"))
+
+
+def unlinked(messages: DataFrame) -> DataFrame:
+    """Rows like those of link_calls, of kind 2, for messages(conv_id, turn, role, content) that are no call and no result."""
+    as_json = canonical_json({"content": json_string(F.col("content")), "role": json_string(F.col("role")), "turn": number("turn")})
+    return messages.select(
+        "conv_id", F.lit(None).cast("string").alias("call_id"), F.col("turn").alias("depth"), F.lit(2).alias("kind"),
+        F.lit(False).alias("linked"), F.col("content").isNotNull().alias("valid"), as_json.alias("json"),
+    )
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schema: dict[str, str], required: tuple[str, ...]) -> DataFrame:
     """Link calls(conv_id, call_id, turn, name, arguments struct) and results(conv_id, call_id, turn, content).
 
@@ -47,30 +62,33 @@ def link_calls(calls: DataFrame, results: DataFrame, schema: dict[str, str], req
         x = F.col(f"arguments.{k}")
         valid = valid & F.coalesce(x != "" if kinds.get(k) == "string" else x.isNotNull(), F.lit(False))
     as_json = {k: json_string(F.col(f"arguments.{k}")) if v == "string" else F.coalesce(F.col(f"arguments.{k}").cast("string"), F.lit("null")) for k, v in kinds.items()}
-    own = calls.select("conv_id", "call_id", F.col("turn").alias("c_turn"), F.col("name").alias("c_name"), canonical_json(as_json).alias("c_arguments"), valid.alias("c_valid"))
-    their = results.select("conv_id", "call_id", F.col("turn").alias("r_turn"), "content")
-    both = own.join(their, ["conv_id", "call_id"], "full")
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    own = calls.select("conv_id", "call_id", F.col("turn").alias("c_turn"), F.col("name").alias("c_name"), canonical_json(as_json).alias("c_arguments"), valid.alias("c_valid"), F.lit(True).alias("c_is"))
+    their = results.select("conv_id", "call_id", F.col("turn").alias("r_turn"), "content", F.lit(True).alias("r_is"))
+    both = own.join(their, ["conv_id", "call_id"], "full").withColumns({k: F.coalesce(k, F.lit(False)) for k in ("c_is", "r_is")})
     call = F.struct(
-        F.col("c_turn").alias("depth"), F.lit(0).alias("kind"), F.col("r_turn").isNotNull().alias("linked"), F.col("c_valid").alias("valid"),
-        canonical_json({"arguments": F.col("c_arguments"), "id": json_string(F.col("call_id")), "name": json_string(F.col("c_name")), "role": F.lit('"assistant"'), "turn": text("c_turn")}).alias("json"),
+        F.col("c_turn").alias("depth"), F.lit(0).alias("kind"), F.col("r_is").alias("linked"), F.col("c_valid").alias("valid"),
+        canonical_json({"arguments": F.col("c_arguments"), "id": json_string(F.col("call_id")), "name": json_string(F.col("c_name")), "role": F.lit('"assistant"'), "turn": number("c_turn")}).alias("json"),
     )
     answer = F.struct(
-        F.greatest("r_turn", "c_turn").alias("depth"), F.lit(1).alias("kind"), F.col("c_turn").isNotNull().alias("linked"), F.col("content").isNotNull().alias("valid"),
-        canonical_json({"content": json_string(F.col("content")), "id": json_string(F.col("call_id")), "role": F.lit('"tool"'), "turn": text("r_turn")}).alias("json"),
+        F.greatest("r_turn", "c_turn").alias("depth"), F.lit(1).alias("kind"), F.col("c_is").alias("linked"), F.col("content").isNotNull().alias("valid"),
+        canonical_json({"content": json_string(F.col("content")), "id": json_string(F.col("call_id")), "role": F.lit('"tool"'), "turn": number("r_turn")}).alias("json"),
     )
-    made = F.array_compact(F.array(F.when(F.col("c_turn").isNotNull(), call), F.when(F.col("r_turn").isNotNull(), answer)))
+    made = F.array_compact(F.array(F.when(F.col("c_is"), call), F.when(F.col("r_is"), answer)))
     return both.select("conv_id", "call_id", F.explode(made).alias("m")).select("conv_id", "call_id", "m.*")
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn is a call of the tool `reply`, and the assistant's next turn is its result."""
+    """Every user turn is a call of the tool `reply`, the assistant's next turn is its result, other turns are unlinked.
+
+    ORACLE_SQL gives the rows of kinds 0 and 1 whose turn is not null.
+    """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    name = lambda n: F.concat_ws("-", F.col("conv_id").cast("string"), n.cast("string"))
+    name = lambda n: F.concat(F.col("conv_id").cast("string"), F.lit("-"), n.cast("string"))
     arguments = F.struct(F.length("text").cast("bigint").alias("length"), F.col("text").alias("prompt"))
     calls = turns.where("role = 'user'").select("conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
     results = turns.where("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    linked = link_calls(calls, results, {"length": "bigint", "prompt": "string"}, ("length", "prompt"))
+    others = turns.where("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    linked = link_calls(calls, results, {"length": "bigint", "prompt": "string"}, ("length", "prompt")).unionByName(unlinked(others))
     return linked.select("conv_id", "call_id", "depth", "kind", "linked", "valid", F.md5("json").alias("json_md5"), F.length("json").cast("bigint").alias("json_chars"))
 
 

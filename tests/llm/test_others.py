@@ -1,6 +1,9 @@
+import hashlib
 import json
 import random
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +158,31 @@ def test_chat_json_and_links(spark):
     assert len(rows) == 5 and by["a", 1].depth == 2 and by["a", 0].linked and not by["z", 1].linked and not by["b", 0].valid
     assert json.loads(by["a", 0].json) == {"arguments": {"n": 3, "q": 'say "hi"\n\\'}, "id": "a", "name": "f", "role": "assistant", "turn": 2}
     assert by["a", 0].json == json.dumps(json.loads(by["a", 0].json), sort_keys=True, separators=(",", ":"))
+
+
+def test_chat_has_every_row(spark, tmp_path):
+    turns = [(1, 0, "system", 'be "kind"'), (1, 1, "user", "hi"), (1, 2, "assistant", "ho"), (1, 3, "tool", None), (1, 4, None, "x"), (1, None, "user", "when"), (1, None, "assistant", "now"), (1, None, "system", "s"), (None, 5, "user", "who"), (None, 6, "assistant", "me")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = chat.op3_chat(spark, str(tmp_path)).collect()
+    md5 = lambda **message: hashlib.md5(json.dumps(message, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    ask = lambda id, turn, text: md5(arguments={"length": len(text), "prompt": text}, id=id, name="reply", role="assistant", turn=turn)
+    tell = lambda id, turn, text: md5(content=text, id=id, role="tool", turn=turn)
+    say = lambda role, turn, text: md5(content=text, role=role, turn=turn)
+    want = [
+        (1, "1-1", 1, 0, True, True, ask("1-1", 1, "hi")), (1, "1-1", 2, 1, True, True, tell("1-1", 2, "ho")),
+        (1, None, None, 0, False, True, ask(None, None, "when")), (1, None, None, 1, False, True, tell(None, None, "now")),
+        (None, None, 5, 0, False, True, ask(None, 5, "who")), (None, None, 6, 1, False, True, tell(None, 6, "me")),
+        (1, None, 0, 2, False, True, say("system", 0, 'be "kind"')), (1, None, 3, 2, False, False, say("tool", 3, None)),
+        (1, None, 4, 2, False, True, say(None, 4, "x")), (1, None, None, 2, False, True, say("system", None, "s")),
+    ]
+    assert sorted(map(str, (tuple(r)[:7] for r in rows))) == sorted(map(str, want))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_chat_equals_sql_beside_the_unlinked(spark):
+    got = chat.op3_chat(spark, "/root/testdata/sf0.001").toPandas()
+    conversations = duckdb.read_parquet("/root/testdata/sf0.001/conversations.parquet")  # noqa: F841
+    want = duckdb.sql(chat.ORACLE_SQL).df()
+    rows = lambda df: sorted(map(str, df[sorted(df)].values.tolist()))
+    assert rows(got[got.kind < 2]) == rows(want)
+    assert (got.kind == 2).sum() == duckdb.sql("select count(*) from conversations where role not in ('user', 'assistant')").fetchall()[0][0] > 0
