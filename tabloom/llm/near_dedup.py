@@ -15,7 +15,9 @@ Two sets at the similarity threshold (0.75) agree in fewer than MATCHES of the c
 
 Words are separated by ASCII white space and lower-cased for A-Z; under five words are one shingle; null, empty and
 blank texts have an empty set and are linked with nothing. Rows that repeat an id are nodes by their own sets. A null id
-takes part, and is no component's id unless all of its ids are null. Other columns are not read, so names cannot clash.
+takes part, and is no component's id unless all of its ids are null. Of a component exactly one row stays: the least by
+id, nulls last, then by a digest of the text, then any of the rows that are equal in both. Other columns are not read, so
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -89,8 +91,12 @@ def _bucket(matrix: np.ndarray) -> np.ndarray:
     return (_mixed(token * _K) >> np.uint64(48)).astype(np.int64)
 
 
+def _text_digest(text: F.Column) -> F.Column:
+    return F.unhex(F.md5(text))
+
+
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig, low) of every row."""
+    """(doc_id, text_digest, row, n_shingles, digest, sig, low) of every row; row is a number of its own once written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,10 +108,11 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sig.append(signature(s).tobytes() if len(s) else None)
                 low.append(_low_bytes(sig[-1]) if len(s) else None)
             columns = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(low, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_shingles", "digest", "sig", "low"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *columns], ["doc_id", "text_digest", "row", "n_shingles", "digest", "sig", "low"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, sig binary, low array<bigint>")
+    rows = docs.select(id_col, text_col, _text_digest(F.col(text_col)).alias("_text_digest"), F.monotonically_increasing_id().alias("_row"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_digest binary, row bigint, n_shingles bigint, digest binary, sig binary, low array<bigint>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -211,12 +218,12 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, about: DataFrame) -> DataFr
     return one.join(two, meet).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row; kept marks the document that stays of each component."""
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_digest, n_shingles, component_id, kept) for every row."""
     spark = docs.sparkSession
     signed = written(_signed(docs, id_col, text_col), "signed")
     own = signed.where("digest is not null")
-    once = own.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low"))
+    once = own.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_digest", "row")).alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low"))
     nodes = written(once, "nodes")
     release(spark)
     postings = _postings(nodes, _sketch(nodes))
@@ -249,13 +256,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected_components(links.union(more)).select(F.col("node").alias("digest"), "label")
     release(spark)
 
-    placed = nodes.select("digest", "doc_id").join(labels, "digest")
-    least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    grouped = placed.join(least, "label").select("digest", "component_id")
-    least_of = nodes.select("digest", F.col("doc_id").alias("own")).join(grouped, "digest", "left").select("digest", F.coalesce("component_id", "own").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(least_of, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    placed = nodes.select("digest", "doc_id", "least").join(labels, "digest")
+    least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min("least").alias("stays"))
+    grouped = placed.join(least, "label").select("digest", "component_id", F.col("stays.row").alias("stays"))
+    own = nodes.select("digest", F.col("doc_id").alias("own"), F.col("least.row").alias("own_row")).join(grouped, "digest", "left")
+    least_of = own.select("digest", F.coalesce("component_id", "own").alias("component_id"), F.coalesce("stays", "own_row").alias("stays"))
+    out = signed.select("doc_id", "text_digest", "row", "n_shingles", "digest").join(least_of, "digest", "left")
+    kept = F.coalesce(F.col("row") == F.col("stays"), F.lit(True))  # an empty set is alone
+    return out.select("doc_id", "text_digest", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row; kept marks the one row that stays of each component."""
+    return _judged(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: one of each component, and all rows with an empty set.
+
+    Rows are told apart by id and text. Of rows equal in both that have one to stay, it is the least by all columns.
+    """
+    by = _judged(docs, id_col, text_col).where("n_shingles > 0").groupBy("doc_id", "text_digest").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    marked = written(by.where("not stays or n > 1"), "marked")
+    same = docs[id_col].eqNullSafe(marked["doc_id"]) & (_text_digest(docs[text_col]) == marked["text_digest"])
+    alone = docs.join(marked, same, "left_anti")
+    equal = docs.join(marked.where("stays"), same, "left_semi")
+    return alone.unionByName(equal.groupBy(id_col, text_col).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The stages on a small corpus: each is held against what brute force gives for its own input."""
 
+import hashlib
 import random
 
 import corpus_pipeline
@@ -42,3 +43,22 @@ def test_stages(spark, tmp_path):
     enc = packing.encoder(corpus_pipeline.public_tokenizers.path("word_bpe_49k.json"))
     assert sum(r.length for r in last) == sum(len(enc.encode(r.text)) + 1 for r in clean.values())
     assert len(last[0]) == 7
+
+
+def test_near_duplicates_go_by_row(spark):
+    rng = random.Random(5)
+    x, y, z, w = (" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(4))
+    rows = [
+        (0, x, "en"), (1, x + " tail", "en"), (1, y, "en"),  # an id with a near copy and a clean text
+        (2, z, "en"), (2, z, "de"), (2, z, "en"),  # exact copies with one id
+        (None, x + " end", "en"), (None, w, "en"), (None, w, "en"), (None, w + " end", "en"),  # null ids: a copy, and a group of their own
+        (7, None, "en"), (7, None, "en"), (None, " ", "en"),  # empty sets
+    ]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text, r.lang) for r in out.collect()), key=str)
+    least = min([w, w + " end"], key=lambda t: hashlib.md5(t.encode()).digest())
+    assert got == sorted([(0, x, "en"), (1, y, "en"), (2, z, "de"), (None, least, "en"), (7, None, "en"), (7, None, "en"), (None, " ", "en")], key=str)
+    kept = near_dedup.near_duplicates(docs).where("kept and n_shingles > 0").collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["0", "1", "2", "None"]
