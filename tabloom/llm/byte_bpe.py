@@ -204,7 +204,7 @@ def round_trip_digests(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped, ranks_path, pattern)
-        spelled = Memo(str)
+        spelled: dict[int, str] = {i: str(i) for i in codec.hashed.values}
         for b in batches:
             n, shas, decoded = [], [], []
             for t in texts(b, text_col):

@@ -56,18 +56,20 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-#: Entries in one generation of a worker's memo.
-MEMO_ENTRIES = 250_000
+#: Entries in one generation of a worker's memo, and the longest key that is kept: together they bound its bytes.
+MEMO_ENTRIES, MEMO_KEY = 250_000, 64
 
 
 class Memo(dict):
-    """A memo over a function of the key, bounded by two generations: a full one becomes the old one."""
+    """A memo over a function of a text or bytes, bounded by two generations: a full one becomes the old one. Long keys are not kept."""
 
     def __init__(self, make, entries: int = MEMO_ENTRIES):
         super().__init__()
         self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key):
+        if len(key) > MEMO_KEY:
+            return self.make(key)
         if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()

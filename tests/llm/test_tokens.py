@@ -1,9 +1,11 @@
+import zlib
 
 import numpy as np
 import public_tokenizers
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tabloom.llm import byte_bpe, packing, token_counts
@@ -48,11 +50,59 @@ def test_counts_equal_the_unigram_tokenizer(text):
     assert counter.own.count(text) == len(counter.library.encode(text, add_special_tokens=False).ids)
 
 
-@settings(max_examples=300, deadline=None)
-@given(TEXT)
+UNTOUCHED = Tokenizer.from_file(WORDS)
+MARKED = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "endoftext|>", "It's", " don't ", "ĀßİŁǅɏɐ", "x²½٣", "e\u0301", "\x1c\x85\xa0", "K", "日本"]) | TEXT, max_size=6).map("".join)
+
+
+@settings(max_examples=600, deadline=None)
+@given(MARKED)
 def test_words_equal_the_library(text):
-    library = packing.encoder(WORDS).tokenizer
-    assert packing.encoder(WORDS).encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert packing.encoder(WORDS).encode(text).tolist() == UNTOUCHED.encode(text, add_special_tokens=False).ids
+
+
+def test_latin_characters_equal_the_library():
+    enc = packing.encoder(WORDS)
+    for k in range(packing.LATIN_END + 64):
+        for text in (chr(k), f"a{chr(k)}b", f"1{chr(k)}'{chr(k)}s"):
+            assert enc.encode(text).tolist() == UNTOUCHED.encode(text, add_special_tokens=False).ids, k
+
+
+def brute_pieces(rows):
+    """What pieces there are, by the untouched tokenizer."""
+    out = []
+    for i, text in rows:
+        ids = np.array([*UNTOUCHED.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        out += [(i, k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
+    return sorted(out, key=str)
+
+
+def sound(out):
+    """Every sequence is gapless from 0 and holds 2048 tokens at most."""
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 2048
+
+
+def test_op6_equals_brute_force(spark, tmp_path):
+    rows = [(k, "Wort's " * (37 * k % 900), "c") for k in range(120)] + [(200, None, None), (201, "", "c"), (202, "lang é " * 9000, "c"), (5, "noch 12<|endoftext|>mal", "c")]
+    rows += [(None, "same <|startoftext|> text", "c")] * 40 + [(7, "x" * 70_000, "c")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, _shard string").withColumns({"length": F.lit("n"), "piece": F.lit("n"), "_row": F.lit("n"), "sequence_id": F.lit("n")})
+    df.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    out = packing.op6_packing(spark, str(tmp_path)).toPandas()
+    assert out.columns.tolist() == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    got = [(None if np.isnan(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in out.itertuples()]
+    assert sorted(got, key=str) == brute_pieces([r[:2] for r in rows])
+    sound(out)
+    assert out.sequence_id.nunique() <= np.ceil(out.length.sum() / 2048) * 1.1
+    assert packing.pack_documents(df.limit(0), WORDS).count() == 0
+
+
+def test_equal_rows_spread_over_shards(spark):
+    df = spark.createDataFrame([(None, "one two")] * 400, "doc_id long, text string")
+    out = packing.pack_documents(df, WORDS, shard_pieces=50).toPandas()
+    sound(out)
+    shards = (out.sequence_id // (1 << 40)).value_counts()
+    assert len(shards) == 8 and shards.max() < 100
 
 
 def test_encode_and_decode_frames(spark):
