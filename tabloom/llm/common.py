@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 512
@@ -51,6 +52,25 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Keys that heavy_join() may broadcast: each holds more than its share of the rows, so there cannot be more.
+HEAVY_KEYS, HEAVY_ROWS = 10_000, 2_000
+
+
+def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], count_col: str, total: int) -> DataFrame:
+    """Inner join of left with right, one row a key, whose count_col says how many of left's `total` rows have the key.
+
+    Keys with more than total / HEAVY_KEYS rows are joined by broadcast, without moving left's rows, so none meets its
+    rows in one task; there are fewer than HEAVY_KEYS of them whatever the size. The others are shuffled. Both sides
+    should be written, as they are read more than once.
+    """
+    limit = max(total // HEAVY_KEYS, HEAVY_ROWS)
+    heavy = right.where(F.col(count_col) > limit)
+    if heavy.isEmpty():
+        return left.join(right, keys)
+    apart = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(heavy), keys).unionByName(apart.join(right.where(F.col(count_col) <= limit), keys))
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts; null is the empty text."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

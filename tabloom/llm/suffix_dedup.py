@@ -5,19 +5,25 @@ text). Every such string holds an anchor: the least hashed GRAM of its grams, th
 string alone. So equal strings meet at equal anchors, and what an anchor can decide lies in its context, the bytes that
 such strings around it can cover.
 
-1. Anchors whose gram occurs once in the corpus are dropped (a count with map-side partial sums, then a join).
-2. Of anchors with equal contexts all but the first occurrence are covered whole (grouped with partial minima, joined back).
-3. Where one gram has several contexts, the first occurrence of each goes to a bucket of bounded size. There a run-length
-   compressed Burrows-Wheeler transform of the contexts is built, with samples at the run ends: text position, its
-   predecessor in suffix order and their common length. Matching statistics are streamed from the samples (between two
-   samples the length falls by one and the predecessor advances by one), strings of LENGTH bytes or more in common form
-   classes, and all but the first of a class is marked.
-4. A gram with more than MOST_CONTEXTS contexts skips the bucket: each of its strings is hashed and the first of each
-   hash is found by partial minima, so no task holds such a group.
-
-Null texts are empty; texts below LENGTH bytes stay whole. Equal hashes of 64 bits stand for equal contexts or strings
-of one gram. Rows that repeat an id are documents of their own, ordered by text; null ids come first. Only the id and
-text columns are read.
+1. Anchors are found once and written. Those whose gram occurs once in the corpus are dropped.
+2. Of anchors with equal contexts all but the first occurrence are covered whole.
+3. Where one gram has several contexts, the first occurrence of each goes to a bucket of bounded size. There contexts are
+   cut to what another of their gram could share, those that could share no string are left out, and of equal ones one
+   stays. Of the rest a run-length compressed Burrows-Wheeler transform is built, with samples at the run ends: text
+   position, its predecessor in suffix order and their common length. Matching statistics are streamed from the samples
+   (between two samples the length falls by one and the predecessor advances by one), strings of LENGTH bytes or more in
+   common form classes, and all but the first of a class is marked.
+4. A gram with more than MOST_CONTEXTS contexts fits no bucket: its strings are told apart by 128 bits of hash, and the
+   first of each is found by partial minima, so no task holds such a group.
+
+Counts and minima are partly summed before they are shuffled; keys that hold many rows are joined by a broadcast of
+bounded size (heavy_join), so no key's rows meet in one task.
+
+Null texts are empty; texts below LENGTH bytes stay whole. Equal contexts are told by 64 bits each for gram and context.
+Rows that repeat an id, or have none, are documents of their own, ordered by a hash of the text, equal ones in any order;
+null ids come first. An empty table gives no rows. Texts are anchored CHUNK bytes at a time, whatever their length. Only
+the id and text columns are read by repeat_digests(), so other columns cannot clash; names that begin with an underscore
+are reserved in remove_repeats().
 """
 
 from __future__ import annotations
@@ -28,13 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import discard, release, table, texts, written
+from tabloom.llm.common import discard, heavy_join, release, table, texts, written
 
 LENGTH = 100
-GRAM = 16
+GRAM = 32
 #: Bytes of contexts in one index, on average.
 BUCKET_BYTES = 2 << 20
 MOST_CONTEXTS = 16384
@@ -42,10 +48,8 @@ MOST_CONTEXTS = 16384
 CHUNK = 1 << 20
 
 _BACK = LENGTH - GRAM
-_SHIFT = 40
-_POS = (1 << _SHIFT) - 1
 _M = 0x9E3779B97F4A7C15
-_BYTES = np.frombuffer(hashlib.shake_256(b"bytes").digest(8 * 256), "<u8")
+_BYTES, _MORE = (np.frombuffer(hashlib.shake_256(name).digest(8 * 256), "<u8") for name in (b"bytes", b"more bytes"))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -67,13 +71,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _prefix(b: np.ndarray) -> np.ndarray:
+def _prefix(b: np.ndarray, values: np.ndarray = _BYTES) -> np.ndarray:
     """Prefix sums of a polynomial hash: the hash of b[i:j] is (out[j] - out[i]) * _DOWN[i]."""
     global _UP, _DOWN
     if _UP is None:
         _UP, _DOWN = _powers(_M, _SPAN + 1), _powers(pow(_M, -1, 1 << 64), _SPAN + 1)
     out = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTES[b] * _UP[: len(b)], out=out[1:])
+    np.cumsum(values[b] * _UP[: len(b)], out=out[1:])
     return out
 
 
@@ -110,10 +114,11 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def string_hashes(part: bytes) -> np.ndarray:
-    """Hashes of all LENGTH-byte strings of a context."""
-    sums = _prefix(np.frombuffer(part, np.uint8))
+    """Two hashes of each LENGTH-byte string of a context, 128 bits together."""
+    b = np.frombuffer(part, np.uint8)
     n = len(part) - LENGTH + 1
-    return _mixed((sums[LENGTH:] - sums[:n]) * _DOWN[:n]).view(np.int64)
+    found = [(sums[LENGTH:] - sums[:n]) * _DOWN[:n] for sums in (_prefix(b), _prefix(b, _MORE))]
+    return np.stack(list(map(_mixed, found)), axis=1).view(np.int64)
 
 
 def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -202,11 +207,56 @@ class RunIndex:
         return np.maximum(self.sample_length[s] - gone, 0), self.sample_before[s] + gone
 
 
-def later_strings(contexts: list[bytes], order_key: np.ndarray) -> list[np.ndarray]:
-    """For each context, the starts of its LENGTH-byte strings that also occur at a smaller key.
-
-    order_key is that of each context's first byte; keys of its further bytes follow one by one.
+#: Bytes beside the gram at which contexts are compared before they are indexed; two that share a string share the last on one side.
+_LEVELS = (4, 8, 17, _BACK // 2)
+
+
+def shared_reach(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes left and right of its gram a context could have in common with another of that gram, from above."""
+    reach = []
+    for right in (False, True):
+        edge = starts + at + GRAM if right else starts + at
+        room = sizes - at - GRAM if right else at
+        least = np.full(len(starts), _LEVELS[0] - 1)
+        for k, level in enumerate(_LEVELS):
+            rows = np.flatnonzero(room >= level)
+            if not len(rows):
+                break
+            side = text[(edge[rows] - (0 if right else level))[:, None] + np.arange(level)]
+            key = np.concatenate([gram[rows].astype("<i8").view(np.uint8).reshape(-1, 8), side], axis=1)
+            _, group, count = np.unique(np.ascontiguousarray(key).view(f"V{8 + level}").ravel(), return_inverse=True, return_counts=True)
+            shared = rows[count[group] > 1]
+            if not len(shared):
+                break
+            least[shared] = _LEVELS[k + 1] - 1 if k + 1 < len(_LEVELS) else _BACK
+        reach.append(np.minimum(least, room))
+    return reach[0], reach[1]
+
+
+def later_strings(contexts: list[bytes], order_key: np.ndarray, at: np.ndarray, gram: np.ndarray) -> list[np.ndarray]:
+    """For each context, the starts of its LENGTH-byte strings around the gram at `at` that also occur at a smaller key.
+
+    order_key is that of each context's first byte, ascending; keys of its further bytes follow one by one. Contexts are
+    first cut to what another of their gram could share; of equal ones only the first is indexed.
     """
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    left, right = shared_reach(np.frombuffer(b"".join(contexts), np.uint8), starts, sizes, at, gram)
+    lo, hi = at - left, at + GRAM + right
+    out = [np.empty(0, np.int64)] * len(contexts)
+    firsts: dict[tuple[int, bytes], int] = {}
+    for k in np.flatnonzero(hi - lo >= LENGTH).tolist():
+        if firsts.setdefault((int(gram[k]), contexts[k][lo[k] : hi[k]]), k) != k:
+            out[k] = np.arange(lo[k], hi[k] - LENGTH + 1)
+    if len(firsts) > 1:
+        rows = np.array(list(firsts.values()))
+        for k, found in zip(rows.tolist(), indexed_strings([part for _, part in firsts], (order_key + lo)[rows]), strict=True):
+            out[k] = found + lo[k]
+    return out
+
+
+def indexed_strings(contexts: list[bytes], order_key: np.ndarray) -> list[np.ndarray]:
+    """What later_strings() gives, by the index of whole contexts."""
     index = RunIndex(contexts)
     length, before = index.matching_statistics()
     whole = index.left >= LENGTH
@@ -220,8 +270,9 @@ def later_strings(contexts: list[bytes], order_key: np.ndarray) -> list[np.ndarr
     sizes = np.diff(np.append(index.starts, index.n))
     key = np.repeat(order_key - index.starts, sizes) + np.arange(index.n)
     least = np.full(index.n, np.iinfo(np.int64).max)
-    np.minimum.at(least, root[whole], key[whole])
-    marked = np.flatnonzero(whole & (key > least[root]))
+    at = np.flatnonzero(whole)
+    np.minimum.at(least, root[at], key[at])
+    marked = at[key[at] > least[root[at]]]
     cut = np.searchsorted(marked, index.starts[1:]) if len(index.starts) > 1 else []
     return [m - s for m, s in zip(np.split(marked, cut), index.starts, strict=True)]
 
@@ -236,99 +287,110 @@ def intervals(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]
     return [(int(starts[a]), int(starts[b]) + length) for a, b in zip(firsts, lasts, strict=True)]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, sub, text): sub tells rows of one id apart."""
-    d = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
-    keyed = docs.select(d.alias("d"), F.col(text_col).alias("text"))
-    if keyed.groupBy("d").count().where("count > 1").isEmpty():
-        return keyed.select("d", F.lit(0).cast("bigint").alias("sub"), "text")
-    return keyed.select("d", (F.row_number().over(Window.partitionBy("d").orderBy("text")) - 1).cast("bigint").alias("sub"), "text")
+def _keyed(docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> DataFrame:
+    """(_d, id, text, others): _d is the id where ids tell rows apart, else a number in the order of (id, text hash), nulls first.
+
+    The numbers come from a sort into ranges, which splits a hot id by its texts and equal rows at random; they are
+    written, so that they stay what they are.
+    """
+    plain = docs.select(F.col(id_col).cast("bigint").alias("_d"), *dict.fromkeys([id_col, text_col, *others]))
+    if plain.groupBy("_d").count().where("count > 1 or _d is null").isEmpty():
+        return plain
+    order = [F.col("_d").asc_nulls_first(), F.xxhash64(text_col), F.col("_salt")]
+    ranged = plain.withColumn("_salt", F.rand(0)).repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ranged.withColumn("_d", F.monotonically_increasing_id()).drop("_salt"), "numbered")
 
 
-def _anchored(keyed: DataFrame, with_place: bool) -> DataFrame:
-    names = ["h", "context", "d", "ps"] if with_place else ["h"]
+def _anchored(keyed: DataFrame, text_col: str) -> DataFrame:
+    names = ["h", "context", "d", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, subs = b.column(0).to_numpy(), b.column(1).to_numpy()
-            found = [(k, a) for k, t in enumerate(texts(b)) if len((a := anchors(t.encode()))[0])]
-            if not found:
-                continue
-            columns = [np.concatenate([a[1] for _, a in found])]
-            if with_place:
-                sizes = [len(a[0]) for _, a in found]
-                at = np.repeat([k for k, _ in found], sizes)
-                columns += [np.concatenate([a[2] for _, a in found]), ids[at], (subs[at] << _SHIFT) | np.concatenate([a[0] for _, a in found])]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names)
-
-    return keyed.select("d", "sub", "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
-
-
-def _contexts(keyed: DataFrame, edges: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Contexts by bucket, and the strings of grams with too many contexts by hash."""
-    places = edges.select("d", F.shiftright("ps", _SHIFT).alias("sub"), F.struct(F.col("ps").bitwiseAND(_POS).alias("pos"), "h", "hot").alias("p"))
-    places = places.groupBy("d", "sub").agg(F.collect_list("p").alias("places"))
-    joined = keyed.join(places, ["d", "sub"]).select("d", "sub", "text", "places")
-    names = ["bucket", "h", "d", "ps", "bytes"]
+            ids = b.column(0).to_numpy()
+            found = [(k, a) for k, t in enumerate(texts(b, text_col)) if len((a := anchors(t.encode()))[0])]
+            if found:
+                at = np.repeat([k for k, _ in found], [len(a[0]) for _, a in found])
+                columns = [np.concatenate([a[1] for _, a in found]), np.concatenate([a[2] for _, a in found]), ids[at], np.concatenate([a[0] for _, a in found])]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names)
+
+    return keyed.select("_d", text_col).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def _contexts(keyed: DataFrame, edges: DataFrame, text_col: str, buckets: int) -> DataFrame:
+    """(bucket, h, two, d, pos, at, bytes): contexts by bucket; in bucket -1 the strings of grams with too many contexts, by 128 bits of hash (h, two)."""
+    places = edges.groupBy("d").agg(F.collect_list(F.struct("pos", "h", "hot")).alias("_places"))
+    joined = keyed.select("_d", text_col).join(places, F.col("_d") == F.col("d")).select("_d", text_col, "_places")
+    names = ["bucket", "h", "two", "d", "pos", "at", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, sub, text, places in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for d, text, places in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 raw = text.encode()
                 for p in places:
-                    lo = max(0, p["pos"] - _BACK)
+                    at = min(p["pos"], _BACK)
+                    lo = p["pos"] - at
                     part = raw[lo : p["pos"] + LENGTH]
                     if not p["hot"]:
-                        rows.append((p["h"] % buckets, p["h"], d, (sub << _SHIFT) | lo, part))
-                        continue
-                    hashed = string_hashes(part)
-                    rows += [(-1, int(w), d, (sub << _SHIFT) | (lo + k), None) for k, w in enumerate(hashed)]
+                        rows.append((p["h"] % buckets, p["h"], 0, d, lo, at, part))
+                    else:
+                        rows += [(-1, one, two, d, lo + k, 0, None) for k, (one, two) in enumerate(string_hashes(part).tolist())]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 6 + [pa.binary()], strict=True)], names)
 
-    out = written(joined.mapInArrow(run, "bucket bigint, h bigint, d bigint, ps bigint, bytes binary"), "contexts")
-    return out.where("bucket >= 0"), out.where("bucket < 0").select("h", "d", "ps")
+    return joined.mapInArrow(run, ", ".join(f"{n} bigint" for n in names[:-1]) + ", bytes binary")
 
 
 def _indexed(contexts: DataFrame) -> DataFrame:
-    """(d, ps, size): covered stretches that the buckets' indexes find."""
+    """(d, pos, size): covered stretches that the buckets' indexes find."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d", "ps"], kind="stable")
-        docs = (pdf["d"].diff().fillna(0) != 0) | ((pdf["ps"] // (1 << _SHIFT)).diff().fillna(0) != 0)
-        key = (docs.cumsum().to_numpy(np.int64) << _SHIFT) | (pdf["ps"].to_numpy(np.int64) & _POS)
+        pdf = pdf.sort_values(["d", "pos"], kind="stable")
+        rank = (pdf["d"].diff().fillna(0) != 0).cumsum().to_numpy(np.int64)
+        key = (rank << 40) | pdf["pos"].to_numpy(np.int64)
         out = []
-        for d, ps, starts in zip(pdf["d"], pdf["ps"], later_strings(list(pdf["bytes"]), key), strict=True):
-            out += [(d, ps + s, e - s) for s, e in intervals(starts)]
-        return pd.DataFrame(out, columns=["d", "ps", "size"]).astype("int64")
+        found = later_strings(list(pdf["bytes"]), key, pdf["at"].to_numpy(np.int64), pdf["h"].to_numpy(np.int64))
+        for d, pos, starts in zip(pdf["d"], pdf["pos"], found, strict=True):
+            out += [(d, pos + s, e - s) for s, e in intervals(starts)]
+        return pd.DataFrame(out, columns=["d", "pos", "size"]).astype("int64")
+
+    return contexts.select("bucket", "h", "d", "pos", "at", "bytes").groupBy("bucket").applyInPandas(run, "d bigint, pos bigint, size bigint")
+
 
-    return contexts.groupBy("bucket").applyInPandas(run, "d bigint, ps bigint, size bigint")
+def _not_first() -> F.Column:
+    return (F.col("d") != F.col("first.d")) | (F.col("pos") != F.col("first.pos"))
 
 
-def repeat_marks(keyed: DataFrame) -> DataFrame:
-    """(d, sub, marks array<struct<pos, size>>): covered stretches of every text that has any. A size of 0 is a whole context around pos."""
+def repeat_marks(keyed: DataFrame, text_col: str = "text") -> DataFrame:
+    """(d, marks array<struct<pos, size>>): covered stretches of every text that has any. A size of 0 is a whole context around pos."""
     spark = keyed.sparkSession
-    repeated = written(_anchored(keyed, False).groupBy("h").count().where("count > 1").select("h"), "grams")
+    anchored = written(_anchored(keyed, text_col), "anchors")
+    repeated = written(anchored.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "grams")
     release(spark)
-    anchored = written(_anchored(keyed, True).join(repeated, "h"), "anchors")
-    discard(repeated)
+    again = written(heavy_join(anchored, repeated, ["h"], "n", anchored.count()).select("h", "context", "d", "pos"), "repeated")
+    for gone in (anchored, repeated):
+        discard(gone)
     release(spark)
-    first = written(anchored.groupBy("h", "context").agg(F.min(F.struct("d", "ps")).alias("first")), "firsts")
-    later = anchored.join(first, ["h", "context"]).where((F.col("d") != F.col("first.d")) | (F.col("ps") != F.col("first.ps")))
-    inside = written(later.select("d", "ps", F.lit(0).cast("bigint").alias("size")), "inside")
-    several = first.groupBy("h").count().where("count > 1").select("h", (F.col("count") > MOST_CONTEXTS).alias("hot"))
-    edges = written(first.join(several, "h").select("h", "first.d", "first.ps", "hot"), "edges")
-    discard(anchored)
-    discard(first)
+    first = written(again.groupBy("h", "context").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("n")), "firsts")
+    later = heavy_join(again, first.where("n > 1"), ["h", "context"], "n", again.count()).where(_not_first())
+    inside = written(later.select("d", "pos", F.lit(0).cast("bigint").alias("size")), "inside")
+    several = written(first.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "several")
+    edges = heavy_join(first, several, ["h"], "k", first.count()).select("h", "first.d", "first.pos", (F.col("k") > MOST_CONTEXTS).alias("hot"))
+    edges = written(edges, "edges")
+    for gone in (again, first, several):
+        discard(gone)
     release(spark)
     buckets = max(1, edges.count() * (_BACK + LENGTH) // BUCKET_BYTES)
-    contexts, strings = _contexts(keyed, edges, buckets)
-    earliest = strings.groupBy("h").agg(F.min(F.struct("d", "ps")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    hot = strings.join(earliest, "h").where((F.col("d") != F.col("first.d")) | (F.col("ps") != F.col("first.ps"))).select("d", "ps", F.lit(LENGTH).cast("bigint").alias("size"))
-    marks = inside.union(_indexed(contexts)).union(hot)
-    packed = F.struct(F.col("ps").bitwiseAND(_POS).alias("pos"), "size")
-    out = written(marks.select("d", F.shiftright("ps", _SHIFT).alias("sub"), packed.alias("m")).groupBy("d", "sub").agg(F.collect_list("m").alias("marks")), "marks")
+    marks = inside.union(_indexed(_contexts(keyed, edges.where("not hot"), text_col, buckets)))
+    hot = edges.where("hot")
+    if not hot.isEmpty():
+        strings = written(_contexts(keyed, hot, text_col, buckets).select("h", "two", "d", "pos"), "strings")
+        earliest = written(strings.groupBy("h", "two").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1"), "earliest")
+        met = heavy_join(strings, earliest, ["h", "two"], "n", strings.count()).where(_not_first())
+        marks = marks.union(met.select("d", "pos", F.lit(LENGTH).cast("bigint").alias("size")))
+    out = written(marks.groupBy("d").agg(F.collect_list(F.struct("pos", "size")).alias("marks")), "marks")
+    for gone in (inside, edges):
+        discard(gone)
     release(spark)
     return out
 
@@ -345,14 +407,16 @@ def covered(n: int, marks: list[dict] | None) -> np.ndarray:
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    keyed = _keyed(docs, id_col, text_col)
-    joined = keyed.join(repeat_marks(keyed), ["d", "sub"], "left").select("d", "text", "marks")
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    keyed = _keyed(docs, id_col, text_col, [])
+    marks = repeat_marks(keyed, text_col)
+    joined = keyed.join(marks, F.col("_d") == F.col("d"), "left").select(id_col, text_col, "marks")
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, marks in zip(texts(b), b.column(2).to_pylist(), strict=True):
+            for text, marks in zip(texts(b, text_col), b.column(2).to_pylist(), strict=True):
                 raw = text.encode()
                 gone = covered(len(raw), marks) if marks else np.zeros(0, bool)
                 removed = int(gone.sum())
@@ -361,10 +425,9 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest()))
             if rows:
                 columns = zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)
-                ids = b.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([None if d == -(1 << 63) else d for d in ids], pa.int64()), *(pa.array(list(c), t) for c, t in columns)], names)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in columns)], names)
 
-    return joined.mapInArrow(run, f"{id_col} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return joined.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def whole_characters(text: str, gone: np.ndarray) -> str:
@@ -377,20 +440,16 @@ def whole_characters(text: str, gone: np.ndarray) -> str:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """All rows and columns, the text without its repeats (whole characters only), and its length where such a column is named."""
-    keyed = _keyed(docs, id_col, text_col)
-    marks = repeat_marks(keyed).select("d", "sub", F.col("marks").alias("_marks"))
-    d = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
-    sub = F.lit(0).cast("bigint")
-    if not keyed.groupBy("d").count().where("count > 1").isEmpty():
-        sub = (F.row_number().over(Window.partitionBy(d).orderBy(text_col)) - 1).cast("bigint")
-    joined = docs.withColumns({"_d": d, "_sub": sub}).join(marks.withColumnsRenamed({"d": "_d", "sub": "_sub"}), ["_d", "_sub"], "left")
+    keyed = _keyed(docs, id_col, text_col, docs.columns)
+    marks = repeat_marks(keyed, text_col).select(F.col("d").alias("_mark_d"), F.col("marks").alias("_marks"))
+    joined = keyed.join(marks, F.col("_d") == F.col("_mark_d"), "left")
     place = docs.columns.index(text_col)
     size = docs.columns.index(length_col) if length_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = list(b.columns[:-1])
-            found = [whole_characters(t, covered(len(t.encode()), m)) if m else t for t, m in zip(columns[place].to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            found = [whole_characters(t, covered(len(t.encode()), m)) if t and m else t for t, m in zip(columns[place].to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             columns[place] = pa.array(found, pa.string())
             if size is not None:
                 columns[size] = pa.array([None if t is None else len(t) for t in found], pa.int64()).cast(b.schema.field(size).type)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.llm import near_dedup, suffix_dedup
+from tabloom.llm import common, near_dedup, suffix_dedup
 from tabloom.llm.components import connected_components
 
 
@@ -107,6 +107,7 @@ def repetitive(seed, n=60):
 @pytest.mark.parametrize("most", [16384, 2])
 def test_repeats_equal_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
+    monkeypatch.setattr(common, "HEAVY_ROWS", most)
     rows = repetitive(most)
     got = suffix_dedup.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows)
@@ -116,6 +117,8 @@ def test_repeats_of_repeated_ids_and_empty_tables(spark):
     rows = [(1, "ab" * 80), (1, "ab" * 80), (None, "cd" * 80)]
     got = suffix_dedup.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("1", 158), ("1", 160), ("None", 158)]
+    kept = suffix_dedup.remove_repeats(spark.createDataFrame([(i, t, "z") for i, t in [*rows, (None, None), (None, "")]], "doc_id long, text string, d string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, [(1, "ab", "z"), (1, "", "z"), (None, "cd", "z"), (None, None, "z"), (None, "", "z")]))
     assert suffix_dedup.repeat_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
