@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,31 +69,97 @@ def brute_top(ids, v, q, own, k):
     return sorted((-int(x), int(i)) for x, i in zip(v @ q, ids, strict=True) if i != own)[:k]
 
 
-@pytest.mark.parametrize("n, dims", [(3000, 64), (400, 3), (5, 2)])
-def test_threshold_search_equals_brute_force(n, dims):
+def searched(ids, v, query_ids, queries, k, size=10**6):
+    """The k best of each query and what was read."""
+    reads, rows = topk.Reads(), {}
+    blocks = ((ids[a : a + size], v[a : a + size]) for a in range(0, len(ids), size))
+    for x, found, scores in topk.search_blocks(blocks, query_ids, queries, k, reads):
+        rows.setdefault(x, []).extend((-s, i) for i, s in zip(found, scores, strict=True))
+    return {x: sorted(r)[:k] for x, r in rows.items()}, reads
+
+
+@pytest.mark.parametrize("n, dims, size", [(3000, 64, 700), (400, 3, 10**6), (5, 2, 2), (300, 4, 10)])
+def test_threshold_search_equals_brute_force(n, dims, size):
     rng = np.random.default_rng(n)
-    v = rng.integers(-7, 8, (n, dims))
+    v = rng.integers(-7, 8, (n, dims)).astype(float)
+    v[:2] = 0
     ids = rng.permutation(n)
-    at, found, score = topk.threshold_search(ids, v, ids[:5], v[:5], 20)
+    got, _ = searched(ids, v, ids[:5], v[:5], 20, size)
     for x in range(min(5, n)):
-        assert [(-s, i) for s, i in zip(score[at == x].tolist(), found[at == x].tolist(), strict=True)] == brute_top(ids, v, v[x], ids[x], 20)
+        assert got[x] == brute_top(ids, v, v[x], ids[x], 20)
+
+
+def test_threshold_search_stops_on_clusters():
+    rng = np.random.default_rng(0)
+    centres = rng.normal(0, 40, (20, 16))
+    v = np.floor(np.repeat(centres, 200, axis=0) + rng.normal(0, 2, (4000, 16)))
+    ids = np.arange(4000)
+    got, reads = searched(ids, v, ids[::400], v[::400], 20, 200)
+    assert all(got[x] == brute_top(ids, v, v[x * 400], x * 400, 20) for x in range(10))
+    assert reads.vectors < 0.3 * reads.all_vectors and reads.entries < 0.2 * reads.all_entries
 
 
-def test_top_k_frame(spark, monkeypatch):
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_share_read_of_the_supplied_vectors():
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, v = topk.integer_rows(t["vec_id"].combine_chunks(), t["embedding"].combine_chunks())
+    got, reads = searched(ids, v, ids[ids % 20 == 0], v[ids % 20 == 0], 20, 8192)
+    assert got[3] == brute_top(ids, v, v[ids == 60][0], 60, 20)
+    print("entries", reads.entries / reads.all_entries, "vectors", reads.vectors / reads.all_vectors)
+    assert reads.entries < 0.9 * reads.all_entries and reads.vectors <= reads.all_vectors
+
+
+@pytest.mark.parametrize("ways", [1 << 26, 0])
+def test_top_k_frame(spark, monkeypatch, ways):
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", ways)
     monkeypatch.setattr(topk, "BLOCK", 50)
     monkeypatch.setattr(topk, "QUERIES", 4)
     rng = np.random.default_rng(1)
     rows = [(k, rng.normal(0, 0.2, 8).astype("float32").tolist()) for k in range(300)]
-    bad = [(301, None), (302, [float("nan")] * 8), (303, [None] * 8), (340, [float("inf")] * 8)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
+    rows[7] = (7, rows[6][1])  # ties
+    rows[8] = (8, rows[40][1])
+    bad = [(301, None), (302, [float("nan")] * 8), (303, [None] * 8), (340, [float("inf")] * 8), (None, [1.0] * 8)]
+    twice = [(5, rows[9][1]), (20, rows[20][1])]  # a repeated id, and a repeated query row
+    df = spark.createDataFrame(rows + bad + twice, "vec_id long, embedding array<float>").withColumns({"rank": F.lit(1), "score": F.lit("x"), "vector": F.lit("y"), "asked": F.lit(2)}).repartition(6)
     got = topk.top_k(df, F.col("vec_id") % 20 == 0).collect()
-    v = np.floor(64 * np.array([r[1] for r in rows])).astype(int)
+    v = np.floor(64 * np.array([r[1] for r in rows + twice])).astype(int)
+    ids = np.array([r[0] for r in rows + twice])
     for q in range(0, 300, 20):
-        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == brute_top(np.arange(300), v, v[q], q, 20)
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [(-r.score, r.vec_id) for r in mine] == brute_top(ids, v, v[q], q, 20) and [r.rank for r in mine] == list(range(1, 21))
     assert {r.query_id for r in got} == set(range(0, 300, 20))
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("ways", [1 << 26, 0])
+def test_top_k_of_large_empty_and_uneven_vectors(spark, monkeypatch, ways):
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", ways)
+    rows = [(0, [1e7, 2.0]), (1, [1e7]), (2, []), (3, [-1e7, 1.0, 5.0]), (20, [])]
+    rows += [(40, [0.25, 0.5]), (41, [1.2e8, -3.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    score = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b], strict=False))
+    for q in (0, 20, 40):
+        want = sorted((-score(q, i), i) for i, _ in rows if i != q)
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+
+
+@pytest.mark.parametrize("x", [1e9, 1e17])
+def test_top_k_never_wraps(spark, x):
+    df = spark.createDataFrame([(0, [x, 2.0]), (1, [x, 2.0]), (20, [0.02, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(df, F.col("vec_id") == 0).collect()
+    assert [r.score for r in topk.top_k(df.where("vec_id > 0"), F.col("vec_id") == 20).collect()] == [int(64 * x)]
+
+
+def test_op9_equals_sql(spark):
+    for at in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        if Path(at).exists():
+            embeddings = duckdb.read_parquet(f"{at}/embeddings.parquet")  # noqa: F841
+            want = duckdb.sql(topk.ORACLE_SQL).fetchall()
+            assert sorted(map(tuple, topk.op9_topk(spark, at).collect())) == sorted((q, r, v, s) for q, r, v, s in want)
+
+
 def test_base_spans():
     text = 'ſecret=abcdef Password: "hunter2x" token=abc ' + "AKIA" + "A" * 16 + " AKIAB " + "deadbeef" * 3 + " api_key='x1/+_.=-'"
     assert [(text[s:e], k) for s, e, k in secrets.base_spans(text)] == [('Password: "hunter2x', 0), ("AKIA" + "A" * 16, 1), ("deadbeef" * 3, 2), ("api_key='x1/+_.=-", 0)]
