@@ -1,21 +1,26 @@
 """Operator 5: secret scans, by base rules and a linear-chain conditional random field.
 
 Tokens are runs without white space. Each is described by its shape, by hint words and by its neighbours' descriptions;
-the file adds features of its own. The field tags tokens B, I or O and is trained here, by gradient ascent on the
-likelihood of windows around secrets and look-alikes in a bounded sample of rows (TRAIN_DOCS, chosen by a hash of the
-id), whose tags are those of the base rules. Its spans are added to the base spans where they overlap none.
+the file adds features of its own. The field tags tokens B, I or O. It is trained here, by gradient ascent on the
+likelihood of windows of text from a bounded sample of rows (TRAIN_DOCS on average, by a hash of id and text). Their tags
+are those of the base rules; into SEEDED of them secrets of forms that the base rules do not know are written (bearer
+tokens, logins in addresses, private-key blocks, values after other names, prefixed tokens), and look-alikes that are none
+into as many. So the field finds what the rules miss. Its spans are added to the base spans where they overlap none.
 
 Viterbi decoding is exact and runs over islands only: a token that lies in no interval whose upper bounds of gain over
 all-O sum to zero or more is O in every best path, so a text is cut there.
 
 Null and empty texts have no spans. Positions are code points, the end is exclusive. Ties prefer O, then B. With no
-usable sample the field adds nothing. Repeated rows give equal results. Only the id and text columns are read; redact()
-replaces the text column and keeps the others.
+usable sample the field adds nothing. Repeated rows give equal results, and repeated or null ids are rows like others.
+Texts of any length are tagged whole. An empty table gives no rows. Only the id and text columns are read by
+find_secrets(), so names of others cannot clash; redact() replaces the text column and keeps the others.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,10 +34,12 @@ from tabloom.llm.common import Memo, table, texts
 
 KINDS = ("assign", "access", "hex", "field")
 TRAIN_DOCS = 4000
-#: Windows that one sampled row adds to the training set at most.
-TRAIN_WINDOWS = 6
+#: Windows that one sampled row adds to the training set at most, and all together.
+TRAIN_WINDOWS, MOST_WINDOWS = 6, 12_000
+#: Windows that get a secret of another form written into them, and as many that get a look-alike.
+SEEDED = 1000
 REACH = 6
-STEPS = 150
+STEPS = 100
 RATE, DECAY = 0.5, 1e-3
 O, B, I = 0, 1, 2  # noqa: E741
 
@@ -79,6 +86,15 @@ def describe(token: str) -> tuple[str, ...]:
         return (*out, "word")
     kind = "digits" if digits == n else "hex" if all(c in "0123456789abcdef" for c in core) else "upper" if not lowers and core.isalnum() else "mixed" if core.isalnum() else "marks"
     out += [f"kind={kind}", f"size={min(n // 4, 12)}", f"{kind} size={min(n // 8, 6)}", f"digits={4 * digits // max(1, n)}"]
+    classes = "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "m" for c in core)
+    turns = sum(x != y for x, y in zip(classes, classes[1:], strict=False))
+    out += [f"turns={min(5, 8 * turns // max(1, n))}", f"{kind} turns={min(5, 8 * turns // max(1, n))} size={min(n // 8, 3)}"]
+    if core.startswith("-----") or core.endswith("-----"):
+        out.append("fence")
+    if (at := core.find("://")) >= 0:
+        out.append("login" if ":" in core[at + 3 :].partition("@")[0] and "@" in core else "address")
+    elif "/" in core or "\\" in core:
+        out.append("slash")
     if core[:1].isupper() and not digits and core[1:].islower():
         out.append("capital")
     if core[:4] == "AKIA":
@@ -260,14 +276,55 @@ class Tagger:
         return sorted(found, key=lambda s: (s[0], s[2]))
 
 
-def _training_windows(docs: DataFrame, id_col: str, text_col: str, train_docs: int) -> list[tuple[list[list[str]], list[int]]]:
-    # Both sides are bounded by train_docs: the ids that are broadcast and the rows that leave windows.
-    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(train_docs)
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id")
+_ALNUM = string.ascii_letters + string.digits
+_BASE64 = _ALNUM + "+/"
+
+
+def seeded_secret(rng: random.Random, names: tuple[str, ...] = ("client_key", "session_key", "signing_key", "private_key", "auth", "credential", "db_pass", "pwd", "login_key", "master_key")) -> tuple[list[str], list[int]]:
+    """Tokens and tags of a secret of a form that the base rules do not know."""
+    text = lambda letters, n: "".join(rng.choices(letters, k=n))
+    value = text(*rng.choice([(_ALNUM, rng.randrange(16, 48)), (_BASE64, rng.randrange(20, 64)), (_ALNUM + "-_", rng.randrange(20, 40))]))
+    form = rng.randrange(6)
+    if form == 0:
+        return [rng.choice(["Authorization:", "authorization:", "auth:", "-H"]), rng.choice(["Bearer", "bearer", "Basic"]), value], [O, O, B]
+    if form == 1:
+        scheme, user = rng.choice(["postgres", "mysql", "mongodb", "redis", "amqp", "https", "ftp"]), text(string.ascii_lowercase, rng.randrange(3, 9))
+        return [f"{scheme}://{user}:{text(_ALNUM, rng.randrange(6, 20))}@{text(string.ascii_lowercase, 6)}.{rng.choice(['local', 'example.com', 'internal'])}{rng.choice(['', ':5432', '/main', ':6379/0'])}"], [B]
+    if form == 2:
+        kind = rng.choice([[], ["RSA"], ["EC"], ["OPENSSH"]])
+        body = [text(_BASE64, 64) for _ in range(rng.randrange(1, 4))]
+        tokens = ["-----BEGIN", *kind, "PRIVATE", "KEY-----", *body, "-----END", *kind, "PRIVATE", "KEY-----"]
+        return tokens, [B] + [I] * (len(tokens) - 1)
+    if form == 3:
+        return [f"{text(string.ascii_lowercase, rng.randrange(2, 5))}{rng.choice('_-')}{value}"], [B]
+    name, quote = rng.choice(names), rng.choice(["", '"', "'"])
+    if form == 4:
+        return [f"{name}{rng.choice('=:')}{quote}{value}{quote}"], [B]
+    before = rng.choice([[name, rng.choice(["=", ":", ":="])], [name + rng.choice("=:")]])
+    return [*before, f"{quote}{value}{quote}"], [O] * len(before) + [B]
+
+
+def seeded_decoy(rng: random.Random) -> list[str]:
+    """Tokens that look alike and are no secret."""
+    digits = lambda n: "".join(rng.choices(string.digits, k=n))
+    word = "".join(rng.choices(string.ascii_lowercase, k=rng.randrange(3, 10)))
+    return rng.choice([
+        [f"https://{word}.example.com/{word}/{digits(4)}?x={digits(2)}"], [f"{word}@example.com"], [f"20{digits(2)}-0{digits(1)}-1{digits(1)}T10:{digits(2)}:00Z"],
+        [f"v{digits(1)}.{digits(2)}.{digits(1)}-rc{digits(1)}"], [f"{word}={digits(3)}"], ["key", "=", word], [f"{word}:", word], [digits(rng.randrange(8, 20))],
+        [word + word.title() + word[::-1].title()], [f"{word.upper()}-{digits(4)}"], [f"/usr/{word}/{word}.{digits(1)}"], [word * 3], [f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}"],
+        ["bearer", word], ["auth", word, digits(2)], [f"#{digits(6)}"], [f"{digits(2)}.{digits(2)}.{digits(3)}.{digits(1)}"], [f"({word})[{digits(2)}]"], [f"{word}_{word}_{digits(2)}"],
+    ])
+
+
+def _sampled_windows(docs: DataFrame, id_col: str, text_col: str, train_docs: int) -> list[tuple[list[str], list[int], list[str]]]:
+    """(tokens with a neighbour on each side, tags, file features) of windows; rows are sampled, so a hot id brings no more than others."""
+    rows = max(1, docs.count())
+    mark = F.xxhash64(F.col(id_col).cast("string"), text_col)
+    chosen = docs.select(mark.alias("_mark"), F.col(text_col).alias("_text")).where(F.pmod("_mark", F.lit(1 << 20)) < max(1, min(1 << 20, (train_docs << 20) // rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out_tokens, out_tags, out_file, ids = [], [], [], []
+            out_tokens, out_tags, out_file, marks = [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), texts(b, "_text"), strict=True):
                 spans, words = base_spans(text), list(_WORD.finditer(text))
                 tags = []
@@ -278,27 +335,41 @@ def _training_windows(docs: DataFrame, id_col: str, text_col: str, train_docs: i
                 odd = sorted(odd, key=lambda k: (tags[k] != B, k))[:TRAIN_WINDOWS] or ([len(words) // 2] if words else [])
                 for k in odd:
                     lo, hi = max(0, k - REACH), min(len(words), k + REACH + 1)
-                    ids.append(i)
-                    out_tokens.append([words[x][0] if 0 <= x < len(words) else "" for x in range(lo - 1, hi + 1)])
+                    marks.append(i)
+                    out_tokens.append([words[x][0][:200] if 0 <= x < len(words) else "" for x in range(lo - 1, hi + 1)])
                     out_tags.append(tags[lo:hi])
                     out_file.append(list(file_features(text, len(words))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(out_tokens, pa.list_(pa.string())), pa.array(out_tags, pa.list_(pa.int32())), pa.array(out_file, pa.list_(pa.string()))],
-                ["id", "tokens", "tags", "file"],
+                [pa.array(marks, pa.int64()), pa.array(out_tokens, pa.list_(pa.string())), pa.array(out_tags, pa.list_(pa.int32())), pa.array(out_file, pa.list_(pa.string()))],
+                ["mark", "tokens", "tags", "file"],
             )
 
-    rows = chosen.select(F.xxhash64("_id").alias("_id"), "_text").mapInArrow(run, "id bigint, tokens array<string>, tags array<int>, file array<string>").collect()
-    rows.sort(key=lambda r: (r["id"], r["tokens"]))
-    windows = []
-    for r in rows:
-        described = [describe(t) if t else _PAD for t in r["tokens"]]
-        windows.append((window_features(described, tuple(r["file"]))[1:-1], list(r["tags"])))
-    return windows
+    found = chosen.mapInArrow(run, "mark bigint, tokens array<string>, tags array<int>, file array<string>").dropDuplicates(["mark", "tokens"])
+    return [(r["tokens"], list(r["tags"]), r["file"]) for r in found.orderBy("mark", "tokens").limit(MOST_WINDOWS).collect()]
+
+
+def training_windows(sampled: list[tuple[list[str], list[int], list[str]]], seeded: int = SEEDED) -> list[tuple[list[list[str]], list[int]]]:
+    """Features and tags of the sampled windows, and of copies with seeded secrets and look-alikes."""
+    rng = random.Random(5)
+    views = list(sampled)
+    for k in range(2 * seeded if sampled else 0):
+        tokens, tags, file = rng.choice(sampled)
+        new, new_tags = seeded_secret(rng) if k % 2 else (seeded_decoy(rng), [])
+        new_tags = new_tags + [O] * (len(new) - len(new_tags))
+        at = rng.randrange(1, len(tokens))
+        views.append(([*tokens[:at], *new, *tokens[at:]], [*tags[: at - 1], *new_tags, *tags[at - 1 :]], file))
+    out = []
+    for tokens, tags, file in views:
+        described = [describe(t) if t else _PAD for t in tokens]
+        features = window_features(described, tuple(file))[1:-1]
+        for at in range(0, len(tags), 2 * REACH + 4):  # long views in parts, as all windows take the length of the longest
+            out.append((features[at : at + 2 * REACH + 4], tags[at : at + 2 * REACH + 4]))
+    return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Field:
     """Train the field on a bounded sample of docs."""
-    return train_field(_training_windows(docs, id_col, text_col, train_docs))
+    return train_field(training_windows(_sampled_windows(docs, id_col, text_col, train_docs)))
 
 
 def find_secrets(docs: DataFrame, crf: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import re
 from pathlib import Path
 
 import duckdb
@@ -199,6 +200,61 @@ def test_field_adds_spans_and_keeps_base_ones(spark):
     assert secrets.fit(df.limit(0)).index == {}
 
 
+def prose(rng, n):
+    return " ".join(rng.choices(["the", "of", "thing", "Wort,", "und", "4.0", "17", "12.1.2.3", "ly.34@mail7.example.com", "9807915762804490", "is."], k=n))
+
+
+def test_field_finds_held_out_forms_and_leaves_clean_text_alone(spark):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(k, prose(rng, 60) + (f' token = "{rng.randbytes(20).hex()}"' if k % 9 == 0 else "")) for k in range(400)] + [(None, "hot " * 40)] * 50, "doc_id long, text string")
+    crf = secrets.fit(docs)
+    tagger, found, wrong = secrets.Tagger(crf), 0, 0
+    names = ("vault_code", "licence_hash", "webhook_sig", "deploy_ref", "sk")  # none of these names is in the training set
+    for _ in range(200):
+        tokens, tags = secrets.seeded_secret(rng, names)
+        before, after = prose(rng, 20), prose(rng, 20)
+        text = " ".join([before, *tokens, after])
+        start = len(before) + 1 + len(" ".join(["", *tokens[: tags.index(secrets.B)]]))
+        inside = lambda s: s[0] < len(text) - len(after) and start - 2 < s[1]  # noqa: B023, E731
+        spans = tagger.spans(text)
+        found += any(map(inside, spans))
+        wrong += sum(not inside(s) for s in spans)
+    assert found >= 190 and wrong <= 4
+    clean = [" ".join([prose(rng, 20), *secrets.seeded_decoy(rng), prose(rng, 20)]) for _ in range(200)]
+    assert sum(bool(tagger.spans(t)) for t in clean) <= 2
+
+
+def plain_base(text):
+    """The base rules, spelled out again: leftmost, not overlapping, by kind."""
+    rules = [
+        ("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ]
+    out = [(m.start(), n, kind, m.end()) for n, (kind, pattern, good) in enumerate(rules) for m in re.finditer(pattern, text) if good(m)]
+    return [f"{kind}:{start}:{end}" for start, _, kind, end in sorted(out)]
+
+
+def test_op5_equals_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "apikey", "ApI_KeY", "=", ":", " ", '"', "'", "abc", "hunter2x", "AKIA" + "Q7" * 8, "AKIA12", "deadbeef" * 3, "0f" * 11, "é", "\n", "ſecret", "toKen", "x+/_.=-y", "=="]
+    rows = [(k, "".join(rng.choices(parts, k=rng.randrange(1, 14)))) for k in range(300)] + [(300, None), (301, ""), (5, "token=abcdef1"), (5, "token=abcdef1"), (None, "token: deadbeefdead")]
+    rows.append((400, "wort " * 40_000 + "password = hunter22"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit(1), "base_sha256": F.lit("x")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = secrets.op5_secrets(spark, str(tmp_path)).collect()
+    want = []
+    for i, text in rows:
+        base = plain_base(text or "")
+        count = lambda kind: sum(x.startswith(kind) for x in base)  # noqa: B023, E731
+        want.append((i, count("assign"), count("access"), count("hex"), hashlib.sha256(",".join(base).encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256)) for r in got)
+    for r in got:
+        spans = [x for x in r.spans.split(",") if x and not x.startswith("field")]
+        assert hashlib.sha256(",".join(spans).encode()).hexdigest() == r.base_sha256
+    assert secrets.find_secrets(docs.limit(0), secrets.fit(docs.limit(0))).count() == 0
+
+
 def test_quality_learns_and_holds_out(spark):
     rng = random.Random(1)
     vocabulary = [f"word{k}" for k in range(200)]
