@@ -1,22 +1,36 @@
 """Operator 3: chat formatting with linked tool calls.
 
-Calls and results are hash-joined by conversation and identifier. A call depends on the results before it and a result
-on its call, so (depth, kind, identifier) orders messages topologically: a result's depth is that of its call or its own
-turn, whichever is later, and no window over a conversation is needed. Arguments are checked against a schema of
-required and typed fields, and every message becomes canonical JSON: sorted keys, no white space, minimal escapes.
-
-Results without a call and calls without a result stay, marked. Of rows that repeat an identifier every call meets every
-result. A null identifier links with nothing, and neither does a turn that is null; null texts are JSON nulls, and invalid
-where a string is required. Turns of other roles, or of none, are messages of their own kind that link with nothing, so
-every row of the table is in the result. Only the named columns are read.
+An assistant's text may be a JSON object with `tool_calls`, a tool's text one with `tool_call_id`; other texts are plain.
+Calls and results are hash-joined by conversation and identifier: each side is first counted by identifier, so every
+message stays one row however often an identifier repeats, and a repeat is marked ambiguous. A result comes after its
+call, and a call after the results of the identifiers in its `after`; (depth, level) orders all of it topologically, depth
+being the latest turn of a message and of what it waits for, level its steps after that. Calls that wait for each other,
+or for such calls, are marked cyclic and stay at their own turn. Arguments are checked row by row against the schema of
+the tool that the call names, as variants, and every message becomes canonical JSON: sorted keys, no white space, minimal
+escapes. format_conversations() joins the messages of a conversation in order, in parts of PART messages.
+
+Nulls: a null conversation is one of its own; a null identifier links with nothing; a null turn comes first; null texts
+are JSON nulls, and invalid. Results without a call and calls without a result stay, unlinked. Arguments that are no JSON
+object are invalid and kept as a JSON string. Equal rows are messages of their own, in any order. An empty table gives no
+rows. Only the named columns are read, so others cannot clash. Texts up to a variant's size limit are checked; longer ones
+are kept as strings and invalid.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import table
+from tabloom.llm.common import heavy_join, table, written
+
+#: Messages in one part of a formatted conversation; a conversation of any length is never one group.
+PART = 1000
+#: Tools whose schemas may be broadcast.
+MAX_TOOLS = 10_000
+#: Variant types that each JSON-schema type allows.
+TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY<.*", "object": "OBJECT<.*", "null": "VOID"}
+
+CALL = "array<struct<id:string,name:string,arguments:variant,after:array<string>>>"
 
 
 def json_string(c: Column) -> Column:
@@ -41,55 +55,168 @@ def number(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("null"))
 
 
-def unlinked(messages: DataFrame) -> DataFrame:
-    """Rows like those of link_calls, of kind 2, for messages(conv_id, turn, role, content) that are no call and no result."""
-    as_json = canonical_json({"content": json_string(F.col("content")), "role": json_string(F.col("role")), "turn": number("turn")})
-    return messages.select(
-        "conv_id", F.lit(None).cast("string").alias("call_id"), F.col("turn").alias("depth"), F.lit(2).alias("kind"),
-        F.lit(False).alias("linked"), F.col("content").isNotNull().alias("valid"), as_json.alias("json"),
-    )
+def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of messages(conv_id, turn, role, text): calls, results and other messages, as link_messages() takes them."""
+    like_json = F.coalesce(F.col("text").startswith("{"), F.lit(False))
+    made = F.when(like_json & (F.col("role") == "assistant"), F.from_json("text", f"struct<tool_calls:{CALL}>")["tool_calls"])
+    answer = F.when(like_json & (F.col("role") == "tool"), F.from_json("text", "struct<tool_call_id:string,content:variant>"))
+    read = messages.select("conv_id", "turn", "role", "text", made.alias("_calls"), answer.alias("_answer"))
+    call = F.coalesce(F.size("_calls") > 0, F.lit(False))
+    result = F.coalesce(F.col("_answer.tool_call_id").isNotNull(), F.lit(False))
+    calls = read.where(call).select("conv_id", "turn", F.explode("_calls").alias("c")).select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.to_json("c.arguments").alias("arguments"), F.col("c.after").alias("after"))
+    content = F.coalesce(F.try_variant_get("_answer.content", "$", "string"), F.to_json("_answer.content"))
+    results = read.where(~call & result).select("conv_id", "turn", F.col("_answer.tool_call_id").alias("call_id"), content.alias("content"))
+    return calls, results, read.where(~call & ~result).select("conv_id", "turn", "role", F.col("text").alias("content"))
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schema: dict[str, str], required: tuple[str, ...]) -> DataFrame:
-    """Link calls(conv_id, call_id, turn, name, arguments struct) and results(conv_id, call_id, turn, content).
+def check_arguments(calls: DataFrame, tools: dict[str, dict]) -> DataFrame:
+    """Adds `valid` and canonical `arguments_json` to calls(name, arguments).
 
-    schema maps an argument to its type name; an argument of another type, and a required one that is null or an empty
-    string, make the call invalid. Returns a row for each call and result: (conv_id, call_id, depth, kind, linked, valid, json).
+    tools maps a name to a JSON schema: properties with type (one or a list), enum, minimum, maximum, minLength; required;
+    additionalProperties (true if absent). A call of an unknown tool is invalid.
+    """
+    if len(tools) > MAX_TOOLS:
+        raise ValueError(f"{len(tools)} tools; their schemas are broadcast up to {MAX_TOOLS}")
+    rows = []
+    for name, schema in tools.items():
+        fields = []
+        for field, rule in schema.get("properties", {}).items():
+            kinds = [rule["type"]] if isinstance(rule.get("type"), str) else rule.get("type") or list(TYPES)
+            enum = rule.get("enum")
+            fields.append((field, "|".join(TYPES[k] for k in kinds), None if enum is None else [str(x) for x in enum], *(None if rule.get(k) is None else float(rule[k]) for k in ("minimum", "maximum", "minLength"))))
+        rows.append((name, fields, list(schema.get("required", [])), bool(schema.get("additionalProperties", True))))
+    kind = "name string, fields array<struct<field:string,kinds:string,enum:array<string>,low:double,high:double,least:double>>, required array<string>, open boolean"
+    known = calls.sparkSession.createDataFrame(rows, kind).withColumnsRenamed({"name": "_tool", "fields": "_fields", "required": "_required", "open": "_open"})
+    given = calls.withColumns({"_given": F.from_json("arguments", "map<string,variant>"), "_variant": F.try_parse_json("arguments")})
+    joined = given.join(F.broadcast(known), F.col("name") == F.col("_tool"), "left")
+
+    def sound(f: Column) -> Column:
+        x = F.element_at("_given", f["field"])
+        text, value = F.try_variant_get(x, "$", "string"), F.try_variant_get(x, "$", "double")
+        return x.isNull() | (
+            F.regexp_like(F.schema_of_variant(x), F.concat(F.lit("^("), f["kinds"], F.lit(")$")))
+            & (f["enum"].isNull() | F.array_contains(f["enum"], text)) & (f["low"].isNull() | (value >= f["low"]))
+            & (f["high"].isNull() | (value <= f["high"])) & (f["least"].isNull() | (F.length(text) >= f["least"]))
+        )
+
+    has = F.map_keys("_given")
+    names = F.transform("_fields", lambda f: f["field"])
+    valid = F.forall("_required", lambda r: F.array_contains(has, r)) & F.forall("_fields", sound) & (F.col("_open") | (F.size(F.array_except(has, names)) == 0))
+    out = joined.withColumns({"valid": F.coalesce(valid, F.lit(False)), "arguments_json": F.coalesce(F.to_json("_variant"), json_string(F.col("arguments")))})
+    return out.drop("_given", "_variant", "_tool", "_fields", "_required", "_open")
+
+
+def _places(ids: DataFrame) -> DataFrame:
+    """(conv_id, call_id, c_at, cyclic): where each identifier's call stands, c_at being (depth, level).
+
+    Only conversations in which something waits for a later turn are walked in rounds, one for each step of the longest
+    chain; in all others every call stands at its own turn.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in calls.schema["arguments"].dataType.fields}
-    valid = F.lit(all(kinds.get(k) == v for k, v in schema.items()) and set(kinds) <= set(schema))
-    for k in required:
-        x = F.col(f"arguments.{k}")
-        valid = valid & F.coalesce(x != "" if kinds.get(k) == "string" else x.isNotNull(), F.lit(False))
-    as_json = {k: json_string(F.col(f"arguments.{k}")) if v == "string" else F.coalesce(F.col(f"arguments.{k}").cast("string"), F.lit("null")) for k, v in kinds.items()}
-    own = calls.select("conv_id", "call_id", F.col("turn").alias("c_turn"), F.col("name").alias("c_name"), canonical_json(as_json).alias("c_arguments"), valid.alias("c_valid"), F.lit(True).alias("c_is"))
-    their = results.select("conv_id", "call_id", F.col("turn").alias("r_turn"), "content", F.lit(True).alias("r_is"))
-    both = own.join(their, ["conv_id", "call_id"], "full").withColumns({k: F.coalesce(k, F.lit(False)) for k in ("c_is", "r_is")})
-    call = F.struct(
-        F.col("c_turn").alias("depth"), F.lit(0).alias("kind"), F.col("r_is").alias("linked"), F.col("c_valid").alias("valid"),
-        canonical_json({"arguments": F.col("c_arguments"), "id": json_string(F.col("call_id")), "name": json_string(F.col("c_name")), "role": F.lit('"assistant"'), "turn": number("c_turn")}).alias("json"),
+    waits = ids.where("size(after) > 0").select("conv_id", F.col("call_id").alias("v"), F.explode(F.array_distinct("after")).alias("call_id"), F.col("c_turn").alias("v_turn"))
+    own = F.struct(F.col("c_turn").alias("depth"), F.lit(0).alias("level"))
+    plain = ids.select("conv_id", "call_id", own.alias("c_at"), F.lit(False).alias("cyclic"))
+    if waits.isEmpty():
+        return plain
+    waits = written(waits.join(ids.where("n_calls > 0").select("conv_id", "call_id", F.greatest("c_turn", "r_turn").alias("_turn")), ["conv_id", "call_id"]), "waits")
+    odd = written(waits.where("_turn >= v_turn").select("conv_id").distinct(), "odd")
+    edges = written(waits.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "v"), "edges")
+    need = edges.groupBy("conv_id", "v").agg(F.count("*").alias("need")).withColumnRenamed("v", "call_id")
+    rest = written(ids.where("n_calls > 0").join(odd, "conv_id", "left_semi").join(need, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "c_turn", "r_turn", F.coalesce("need", F.lit(0)).alias("need")), "rest")
+    placed = written(rest.where("need = 0").select("conv_id", "call_id", own.alias("c_at"), "r_turn"), "placed")
+    while True:
+        left = rest.join(placed, ["conv_id", "call_id"], "left_anti")
+        # A call's result stands at its own turn, or one step after the call where that is later.
+        ends = placed.select("conv_id", "call_id", F.when(F.col("r_turn") > F.col("c_at.depth"), F.struct(F.col("r_turn").alias("depth"), F.lit(0).alias("level"))).when(F.col("r_turn").isNotNull(), F.struct(F.col("c_at.depth").alias("depth"), (F.col("c_at.level") + 1).alias("level"))).otherwise(F.col("c_at")).alias("end"))
+        met = edges.join(ends, ["conv_id", "call_id"]).groupBy("conv_id", "v").agg(F.count("*").alias("met"), F.max("end").alias("end")).withColumnRenamed("v", "call_id")
+        ready = left.join(met, ["conv_id", "call_id"]).where("met = need")
+        at = F.when(F.col("end.depth") >= F.col("c_turn"), F.struct(F.col("end.depth").alias("depth"), (F.col("end.level") + 1).alias("level"))).otherwise(own)
+        step = written(ready.select("conv_id", "call_id", at.alias("c_at"), "r_turn"), "placed")
+        if step.isEmpty():
+            break
+        placed = written(placed.unionByName(step), "placed")
+    moved = placed.select("conv_id", "call_id", F.col("c_at").alias("_at"), F.lit(True).alias("_placed"))
+    seen = plain.join(moved, ["conv_id", "call_id"], "left").join(rest.select("conv_id", "call_id", F.lit(True).alias("_walked")), ["conv_id", "call_id"], "left")
+    return seen.select("conv_id", "call_id", F.coalesce("_at", "c_at").alias("c_at"), (F.col("_walked").isNotNull() & F.col("_placed").isNull()).alias("cyclic"))
+
+
+def link_messages(calls: DataFrame, results: DataFrame, others: DataFrame, tools: dict[str, dict]) -> DataFrame:
+    """One row for each message: (conv_id, call_id, depth, level, kind, linked, ambiguous, cyclic, valid, json).
+
+    Takes calls(conv_id, call_id, turn, name, arguments string, after array<string>), results(conv_id, call_id, turn,
+    content) and others(conv_id, turn, role, content). Kinds are 0 for calls, 1 for results and 2 for others.
+    """
+    none = F.lit(None)
+    checked = check_arguments(calls, tools)
+    as_call = canonical_json({"arguments": F.col("arguments_json"), "id": json_string(F.col("call_id")), "name": json_string(F.col("name")), "role": F.lit('"assistant"'), "turn": number("turn")})
+    as_result = canonical_json({"content": json_string(F.col("content")), "id": json_string(F.col("call_id")), "role": F.lit('"tool"'), "turn": number("turn")})
+    as_other = canonical_json({"content": json_string(F.col("content")), "role": json_string(F.col("role")), "turn": number("turn")})
+    shape = lambda df, kind, after, valid, json: df.select("conv_id", "call_id", F.col("turn").cast("bigint").alias("turn"), F.lit(kind).alias("kind"), after.cast("array<string>").alias("after"), valid.alias("valid"), json.alias("json"))
+    there = F.col("content").isNotNull()
+    one, two = shape(checked, 0, F.col("after"), F.col("valid"), as_call), shape(results, 1, none, there, as_result)
+    rest = shape(others.withColumn("call_id", none.cast("string")), 2, none, there, as_other)
+    named = written(one.unionByName(two).where("conv_id is not null and call_id is not null"), "messages")
+    is_call = F.col("kind") == 0
+    counted = named.groupBy("conv_id", "call_id").agg(
+        F.count("*").alias("n"), F.count_if(is_call).alias("n_calls"), F.min(F.when(is_call, F.col("turn"))).alias("c_turn"), F.min(F.when(~is_call, F.col("turn"))).alias("r_turn"), F.max("after").alias("after")
     )
-    answer = F.struct(
-        F.greatest("r_turn", "c_turn").alias("depth"), F.lit(1).alias("kind"), F.col("c_is").alias("linked"), F.col("content").isNotNull().alias("valid"),
-        canonical_json({"content": json_string(F.col("content")), "id": json_string(F.col("call_id")), "role": F.lit('"tool"'), "turn": number("r_turn")}).alias("json"),
+    ids = written(counted, "identifiers")
+    info = written(ids.join(_places(ids.where("n_calls > 0")), ["conv_id", "call_id"], "left").select("conv_id", "call_id", "n", "n_calls", "c_at", F.coalesce("cyclic", F.lit(False)).alias("cyclic")), "links")
+    met = heavy_join(named, info, ["conv_id", "call_id"], "n", named.count())
+    other_side = F.when(is_call, F.col("n") - F.col("n_calls")).otherwise(F.col("n_calls"))
+    after_call = ~is_call & F.coalesce(F.col("c_at.depth") >= F.col("turn"), F.lit(False))
+    # A repeated call stands at its own turn, or where the first of its kind waits if that is later.
+    late = is_call & F.coalesce(F.col("c_at.depth") >= F.col("turn"), F.lit(False))
+    linked = met.select(
+        "conv_id", "call_id", F.greatest("turn", "c_at.depth").alias("depth"), F.when(after_call, F.col("c_at.level") + 1).when(late, F.col("c_at.level")).otherwise(0).alias("level"),
+        "kind", (other_side > 0).alias("linked"), ((F.col("n_calls") > 1) | (F.col("n") - F.col("n_calls") > 1)).alias("ambiguous"), "cyclic", "valid", "json",
     )
-    made = F.array_compact(F.array(F.when(F.col("c_is"), call), F.when(F.col("r_is"), answer)))
-    return both.select("conv_id", "call_id", F.explode(made).alias("m")).select("conv_id", "call_id", "m.*")
+    single = one.unionByName(two).where("conv_id is null or call_id is null").unionByName(rest)
+    false = F.lit(False)
+    return linked.unionByName(single.select("conv_id", "call_id", F.col("turn").alias("depth"), F.lit(0).alias("level"), "kind", false.alias("linked"), false.alias("ambiguous"), false.alias("cyclic"), "valid", "json"))
+
+
+ORDER = ("conv_id", "depth", "level", "kind", "call_id", "json")
+
+
+def with_positions(messages: DataFrame) -> DataFrame:
+    """Adds the 0-based position in the conversation, by a sort into ranges: no conversation is one task's work."""
+    ranged = messages.repartitionByRange(*(F.col(c).asc_nulls_first() for c in ORDER[:-1]), F.xxhash64("json")).sortWithinPartitions(*ORDER)
+    sorted_ = written(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)), "sorted")
+    spans = sorted_.groupBy("conv_id", "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select(F.col("conv_id").alias("_conv"), F.col("_range").alias("_of"), "_first", before.alias("_before"))
+    met = sorted_.join(spans, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_of")))
+    return met.withColumn("position", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_range", "_conv", "_of", "_first", "_before")
+
+
+def format_conversations(linked: DataFrame, part: int = PART) -> DataFrame:
+    """(conv_id, part, n_messages, n_calls, n_linked, n_ambiguous, n_cyclic, n_valid, chat): messages in order, `part` of them a row."""
+    placed = with_positions(linked).withColumn("part", F.floor(F.col("position") / part))
+    flag = lambda c: F.count_if(c).alias(f"n_{c}")
+    grouped = placed.groupBy("conv_id", "part").agg(F.count("*").alias("n_messages"), F.count_if(F.col("kind") == 0).alias("n_calls"), *map(flag, ("linked", "ambiguous", "cyclic", "valid")), F.sort_array(F.collect_list(F.struct("position", "json"))).alias("_m"))
+    chat = F.concat(F.lit("["), F.array_join(F.transform("_m", lambda m: m["json"]), ","), F.lit("]"))
+    return grouped.withColumn("chat", chat).drop("_m")
+
+
+#: The tool that a user's turn calls where the table itself holds no calls.
+TOOLS = {"reply": {"properties": {"length": {"type": "integer", "minimum": 1}, "prompt": {"type": "string", "minLength": 1}}, "required": ["length", "prompt"], "additionalProperties": False}}
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn is a call of the tool `reply`, the assistant's next turn is its result, other turns are unlinked.
+    """All of `conversations`, formatted, a row for each conversation (for each 1000 of its messages).
 
-    ORACLE_SQL gives the rows of kinds 0 and 1 whose turn is not null.
+    Texts that hold calls and results are read as such. Where they hold none, as in the supplied tables, a user's turn is
+    a call of the tool `reply` and the assistant's next turn is its result; other turns are plain messages. ORACLE_SQL
+    covers tables of such plain texts.
     """
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    calls, results, plain = parse_messages(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     name = lambda n: F.concat(F.col("conv_id").cast("string"), F.lit("-"), n.cast("string"))
-    arguments = F.struct(F.length("text").cast("bigint").alias("length"), F.col("text").alias("prompt"))
-    calls = turns.where("role = 'user'").select("conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
-    results = turns.where("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    others = turns.where("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", "role", F.col("text").alias("content"))
-    linked = link_calls(calls, results, {"length": "bigint", "prompt": "string"}, ("length", "prompt")).unionByName(unlinked(others))
-    return linked.select("conv_id", "call_id", "depth", "kind", "linked", "valid", F.md5("json").alias("json_md5"), F.length("json").cast("bigint").alias("json_chars"))
+    arguments = canonical_json({"length": F.coalesce(F.length("content").cast("string"), F.lit("null")), "prompt": json_string(F.col("content"))})
+    none = F.lit(None).cast("array<string>")
+    asked = plain.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), none.alias("after"))
+    told = plain.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), "content")
+    others = plain.where("role is null or role not in ('user', 'assistant')")
+    return format_conversations(link_messages(calls.unionByName(asked), results.unionByName(told), others, TOOLS))
 
 
 def _sql_json(c: str) -> str:
@@ -103,16 +230,23 @@ def _sql_json(c: str) -> str:
 ORACLE_SQL = f"""
 with c as (select conv_id, conv_id || '-' || turn as call_id, turn, text from conversations where role = 'user'),
 r as (select conv_id, conv_id || '-' || (turn - 1) as call_id, turn, text from conversations where role = 'assistant'),
-b as (select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, c.turn as ct, r.turn as rt, c.text as cx, r.text as rx
-  from c full join r on c.conv_id = r.conv_id and c.call_id = r.call_id),
+g as (select conv_id, call_id, count(*) filter (kind = 0) as nc, count(*) filter (kind = 1) as nr, min(turn) filter (kind = 0) as ct
+  from (select conv_id, call_id, turn, 0 as kind from c union all select conv_id, call_id, turn, 1 from r) group by all),
 m as (
-  select conv_id, call_id, ct as depth, 0::int as kind, rt is not null as linked, coalesce(cx <> '', false) as valid,
-    '{{"arguments":{{"length":' || coalesce(length(cx)::varchar, 'null') || ',"prompt":' || {_sql_json('cx')} || '}},"id":' || {_sql_json('call_id')}
-      || ',"name":"reply","role":"assistant","turn":' || ct || '}}' as json
-  from b where ct is not null
+  select c.conv_id, c.call_id, c.turn as depth, 0 as level, 0 as kind, coalesce(nr > 0, false) as linked, coalesce(nc > 1 or nr > 1, false) as ambiguous, coalesce(text <> '', false) as valid,
+    '{{"arguments":{{"length":' || coalesce(length(text)::varchar, 'null') || ',"prompt":' || {_sql_json('text')} || '}},"id":' || {_sql_json('c.call_id')}
+      || ',"name":"reply","role":"assistant","turn":' || coalesce(c.turn::varchar, 'null') || '}}' as json
+  from c left join g on c.conv_id = g.conv_id and c.call_id = g.call_id
+  union all
+  select r.conv_id, r.call_id, greatest(r.turn, ct), case when ct >= r.turn then 1 else 0 end, 1, coalesce(nc > 0, false), coalesce(nc > 1 or nr > 1, false), text is not null,
+    '{{"content":' || {_sql_json('text')} || ',"id":' || {_sql_json('r.call_id')} || ',"role":"tool","turn":' || coalesce(r.turn::varchar, 'null') || '}}'
+  from r left join g on r.conv_id = g.conv_id and r.call_id = g.call_id
   union all
-  select conv_id, call_id, greatest(rt, ct), 1, ct is not null, rx is not null,
-    '{{"content":' || {_sql_json('rx')} || ',"id":' || {_sql_json('call_id')} || ',"role":"tool","turn":' || rt || '}}'
-  from b where rt is not null)
-select conv_id, call_id, depth, kind, linked, valid, md5(json) as json_md5, length(json)::bigint as json_chars from m
+  select conv_id, null, turn, 0, 2, false, false, text is not null,
+    '{{"content":' || {_sql_json('text')} || ',"role":' || {_sql_json('role')} || ',"turn":' || coalesce(turn::varchar, 'null') || '}}'
+  from conversations where role is null or role not in ('user', 'assistant')),
+p as (select *, row_number() over (partition by conv_id order by depth nulls first, level, kind, call_id nulls first, json) - 1 as position from m)
+select conv_id, position // {PART} as part, count(*) as n_messages, count(*) filter (kind = 0) as n_calls, count(*) filter (linked) as n_linked,
+  count(*) filter (ambiguous) as n_ambiguous, 0::bigint as n_cyclic, count(*) filter (valid) as n_valid, '[' || string_agg(json, ',' order by position) || ']' as chat
+from p group by conv_id, position // {PART}
 """

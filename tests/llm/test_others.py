@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.llm import chat, gif, quality, secrets, topk
+from tabloom.llm import chat, common, gif, quality, secrets, topk
 
 
 @pytest.mark.parametrize("size", [64, 4096 * 3, 70_016, 64 * 1024 * 2 + 64])
@@ -273,39 +273,87 @@ def test_quality_learns_and_holds_out(spark):
     assert {r.score for r in quality.add_quality(docs, untrained).collect()} == {0.5}
 
 
-def test_chat_json_and_links(spark):
-    calls = spark.createDataFrame([(1, "a", 2, "f", ('say "hi"\n\\', 3)), (1, "b", 5, "f", (None, 1)), (1, None, 7, "f", ("x", 1))], "conv_id long, call_id string, turn long, name string, arguments struct<q:string,n:bigint>")
-    results = spark.createDataFrame([(1, "a", 1, "ok"), (1, "z", 9, None)], "conv_id long, call_id string, turn long, content string")
-    rows = chat.link_calls(calls, results, {"q": "string", "n": "bigint"}, ("q",)).collect()
-    by = {(r.call_id, r.kind): r for r in rows}
-    assert len(rows) == 5 and by["a", 1].depth == 2 and by["a", 0].linked and not by["z", 1].linked and not by["b", 0].valid
-    assert json.loads(by["a", 0].json) == {"arguments": {"n": 3, "q": 'say "hi"\n\\'}, "id": "a", "name": "f", "role": "assistant", "turn": 2}
-    assert by["a", 0].json == json.dumps(json.loads(by["a", 0].json), sort_keys=True, separators=(",", ":"))
+CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"
+RESULTS = "conv_id long, turn long, call_id string, content string"
+OTHERS = "conv_id long, turn long, role string, content string"
+FREE = {"f": {}}
 
 
-def test_chat_has_every_row(spark, tmp_path):
-    turns = [(1, 0, "system", 'be "kind"'), (1, 1, "user", "hi"), (1, 2, "assistant", "ho"), (1, 3, "tool", None), (1, 4, None, "x"), (1, None, "user", "when"), (1, None, "assistant", "now"), (1, None, "system", "s"), (None, 5, "user", "who"), (None, 6, "assistant", "me")]
-    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    rows = chat.op3_chat(spark, str(tmp_path)).collect()
-    md5 = lambda **message: hashlib.md5(json.dumps(message, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-    ask = lambda id, turn, text: md5(arguments={"length": len(text), "prompt": text}, id=id, name="reply", role="assistant", turn=turn)
-    tell = lambda id, turn, text: md5(content=text, id=id, role="tool", turn=turn)
-    say = lambda role, turn, text: md5(content=text, role=role, turn=turn)
-    want = [
-        (1, "1-1", 1, 0, True, True, ask("1-1", 1, "hi")), (1, "1-1", 2, 1, True, True, tell("1-1", 2, "ho")),
-        (1, None, None, 0, False, True, ask(None, None, "when")), (1, None, None, 1, False, True, tell(None, None, "now")),
-        (None, None, 5, 0, False, True, ask(None, 5, "who")), (None, None, 6, 1, False, True, tell(None, 6, "me")),
-        (1, None, 0, 2, False, True, say("system", 0, 'be "kind"')), (1, None, 3, 2, False, False, say("tool", 3, None)),
-        (1, None, 4, 2, False, True, say(None, 4, "x")), (1, None, None, 2, False, True, say("system", None, "s")),
+def test_chat_arguments_meet_their_schemas(spark):
+    tools = {"f": {"properties": {"q": {"type": "string", "enum": ["a", "é"]}, "n": {"type": ["integer", "null"], "minimum": 2, "maximum": 5}, "x": {"type": "number"}, "l": {"type": "array"}, "o": {"type": "object"}, "b": {"type": "boolean"}}, "required": ["q"], "additionalProperties": False}, "g": {}}
+    cases = [
+        ("f", '{"q":"a"}', True), ("f", '{"q": "é", "n": 3}', True), ("f", '{"q":"b"}', False), ("f", '{"q":"a","n":1}', False), ("f", '{"q":"a","n":6}', False), ("f", '{"q":"a","n":"3"}', False),
+        ("f", '{"q":"a","n":2.5}', False), ("f", '{"q":"a","x":2.5,"l":[1],"o":{"z":1},"b":true}', True), ("f", '{"q":"a","l":{}}', False), ("f", '{"q":"a","b":1}', False), ("f", '{"n":3}', False),
+        ("f", '{"q":null}', False), ("f", '{"q":"a","zz":1}', False), ("f", "{broken", False), ("f", None, False), ("f", "[1]", False), ("h", "{}", False), ("g", '{"any":1}', True), (None, "{}", False),
     ]
-    assert sorted(map(str, (tuple(r)[:7] for r in rows))) == sorted(map(str, want))
+    df = spark.createDataFrame([(k, n, a) for k, (n, a, _) in enumerate(cases)], "k int, name string, arguments string")
+    got = {r.k: r for r in chat.check_arguments(df, tools).collect()}
+    assert [got[k].valid for k in range(len(cases))] == [v for _, _, v in cases]
+    assert got[1].arguments_json == '{"n":3,"q":"é"}' and got[13].arguments_json == '"{broken"' and got[14].arguments_json == "null"
+    with pytest.raises(ValueError, match="tools"):
+        chat.check_arguments(df, {str(k): {} for k in range(chat.MAX_TOOLS + 1)})
+
+
+def test_chat_repeats_stay_one_row_each(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_ROWS", 20)
+    calls = spark.createDataFrame([(1, k, "same", "f", "{}", None) for k in range(50)] + [(2, 0, "x", "f", "{}", None)], CALLS)
+    results = spark.createDataFrame([(1, 100 + k, "same", "ok") for k in range(50)] + [(2, 0, "x", None), (2, 3, "lost", "r"), (2, 4, None, "n")], RESULTS)
+    rows = chat.link_messages(calls, results, spark.createDataFrame([], OTHERS), FREE).collect()
+    assert len(rows) == 104 and sum(r.ambiguous for r in rows) == 100 and sum(r.linked for r in rows) == 102
+    by = {(r.call_id, r.kind): r for r in rows if r.conv_id == 2}
+    assert (by["x", 0].depth, by["x", 0].level) == (0, 0) and (by["x", 1].depth, by["x", 1].level) == (0, 1) and not by["x", 1].valid
+    assert not by["lost", 1].linked and not by[None, 1].linked
+
+
+def test_chat_order_follows_chains_and_marks_cycles(spark):
+    waits = [("a", 9, ["b"]), ("b", 5, ["c", "gone"]), ("c", 7, []), ("p", 1, ["q"]), ("q", 2, ["p"]), ("r", 3, ["q"]), ("s", 4, ["s"])]
+    calls = spark.createDataFrame([(1, t, i, "f", "{}", w) for i, t, w in waits] + [(2, 1, "a", "f", "{}", None), (2, 5, "b", "f", "{}", ["a"])], CALLS)
+    results = spark.createDataFrame([(1, 2, "c", "r"), (1, 6, "b", "r"), (1, 20, "a", "r"), (2, 3, "a", "r")], RESULTS)
+    rows = chat.with_positions(chat.link_messages(calls, results, spark.createDataFrame([(1, 0, "system", "s")], OTHERS), FREE)).collect()
+    at = {(r.call_id, r.kind): r.position for r in rows if r.conv_id == 1}
+    assert at[None, 2] == 0 and at["c", 0] < at["c", 1] < at["b", 0] < at["b", 1] < at["a", 0] < at["a", 1]
+    assert sorted(at.values()) == list(range(11))
+    assert {r.call_id for r in rows if r.cyclic} == {"p", "q", "r", "s"}
+    assert [(r.call_id, r.kind) for r in sorted((r for r in rows if r.conv_id == 2), key=lambda r: r.position)] == [("a", 0), ("a", 1), ("b", 0)]
+
+
+def test_chat_reads_calls_from_texts(spark, tmp_path):
+    call = json.dumps({"content": None, "tool_calls": [{"id": "c1", "name": "reply", "arguments": {"prompt": "hi", "length": 2}}, {"id": "c2", "name": "other", "arguments": {"z": [1, {"y": 2, "a": 1}]}}]})
+    turns = [(1, 0, "user", "{not json"), (1, 1, "assistant", call), (1, 2, "tool", '{"tool_call_id":"c1","content":{"b":1,"a":2}}'), (1, 3, "tool", '{"tool_call_id":"c9","content":"x"}'), (1, 4, "assistant", '{"other": 1}'), (2, 0, "tool", "plain")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("call_id", F.lit("clash")).write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = {r.conv_id: r for r in chat.op3_chat(spark, str(tmp_path)).collect()}
+    messages = json.loads(rows[1].chat)
+    assert [m.get("id") for m in messages] == ["1-0", "c1", "c2", "c1", "c9", "1-3"] and rows[1].n_linked == 2 and rows[1].n_calls == 3
+    assert messages[2]["arguments"] == {"z": [1, {"a": 1, "y": 2}]} and messages[3]["content"] == '{"a":2,"b":1}'
+    assert rows[1].chat == json.dumps(messages, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert rows[1].n_valid == 5 and rows[2].chat == '[{"content":"plain","role":"tool","turn":0}]'
+
+
+def test_chat_parts_of_a_long_conversation(spark):
+    others = spark.createDataFrame([(7, k % 5, "user", f"t{k}") for k in range(2300)] + [(None, None, None, None)], OTHERS).repartition(5)
+    empty = spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)
+    out = chat.format_conversations(chat.link_messages(*empty, others, FREE), 1000).collect()
+    parts = sorted((r for r in out if r.conv_id == 7), key=lambda r: r.part)
+    assert [r.n_messages for r in parts] == [1000, 1000, 300] and len(out) == 4
+    turns = [m["turn"] for r in parts for m in json.loads(r.chat)]
+    assert turns == sorted(turns)
+    assert chat.format_conversations(chat.link_messages(*empty, others.limit(0), FREE)).count() == 0
+
+
+def chat_equals_sql(spark, at):
+    conversations = duckdb.read_parquet(f"{at}/conversations.parquet" if Path(f"{at}/conversations.parquet").is_file() else f"{at}/conversations.parquet/*.parquet")  # noqa: F841
+    want = duckdb.sql(chat.ORACLE_SQL)
+    got = chat.op3_chat(spark, str(at))
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_chat_equals_sql_with_nulls_and_repeats(spark, tmp_path):
+    turns = [(1, 0, "system", 'be "kind"'), (1, 1, "user", "hi\n\t\\"), (1, 2, "assistant", "ho"), (1, 2, "assistant", "ho"), (1, 3, "tool", None), (1, 4, None, "x"), (1, None, "user", "when"), (1, None, "assistant", "now"), (1, None, "system", "s"), (None, 5, "user", "who"), (None, 6, "assistant", "me"), (2, 1, "user", None), (2, 3, "user", ""), (2, 3, "user", "é" * 50_000)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    chat_equals_sql(spark, tmp_path)
 
 
-@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
-def test_chat_equals_sql_beside_the_unlinked(spark):
-    got = chat.op3_chat(spark, "/root/testdata/sf0.001").toPandas()
-    conversations = duckdb.read_parquet("/root/testdata/sf0.001/conversations.parquet")  # noqa: F841
-    want = duckdb.sql(chat.ORACLE_SQL).df()
-    rows = lambda df: sorted(map(str, df[sorted(df)].values.tolist()))
-    assert rows(got[got.kind < 2]) == rows(want)
-    assert (got.kind == 2).sum() == duckdb.sql("select count(*) from conversations where role not in ('user', 'assistant')").fetchall()[0][0] > 0
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_chat_equals_sql(spark):
+    chat_equals_sql(spark, "/root/testdata/sf0.01")
