@@ -5,8 +5,9 @@ interlacing and disposal, and composes the canvas. A writer stores 8-bit samples
 WIDTH pixels, at most FRAME_ROWS rows a frame, the sample being the palette index, LZW-compressed.
 
 Null and empty payloads are stored as one block of zeros. A truncated or foreign file raises GifError in decode(); the
-frame table gives such a row no frames and its error text. Any length works, in frames of bounded size. Equal payloads
-give equal bytes. Only the id and payload columns are read.
+frame table gives such a row no frames and its error text, and so it does for screens and images of over MAX_PIXELS. Any
+length works, in frames of bounded size. Equal payloads give equal bytes; repeated rows give repeated rows, an empty table
+none. Only the id and payload columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ FRAME_ROWS = 1024
 DELAY_CS = 10
 #: Levels of each colour channel in a histogram.
 LEVELS = 2
+#: Pixels of a screen or an image at most; larger ones are refused before memory is taken.
+MAX_PIXELS = 1 << 24
 
 # Fixed values of the format: https://www.w3.org/Graphics/GIF/spec-gif89a.txt
 TRAILER, EXTENSION, IMAGE = 0x3B, 0x21, 0x2C
@@ -214,28 +217,44 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
 
 def decode(data: bytes) -> tuple[list[Frame], int, int]:
     """Frames, width and height."""
+    frames = list(frames_of(data))
+    return frames, *screen(data)
+
+
+def screen(data: bytes) -> tuple[int, int]:
+    """Width and height, or GifError."""
+    if data[:6] not in (b"GIF87a", b"GIF89a"):
+        raise GifError("no GIF signature")
+    if len(data) < 13:
+        raise GifError("the file is cut off")
+    width, height = struct.unpack_from("<HH", data, 6)
+    if width * height > MAX_PIXELS:
+        raise GifError(f"a screen of {width} x {height} pixels")
+    return width, height
+
+
+def frames_of(data: bytes) -> Iterator[Frame]:
+    """Frames one by one, so that one canvas is held at a time; GifError where the file ends early."""
     try:
-        return _decode(data)
+        yield from _frames(data)
     except (IndexError, struct.error, ValueError) as e:
         raise e if isinstance(e, GifError) else GifError(f"not a whole GIF: {e}") from e
 
 
-def _decode(data: bytes) -> tuple[list[Frame], int, int]:
-    if data[:6] not in (b"GIF87a", b"GIF89a"):
-        raise GifError("no GIF signature")
-    width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+def _frames(data: bytes) -> Iterator[Frame]:
+    width, height = screen(data)
+    flags = data[10]
     at, common = 13, None
     if flags & 0x80:
         common, at = _palette(data, at, flags)
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     delay = disposal = 0
     transparent: int | None = None
     while True:
         mark = data[at]
         at += 1
         if mark == TRAILER:
-            return frames, width, height
+            return
         if mark == EXTENSION:
             label = data[at]
             body, at = _blocks(data, at + 1)
@@ -256,6 +275,8 @@ def _decode(data: bytes) -> tuple[list[Frame], int, int]:
         size = data[at]
         if not 2 <= size <= 8:
             raise GifError(f"code size {size}")
+        if w * h > MAX_PIXELS:
+            raise GifError(f"an image of {w} x {h} pixels")
         stream, at = _blocks(data, at + 1)
         indices = np.frombuffer(lzw_expand(stream, size, w * h), np.uint8).reshape(h, w)
         if flags & 0x40:
@@ -269,7 +290,7 @@ def _decode(data: bytes) -> tuple[list[Frame], int, int]:
         drawn = np.dstack([colours[inside], np.full(inside.shape, 255, np.uint8)])
         region = canvas[top : top + hi, left : left + wi]
         region[...] = drawn if transparent is None else np.where((inside == transparent)[:, :, None], region, drawn)
-        frames.append(Frame(indices, canvas.copy(), left, top, delay, disposal, transparent))
+        yield Frame(indices, canvas.copy(), left, top, delay, disposal, transparent)
         if disposal == 2:
             region[...] = 0
         elif kept is not None:
@@ -314,10 +335,11 @@ def gif_frames(files: DataFrame, id_col: str = "id", data_col: str = "data") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, data in enumerate(b.column(1).to_pylist()):
+                rows, start = [], 0
                 try:
-                    frames, width, height = decode(data or b"")
-                    rows, start = [], 0
-                    for k, f in enumerate(frames):
+                    data = data or b""
+                    width, height = screen(data)
+                    for k, f in enumerate(frames_of(data)):
                         rows.append((k, start, f.delay_ms, width, height, f.disposal, f.transparent, f.canvas.tobytes(), histogram(f.canvas), None))
                         start += f.delay_ms
                 except GifError as e:
@@ -338,10 +360,14 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def one(text: str) -> tuple:
         raw = text.encode()
         stored = encode(raw + bytes(-len(raw) % WIDTH if raw else WIDTH))
-        frames, width, height = decode(stored)
-        read = b"".join(f.indices.tobytes() for f in frames)
-        colours = np.sum([histogram(f.canvas) for f in frames], axis=0)
-        feature = f"{width}x{height};{len(frames)} frames;{sum(f.delay_ms for f in frames)} ms;" + ",".join(map(str, colours.tolist()))
+        parts, colours, shown = [], np.zeros(LEVELS**3, np.int64), 0
+        for f in frames_of(stored):
+            parts.append(f.indices.tobytes())
+            colours += histogram(f.canvas)
+            shown += f.delay_ms
+        width, height = screen(stored)
+        read = b"".join(parts)
+        feature = f"{width}x{height};{len(parts)} frames;{shown} ms;" + ",".join(map(str, colours.tolist()))
         return len(raw), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

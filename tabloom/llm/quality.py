@@ -6,8 +6,8 @@ follow-the-regularised-leader with per-coordinate rates over a bounded sample of
 hash of the id) in one task; scoring is a sparse dot product in a pass over all rows.
 
 Null and empty texts score by the bias alone. With no usable label every score is 0.5. Several labels of one id count as
-their mean, a half as 1; null labels and ids are not used. Repeated rows get equal scores. Only the named columns are
-read, so others cannot clash; in add_quality() the input's column of the score's name is replaced.
+their mean, a half as 1; null labels and ids are not used. Repeated rows get equal scores, and an empty table none. Texts
+of any length are scored whole. Only the named columns are read, so others cannot clash; in add_quality() the input's column of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -44,15 +44,16 @@ def features(text: str) -> np.ndarray:
     return ((np.concatenate([words, pairs]) * _SPREAD) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def train_ftrl(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias. Rows are taken in the order given."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct features and their counts."""
+    return np.unique(features(text), return_counts=True)
+
+
+def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and bias from rows of (features, counts, label), taken in the order given."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    sparse = []
-    for text, label in rows:
-        found = features(text)
-        at, count = np.unique(found, return_counts=True)
-        sparse.append((np.append(at, size), np.append(count * (SCALE / max(1, len(found))), 1.0), float(label)))
+    sparse = [(np.append(at, size), np.append(count * (SCALE / max(1, count.sum())), 1.0), float(label)) for at, count, label in rows]
     weigh = lambda z, n: np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     for _ in range(epochs):
         for at, x, y in sparse:
@@ -82,15 +83,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(sample), "_id")
     chosen = chosen.groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [counted(t) for t in texts(b, "_text")]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([at for at, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32()))], ["id", "y", "at", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
+        rows = []
+        for b in batches:
+            for k in range(b.num_rows):
+                rows.append((b.column(0)[k].as_py(), b.column(1)[k].as_py(), *(b.column(c)[k].values.to_numpy() for c in (2, 3))))
         rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[0]))
-        w, bias = train_ftrl([(r[2], r[1]) for r in rows])
+        w, bias = train_ftrl([(at, n, y) for _, y, at, n in rows])
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*w[at].tolist(), bias], pa.float64())], ["at", "w"])
 
+    # One task trains, on features alone: a row has 2**BITS of them at most, however long its text is.
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = chosen.select("_id", "_y", "_text").mapInArrow(hashed, f"id {kind}, y int, at array<int>, n array<int>")
     w, bias = np.zeros(1 << BITS), 0.0
-    for at, value in chosen.select("_id", "_y", "_text").coalesce(1).mapInArrow(run, "at int, w double").toPandas().itertuples(index=False):
+    for at, value in rows.repartition(1).mapInArrow(run, "at int, w double").toPandas().itertuples(index=False):
         if at >= 0:
             w[at] = value
         else:
