@@ -76,8 +76,8 @@ def token_k(spark, d):
 
 @query("map_lookup", "select o_orderkey, case o_orderpriority when '1-URGENT' then 0.0 when '2-HIGH' then 0.25 when '3-MEDIUM' then 0.5 end::double as heading from orders")
 def map_lookup(spark, d):
-    known = F.create_map(*(F.lit(x) for kv in {"1-URGENT": 0.0, "2-HIGH": 0.25, "3-MEDIUM": 0.5}.items() for x in kv))
-    return read(spark, d, "orders").select("o_orderkey", F.try_element_at(known, F.col("o_orderpriority")).alias("heading"))
+    known = {"1-URGENT": 0.0, "2-HIGH": 0.25, "3-MEDIUM": 0.5}
+    return read(spark, d, "orders").select("o_orderkey", encode.lookup("o_orderpriority", known).alias("heading"))
 
 
 @query("feature_cross", ORDERS + " select o_orderkey, coalesce(p, 'nan') || '_' || o_custkey as crossed from o")
@@ -94,8 +94,7 @@ def equality_flag(spark, d):
 
 @query("threshold_flags", "select event_id, (value > 50)::int as large, (hour(ts) > 5 and hour(ts) < 20)::int as day from events")
 def threshold_flags(spark, d):
-    h = F.hour("ts")
-    return read(spark, d, "events").select("event_id", F.when(F.col("value") > 50, 1).otherwise(0).alias("large"), F.when((h > 5) & (h < 20), 1).otherwise(0).alias("day"))
+    return read(spark, d, "events").select("event_id", encode.between_flag(F.col("value"), 50).alias("large"), encode.between_flag(F.hour("ts"), 5, 20).alias("day"))
 
 
 @query("one_hot", "select c_custkey, c_acctbal, " + ", ".join(f"(s is not distinct from '{v}')::int as \"seg_{v}\"" for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + ", " + ", ".join(f"(c_nationkey % 3 = {k})::int as \"zone_{k}\"" for k in range(3)) + " from (select *, case when c_custkey % 7 <> 0 then c_mktsegment end as s from customer)")

@@ -12,9 +12,11 @@ from tabloom.sources import files
 
 
 def place(spark) -> str:
-    """A new path in the folder that executors share; a temporary one only where none is configured."""
+    """A new path in the folder that executors share. Only a local master may do without the setting."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="tabloom-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"

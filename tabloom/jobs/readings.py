@@ -28,12 +28,15 @@ from r join p on p.round = fold and p.meter = r.meter and p.month = r.month grou
 def fold_scores(spark, d):
     """Errors by fold of the group mean and median that are fitted on the other folds.
 
-    Group sums of each fold are small, and those of the other folds are their total less their own; the median is exact.
+    Rows are counted once by group, value and fold; what the other folds hold is all less their own, so no row is taken
+    once for each round. The median is exact.
     """
     r = joined_readings(spark, d)
     keys = ["round", "meter", "month"]
-    train = r.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).where("fold <> round")
-    fitted = merge.fit_group_stats(train, keys, "y", "g")
+    cells = r.groupBy("meter", "month", "y").agg(F.count("*").alias("n"), *(F.count_if(F.col("fold") == k).alias(f"n{k}") for k in range(FOLDS)))
+    others = lambda k: F.col("n") - F.col(f"n{k}")
+    stats = [F.struct(F.lit(k).alias("round"), (F.sum(F.col("y") * others(k)) / F.nullif(F.sum(others(k)), F.lit(0))).alias("g_mean"), F.percentile("y", F.lit(0.5), others(k)).alias("g_median")) for k in range(FOLDS)]
+    fitted = cells.groupBy("meter", "month").agg(F.array(*stats).alias("s")).select("meter", "month", F.inline("s"))
     scored = merge.apply_group_stats(r.withColumn("round", F.col("fold")), fitted, keys)
     e = F.col("y") - F.col("g_mean")
     return scored.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(F.avg(F.abs(F.col("y") - F.col("g_median"))), 6).alias("mae"))

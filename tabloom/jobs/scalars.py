@@ -92,6 +92,6 @@ def quantile_normal(spark, d):
 def target_scale(spark, d):
     df = read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("raw"))
     fitted = scalar.fit_standard(df.where("o_orderkey % 5 <> 0").select("raw"), ["raw"])
-    out = df.crossJoin(F.broadcast(fitted)).withColumn("scaled", (F.col("raw") - F.col("_m_raw")) / F.col("_s_raw"))
+    out = scalar.unscale_target(scalar.scale_target(df, fitted, "raw", "scaled"), fitted, "raw", "scaled", "back")
     y = F.when(F.col("o_orderkey") % 5 != 0, F.col("scaled")).otherwise(F.col("raw"))
-    return out.select("o_orderkey", F.round(y, 6).alias("y"), F.round(F.col("scaled") * F.col("_s_raw") + F.col("_m_raw"), 4).alias("back"), F.round(F.log1p("raw"), 6).alias("log_y"))
+    return out.select("o_orderkey", F.round(y, 6).alias("y"), F.round("back", 4).alias("back"), F.round(F.log1p("raw"), 6).alias("log_y"))

@@ -91,9 +91,7 @@ def narrow_types(spark, d):
 
 @query("head_tail_split", "with r as (select event_id, row_number() over (order by event_id) as p, count(*) over () as n from events) select event_id, case when p <= n - 1000 then 'train' else 'test' end as split from r")
 def head_tail_split(spark, d):
-    df = read(spark, d, "events").select("event_id")
-    cut = df.orderBy(F.desc("event_id")).limit(1000).agg(F.min("event_id").alias("cut"))
-    return df.crossJoin(F.broadcast(cut)).select("event_id", F.when(F.col("event_id") < F.col("cut"), "train").otherwise("test").alias("split"))
+    return select.head_tail(read(spark, d, "events").select("event_id"), "event_id", 1000)
 
 
 @query("union_split", "select 'train' as split, c_custkey as id, log(1 + abs(c_acctbal)) > 3 as large from customer union all select 'test', s_suppkey, log(1 + abs(s_acctbal)) > 3 from supplier")
@@ -144,4 +142,4 @@ def random_split(spark, d):
 def index_split(spark, d):
     orders = read(spark, d, "orders")
     index = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("row_no"), F.when(bucket("o_orderkey", 1) % 3 == 0, "test").otherwise("train").alias("split"))
-    return orders.join(index, F.col("o_orderkey") == F.col("row_no")).select("split", "o_orderkey", "o_totalprice")
+    return select.index_split(orders, "o_orderkey", index).select("split", "o_orderkey", "o_totalprice")

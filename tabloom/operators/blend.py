@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.order import quantiles
+
 
 def aligned(parts: Sequence[DataFrame], key: str, value: str) -> tuple[DataFrame, list[str]]:
     """One row for each id with p0, p1, ...; an error where an id is missing from a part or repeats in one."""
@@ -43,9 +45,10 @@ def weighted(weights: dict[str, float]) -> Column:
     return sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
 
 
-def tail_adjust(df: DataFrame, column: str, low: float = 0.0042, high: float = 0.99, shrink: float = 0.77, grow: float = 1.1) -> DataFrame:
+def tail_adjust(df: DataFrame, column: str, low: float = 0.0042, high: float = 0.99, shrink: float = 0.77, grow: float = 1.1, accuracy: int | None = None) -> DataFrame:
     """Below the low quantile times `shrink`, then at or above the high one times `grow`; both quantiles are taken first."""
-    q = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    out = df.crossJoin(F.broadcast(q))
-    lowered = F.when(F.col(column) < F.col("_q")[0], F.col(column) * shrink).otherwise(F.col(column))
-    return out.withColumn(column, lowered).withColumn(column, F.when(F.col(column) >= F.col("_q")[1], F.col(column) * grow).otherwise(F.col(column))).drop("_q")
+    found = quantiles(df, [column], [low, high], accuracy).get(column)
+    if found is None:
+        return df
+    lowered = F.when(F.col(column) < found[0], F.col(column) * shrink).otherwise(F.col(column))
+    return df.withColumn(column, lowered).withColumn(column, F.when(F.col(column) >= found[1], F.col(column) * grow).otherwise(F.col(column)))

@@ -7,22 +7,30 @@ its size, known after the shuffle, allows, and deals out a skewed level otherwis
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.order import global_row_number
+
 #: Levels that one-hot encoding turns into columns at most.
 MAX_LEVELS = 1000
+#: Places that rows with a null key are dealt to in a join.
+NULL_PLACES = 1024
 
 
 def _join(df: DataFrame, fitted: DataFrame, column: str, how: str = "left") -> DataFrame:
-    return df.join(fitted.withColumnRenamed("level", "_level"), F.col(column) == F.col("_level"), how).drop("_level")
+    # A null matches nothing; the second key deals null rows out, which would all hash to one place.
+    dealt = F.when(F.col(column).isNull(), F.monotonically_increasing_id() % NULL_PLACES + 1).otherwise(0)
+    keyed = fitted.withColumnRenamed("level", "_level").withColumn("_zero", F.lit(0).cast("bigint"))
+    return df.withColumn("_place", dealt).join(keyed, (F.col(column) == F.col("_level")) & (F.col("_place") == F.col("_zero")), how).drop("_level", "_place", "_zero")
 
 
 def fit_ordinal(train: DataFrame, column: str) -> DataFrame:
     """(level, code): 1 for the most frequent known value, ties by value."""
     counts = train.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("level")).count()
-    return counts.select("level", F.row_number().over(Window.orderBy(F.desc("count"), "level")).alias("code"))
+    return global_row_number(counts, -F.col("count"), "level").select("level", (F.col("row_no") + 1).cast("int").alias("code"))
 
 
 def fit_labels(df: DataFrame, column: str, classes: int | None = None) -> DataFrame:
@@ -30,7 +38,7 @@ def fit_labels(df: DataFrame, column: str, classes: int | None = None) -> DataFr
     levels = df.where(F.col(column).isNotNull()).select(F.col(column).alias("level")).distinct()
     if classes is not None and (found := levels.limit(classes + 1).count()) != classes:
         raise ValueError(f"{column} has {'over ' if found > classes else ''}{min(found, classes)} classes; {classes} are asked for")
-    return levels.select("level", (F.row_number().over(Window.orderBy("level")) - 1).alias("code"))
+    return global_row_number(levels, "level").select("level", F.col("row_no").cast("int").alias("code"))
 
 
 def apply_codes(df: DataFrame, fitted: DataFrame, column: str, name: str, missing: int | None = None) -> DataFrame:
@@ -97,6 +105,17 @@ def cross(*columns: str) -> Column:
     return F.concat_ws("_", *(F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns))
 
 
+def lookup(c: str, known: dict[str, float]) -> Column:
+    """The value of a literal map; null for null and what it lacks."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), F.col(c))
+
+
+def between_flag(x: Column, above: float | None = None, below: float | None = None) -> Column:
+    """1 where the value lies strictly between the bounds given, else 0; null is 0."""
+    held = [x > above] * (above is not None) + [x < below] * (below is not None)
+    return F.coalesce(reduce(Column.__and__, held, F.lit(True)) & x.isNotNull(), F.lit(False)).cast("int")
+
+
 def equal_flag(a: str, b: str) -> Column:
     """1 where both are known and equal, else 0."""
     return F.coalesce(F.col(a) == F.col(b), F.lit(False)).cast("int")

@@ -7,26 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.operators.folds import global_row_number
+from tabloom.operators.order import global_row_number, running_sums
 
 TINY = 1e-15
+#: Ranges that distinct scores are cut into.
+RANGES = 64
 
 
 def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
     """(score, pos, neg, pos_above, neg_above, pos_below, neg_below) by distinct score.
 
-    Scores are cut into ranges; sums run within a range, and those of whole ranges before it are added.
+    Scores are cut into RANGES; sums run within a range, and those of whole ranges before it are added.
     """
     y = F.col(label)
     counts = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum((y == 1).cast("bigint")).alias("pos"), F.sum((y != 1).cast("bigint")).alias("neg"))
-    edges = counts.agg(F.percentile_approx("score", F.lit([k / 64 for k in range(1, 64)])).alias("_e"))
-    ranged = counts.crossJoin(F.broadcast(edges)).withColumn("_r", F.size(F.filter("_e", lambda e: e < F.col("score")))).drop("_e")
-    sums = ranged.groupBy("_r").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))  # 64 rows at most
-    before, all_ = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    shift = sums.select("_r", zero(F.sum("_p").over(before)).alias("_pb"), zero(F.sum("_n").over(before)).alias("_nb"), F.sum("_p").over(all_).alias("_pt"), F.sum("_n").over(all_).alias("_nt"))
-    own = Window.partitionBy("_r").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(shift), "_r").withColumns({"pos_below": F.col("_pb") + zero(F.sum("pos").over(own)), "neg_below": F.col("_nb") + zero(F.sum("neg").over(own))})
+    totals = counts.agg(F.sum("pos").alias("_pt"), F.sum("neg").alias("_nt"))
+    out = running_sums(counts, ["score"], {"pos_below": "pos", "neg_below": "neg"}, RANGES).crossJoin(F.broadcast(totals))
     above = {"pos_above": F.col("_pt") - F.col("pos_below") - F.col("pos"), "neg_above": F.col("_nt") - F.col("neg_below") - F.col("neg")}
     return out.withColumns(above).select("score", "pos", "neg", "pos_above", "neg_above", "pos_below", "neg_below")
 

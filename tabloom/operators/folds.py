@@ -1,28 +1,12 @@
-"""Row numbers, folds and random splits. A global number never sorts in one task."""
+"""Folds and random splits. A global number never sorts in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.keys import BUCKETS, bucket
-
-
-def global_row_number(df: DataFrame, *order: str | Column, parts: int = 64, name: str = "row_no") -> DataFrame:
-    """Adds a 0-based number in the given order.
-
-    The first order column is cut into ranges by approximate quantiles; rows are numbered within a range and shifted by
-    the counts of the ranges before it, of which there are `parts` at most. Equal values share a range, so a column
-    with few values should be followed by a finer one in a hashed order.
-    """
-    first = F.col(order[0]) if isinstance(order[0], str) else order[0]
-    keyed = df.withColumn("_first", first)
-    edges = keyed.agg(F.percentile_approx("_first", F.lit([k / parts for k in range(1, parts)])).alias("_edges"))
-    ranged = keyed.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("_first")))).drop("_edges")
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy("_first", *order[1:])) - 1
-    return ranged.join(F.broadcast(before), "_range").withColumn(name, (own + F.col("_before")).cast("bigint")).drop("_range", "_before", "_first")
+from tabloom.operators.order import global_row_number
 
 
 def kfold_shuffled(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:

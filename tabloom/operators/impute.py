@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.operators.order import quantiles_by
+
 
 def fill_by_kind(df: DataFrame, text: str = "None", number: float = 0) -> DataFrame:
     """Null strings become `text`, null numbers `number`."""
@@ -19,8 +21,9 @@ def fit_mode(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min_by(column, F.struct(-F.col("count"), F.col(column))).alias("mode"))
 
 
-def fit_median(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.median(column).alias("median"))
+def fit_median(df: DataFrame, column: str, keys: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """(keys, median) of known values: exact, by ranks in ranges, or approximate. Keys without known values are left out."""
+    return quantiles_by(df, keys, column, [0.5], accuracy).select(*keys, F.col("q")[0].alias("median"))
 
 
 def fill_from(df: DataFrame, fitted: DataFrame, column: str, by: str, keys: Sequence[str] = ()) -> DataFrame:

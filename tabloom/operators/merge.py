@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.order import global_row_number, quantiles_by, running_sums
+
 
 def unique_keys(dim: DataFrame, keys: Sequence[str]) -> None:
     """An error if a key repeats: the join would multiply facts."""
@@ -15,9 +18,7 @@ def unique_keys(dim: DataFrame, keys: Sequence[str]) -> None:
 
 
 def numbered_dimension(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds row_no by key order. A dimension is numbered by ranges of its first key."""
-    from tabloom.operators.folds import global_row_number
-
+    """Adds row_no by key order, in ranges."""
     return global_row_number(dim, *keys)
 
 
@@ -57,13 +58,24 @@ def merged_histogram(fact: DataFrame, dim: DataFrame, keys: Sequence[str], targe
 def weighted_edges(fact: DataFrame, dim: DataFrame, keys: Sequence[str], feature: str, bins: int) -> list[float]:
     """Quantile edges of a dimension feature over the facts, from counts by value: at most bins - 1."""
     counts = fact.groupBy(*keys).agg(F.count("*").alias("n")).join(dim.select(*keys, feature), list(keys)).where(F.col(feature).isNotNull())
-    row = counts.groupBy(feature).agg(F.sum("n").alias("n")).agg(F.percentile(F.col(feature), F.lit([k / bins for k in range(1, bins)]), F.col("n")).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    by_value = counts.groupBy(feature).agg(F.sum("n").alias("_n"))
+    below = running_sums(by_value, [feature], {"_below": "_n"})
+    total = by_value.agg(F.sum("_n")).first()[0]
+    places = [k / bins * ((total or 0) - 1) for k in range(1, bins)]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))}) if total else []
+    hit = F.filter(F.array(*map(F.lit, ranks)), lambda r: (F.col("_below") <= r) & (r < F.col("_below") + F.col("_n")))
+    at = {r["rank"]: float(r["v"]) for r in below.select(F.explode(hit).alias("rank"), F.col(feature).alias("v")).collect()} if ranks else {}  # 2 * bins rows at most
+    return sorted({at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)]) for p in places if ranks})
 
 
-def fit_group_stats(train: DataFrame, keys: Sequence[str], value: str, prefix: str) -> DataFrame:
-    """Mean and median of known values by key, named apart by the prefix."""
-    return train.groupBy(*keys).agg(F.avg(value).alias(f"{prefix}_mean"), F.median(value).alias(f"{prefix}_median"))
+def fit_group_stats(train: DataFrame, keys: Sequence[str], value: str, prefix: str, accuracy: int | None = None) -> DataFrame:
+    """Mean and median of known values by key, named apart by the prefix.
+
+    The exact median is found by ranks in ranges, so a hot key is not one task's work; `accuracy` takes an approximate one.
+    """
+    means = train.groupBy(*keys).agg(F.avg(value).alias(f"{prefix}_mean"))
+    medians = quantiles_by(train, keys, value, [0.5], accuracy).select(F.struct(*keys).alias("_g"), F.col("q")[0].alias(f"{prefix}_median"))
+    return means.withColumn("_g", F.struct(*keys)).join(medians, "_g", "left").drop("_g")
 
 
 def apply_group_stats(df: DataFrame, fitted: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.order import quantiles
+
 #: Period of each time part's cycle, as the feature definition has them.
 PERIODS = {"second": 86400, "minute": 1440, "hour": 24, "day": 30, "dayofweek": 7, "month": 12}
 
@@ -75,18 +77,30 @@ def boxcox(x: Column, lam: float) -> Column:
     return F.log1p(x) if lam == 0 else (F.pow(1 + x, F.lit(lam)) - 1) / lam
 
 
+def scale_target(df: DataFrame, fitted: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds (y - mean) / deviation, for what fit_standard() returned for the column."""
+    return df.crossJoin(F.broadcast(fitted)).withColumn(name, (F.col(column) - F.col(f"_m_{column}")) / F.col(f"_s_{column}")).drop(*fitted.columns)
+
+
+def unscale_target(df: DataFrame, fitted: DataFrame, column: str, scaled: str, name: str) -> DataFrame:
+    """Adds the inverse of scale_target()."""
+    return df.crossJoin(F.broadcast(fitted)).withColumn(name, F.col(scaled) * F.col(f"_s_{column}") + F.col(f"_m_{column}")).drop(*fitted.columns)
+
+
 def fit_standard(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: mean and population deviation of each column; a deviation of 0 counts as 1."""
     std = lambda c: F.when(F.stddev_pop(c) == 0, 1.0).otherwise(F.stddev_pop(c))
     return df.agg(*(e for c in columns for e in (F.avg(c).alias(f"_m_{c}"), std(c).alias(f"_s_{c}"))))
 
 
-def fit_robust(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: median and quartile distance of each column; a distance of 0 counts as 1."""
-    q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    row = df.agg(*(q(c).alias(f"_q_{c}") for c in columns))
-    wide = lambda c: F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0]
-    return row.select(*(e for c in columns for e in (F.col(f"_q_{c}")[1].alias(f"_m_{c}"), F.when(wide(c) == 0, 1.0).otherwise(wide(c)).alias(f"_s_{c}"))))
+def fit_robust(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """One row: median and quartile distance of each column; a distance of 0 counts as 1, a column without values is null."""
+    found = quantiles(df, columns, [0.25, 0.5, 0.75], accuracy)
+    cells = {}
+    for c in columns:
+        low, mid, high = found.get(c, [None] * 3)
+        cells |= {f"_m_{c}": mid, f"_s_{c}": None if low is None else (high - low) or 1.0}
+    return df.sparkSession.range(1).select(*(F.lit(v).cast("double").alias(n) for n, v in cells.items()))
 
 
 def apply_scale(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -95,22 +109,30 @@ def apply_scale(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> Dat
     return out.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in columns}).drop(*fitted.columns)
 
 
+# A published rational approximation of the normal quantile (relative error 1.2e-9), centre and tails.
+_CENTRE = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_CENTRE_BELOW = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_TAIL = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_TAIL_BELOW = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+
 def normal_inverse(p: np.ndarray) -> np.ndarray:
-    """Quantiles of the standard normal: Newton's steps on a series of the distribution function."""
+    """Quantiles of the standard normal."""
     p = np.asarray(p, float)
-    z = 5.5556 * (1 - ((1 - np.maximum(p, 1 - p)) / np.maximum(p, 1 - p)) ** 0.1186)  # a published starting value
-    z = np.where(p < 0.5, -z, z)
-    for _ in range(4):
-        cdf = 0.5 * np.array([math.erfc(-v / math.sqrt(2)) for v in z])
-        z = z - (cdf - p) * math.sqrt(2 * math.pi) * np.exp(z * z / 2)
-    return z
-
-
-def fit_quantiles(df: DataFrame, columns: Sequence[str], n: int = 1000) -> dict[str, list[float]]:
-    """n + 1 quantiles of each column, exact."""
-    levels = F.lit([k / n for k in range(n + 1)])
-    row = df.agg(*(F.percentile(c, levels).alias(c) for c in columns)).first()
-    return {c: row[c] for c in columns if row[c] is not None}
+    q = p - 0.5
+    r = q * q
+    centre = np.polyval(_CENTRE, r) * q / np.polyval(_CENTRE_BELOW, r)
+    s = np.sqrt(-2 * np.log(np.minimum(p, 1 - p)))
+    tail = np.polyval(_TAIL, s) / np.polyval(_TAIL_BELOW, s)
+    return np.where(np.abs(q) <= 0.5 - 0.02425, centre, np.where(q < 0, tail, -tail))
+
+
+def fit_quantiles(df: DataFrame, columns: Sequence[str], n: int = 1000, accuracy: int | None = None, noise: float = 0.0, seed: int = 0) -> dict[str, list[float]]:
+    """n + 1 quantiles of each column. With noise, a column gets Gaussian noise of noise / max(deviation, noise) deviations first, which breaks plateaus."""
+    if noise:
+        std = df.agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()
+        df = df.withColumns({c: F.col(c) + noise / max(std[c] or 0.0, noise) * F.randn(seed + k) for k, c in enumerate(columns)})
+    return quantiles(df, columns, [k / n for k in range(n + 1)], accuracy)
 
 
 def quantile_normal(df: DataFrame, fitted: dict[str, list[float]], edge: float = 1e-7) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.operators.order import quantiles
+
 
 def group_encode(df: DataFrame, key: str, values: Sequence[str], missing: float = -1.0) -> DataFrame:
     """Adds {value}_{key}_mean and _std over all rows of df, one grouping for a key; a sentinel `missing` is null before, and null is `missing` after."""
@@ -16,8 +18,13 @@ def group_encode(df: DataFrame, key: str, values: Sequence[str], missing: float
     return out.withColumns({f"{v}_{key}_{n}": F.coalesce(f"{v}_{key}_{n}", F.lit(missing)) for v in values for n in ("mean", "std")})
 
 
-def nunique_encode(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Adds {key}_{value}_ct: distinct known values by key. Distinct pairs are made first, so a hot key is dealt out."""
+def nunique_encode(df: DataFrame, key: str, value: str, error: float | None = None) -> DataFrame:
+    """Adds {key}_{value}_ct: distinct known values by key. Distinct pairs are made first, so a hot key is dealt out.
+
+    With `error`, the relative standard deviation, counts are approximate sketches that merge before they are shuffled.
+    """
+    if error is not None:
+        return df.join(df.where(F.col(value).isNotNull()).groupBy(key).agg(F.approx_count_distinct(value, error).alias(f"{key}_{value}_ct")), key, "left")
     pairs = df.where(F.col(value).isNotNull()).select(key, value).distinct()
     return df.join(pairs.groupBy(key).agg(F.count("*").alias(f"{key}_{value}_ct")), key, "left")
 
@@ -89,10 +96,9 @@ def equal_width_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((x - lo) * bins / F.nullif(hi - lo, F.lit(0.0)))))).cast("int")
 
 
-def fit_bins(df: DataFrame, columns: Sequence[str], max_bin: int = 256) -> dict[str, list[float]]:
+def fit_bins(df: DataFrame, columns: Sequence[str], max_bin: int = 256, accuracy: int | None = None) -> dict[str, list[float]]:
     """Edges for each column: its values, if they are few, else distinct exact quantiles. At most max_bin - 1 each."""
-    levels = F.lit([k / max_bin for k in range(1, max_bin)])
-    row = df.agg(*(e for c in columns for e in (F.percentile(c, levels).alias(f"q_{c}"), F.approx_count_distinct(c).alias(f"n_{c}")))).first()
+    row = df.agg(*(F.approx_count_distinct(c).alias(f"n_{c}") for c in columns)).first()
     out = {}
     for c in columns:
         if row[f"n_{c}"] <= max_bin * 0.9:
@@ -100,7 +106,9 @@ def fit_bins(df: DataFrame, columns: Sequence[str], max_bin: int = 256) -> dict[
             if len(values) <= max_bin:
                 out[c] = values[1:]
                 continue
-        out[c] = sorted(set(row[f"q_{c}"] or []))
+        out[c] = []
+    if rest := [c for c in columns if not out[c]]:
+        out |= {c: sorted(set(q)) for c, q in quantiles(df, rest, [k / max_bin for k in range(1, max_bin)], accuracy).items()}
     return out
 
 
