@@ -10,7 +10,8 @@ from tabloom.jobs.registry import query, read
 from tabloom.operators import model, scalar
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "month"]
-GIVEN = {"num_boost_round": 5, "eta": 0.3, "max_depth": 3, "max_bin": 32, "early_stop": 2}
+#: Small fits, so that all queries of the models can run side by side; the defaults are those of model.PARAMETERS.
+GIVEN = {"num_boost_round": 5, "learning_rate": 0.3, "max_depth": 3, "max_bin": 32, "early_stop": 2, "metric": "rmse"}
 
 
 def items(spark, d, label="price"):
@@ -24,54 +25,54 @@ def items(spark, d, label="price"):
 
 @query("gbt_regression")
 def gbt_regression(spark, d):
-    df = items(spark, d).cache()
+    df = items(spark, d)
     fitted, _, _ = model.fit_early("regression", GIVEN, df.where("fold = 1"), df.where("fold = 2"))
     return model.score(fitted, df.where("fold = 0")).select("id", "label", "score")
 
 
 @query("gbt_binary")
 def gbt_binary(spark, d):
-    df = items(spark, d, "flag").cache()
-    fitted = model.booster("binary", GIVEN).fit(df.where("fold <> 0"))
+    df = items(spark, d, "flag")
+    fitted, _, _ = model.fit_early("binary", GIVEN | {"metric": "auc"}, df.where("fold = 1"), df.where("fold = 2"))
     return model.score(fitted, df.where("fold = 0")).select("id", "label", "score", model.label_of(F.col("score"), "other", "R").alias("predicted"))
 
 
 @query("early_stopping")
 def early_stopping(spark, d):
-    df = items(spark, d).cache()
+    df = items(spark, d)
     _, best, errors = model.fit_early("regression", GIVEN, df.where("fold <> 0"), df.where("fold = 0"))
     return spark.createDataFrame([(k + 1, float(e), k + 1 == best) for k, e in enumerate(errors)], "round int, error double, best boolean")
 
 
 @query("lasso_cascade")
 def lasso_cascade(spark, d):
-    df = items(spark, d).cache()
+    df = items(spark, d)
     return model.lasso_cascade(df.where("fold <> 0"), df.where("fold = 0"), GIVEN, 0.01).select("id", "label", "score")
 
 
 @query("oof_predictions")
 def oof_predictions(spark, d):
-    df = items(spark, d).cache()
+    df = items(spark, d)
     return model.out_of_fold(df, model.booster("regression", GIVEN).fit, 3).select("id", "fold", "label", "score")
 
 
 @query("feature_importance")
 def feature_importance(spark, d):
-    df = items(spark, d).cache()
+    df = items(spark, d)
     rows = [(i, *r) for i in range(3) for r in model.importance(model.booster("regression", GIVEN).fit(df.where(F.col("fold") != i)), FEATURES)]
     return spark.createDataFrame(rows, "fold int, feature string, gain double, splits int")
 
 
 @query("forward_selection")
 def forward_selection(spark, d):
-    df = items(spark, d).drop("features").cache()
+    df = items(spark, d).drop("features")
     fit = LinearRegression(labelCol="label", featuresCol="features", regParam=0.001).fit
     return spark.createDataFrame(model.forward_selection(df, ["l_tax"], ["l_quantity", "l_discount", "month"], fit, F.col("fold") == 0), "feature string, rmse double, kept boolean")
 
 
 @query("grid_search")
 def grid_search(spark, d):
-    df = items(spark, d).cache()
+    df = items(spark, d)
     found = model.cross_validated(df, model.booster("regression", GIVEN), {"maxDepth": [2, 3], "stepSize": [0.1, 0.3]}, 3)
     maps = [{p.name: v for p, v in m.items()} for m in found.getEstimatorParamMaps()]
     return spark.createDataFrame([(m["maxDepth"], m["stepSize"], float(e)) for m, e in zip(maps, found.avgMetrics, strict=True)], "depth int, rate double, rmse double")
@@ -81,16 +82,45 @@ def grid_search(spark, d):
 def linear_cv(spark, d):
     raw = items(spark, d).drop("features")
     scaled = scalar.apply_scale(raw, scalar.fit_robust(raw.where("fold <> 0"), FEATURES), FEATURES)
-    df = model.assembled(scaled, FEATURES).cache()
+    df = model.assembled(scaled, FEATURES)
     found = model.cross_validated(df, LinearRegression(labelCol="label", featuresCol="features"), {"regParam": [0.001, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}, 3)
     return found.transform(df).select("id", "label", F.col("prediction").alias("score"))
 
 
+@query("grid_search_auc")
+def grid_search_auc(spark, d):
+    found = model.cross_validated(items(spark, d, "flag"), model.booster("binary", GIVEN), {"maxDepth": [2, 3]}, 3, metric="auc")
+    return spark.createDataFrame([(m[found.getEstimator().getParam("maxDepth")], float(e)) for m, e in zip(found.getEstimatorParamMaps(), found.avgMetrics, strict=True)], "depth int, auc double")
+
+
+@query("oof_test_mean")
+def oof_test_mean(spark, d):
+    df = items(spark, d)
+    own, told = model.out_of_fold(df.where("month <> 12"), model.booster("regression", GIVEN).fit, 3, test=df.where("month = 12"))
+    return own.unionByName(told).select("id", "month", "label", "score")
+
+
+@query("multi_target_fit")
+def multi_target_fit(spark, d):
+    df = items(spark, d).withColumns({"t0": F.col("label"), "t1": F.col("l_quantity")}).drop("label")
+    fit = LinearRegression(labelCol="label", featuresCol="features", regParam=0.001).fit
+    own, told = model.fit_targets(df.where("month <> 12"), df.where("month = 12"), ["t0", "t1"], fit, 3, "id")
+    return told.unionByName(model.long_targets(own, "id", ["score_t0", "score_t1"]))
+
+
+@query("ensemble_models")
+def ensemble_models(spark, d):
+    df = items(spark, d)
+    train = df.where("fold <> 0")
+    models = [model.booster("regression", GIVEN).fit(train), LinearRegression(labelCol="label", featuresCol="features", regParam=0.001).fit(train)]
+    return model.mean_score(models, df.where("fold = 0")).select("id", "label", "score")
+
+
 @query("stack_oof")
 def stack_oof(spark, d):
-    df = items(spark, d).cache()
     linear = LinearRegression(labelCol="label", featuresCol="features", regParam=0.001)
-    one = model.out_of_fold(df, linear.fit, 3, name="s1").select("id", "s1")
-    two = model.out_of_fold(df, model.booster("regression", GIVEN).fit, 3, name="s2").select("id", "s2")
-    meta = model.assembled(df.drop("features").join(one, "id").join(two, "id"), [*FEATURES, "s1", "s2"]).cache()
-    return model.score(model.booster("regression", GIVEN).fit(meta.where("fold <> 0")), meta.where("fold = 0")).select("id", "label", "score")
+    both = model.out_of_fold(model.out_of_fold(items(spark, d), linear.fit, 3, name="s1"), model.booster("regression", GIVEN).fit, 3, name="s2")
+    meta = model.assembled(both.drop("features"), [*FEATURES, "s1", "s2"])
+    with model.held(meta.where("fold <> 0")) as train:
+        fitted = model.booster("regression", GIVEN).fit(train)
+    return model.score(fitted, meta.where("fold = 0")).select("id", "label", "score")

@@ -33,11 +33,13 @@ def fill_from(df: DataFrame, fitted: DataFrame, column: str, by: str, keys: Sequ
 
 
 def interpolate(value: str, keys: Sequence[str], order: Sequence[str]) -> Column:
-    """Linear in a row's place within its key; edges take the nearest known value; null if none is known."""
+    """Linear in a row's place within its key, by an order that tells rows apart; edges take the nearest known value; null if none is known."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # What lies ahead is looked up in the reverse order, where it is a running value, too.
+    reverse = Window.partitionBy(*keys).orderBy(*(F.desc(o) for o in order))
+    back, ahead = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, reverse))
     place = F.row_number().over(w)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), place.alias("p")))
-    before, after = F.last(known, True).over(back), F.first(known, True).over(ahead)
+    before, after = F.last(known, True).over(back), F.last(known, True).over(ahead)
     between = before["v"] + (after["v"] - before["v"]) * (place - before["p"]) / F.nullif(after["p"] - before["p"], F.lit(0))
     return F.coalesce(F.col(value), between, before["v"], after["v"])

@@ -2,57 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from typing import Any
 
-from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Parameter names, defaults and the names they also go by, in order of preference.
+# Defaults of parameters, and the names that each goes by, the first given one winning.
 PARAMETERS: dict[str, tuple[Any, tuple[str, ...]]] = {
-    "learning_rate": (0.1, ("learning_rate", "shrinkage_rate", "eta")),
-    "n_estimators": (50, ("n_estimators", "num_iterations", "num_boost_round", "num_trees", "n_iter")),
-    "early_stopping_rounds": (50, ("early_stopping_rounds", "early_stopping_round", "early_stop")),
-    "num_leaves": (31, ("num_leaves", "num_leaf", "max_leaves")),
-    "max_bin": (256, ("max_bin", "max_bins")),
-    "min_data_in_leaf": (20, ("min_data_in_leaf", "min_child_samples", "min_leaf")),
+    "learning_rate": (0.1, ("learning_rate",)),
+    "num_leaves": (31, ("num_leaves",)),
     "max_depth": (-1, ("max_depth",)),
-    "bagging_fraction": (1.0, ("bagging_fraction", "subsample")),
-    "feature_fraction": (1.0, ("feature_fraction", "colsample_bytree")),
-    "random_state": (42, ("random_state",)),
+    "max_bin": (256, ("max_bin",)),
+    "min_data_in_leaf": (20, ("min_data_in_leaf",)),
+    "lambda_l2": (0.0, ("lambda_l2", "reg_lambda")),
+    "subsample": (1.0, ("subsample", "bagging_fraction", "sub_row")),
+    "sub_feature": (1.0, ("feature_sample", "feature_fraction", "sub_feature", "colsample_bytree")),
+    "early_stop": (50, ("early_stop", "early_stopping_round", "early_stopping_rounds", "early_stopping")),
+    "num_trees": (50, ("num_boost_round", "num_iterations", "num_iteration", "num_tree", "num_trees", "num_round", "num_rounds", "n_estimators")),
 }
-METRICS = {"mean_squared_error": "rmse", "l2": "mse", "mse": "mse", "rmse": "rmse", "l2_root": "rmse", "l1": "mae", "mae": "mae", "auc": "auc", "binary_logloss": "logloss", "logloss": "logloss"}
+METRICS = {
+    "regression_l2": "mse", "mse": "mse", "l2": "mse",
+    "regression_l1": "mae", "mean_absolute_error": "mae", "mae": "mae", "l1": "mae",
+    "mean_squared_error": "rmse", "l2_root": "rmse", "root_mean_squared_error": "rmse", "rmse": "rmse",
+}
+#: Seed of all fits, which is no parameter.
+SEED = 42
 #: Depth where none is given, and the deepest that Spark ML grows.
 DEPTH, MOST_DEPTH = 5, 30
 
 
 def parameters(given: dict[str, Any]) -> dict[str, Any]:
     """All parameters: of the names given for one, the first in order wins, cast as its default. Unknown names are ignored."""
-    out = {}
-    for name, (default, aliases) in PARAMETERS.items():
-        found = next((given[a] for a in aliases if a in given), default)
-        out[name] = type(default)(found)
-    if "metric" in given:
-        out["metric"] = METRICS.get(given["metric"], given["metric"])
-    return out
+    out = {name: type(default)(next((given[a] for a in aliases if a in given), default)) for name, (default, aliases) in PARAMETERS.items()}
+    return out | {"metric": METRICS.get(given.get("metric", "mse"), given.get("metric", "mse"))}
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """df, cached while a fit reads it over and over, and let go after."""
+    try:
+        yield df.cache()
+    finally:
+        df.unpersist()
 
 
 def booster(kind: str, given: dict[str, Any], label: str = "label", rounds: int | None = None):
     """A Spark ML booster for regression or binary classes."""
     p = parameters(given)
     depth = DEPTH if p["max_depth"] < 0 else min(p["max_depth"], MOST_DEPTH)
-    share = p["feature_fraction"]
+    share = p["sub_feature"]
     make = GBTRegressor if kind == "regression" else GBTClassifier
     return make(
-        labelCol=label, featuresCol="features", maxIter=rounds or p["n_estimators"], stepSize=p["learning_rate"], maxBins=p["max_bin"], minInstancesPerNode=p["min_data_in_leaf"],
-        subsamplingRate=p["bagging_fraction"], featureSubsetStrategy="all" if share >= 1 else str(share), maxDepth=depth, seed=p["random_state"], cacheNodeIds=True, checkpointInterval=10,
+        labelCol=label, featuresCol="features", maxIter=rounds or p["num_trees"], stepSize=p["learning_rate"], maxBins=p["max_bin"], minInstancesPerNode=p["min_data_in_leaf"],
+        subsamplingRate=p["subsample"], featureSubsetStrategy="all" if share >= 1 else str(share), maxDepth=depth, seed=SEED, cacheNodeIds=True, checkpointInterval=10,
     )
 
 
@@ -62,19 +73,41 @@ def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="features").transform(clean).drop(*(f"_f_{c}" for c in features))
 
 
+def round_errors(model, valid: DataFrame, metric: str, label: str = "label") -> list[float]:
+    """The metric on valid after each round; the area under the curve is negated, so that less is better for all."""
+    if metric in ("mse", "rmse", "mae"):
+        found = model.evaluateEachIteration(valid, "absolute" if metric == "mae" else "squared") if isinstance(model, GBTRegressionModel) else model.evaluateEachIteration(valid)
+        return [e**0.5 for e in found] if metric == "rmse" else list(found)
+    if isinstance(model, GBTRegressionModel):
+        raise ValueError(f"{metric} is no metric of a regression")
+    if metric in ("binary_logloss", "logloss", "binary"):
+        return [e / 2 for e in model.evaluateEachIteration(valid)]  # the loss is counted twice there
+    if metric != "auc":
+        raise ValueError(f"unknown metric {metric}")
+    margin, columns, scored = F.lit(0.0), {}, valid.select("features", label)
+    for k, (tree, weight) in enumerate(zip(model.trees, model.treeWeights, strict=True)):
+        scored = tree.setPredictionCol(f"_t{k}").transform(scored)
+        margin = margin + F.col(f"_t{k}") * weight
+        columns[f"_m{k}"] = margin
+    with held(scored.select(label, *(c.alias(n) for n, c in columns.items()))) as margins:
+        area = lambda n: BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=n, metricName="areaUnderROC", numBins=0).evaluate(margins)
+        return [-area(n) for n in columns]
+
+
 def fit_early(kind: str, given: dict[str, Any], train: DataFrame, valid: DataFrame, label: str = "label"):
-    """(model, best round, errors): the model of the round of least loss on valid before patience ends."""
-    patience = parameters(given)["early_stopping_rounds"]
-    model = booster(kind, given, label).fit(train)
-    errors = model.evaluateEachIteration(valid, "squared") if kind == "regression" else model.evaluateEachIteration(valid)
-    best = 0
-    for k, e in enumerate(errors):
-        if e < errors[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    if best + 1 < len(errors):
-        model = booster(kind, given, label, rounds=best + 1).fit(train)
+    """(model, best round, errors): the model of the round that is best on valid, by the given metric, before patience ends."""
+    p = parameters(given)
+    with held(train) as data:
+        model = booster(kind, given, label).fit(data)
+        errors = round_errors(model, valid, p["metric"], label)
+        best = 0
+        for k, e in enumerate(errors):
+            if e < errors[best]:
+                best = k
+            elif k - best >= p["early_stop"]:
+                break
+        if best + 1 < len(errors):
+            model = booster(kind, given, label, rounds=best + 1).fit(data)
     return model, best + 1, errors
 
 
@@ -99,9 +132,35 @@ def lasso_cascade(train: DataFrame, test: DataFrame, given: dict[str, Any], stre
     return boosted.transform(linear.transform(test)).withColumn("score", F.col("_linear") + F.col("prediction")).drop("prediction")
 
 
-def out_of_fold(df: DataFrame, fit: Callable[[DataFrame], Any], k: int, fold: str = "fold", name: str = "score") -> DataFrame:
-    """Every row scored by the model of the other folds. The driver only loops; each fit and score is a Spark job."""
-    return reduce(DataFrame.unionByName, [score(fit(df.where(F.col(fold) != i)), df.where(F.col(fold) == i), name) for i in range(k)])
+def out_of_fold(df: DataFrame, fit: Callable[[DataFrame], Any], k: int, fold: str = "fold", name: str = "score", test: DataFrame | None = None):
+    """Every row scored by the model of the other folds; with `test`, also the test rows with the mean of all k models.
+
+    The driver only loops; each fit and score is a Spark job.
+    """
+    with held(df) as data:
+        models = [fit(data.where(F.col(fold) != i)) for i in range(k)]
+    own = reduce(DataFrame.unionByName, [score(m, df.where(F.col(fold) == i), name) for i, m in enumerate(models)])
+    return own if test is None else (own, mean_score(models, test, name))
+
+
+def mean_score(models: Sequence[Any], df: DataFrame, name: str = "score") -> DataFrame:
+    """Adds the mean of several models' scores, in one pass over df."""
+    for k, m in enumerate(models):
+        df = score(m, df, f"_s{k}")
+    columns = [f"_s{k}" for k in range(len(models))]
+    return df.withColumn(name, sum(map(F.col, columns), F.lit(0.0)) / len(models)).drop(*columns)
+
+
+def fit_targets(df: DataFrame, test: DataFrame, targets: Sequence[str], fit: Callable[[DataFrame], Any], k: int, key: str, fold: str = "fold") -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold scores of several targets over the same folds, and the test scores in long form.
+
+    fit takes a table whose label is `label`. Returns df with score_{target} for each, and (target_id, target) of test.
+    """
+    own, told = df, test
+    for t in targets:
+        own, told = out_of_fold(own.withColumn("label", F.col(t).cast("double")), fit, k, fold, f"score_{t}", told)
+        own = own.drop("label")
+    return own, long_targets(told, key, [f"score_{t}" for t in targets])
 
 
 def importance(model, features: Sequence[str]) -> list[tuple[str, float, int]]:
@@ -117,9 +176,9 @@ def importance(model, features: Sequence[str]) -> list[tuple[str, float, int]]:
 def forward_selection(df: DataFrame, fixed: Sequence[str], candidates: Sequence[str], fit: Callable[[DataFrame], Any], valid: Column, label: str = "label") -> list[tuple[str, float, bool]]:
     """(feature, rmse with it, kept): a candidate stays if it lowers the error on valid."""
     def error(features: Sequence[str]) -> float:
-        both = assembled(df, features)
-        out = score(fit(both.where(~valid)), both.where(valid))
-        return out.agg(F.sqrt(F.avg(F.pow(F.col("score") - F.col(label), 2)))).first()[0]
+        with held(assembled(df, features)) as both:
+            out = score(fit(both.where(~valid)), both.where(valid))
+            return out.agg(F.sqrt(F.avg(F.pow(F.col("score") - F.col(label), 2)))).first()[0]
 
     kept, best, out = list(fixed), error(fixed), []
     for c in candidates:
@@ -131,12 +190,13 @@ def forward_selection(df: DataFrame, fixed: Sequence[str], candidates: Sequence[
 
 
 def cross_validated(df: DataFrame, estimator, grid: dict[str, Sequence[Any]], k: int, fold: str = "fold", label: str = "label", metric: str = "rmse"):
-    """The best model over a grid of parameter names, by given folds."""
+    """The best model over a grid of parameter names, by given folds. Metrics are rmse, mse, mae and r2, or auc for classes."""
     build = ParamGridBuilder()
     for name, values in grid.items():
         build = build.addGrid(estimator.getParam(name), list(values))
-    check = RegressionEvaluator(labelCol=label, metricName=metric)
-    return CrossValidator(estimator=estimator, estimatorParamMaps=build.build(), evaluator=check, numFolds=k, foldCol=fold).fit(df)
+    check = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC") if metric == "auc" else RegressionEvaluator(labelCol=label, metricName=metric)
+    with held(df) as data:
+        return CrossValidator(estimator=estimator, estimatorParamMaps=build.build(), evaluator=check, numFolds=k, foldCol=fold).fit(data)
 
 
 def long_targets(df: DataFrame, key: str, targets: Sequence[str]) -> DataFrame:

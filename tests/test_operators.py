@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators import blend, encode, evaluate, folds, impute, merge, model, scalar, select, stats, windows
+from tabloom.operators import blend, encode, evaluate, folds, impute, merge, model, order, scalar, select, stats, windows
 from tabloom.sources import files
 
 
@@ -74,6 +74,11 @@ def test_narrow_types_have_strict_bounds(spark):
     found = select.narrow_types(df, df.columns)
     assert by(found, "column", "type") == {"a": "tinyint", "b": "smallint", "c": "smallint", "d": "smallint", "e": "bigint", "f": "float"}
     assert dict(select.apply_types(df, found).dtypes)["a"] == "tinyint"
+    odd = spark.createDataFrame([("y", 1e300, True, 1.5), ("x", 0.0, False, None), (None, None, None, None)], "s string, d double, b boolean, n double").withColumn("t", F.lit("2020-01-01").cast("timestamp_ntz"))
+    found = select.narrow_types(odd, odd.columns)
+    assert by(found, "column", "type") == {"s": "category", "d": "double", "b": "boolean", "n": "float", "t": "timestamp_ntz"}
+    out = select.apply_types(odd, found)
+    assert sorted(map(str, ((r.s, r.d, r.n) for r in out.collect()))) == sorted(map(str, [(1, 1e300, 1.5), (0, 0.0, None), (-1, None, None)])) and out.columns == odd.columns
 
 
 def test_odd_numbers_and_constants(spark):
@@ -126,21 +131,105 @@ def test_quantiles_become_normal(spark):
     out = np.sort([r.x for r in scalar.quantile_normal(df, scalar.fit_quantiles(df, ["x"])).collect()])
     assert abs(out.mean()) < 1e-6 and abs(out[1000]) < 1e-9 and 0.9 < out.std() < 1.1
     assert scalar.normal_inverse(np.array([0.975]))[0] == pytest.approx(1.959963985)
+    p = np.array([1e-7, 0.001, 0.3, 0.5, 0.7, 0.999, 1 - 1e-7])
+    assert [0.5 * math.erfc(-z / math.sqrt(2)) for z in scalar.normal_inverse(p)] == pytest.approx(p, rel=1e-7)
+    flat = spark.range(300).select((F.col("id") % 3).cast("double").alias("x"))
+    assert len(set(scalar.fit_quantiles(flat, ["x"], 100)["x"])) <= 5 < 90 < len(set(scalar.fit_quantiles(flat, ["x"], 100, noise=1e-3)["x"]))
 
 
 def test_parameters_and_aliases():
-    p = model.parameters({"eta": "0.2", "learning_rate": 0.3, "num_trees": 7.0, "metric": "mean_squared_error", "seed": 3})
-    assert p["learning_rate"] == 0.3 and p["n_estimators"] == 7 and p["metric"] == "rmse" and p["random_state"] == 42
+    p = model.parameters({"n_estimators": 9, "num_trees": 7.0, "num_boost_round": "3", "subsample": 0.5, "bagging_fraction": 0.7, "early_stopping": 4, "metric": "mean_squared_error", "seed": 3, "eta": 1})
+    assert p["num_trees"] == 3 and p["subsample"] == 0.5 and p["early_stop"] == 4 and p["metric"] == "rmse" and p["learning_rate"] == 0.1
+    assert model.parameters({})["metric"] == "mse" and model.parameters({"metric": "l1"})["metric"] == "mae" and model.parameters({"metric": "auc"})["metric"] == "auc"
 
 
-def test_early_stop_keeps_the_best_round(spark):
-    df = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), (F.hash("id") % 7).cast("double").alias("b")).withColumn("label", F.col("a") * 2 + F.col("b"))
-    data = model.assembled(df.withColumn("fold", F.hash("a", "b") % 2), ["a"])
-    given = {"n_estimators": 8, "early_stop": 2, "learning_rate": 0.5, "min_leaf": 1}
-    fitted, best, errors = model.fit_early("regression", given, data.where("fold = 0"), data.where("fold <> 0"))
+GIVEN = {"n_estimators": 8, "early_stop": 2, "learning_rate": 0.5, "min_data_in_leaf": 1, "max_depth": 3}
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    rows = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("a"), (F.hash("id") % 7).cast("double").alias("b"), (F.hash("id", F.lit(1)) % 5).cast("double").alias("c"))
+    rows = rows.withColumn("label", F.col("a") * 2 + F.col("b")).withColumn("flag", (F.col("label") + F.col("c") > 20).cast("double"))
+    return model.assembled(rows.withColumn("fold", F.pmod(F.hash("id", F.lit(3)), F.lit(3)).cast("int")), ["a", "b"])
+
+
+def rmse(df):
+    return df.agg(F.sqrt(F.avg((F.col("score") - F.col("label")) ** 2))).first()[0]
+
+
+@pytest.mark.parametrize("metric", ["mse", "rmse", "mae"])
+def test_early_stop_keeps_the_best_round(data, metric):
+    train, valid = data.where("fold <> 0"), data.where("fold = 0")
+    fitted, best, errors = model.fit_early("regression", GIVEN | {"metric": metric}, train, valid)
     assert len(fitted.trees) == best and errors[best - 1] == min(errors[:best])
+    own = model.score(fitted, valid)
+    gap = F.abs(F.col("score") - F.col("label"))
+    want = own.agg(F.avg(gap) if metric == "mae" else F.avg(gap * gap)).first()[0]
+    assert errors[best - 1] == pytest.approx(want**0.5 if metric == "rmse" else want)
+    assert rmse(own) < valid.agg(F.stddev_pop("label")).first()[0]
+
+
+@pytest.mark.parametrize("metric", ["auc", "logloss"])
+def test_early_stop_of_classes(data, metric):
+    both = data.withColumn("label", F.col("flag"))
+    fitted, best, errors = model.fit_early("binary", GIVEN | {"metric": metric}, both.where("fold <> 0"), both.where("fold = 0"))
+    own = model.score(fitted, both.where("fold = 0"))
+    assert errors[best - 1] == min(errors[:best]) and 0.8 < evaluate.auc(own, "score", "label").first().auc
+    if metric == "auc":
+        assert -errors[best - 1] == pytest.approx(evaluate.auc(own, "score", "label").first().auc)
+    else:
+        assert errors[best - 1] == pytest.approx(own.agg(F.avg(-F.when(F.col("label") == 1, F.log("score")).otherwise(F.log1p(-F.col("score"))))).first()[0])
+    with pytest.raises(ValueError):
+        model.round_errors(model.booster("regression", GIVEN | {"num_trees": 1}).fit(data), data, "auc")
+
+
+def test_models_beat_the_mean_and_repeat(data):
     guess = data.agg(F.stddev_pop("label")).first()[0]
-    assert model.score(fitted, data).agg(F.sqrt(F.avg((F.col("score") - F.col("label")) ** 2))).first()[0] < guess
+    fit = model.booster("regression", GIVEN).fit
+    own, told = model.out_of_fold(data, fit, 3, test=data.where("id < 30").drop("label"))
+    assert own.count() == 400 and rmse(own) < guess / 2 and told.count() == 30
+    again = {r.id: r.score for r in model.out_of_fold(data, fit, 3).collect()}
+    assert all(again[r.id] == r.score for r in own.collect())
+    one = {r.id: r.score for r in model.score(fit(data.where("fold <> 0")), data.where("fold = 0")).collect()}
+    assert all(again[k] == v for k, v in one.items())
+    cascade = model.lasso_cascade(data.where("fold <> 0"), data.where("fold = 0"), GIVEN)
+    assert rmse(cascade) < guess / 2
+    mean = model.mean_score([fit(data.where("fold <> 0")), fit(data.where("fold <> 1"))], data)
+    assert rmse(mean) < guess / 2 and "_s0" not in mean.columns
+
+
+def test_importance_selection_grid_and_targets(data):
+    fit = model.booster("regression", GIVEN).fit
+    gains = model.importance(fit(data), ["a", "b"])
+    assert gains[0][1] > gains[1][1] > 0 and gains[0][2] > 0 and sum(g for _, g, _ in gains) == pytest.approx(1)
+    chosen = model.forward_selection(data.drop("features"), ["a"], ["b", "c"], fit, F.col("fold") == 0)
+    assert [(f, kept) for f, _, kept in chosen][0] == ("b", True) and chosen[0][1] < chosen[1][1] + 1e-9
+    found = model.cross_validated(data.withColumn("label", F.col("flag")), model.booster("binary", GIVEN), {"maxDepth": [1, 3]}, 3, metric="auc")
+    assert len(found.avgMetrics) == 2 and min(found.avgMetrics) > 0.8
+    two = data.withColumns({"t0": F.col("label"), "t1": F.col("label") * 3}).drop("label")
+    own, told = model.fit_targets(two.where("id >= 40"), two.where("id < 40"), ["t0", "t1"], fit, 3, "id")
+    assert {"score_t0", "score_t1"} <= set(own.columns) and told.count() == 80
+    by_id = by(told, "target_id", "target")
+    assert by_id["3_1"] == pytest.approx(3 * by_id["3_0"], rel=0.15)  # splits that tie may fall apart
+
+
+def test_ranges_give_whole_orders_and_exact_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(order, "RANGE_ROWS", 40)
+    rng = np.random.default_rng(3)
+    rows = [(int(k), None if k % 11 == 0 else int(x), float(y)) for k, x, y in zip(range(900), rng.integers(0, 3, 900), np.round(rng.normal(0, 2, 900), 1), strict=True)]
+    df = spark.createDataFrame(rows, "id long, g int, y double").repartition(7)
+    got = [r.id for r in order.global_row_number(df, "g", -F.col("id")).orderBy("row_no").collect()]
+    assert got == [r[0] for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, -r[0]))]
+    sizes = [r["count"] for r in order.in_ranges(df, ["g", "id"]).groupBy("_range").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 200  # a first column of three values is cut by the second
+    levels = [0.0, 0.1, 0.5, 0.99, 1.0]
+    for r in order.quantiles_by(df, ["g"], "y", levels).collect():
+        assert np.allclose(r.q, np.quantile([y for _, g, y in rows if g == r.g], levels))
+    assert np.allclose(order.quantiles(df, ["y", "id"], levels)["id"], np.quantile(range(900), levels))
+    near = order.quantiles(df, ["id"], [0.5], accuracy=1000)["id"][0]
+    assert abs(near - 450) < 5 and order.quantiles(df.where("false"), ["y"], levels) == {}
+    stats_ = {r.g: (r.s_mean, r.s_median) for r in merge.fit_group_stats(df, ["g"], "y", "s").collect()}
+    assert all(np.allclose(stats_[g], (np.mean(v), np.median(v))) for g in (None, 0, 1, 2) for v in [[y for _, x, y in rows if x == g]])
 
 
 @pytest.mark.parametrize("codec", ["gzip", "bzip2"])

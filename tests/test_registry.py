@@ -14,7 +14,7 @@ sys.path.insert(0, str(REPO))
 
 from tabloom.jobs.registry import ORACLE_SQL, QUERIES  # noqa: E402
 
-FITS = {"gbt_regression", "gbt_binary", "early_stopping", "lasso_cascade", "oof_predictions", "feature_importance", "forward_selection", "grid_search", "linear_cv", "stack_oof"}
+FITS = {"gbt_regression", "gbt_binary", "early_stopping", "lasso_cascade", "oof_predictions", "feature_importance", "forward_selection", "grid_search", "linear_cv", "stack_oof", "grid_search_auc", "oof_test_mean", "multi_target_fit", "ensemble_models", "pipeline_readings", "pipeline_stops", "pipeline_binary"}
 
 
 def cell(v):
@@ -63,3 +63,13 @@ def test_entry_imports_without_the_text_operators(tmp_path):
     entry.unlink()
     entry.write_text(text)
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_pipelines_end_in_sound_scores(spark):
+    readings = QUERIES["pipeline_readings"](spark, str(DATA)).collect()
+    assert sum(r.n for r in readings) > 5000 and all(r.rmse < 1.1 * r.mean_rmse for r in readings)  # prices are drawn at random, so no model can do much better
+    stops = QUERIES["pipeline_stops"](spark, str(DATA)).collect()
+    assert len(stops) % 3 == 0 and len({r.target_id for r in stops}) == len(stops) > 0
+    (binary,) = QUERIES["pipeline_binary"](spark, str(DATA)).collect()
+    assert binary.n > 0 and binary.rounds >= 1 and 0 <= binary.auc <= 1
