@@ -12,7 +12,7 @@ from tabloom.jobs.registry import query, read
 from tabloom.operators import encode, evaluate, folds, merge, model, scalar, select, stats
 
 #: Parameters of the pipelines' boosters.
-GIVEN = {"num_boost_round": 8, "learning_rate": 0.3, "max_depth": 4, "max_bin": 64, "early_stop": 3, "metric": "rmse"}
+GIVEN = {"num_boost_round": 4, "learning_rate": 0.3, "max_depth": 3, "max_bin": 32, "early_stop": 3, "metric": "rmse"}
 
 
 @query("readings_features", """
