@@ -172,6 +172,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped, ranks_path, pattern)
+        Memo.keep(codec.memo, codec.spaced)
         for b in batches:
             ids = [codec.encode(t) for t in texts(b, text_col)]
             yield pa.RecordBatch.from_arrays(
@@ -204,6 +205,7 @@ def round_trip_digests(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped, ranks_path, pattern)
+        Memo.keep(codec.memo, codec.spaced)
         spelled: dict[int, str] = {i: str(i) for i in codec.hashed.values}
         for b in batches:
             n, shas, decoded = [], [], []

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -85,9 +87,21 @@ MEMO_ENTRIES, MEMO_KEY = 250_000, 64
 class Memo(dict):
     """A memo over a function of a text or bytes, bounded by two generations: a full one becomes the old one. Long keys are not kept."""
 
+    all: ClassVar[list[weakref.ref]] = []
+
     def __init__(self, make, entries: int = MEMO_ENTRIES):
         super().__init__()
         self.make, self.entries, self.old = make, entries, {}
+        Memo.all = [*(r for r in Memo.all if r() is not None), weakref.ref(self)]
+
+    @classmethod
+    def keep(cls, *mine: Memo) -> None:
+        """Empty all memos but these: a worker serves one operator after the other, and holds the memos of one."""
+        for ref in cls.all:
+            memo = ref()
+            if memo is not None and not any(memo is m for m in mine):
+                memo.clear()
+                memo.old = {}
 
     def __missing__(self, key):
         if len(key) > MEMO_KEY:

@@ -6,7 +6,7 @@ least PREFIX - (COORDINATES - MATCHES) of the PREFIX postings of each that are r
 postings are merged and frequent ones are skipped. The order is that of a sketch of counts of fixed size.
 
 Merging runs twice. First every node of a posting meets the posting's most central node alone, which joins a large
-group of copies in as many pairs as it has nodes. Then only pairs of nodes in one posting that are still in different
+group of copies in as many pairs as it has nodes; a hub with many pairs is copied, so they spread. Then only pairs of nodes in one posting that are still in different
 components meet. Postings of more than MERGED nodes are not merged pair by pair:
 their nodes meet where they share one of their rarest shingles, which loses no link and skips what many of them hold.
 Every link is confirmed on full sets.
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Memo, release, table, texts, written
+from tabloom.llm.common import HEAVY_KEYS, Memo, discard, release, table, texts, written
 from tabloom.llm.components import connected_components
 
 WORDS = 5
@@ -41,6 +41,8 @@ COLLISIONS = 2
 PREFIX = COORDINATES - MATCHES + COLLISIONS
 #: Nodes of one posting that are met pair by pair; those of larger postings are met by their rarest shingles.
 MERGED = 64
+#: Pairs of one hub that are confirmed in one place.
+HUB_ROWS = 2000
 #: Similarity threshold in hundredths.
 PERCENT = 75
 SKETCH = 1 << 16
@@ -99,6 +101,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_digest, row, n_shingles, digest, sig, low) of every row; row is a number of its own once written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.keep(_HASH)
         for b in batches:
             n, digest, sig, low = [], [], [], []
             for t in texts(b, text_col):
@@ -177,10 +180,15 @@ def _similar(one: str, two: str) -> F.Column:
     return 100 * shared >= PERCENT * (F.size(one) + F.size(two) - shared)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose full sets are as similar as asked."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """Pairs whose full sets are as similar as asked. A heavy b's set is copied for each HUB_ROWS of its pairs, which are dealt to the copies."""
     one, two = (sets.select(F.col("digest").alias(k), F.col("set").alias(f"s{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").where(_similar("sa", "sb")).select("a", "b")
+    if heavy is None:
+        return pairs.join(one, "a").join(two, "b").where(_similar("sa", "sb")).select("a", "b")
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = pairs.join(F.broadcast(heavy), "b", "left").withColumn("copy", F.pmod(F.xxhash64("a"), copies)).drop("copies")
+    copied = two.join(F.broadcast(heavy), "b", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1))).drop("copies")
+    return dealt.join(one, "a").join(copied, ["b", "copy"]).where(_similar("sa", "sb")).select("a", "b")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -236,12 +244,21 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     about = lambda k: nodes.select(F.col("digest").alias(k), F.struct("n", "low").alias(f"{k}_is"))
     first = shared.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    first = first.join(about("a"), "a").join(about("b"), "b").where(_alike("a_is", "b_is")).select("a", "b")
-    links = written(_confirmed(first, sets), "links")
-    labels = written(connected_components(links), "labels")
+    first = written(first.join(about("a"), "a"), "first")
+    # Hubs with many pairs: of first's rows each has over HUB_ROWS, and more where first is large, so they can be broadcast.
+    met, many = first.groupBy("b").agg(F.count("*").alias("n")), max(HUB_ROWS, first.count() // HEAVY_KEYS)
+    heavy = written(met.where(F.col("n") > many).select("b", F.ceil(F.col("n") / many).alias("copies")), "hubs")
+    if heavy.isEmpty():
+        near, heavy = first.join(about("b"), "b"), None
+    else:
+        light = first.join(F.broadcast(heavy.select("b")), "b", "left_anti").join(about("b"), "b")
+        near = light.unionByName(first.join(F.broadcast(about("b").join(F.broadcast(heavy.select("b")), "b", "left_semi")), "b"))
+    links = written(_confirmed(near.where(_alike("a_is", "b_is")).select("a", "b"), sets, heavy), "links")
+    discard(first)
+    early = written(connected_components(links), "labels")
     release(spark)
 
-    named = shared.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
+    named = shared.select("token", "node").join(early, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
     rest = written(named.join(mixed, "token").join(about("node"), "node"), "mixed")
     crowded = rest.groupBy("token").count().where(F.col("count") > MERGED).select("token")
@@ -254,6 +271,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     met = one.join(two, meet).select("a", "b").distinct()
     more = _confirmed(met.union(_rare_pairs(apart, sets, about("node"))), sets)
     labels = connected_components(links.union(more)).select(F.col("node").alias("digest"), "label")
+    for gone in (shared, sets, links, early, rest, apart):
+        discard(gone)
     release(spark)
 
     placed = nodes.select("digest", "doc_id", "least").join(labels, "digest")

@@ -111,6 +111,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer_path), np.array([end_id], "<u4")
+        Memo.keep(enc.words, enc.chunks)
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(texts(b, text_col)):

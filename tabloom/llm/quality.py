@@ -117,6 +117,7 @@ def add_quality(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shipped.value
+        Memo.keep(_CHUNKS)
         for b in batches:
             scores = [score_text(t, w, bias) for t in texts(b, text_col)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, score_col])

@@ -379,6 +379,7 @@ def find_secrets(docs: DataFrame, crf: Field, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shipped.value)
+        Memo.keep(tagger.of)
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         for b in batches:
             found = [[{"start": s, "end": e, "kind": KINDS[k]} for s, e, k in tagger.spans(t)] for t in texts(b, text_col)]
@@ -406,6 +407,7 @@ def redact(docs: DataFrame, crf: Field, text_col: str = "text", mask: str = "[SE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shipped.value)
+        Memo.keep(tagger.of)
         for b in batches:
             cleaned = pa.array([clean(tagger, t) for t in b.column(place).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([cleaned if k == place else c for k, c in enumerate(b.columns)], names=b.schema.names)

@@ -131,6 +131,7 @@ def token_counts(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text
         if pieces_path not in _COUNTERS:
             _COUNTERS[pieces_path] = UnigramCounter(shipped.value)
         counter = _COUNTERS[pieces_path]
+        Memo.keep(counter.tails)
         for b in batches:
             found = texts(b, text_col)
             yield pa.RecordBatch.from_arrays(

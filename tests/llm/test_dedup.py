@@ -62,6 +62,7 @@ def corpus(seed, n=60):
 @pytest.mark.parametrize("merged", [64, 2])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, merged):
     monkeypatch.setattr(near_dedup, "MERGED", merged)
+    monkeypatch.setattr(near_dedup, "HUB_ROWS", merged // 10 + 1)
     rows = corpus(merged)
     sets = {i: shingle_set(t) for i, t in rows}
     linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
