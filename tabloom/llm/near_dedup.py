@@ -42,7 +42,7 @@ PREFIX = COORDINATES - MATCHES + COLLISIONS
 #: Nodes of one posting that are met pair by pair; those of larger postings are met by their rarest shingles.
 MERGED = 64
 #: Pairs of one hub that are confirmed in one place.
-HUB_ROWS = 2000
+HUB_ROWS = 50_000
 #: Similarity threshold in hundredths.
 PERCENT = 75
 SKETCH = 1 << 16
