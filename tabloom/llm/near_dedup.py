@@ -297,9 +297,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     by = _judged(docs, id_col, text_col).where("n_shingles > 0").groupBy("doc_id", "text_digest").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
     marked = written(by.where("not stays or n > 1"), "marked")
-    same = docs[id_col].eqNullSafe(marked["doc_id"]) & (_text_digest(docs[text_col]) == marked["text_digest"])
-    alone = docs.join(marked, same, "left_anti")
-    equal = docs.join(marked.where("stays"), same, "left_semi")
+    again = written(marked.where("stays"), "again")  # a table of its own: where few rows repeat, texts need not move to meet it
+    same = lambda some: docs[id_col].eqNullSafe(some["doc_id"]) & (_text_digest(docs[text_col]) == some["text_digest"])
+    alone = docs.join(marked, same(marked), "left_anti")
+    equal = docs.join(again, same(again), "left_semi")
     return alone.unionByName(equal.groupBy(id_col, text_col).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
 
 
