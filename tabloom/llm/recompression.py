@@ -11,8 +11,10 @@ stands, too.
 2. Spark names these symbols over the whole corpus: by name, the least and the greatest document. Names of one document
    go. What remains is told apart by its context, the words that windows around the symbol can cover. Of a context that
    several documents hold, all but the first have every window repeated.
-3. Where one name has several contexts, the first text of each gives its windows, and each window is recompressed alone
-   and named; the least document of a name decides. A context's repeated windows are one mask of bits.
+3. Where one name has several contexts, those are kept that share half of what a window adds to the symbol with another,
+   on its left or on its right, as any two with a window in common do. Of these the first text gives the windows on that
+   side, and each window is recompressed alone and named; the least document of a name decides. A context's repeated
+   windows are one mask of bits.
 
 Counts and minima are partly made before they are shuffled, and names that hold many rows are joined by a broadcast of
 bounded size (heavy_join), so no name's rows meet in one task. Only shared names are shuffled a second time.
@@ -183,8 +185,21 @@ def _pieces(texts: Iterator[tuple[int, bytes]], window: int) -> Iterator[list[tu
         yield group
 
 
+def packed(first: np.ndarray, size: np.ndarray, offset: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A context's first word, its words, and its symbol's place in it and length, as one number."""
+    return (first.astype(np.int64) << 17) | (size.astype(np.int64) << 11) | (offset.astype(np.int64) << 5) | length.astype(np.int64)
+
+
+def unpacked(pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    return pos >> 17, (pos >> 11) & 63, (pos >> 5) & 63, pos & 31
+
+
 def shared_symbols(texts: Iterator[tuple[int, bytes]], window: int = WINDOW, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, name, context's name, context's first word, its words) of the symbols that reveal the windows of some texts."""
+    """(text, name, context's name, place, sides) of the symbols that reveal the windows of some texts.
+
+    The place is packed(). The sides name the symbol with half of the words that a window adds, on its left (upper 32 bits)
+    and on its right; 0 is a side that ends before.
+    """
     base = int(_RUN)
     for group in _pieces(texts, window):
         sizes = np.array([len(g[4]) for g in group])
@@ -207,9 +222,14 @@ def shared_symbols(texts: Iterator[tuple[int, bytes]], window: int = WINDOW, rou
         up = np.cumprod(np.full(len(names) + 1, base, np.uint64))
         down = np.cumprod(np.full(len(names) + 1, pow(base, -1, 1 << 64), np.uint64))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(names) * up[:-1])])
-        context = (sums[right[at]] - sums[left[at]]) * down[left[at]]
-        shape = ((start - left)[at].astype(np.uint64) << np.uint64(16)) | ((end - start)[at].astype(np.uint64) << np.uint64(8)) | (right - left)[at].astype(np.uint64)
-        yield np.array([g[0] for g in group])[piece[at]], name[at].view(np.int64), _mixed(context ^ _mixed(shape + np.uint64(1))).view(np.int64), (left + shift)[at], (right - left)[at]
+        start, end, left, right = start[at], end[at], left[at], right[at]
+        stretch = lambda i, j: (sums[j] - sums[i]) * down[i]  # noqa: B023, E731
+        half = (window - (end - start) + 1) // 2
+        side = lambda there, i, j: np.where(there, np.maximum(_mixed(stretch(np.where(there, i, 0), np.where(there, j, 0))) >> np.uint64(32), np.uint64(1)), np.uint64(0))  # noqa: B023, E731
+        sides = (side(start - half >= left, start - half, end) << np.uint64(32)) | side(end + half <= right, start, end + half)
+        place = packed(left + shift[at], right - left, start - left, end - start)
+        context = _mixed(stretch(left, right) ^ _mixed((place & ((1 << 17) - 1)).astype(np.uint64) + np.uint64(1)))
+        yield np.array([g[0] for g in group])[piece[at]], name[at].view(np.int64), context.view(np.int64), place, sides.view(np.int64)
 
 
 def _rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, bytes]]:
@@ -225,44 +245,79 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _symbols(keyed: DataFrame, text_col: str, window: int) -> DataFrame:
-    """(name, context, d, o, pos): pos is the context's first word times 64 plus its words."""
-    names = ["name", "context", "d", "o", "pos"]
+    """(name, context, d, o, pos, sides)."""
+    names = ["name", "context", "d", "o", "pos", "sides"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Memo.keep(_WORDS)
         for b in batches:
             d, o = (b.column(k).to_numpy() for k in (0, 1))
-            for text, name, context, first, size in shared_symbols(_rows(b, 2), window):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, context, d[text], o[text], first.astype(np.int64) * 64 + size)], names)
+            for text, name, context, pos, sides in shared_symbols(_rows(b, 2), window):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, context, d[text], o[text], pos, sides)], names)
 
     return keyed.select("_d", "_o", text_col).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
+#: Sides of a symbol on which its context shares half a window.
+_LEFT_HALF, _RIGHT_HALF = 1, 2
+
+
+def _halves(contexts: DataFrame) -> DataFrame:
+    """(name, context, d, pos) of contexts that share a side with another one, one of them in a greater document, and which sides they share (halves)."""
+    low = F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))
+    cells = [F.struct(F.shiftrightunsigned("sides", 32).alias("side"), F.lit(_LEFT_HALF).alias("half")), F.struct(low.alias("side"), F.lit(_RIGHT_HALF).alias("half"))]
+    sided = written(contexts.select("name", "context", "own", "last", "d", "pos", F.inline(F.array(*cells))).where("side != 0"), "sided")
+    met = sided.groupBy("name", "side", "half").agg(F.min("own").alias("lo"), F.max("last").alias("hi"), F.count("*").alias("n"))
+    met = written(met.where("n > 1 and lo < hi").select("name", "side", "half", "n"), "halves")
+    release(contexts.sparkSession)
+    both = heavy_join(sided, met, ["name", "side", "half"], "n", sided.count())
+    out = written(both.groupBy("name", "context", "d", "pos").agg(F.bit_or("half").alias("halves")), "candidates")
+    for gone in (sided, met):
+        discard(gone)
+    return out
+
+
 def _windows(keyed: DataFrame, contexts: DataFrame, text_col: str, window: int) -> DataFrame:
-    """(name, context, window, o, at): the windows of contexts, named, and their place in the context."""
-    places = contexts.groupBy("d").agg(F.collect_list(F.struct("name", "context", "pos")).alias("_places"))
+    """(name, context, window, o, at): the named windows of contexts that have a shared half in them, and their place in the context."""
+    places = contexts.groupBy("d").agg(F.collect_list(F.struct("name", "context", "pos", "halves")).alias("_places"))
     joined = keyed.select("_d", "_o", text_col).join(places, F.col("_d") == F.col("d")).select("_o", text_col, "_places")
     names = ["name", "context", "window", "o", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Memo.keep(_WORDS)
         for b in batches:
+            held, found = 0, []
             for k in range(b.num_rows):
                 words = _hashed((b.column(1)[k].as_py() or "").encode().split())
                 of = b.column(2)[k].values
-                name, context, pos = (of.field(c).to_numpy() for c in ("name", "context", "pos"))
-                step = max(1, CHUNK // window)
-                for part in range(0, len(pos), step):
-                    some = slice(part, part + step)
-                    count = pos[some] % 64 - window + 1
-                    at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                    made = window_names(words, np.repeat(pos[some] // 64, count) + at, window).view(np.int64)
-                    columns = [np.repeat(name[some], count), np.repeat(context[some], count), made, np.full(len(at), b.column(0)[k].as_py()), at]
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names)
+                name, context, pos, halves = (of.field(c).to_numpy() for c in ("name", "context", "pos", "halves"))
+                first, size, offset, length = unpacked(pos)
+                count = size - window + 1
+                row = np.repeat(np.arange(len(pos)), count)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                before, half = (offset[row] - at), ((window - length + 1) // 2)[row]
+                asked = ((halves[row] & _LEFT_HALF > 0) & (before >= half)) | ((halves[row] & _RIGHT_HALF > 0) & (window - length[row] - before >= half))
+                row, at = row[asked], at[asked]
+                for part in range(0, len(row), CHUNK):
+                    some = row[part : part + CHUNK]
+                    where = first[some] + at[part : part + CHUNK]
+                    found.append((name[some], context[some], words[where[:, None] + np.arange(window)], np.full(len(some), b.column(0)[k].as_py()), at[part : part + CHUNK]))
+                    held += len(some)
+                    if held >= CHUNK:
+                        yield _named(found, names, window)
+                        held, found = 0, []
+            if found:
+                yield _named(found, names, window)
 
     return joined.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
+def _named(found: list[tuple[np.ndarray, ...]], names: list[str], window: int) -> pa.RecordBatch:
+    name, context, words, o, at = map(np.concatenate, zip(*found, strict=True))
+    made = window_names(words.ravel(), np.arange(len(words)) * window, window).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (name, context, made, o, at)], names)
+
+
 #: The mask of a context that is repeated as a whole.
 _WHOLE = -1
 
@@ -273,14 +328,16 @@ def window_marks(keyed: DataFrame, text_col: str = "text", window: int = WINDOW)
     found = written(_symbols(keyed, text_col, window), "symbols")
     named = written(found.groupBy("name").agg(F.min("o").alias("lo"), F.max("o").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("name", "n"), "names")
     release(spark)
-    shared = written(heavy_join(found, named, ["name"], "n", found.count()).select("name", "context", "d", "o", "pos"), "shared")
+    shared = written(heavy_join(found, named, ["name"], "n", found.count()).select("name", "context", "d", "o", "pos", "sides"), "shared")
     for gone in (found, named):
         discard(gone)
     release(spark)
-    first = written(shared.groupBy("name", "context").agg(F.min(F.struct("o", "d", "pos")).alias("first"), F.max("o").alias("last"), F.count("*").alias("n")), "contexts")
+    first = written(shared.groupBy("name", "context").agg(F.min(F.struct("o", "d", "pos")).alias("first"), F.max("o").alias("last"), F.first("sides").alias("sides"), F.count("*").alias("n")), "contexts")
     several = written(first.groupBy("name").agg(F.count("*").alias("k")).where("k > 1"), "several")
-    told = heavy_join(first, several, ["name"], "k", first.count()).select("name", "context", "first.d", "first.pos")
-    windows = written(_windows(keyed, told, text_col, window), "windows")
+    told = heavy_join(first, several, ["name"], "k", first.count()).select("name", "context", F.col("first.o").alias("own"), "last", "first.d", "first.pos", "sides")
+    candidates = _halves(told)
+    release(spark)
+    windows = written(_windows(keyed, candidates, text_col, window), "windows")
     release(spark)
     least = written(windows.groupBy("name", "window").agg(F.min("o").alias("least"), F.max("o").alias("last"), F.count("*").alias("n")).where("least < last"), "least")
     met = heavy_join(windows, least.drop("last"), ["name", "window"], "n", windows.count()).where("o > least")
@@ -290,7 +347,7 @@ def window_marks(keyed: DataFrame, text_col: str = "text", window: int = WINDOW)
     marked = heavy_join(shared, of, ["name", "context"], "n", shared.count()).where("o > own or mask is not null")
     marks = marked.select("d", F.struct("pos", F.when(F.col("o") > F.col("own"), F.lit(_WHOLE)).otherwise(F.col("mask")).cast("bigint").alias("mask")).alias("mark"))
     out = written(marks.groupBy("d").agg(F.collect_list("mark").alias("marks")), "marks")
-    for gone in (shared, first, several, windows, least, masks, of):
+    for gone in (shared, first, several, candidates, windows, least, masks, of):
         discard(gone)
     release(spark)
     return out
@@ -299,7 +356,7 @@ def window_marks(keyed: DataFrame, text_col: str = "text", window: int = WINDOW)
 def removed(n: int, pos: np.ndarray, mask: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which of a text's n words the marks cover."""
     edge = np.zeros(n + 1, np.int64)
-    first, size = pos // 64, pos % 64
+    first, size, _, _ = unpacked(pos)
     whole = mask == _WHOLE
     np.add.at(edge, first[whole], 1)
     np.add.at(edge, (first + size)[whole], -1)
@@ -343,7 +400,8 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same rows by comparing every window's words.
 ORACLE_SQL = r"""
-with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as w from documents),
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') as w from documents),
 p as (select doc_id, unnest(range(len(w) - 12)) as k, w from d where len(w) > 12),
 x as (select doc_id, k, md5(array_to_string(w[k + 1:k + 13], ' ')) as h from p),
 f as (select h, min(doc_id) as first from x group by h),
