@@ -1,16 +1,16 @@
 """Operator 13: repeated windows of words, found by recompression.
 
-A text is a sequence of words, each named by a hash. A round of recompression names maximal runs of one symbol, then
-pairs of a left and a right symbol; to which side a symbol belongs follows from its name. A name depends on the words
-below it alone, so a round needs no exchange between texts and equal stretches get equal symbols but for a few at their
-ends. With each symbol goes the stretch of words that decided on it (its reach): wherever those words stand, the symbol
-stands, too.
-
-1. Every window of WINDOW words is revealed by one of the symbols whose reach lies inside it: the longest, ties by name,
-   then the first. As that depends on the window alone, equal windows share a symbol, at the same place in them.
-2. Spark names these symbols over the whole corpus: by name, the least and the greatest document. Names of one document
-   go. What remains is told apart by its context, the words that windows around the symbol can cover. Of a context that
-   several documents hold, all but the first have every window repeated.
+A text is a sequence of words, each named by a hash. Recompression names pairs of a left and a right symbol, then maximal
+runs of one symbol; to which side a symbol belongs follows from its name. A name depends on the words below it alone, so
+a round needs no exchange between texts, and equal stretches get equal symbols but for a few at their ends. With each
+symbol goes the stretch of words that decided on it (its reach): wherever those words stand, the symbol stands, too.
+
+1. Every window of WINDOW words is revealed by what recompression makes of it: a run of three symbols or more whose reach
+   lies inside it, else the block of three neighbouring symbols of least name, else a smaller one. As that depends on the
+   window alone, equal windows share it, at the same place in them.
+2. Spark names these over the whole corpus: by name, the least and the greatest document. Names of one document go. What
+   remains is told apart by its context, the words that windows around it can cover. Of a context that several documents
+   hold, all but the first have every window repeated.
 3. Where one name has several contexts, those are kept that share half of what a window adds to the symbol with another,
    on its left or on its right, as any two with a window in common do. Of these the first text gives the windows on that
    side, and each window is recompressed alone and named; the least document of a name decides. A context's repeated
@@ -22,8 +22,8 @@ bounded size (heavy_join), so no name's rows meet in one task. Only shared names
 A window is repeated if a document with a smaller id holds it, in any place; repeats inside one document do not count,
 nor do those of rows that repeat an id. A null id is smaller than all others. Null texts have no words; texts below
 WINDOW words stay whole. Names have 64 bits, and two texts are alike by a symbol's and a context's or window's name, 128
-bits. An empty table gives no rows. Texts are taken CHUNK words at a time, whatever their length. Only the id and text
-columns are read, so other columns cannot clash.
+bits. An empty table gives no rows. Texts are recompressed CHUNK words at a time, whatever their length. Only the id and
+text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import Memo, discard, heavy_join, release, table, written
 
-#: Words of a window; rounds of recompression.
-WINDOW, ROUNDS = 13, 2
+#: Words of a window; neighbouring symbols of a block, and repeats of a run, that reveal it.
+WINDOW, BLOCK = 13, 3
 #: Words that are recompressed at once: of one long text, and of several short ones together.
 CHUNK = 1 << 16
 #: Rounds in which a window is recompressed alone, before what is left is named in one step.
@@ -66,6 +66,7 @@ class Symbols:
     lo: np.ndarray
     hi: np.ndarray
     border: np.ndarray
+    repeats: np.ndarray | None = None  # of the symbol below, where runs were named
 
     @classmethod
     def of(cls, names: np.ndarray, border: np.ndarray) -> Symbols:
@@ -81,7 +82,7 @@ class Symbols:
         size = (last - at + 1).astype(np.uint64)
         name = self.name[at]
         name = np.where(size > 1, _mixed(name ^ (size * _RUN)), name)
-        return Symbols(name, self.start[at], self.end[last], self.lo[np.maximum(at - 1, 0)], self.hi[np.minimum(last + 1, len(head) - 1)], self.border[at])
+        return Symbols(name, self.start[at], self.end[last], self.lo[np.maximum(at - 1, 0)], self.hi[np.minimum(last + 1, len(head) - 1)], self.border[at], size)
 
     def pairs(self, turn: int) -> Symbols:
         """Names pairs of a left and a right symbol. That a symbol stays alone is known from the neighbour that it could have joined."""
@@ -99,6 +100,18 @@ class Symbols:
             name, self.start[at], self.end[np.where(two, after, at)], self.lo[np.where(on_left, at, np.maximum(at - 1, 0))], self.hi[np.where(on_left, after, at)], self.border[at],
         )
 
+    def blocks(self, size: int) -> Symbols:
+        """Names all stretches of so many neighbours."""
+        n = max(0, len(self.name) - size + 1)
+        name = self.name[:n]
+        for k in range(1, size):
+            name = _mixed(name * _PAIR + self.name[k : n + k])
+        last = slice(size - 1, size - 1 + n)
+        return Symbols(name, self.start[:n], self.end[last], self.lo[:n], self.hi[last], self.border[:n])
+
+    def where(self, some: np.ndarray) -> Symbols:
+        return Symbols(*(x[some] for x in (self.name, self.start, self.end, self.lo, self.hi, self.border)))
+
 
 def _greatest(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The greatest of values[first : last + 1] for several ranges, none longer than 16."""
@@ -117,23 +130,24 @@ def _greatest(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     return out
 
 
-def revealing(names: np.ndarray, border: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """(start of window, name, start, end, lo, hi) of the symbol that reveals each window without a border.
+def revealing(names: np.ndarray, border: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(start of window, name, start, end, lo, hi) of what reveals each window without a border.
 
-    A symbol's rank is its length, then bits of its name, then its place among all levels, earlier ones first.
+    Runs come before blocks, larger blocks before smaller ones and these before words; of equals the least by bits of its
+    name, then the first.
     """
     n = len(names)
-    levels = [Symbols.of(names, border)]
-    for turn in range(rounds):
-        levels.append(levels[-1].runs().pairs(turn))
+    words = Symbols.of(names, border)
+    joined = words.pairs(0)
+    runs = joined.runs()
+    levels = [words, *(joined.blocks(k + 1) for k in range(BLOCK)), runs.where((runs.repeats >= BLOCK) & (runs.end - runs.start <= window))]
     whole = np.concatenate([[0], np.cumsum(border)])
     starts = np.flatnonzero(whole[window:] == whole[:-window]) if n >= window else np.empty(0, np.int64)
     rank = np.zeros(len(starts), np.uint64)
     place = 0
     for k, level in enumerate(levels):
-        size = np.minimum(level.end - level.start, 15).astype(np.uint64)
         spot = np.uint64((1 << 24) - 1 - place) - np.arange(len(level.name), dtype=np.uint64)
-        own = (size << np.uint64(60)) | ((level.name >> np.uint64(28)) << np.uint64(24)) | spot
+        own = (np.uint64(k) << np.uint64(60)) | ((_mixed(level.name) >> np.uint64(28)) << np.uint64(24)) | spot
         if k:  # what is before the first and up to the last symbol whose reach lies in a window
             first = np.concatenate([[0], np.cumsum(np.bincount(level.lo, minlength=n))])[starts]
             last = np.cumsum(np.bincount(level.hi, minlength=n + 1))[starts + window] - 1
@@ -156,7 +170,7 @@ def window_names(words: np.ndarray, firsts: np.ndarray, window: int = WINDOW, ro
     border[:, 0] = True
     level = Symbols.of(table.ravel(), border.ravel())
     for turn in range(rounds):
-        level = level.runs().pairs(turn)
+        level = level.pairs(turn).runs()
     heads = np.flatnonzero(level.border)
     size = np.diff(np.append(heads, len(level.name)))
     place = (np.arange(len(level.name)) - np.repeat(heads, size)).astype(np.uint64)
@@ -194,13 +208,8 @@ def unpacked(pos: np.ndarray) -> tuple[np.ndarray, ...]:
     return pos >> 17, (pos >> 11) & 63, (pos >> 5) & 63, pos & 31
 
 
-def shared_symbols(texts: Iterator[tuple[int, bytes]], window: int = WINDOW, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, name, context's name, place, sides) of the symbols that reveal the windows of some texts.
-
-    The place is packed(). The sides name the symbol with half of the words that a window adds, on its left (upper 32 bits)
-    and on its right; 0 is a side that ends before.
-    """
-    base = int(_RUN)
+def symbols_of(texts: Iterator[tuple[int, bytes]], window: int = WINDOW) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, name, place) of what reveals the windows of some texts; a place is packed()."""
     for group in _pieces(texts, window):
         sizes = np.array([len(g[4]) for g in group])
         begins = np.cumsum(sizes + 1) - sizes  # in the sequence, after a border each
@@ -208,28 +217,40 @@ def shared_symbols(texts: Iterator[tuple[int, bytes]], window: int = WINDOW, rou
         border[begins - 1] = border[-1] = True
         names = np.zeros(len(border), np.uint64)
         names[~border] = np.concatenate([g[4] for g in group])
-        starts, name, start, end, lo, hi = revealing(names, border, window, rounds)
+        starts, name, start, end, lo, hi = revealing(names, border, window)
         piece = np.searchsorted(begins, starts, "right") - 1
         shift = np.array([g[1] for g in group])[piece] - begins[piece]
         word = starts + shift
-        core = (word >= np.array([g[2] for g in group])[piece]) & (word < np.array([g[3] for g in group])[piece])
+        core = np.flatnonzero((word >= np.array([g[2] for g in group])[piece]) & (word < np.array([g[3] for g in group])[piece]))
         # A context holds all windows around the symbol; it ends where its piece does, which is beyond reach but at a text's ends.
         left, right = np.maximum(hi - window, begins[piece]), np.minimum(lo + window, (begins + sizes)[piece])
-        at = np.flatnonzero(core)
-        key = (start.astype(np.int64) << 40) | ((end - start).astype(np.int64) << 34) | ((start - left).astype(np.int64) << 28) | (right - start)
-        _, once = np.unique(key[at], return_index=True)
-        at = at[once]
-        up = np.cumprod(np.full(len(names) + 1, base, np.uint64))
-        down = np.cumprod(np.full(len(names) + 1, pow(base, -1, 1 << 64), np.uint64))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(names) * up[:-1])])
-        start, end, left, right = start[at], end[at], left[at], right[at]
-        stretch = lambda i, j: (sums[j] - sums[i]) * down[i]  # noqa: B023, E731
-        half = (window - (end - start) + 1) // 2
-        side = lambda there, i, j: np.where(there, np.maximum(_mixed(stretch(np.where(there, i, 0), np.where(there, j, 0))) >> np.uint64(32), np.uint64(1)), np.uint64(0))  # noqa: B023, E731
-        sides = (side(start - half >= left, start - half, end) << np.uint64(32)) | side(end + half <= right, start, end + half)
-        place = packed(left + shift[at], right - left, start - left, end - start)
-        context = _mixed(stretch(left, right) ^ _mixed((place & ((1 << 17) - 1)).astype(np.uint64) + np.uint64(1)))
-        yield np.array([g[0] for g in group])[piece[at]], name[at].view(np.int64), context.view(np.int64), place, sides.view(np.int64)
+        place = packed(left + shift, right - left, start - left, end - start)[core]
+        _, once = np.unique((piece[core] << 46) ^ place, return_index=True)
+        at = core[once]
+        yield np.array([g[0] for g in group])[piece[at]], name[at].view(np.int64), place[once]
+
+
+def contexts_of(words: np.ndarray, places: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(context's name, sides) of places in a text's named words.
+
+    The sides name the symbol with half of the words that a window adds, on its left (upper 32 bits) and on its right; 0 is
+    a side that ends before.
+    """
+    first, size, offset, length = unpacked(places)
+    up = np.cumprod(np.full(len(words) + 1, int(_RUN), np.uint64))
+    down = np.cumprod(np.full(len(words) + 1, pow(int(_RUN), -1, 1 << 64), np.uint64))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(words) * up[:-1])])
+    stretch = lambda i, j: (sums[j] - sums[i]) * down[i]
+    half, begin = (window - length + 1) // 2, first + offset
+    end = begin + length
+
+    def side(there: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        named = _mixed(stretch(np.where(there, i, 0), np.where(there, j, 0))) >> np.uint64(32)
+        return np.where(there, np.maximum(named, np.uint64(1)), np.uint64(0))
+
+    sides = (side(begin - half >= first, begin - half, end) << np.uint64(32)) | side(end + half <= first + size, begin, end + half)
+    context = _mixed(stretch(first, first + size) ^ _mixed((places & ((1 << 17) - 1)).astype(np.uint64) + np.uint64(1)))
+    return context.view(np.int64), sides.view(np.int64)
 
 
 def _rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, bytes]]:
@@ -245,19 +266,38 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _symbols(keyed: DataFrame, text_col: str, window: int) -> DataFrame:
-    """(name, context, d, o, pos, sides)."""
-    names = ["name", "context", "d", "o", "pos", "sides"]
+    """(name, d, o, pos)."""
+    names = ["name", "d", "o", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Memo.keep(_WORDS)
         for b in batches:
             d, o = (b.column(k).to_numpy() for k in (0, 1))
-            for text, name, context, pos, sides in shared_symbols(_rows(b, 2), window):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, context, d[text], o[text], pos, sides)], names)
+            for text, name, pos in symbols_of(_rows(b, 2), window):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, d[text], o[text], pos)], names)
 
     return keyed.select("_d", "_o", text_col).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
+def _contexts(keyed: DataFrame, places: DataFrame, text_col: str, window: int) -> DataFrame:
+    """(name, context, d, o, pos, sides) of the places (name, d, pos)."""
+    by = places.groupBy("d").agg(F.collect_list(F.struct("name", "pos")).alias("_places"))
+    joined = keyed.select("_d", "_o", text_col).join(by, F.col("_d") == F.col("d")).select("_d", "_o", text_col, "_places")
+    names = ["name", "context", "d", "o", "pos", "sides"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.keep(_WORDS)
+        for b in batches:
+            d, o = (b.column(k).to_numpy() for k in (0, 1))
+            for k, raw in _rows(b, 2):
+                of = b.column(3)[k].values
+                name, pos = of.field("name").to_numpy(), of.field("pos").to_numpy()
+                context, sides = contexts_of(_hashed(raw.split()), pos, window)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, context, np.full(len(pos), d[k]), np.full(len(pos), o[k]), pos, sides)], names)
+
+    return joined.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
 #: Sides of a symbol on which its context shares half a window.
 _LEFT_HALF, _RIGHT_HALF = 1, 2
 
@@ -328,10 +368,13 @@ def window_marks(keyed: DataFrame, text_col: str = "text", window: int = WINDOW)
     found = written(_symbols(keyed, text_col, window), "symbols")
     named = written(found.groupBy("name").agg(F.min("o").alias("lo"), F.max("o").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("name", "n"), "names")
     release(spark)
-    shared = written(heavy_join(found, named, ["name"], "n", found.count()).select("name", "context", "d", "o", "pos", "sides"), "shared")
+    places = written(heavy_join(found, named, ["name"], "n", found.count()).select("name", "d", "pos"), "places")
     for gone in (found, named):
         discard(gone)
     release(spark)
+    shared = written(_contexts(keyed, places, text_col, window), "shared")
+    discard(places)
+    release(spark)
     first = written(shared.groupBy("name", "context").agg(F.min(F.struct("o", "d", "pos")).alias("first"), F.max("o").alias("last"), F.first("sides").alias("sides"), F.count("*").alias("n")), "contexts")
     several = written(first.groupBy("name").agg(F.count("*").alias("k")).where("k > 1"), "several")
     told = heavy_join(first, several, ["name"], "k", first.count()).select("name", "context", F.col("first.o").alias("own"), "last", "first.d", "first.pos", "sides")

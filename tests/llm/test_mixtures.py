@@ -185,6 +185,7 @@ def test_equal_windows_share_their_symbol():
     vocabulary = np.array([rng.randrange(1 << 63) for _ in range(6)], np.uint64)
     names = vocabulary[[rng.randrange(6) for _ in range(30_000)]]
     names[500:540] = vocabulary[0]
+    names[900:960] = np.tile(vocabulary[:2], 30)
     border = np.zeros(len(names), bool)
     border[[0, 7000, len(names) - 1]] = True
     starts, name, start, end, lo, hi = recompression.revealing(names, border, window=7)
