@@ -230,6 +230,19 @@ def symbols_of(texts: Iterator[tuple[int, bytes]], window: int = WINDOW) -> Iter
         yield np.array([g[0] for g in group])[piece[at]], name[at].view(np.int64), place[once]
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of a number and of its inverse, n or more; those for CHUNK words are kept."""
+    if _POWERS and n <= len(_POWERS[0]):
+        return _POWERS
+    made = [np.cumprod(np.full(max(n, CHUNK), x, np.uint64)) for x in (int(_RUN), pow(int(_RUN), -1, 1 << 64))]
+    if n <= CHUNK:
+        _POWERS[:] = made
+    return made
+
+
 def contexts_of(words: np.ndarray, places: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(context's name, sides) of places in a text's named words.
 
@@ -237,9 +250,9 @@ def contexts_of(words: np.ndarray, places: np.ndarray, window: int = WINDOW) ->
     a side that ends before.
     """
     first, size, offset, length = unpacked(places)
-    up = np.cumprod(np.full(len(words) + 1, int(_RUN), np.uint64))
-    down = np.cumprod(np.full(len(words) + 1, pow(int(_RUN), -1, 1 << 64), np.uint64))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(words) * up[:-1])])
+    up, down = _powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(_mixed(words) * up[: len(words)], out=sums[1:])
     stretch = lambda i, j: (sums[j] - sums[i]) * down[i]
     half, begin = (window - length + 1) // 2, first + offset
     end = begin + length
@@ -279,6 +292,10 @@ def _symbols(keyed: DataFrame, text_col: str, window: int) -> DataFrame:
     return keyed.select("_d", "_o", text_col).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
+def _batch(found: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names)
+
+
 def _contexts(keyed: DataFrame, places: DataFrame, text_col: str, window: int) -> DataFrame:
     """(name, context, d, o, pos, sides) of the places (name, d, pos)."""
     by = places.groupBy("d").agg(F.collect_list(F.struct("name", "pos")).alias("_places"))
@@ -288,12 +305,21 @@ def _contexts(keyed: DataFrame, places: DataFrame, text_col: str, window: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Memo.keep(_WORDS)
         for b in batches:
-            d, o = (b.column(k).to_numpy() for k in (0, 1))
+            d, o, of = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
+            ends = of.offsets.to_numpy()
+            name, pos = (of.values.field(c).to_numpy() for c in ("name", "pos"))
+            held, found = 0, []
             for k, raw in _rows(b, 2):
-                of = b.column(3)[k].values
-                name, pos = of.field("name").to_numpy(), of.field("pos").to_numpy()
-                context, sides = contexts_of(_hashed(raw.split()), pos, window)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, context, np.full(len(pos), d[k]), np.full(len(pos), o[k]), pos, sides)], names)
+                some = slice(ends[k], ends[k + 1])
+                context, sides = contexts_of(_hashed(raw.split()), pos[some], window)
+                n = len(context)
+                found.append((name[some], context, np.full(n, d[k]), np.full(n, o[k]), pos[some], sides))
+                held += n
+                if held >= CHUNK:
+                    yield _batch(found, names)
+                    held, found = 0, []
+            if found:
+                yield _batch(found, names)
 
     return joined.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
@@ -327,10 +353,12 @@ def _windows(keyed: DataFrame, contexts: DataFrame, text_col: str, window: int)
         Memo.keep(_WORDS)
         for b in batches:
             held, found = 0, []
-            for k in range(b.num_rows):
-                words = _hashed((b.column(1)[k].as_py() or "").encode().split())
-                of = b.column(2)[k].values
-                name, context, pos, halves = (of.field(c).to_numpy() for c in ("name", "context", "pos", "halves"))
+            own, of = b.column(0).to_numpy(), b.column(2)
+            ends = of.offsets.to_numpy()
+            columns = [of.values.field(c).to_numpy() for c in ("name", "context", "pos", "halves")]
+            for k, raw in _rows(b, 1):
+                words = _hashed(raw.split())
+                name, context, pos, halves = (c[ends[k] : ends[k + 1]] for c in columns)
                 first, size, offset, length = unpacked(pos)
                 count = size - window + 1
                 row = np.repeat(np.arange(len(pos)), count)
@@ -341,7 +369,7 @@ def _windows(keyed: DataFrame, contexts: DataFrame, text_col: str, window: int)
                 for part in range(0, len(row), CHUNK):
                     some = row[part : part + CHUNK]
                     where = first[some] + at[part : part + CHUNK]
-                    found.append((name[some], context[some], words[where[:, None] + np.arange(window)], np.full(len(some), b.column(0)[k].as_py()), at[part : part + CHUNK]))
+                    found.append((name[some], context[some], words[where[:, None] + np.arange(window)], np.full(len(some), own[k]), at[part : part + CHUNK]))
                     held += len(some)
                     if held >= CHUNK:
                         yield _named(found, names, window)
@@ -398,15 +426,13 @@ def window_marks(keyed: DataFrame, text_col: str = "text", window: int = WINDOW)
 
 def removed(n: int, pos: np.ndarray, mask: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which of a text's n words the marks cover."""
-    edge = np.zeros(n + 1, np.int64)
     first, size, _, _ = unpacked(pos)
     whole = mask == _WHOLE
-    np.add.at(edge, first[whole], 1)
-    np.add.at(edge, (first + size)[whole], -1)
-    for k in range(window):
-        some = first[~whole & ((mask >> k) & 1 == 1)] + k
-        np.add.at(edge, some, 1)
-        np.add.at(edge, some + window, -1)
+    begins, sizes = first[whole], size[whole]
+    if not whole.all():
+        row, bit = np.nonzero((mask[~whole, None] >> np.arange(window)) & 1)
+        begins, sizes = np.concatenate([begins, first[~whole][row] + bit]), np.concatenate([sizes, np.full(len(row), window)])
+    edge = np.bincount(begins, minlength=n + 1) - np.bincount(begins + sizes, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 
@@ -422,11 +448,13 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[list] = [[], [], []]
+            ends = b.column(2).offsets.to_numpy()
+            pos, mask = (b.column(2).values.field(c).to_numpy() for c in ("pos", "mask"))
             for k, raw in _rows(b, 1):
-                words, of, n = raw.split(), b.column(2)[k].values, 0
+                words, n = raw.split(), 0
                 total = len(words)
-                if of is not None:
-                    gone = removed(total, of.field("pos").to_numpy(), of.field("mask").to_numpy(), window)
+                if ends[k] < ends[k + 1]:
+                    gone = removed(total, pos[ends[k] : ends[k + 1]], mask[ends[k] : ends[k + 1]], window)
                     n = int(gone.sum())
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 for column, value in zip(rows, (total, n, b" ".join(words)), strict=True):
