@@ -15,9 +15,9 @@ Two sets at the similarity threshold (0.75) agree in fewer than MATCHES of the c
 
 Words are separated by ASCII white space and lower-cased for A-Z; under five words are one shingle; null, empty and
 blank texts have an empty set and are linked with nothing. Rows that repeat an id are nodes by their own sets. A null id
-takes part, and is no component's id unless all of its ids are null. Of a component exactly one row stays: the least by
-id, nulls last, then by a digest of the text, then any of the rows that are equal in both. Other columns are not read, so
-names cannot clash.
+takes part, and is no component's id unless all of its ids are null. kept says that a row's id is its component's, which
+holds for every row of that id; of a component exactly one row stays: the least by id, nulls last, then by a digest of the
+text, then any of the rows that are equal in both. Other columns are not read, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ PREFIX = COORDINATES - MATCHES + COLLISIONS
 MERGED = 64
 #: Pairs of one hub that are confirmed in one place.
 HUB_ROWS = 50_000
+#: Rows of a table of ids and digests that is broadcast at most.
+FEW_ROWS = 500_000
 #: Similarity threshold in hundredths.
 PERCENT = 75
 SKETCH = 1 << 16
@@ -227,7 +229,7 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, about: DataFrame) -> DataFr
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_digest, n_shingles, component_id, kept) for every row."""
+    """(doc_id, text_digest, n_shingles, component_id, stays) for every row."""
     spark = docs.sparkSession
     signed = written(_signed(docs, id_col, text_col), "signed")
     own = signed.where("digest is not null")
@@ -281,13 +283,14 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = nodes.select("digest", F.col("doc_id").alias("own"), F.col("least.row").alias("own_row")).join(grouped, "digest", "left")
     least_of = own.select("digest", F.coalesce("component_id", "own").alias("component_id"), F.coalesce("stays", "own_row").alias("stays"))
     out = signed.select("doc_id", "text_digest", "row", "n_shingles", "digest").join(least_of, "digest", "left")
-    kept = F.coalesce(F.col("row") == F.col("stays"), F.lit(True))  # an empty set is alone
-    return out.select("doc_id", "text_digest", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), kept.alias("kept"))
+    stays = F.coalesce(F.col("row") == F.col("stays"), F.lit(True))  # an empty set is alone
+    return out.select("doc_id", "text_digest", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row; kept marks the one row that stays of each component."""
-    return _judged(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", "kept")
+    """(doc_id, n_shingles, component_id, kept, stays) for every row; stays marks the one row of each component that keep_one() would keep."""
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return _judged(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", kept, "stays")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,9 +298,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows are told apart by id and text. Of rows equal in both that have one to stay, it is the least by all columns.
     """
-    by = _judged(docs, id_col, text_col).where("n_shingles > 0").groupBy("doc_id", "text_digest").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    by = _judged(docs, id_col, text_col).where("n_shingles > 0").groupBy("doc_id", "text_digest").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
     marked = written(by.where("not stays or n > 1"), "marked")
-    again = written(marked.where("stays"), "again")  # a table of its own: where few rows repeat, texts need not move to meet it
+    again = written(marked.where("stays"), "again")
+    release(docs.sparkSession)
+    # Texts need not move to meet a table that is small by count; a larger one is shuffled with them.
+    marked, again = (F.broadcast(some) if some.count() <= FEW_ROWS else some for some in (marked, again))
     same = lambda some: docs[id_col].eqNullSafe(some["doc_id"]) & (_text_digest(docs[text_col]) == some["text_digest"])
     alone = docs.join(marked, same(marked), "left_anti")
     equal = docs.join(again, same(again), "left_semi")

@@ -77,6 +77,9 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (None, "a b c d e f"), (None, None)]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 5 and sum(r.component_id == 1 for r in got) == 4
+    assert sum(r.stays and r.component_id == 1 for r in got) == 2  # q r s t u v is alone
+    same = near_dedup.near_duplicates(spark.createDataFrame([(2, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.kept) for r in same) == [(2, True), (2, True), (3, False)] and sum(r.stays for r in same) == 1
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

@@ -45,7 +45,7 @@ def test_stages(spark, tmp_path):
     assert len(last[0]) == 7
 
 
-def test_near_duplicates_go_by_row(spark):
+def test_near_duplicates_go_by_row(spark, monkeypatch):
     rng = random.Random(5)
     x, y, z, w = (" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(4))
     rows = [
@@ -60,5 +60,7 @@ def test_near_duplicates_go_by_row(spark):
     got = sorted(((r.doc_id, r.text, r.lang) for r in out.collect()), key=str)
     least = min([w, w + " end"], key=lambda t: hashlib.md5(t.encode()).digest())
     assert got == sorted([(0, x, "en"), (1, y, "en"), (2, z, "de"), (None, least, "en"), (7, None, "en"), (7, None, "en"), (None, " ", "en")], key=str)
-    kept = near_dedup.near_duplicates(docs).where("kept and n_shingles > 0").collect()
+    monkeypatch.setattr(near_dedup, "FEW_ROWS", 0)
+    assert sorted(((r.doc_id, r.text, r.lang) for r in near_dedup.keep_one(docs).collect()), key=str) == got
+    kept = near_dedup.near_duplicates(docs).where("stays and n_shingles > 0").collect()
     assert sorted(str(r.doc_id) for r in kept) == ["0", "1", "2", "None"]

@@ -78,8 +78,9 @@ def test_op4(spark, folder):
         least[g] = min(least.get(g, math.inf), ROWS[k][0])
     want = sorted(str((ROWS[k][0], len(sets[k]), least[group[k]])) for k in range(len(ROWS)))
     assert rows_of(spark, "op4_near_dedup", folder, "doc_id", "n_shingles", "component_id") == want
-    kept = near_dedup.op4_near_dedup(spark, str(folder)).where("kept and n_shingles > 0").collect()
-    assert len(kept) == len({g for k, g in group.items() if sets[k]}) and all(r.doc_id == r.component_id for r in kept)
+    kept = near_dedup.op4_near_dedup(spark, str(folder)).where("stays and n_shingles > 0").collect()
+    assert len(kept) == len({g for k, g in group.items() if sets[k]}) and all(r.doc_id == r.component_id and r.kept for r in kept)
+    assert near_dedup.op4_near_dedup(spark, str(folder)).where("kept != (doc_id = component_id)").count() == 0
 
 
 def plain_gif(data):
