@@ -47,7 +47,6 @@ CHUNK = 1 << 16
 ALONE = 4
 
 _RUN, _PAIR, _LEFT = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x165667B19E3779F9)
-_WORDS = Memo(xxhash.xxh3_64_intdigest)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -178,7 +177,7 @@ def window_names(words: np.ndarray, firsts: np.ndarray, window: int = WINDOW, ro
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _pieces(texts: Iterator[tuple[int, bytes]], window: int) -> Iterator[list[tuple[int, int, int, int, np.ndarray]]]:
@@ -283,7 +282,7 @@ def _symbols(keyed: DataFrame, text_col: str, window: int) -> DataFrame:
     names = ["name", "d", "o", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Memo.keep(_WORDS)
+        Memo.keep()
         for b in batches:
             d, o = (b.column(k).to_numpy() for k in (0, 1))
             for text, name, pos in symbols_of(_rows(b, 2), window):
@@ -303,7 +302,7 @@ def _contexts(keyed: DataFrame, places: DataFrame, text_col: str, window: int) -
     names = ["name", "context", "d", "o", "pos", "sides"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Memo.keep(_WORDS)
+        Memo.keep()
         for b in batches:
             d, o, of = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
             ends = of.offsets.to_numpy()
@@ -350,7 +349,7 @@ def _windows(keyed: DataFrame, contexts: DataFrame, text_col: str, window: int)
     names = ["name", "context", "window", "o", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Memo.keep(_WORDS)
+        Memo.keep()
         for b in batches:
             held, found = 0, []
             own, of = b.column(0).to_numpy(), b.column(2)
