@@ -35,15 +35,34 @@ def labelled_csv(spark, d):
     return files.read_labelled(spark, path, 2).groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("f0"), 2).alias("f0"), F.round(F.sum("f1"), 2).alias("f1"))
 
 
-@query("ranking_tsv", "select (l_quantity::int % 5)::int as label, l_orderkey as qid, l_discount as f0, l_tax as f1 from lineitem")
+@query("ranking_tsv", "select case when l_orderkey % 50 <> 0 then (l_quantity::int % 5)::int end as label, l_orderkey as qid, l_discount as f0, l_tax as f1, l_orderkey % 50 = 0 as odd from lineitem")
 def ranking_tsv(spark, d):
     df = read(spark, d, "lineitem")
     tab = F.when(F.col("l_linenumber") % 2 == 0, F.lit("\\t")).otherwise(F.lit("\t"))
-    cells = [(F.col("l_quantity").cast("int") % 5).cast("string"), F.col("l_orderkey").cast("string"), F.col("l_discount").cast("string"), F.col("l_tax").cast("string")]
+    label = F.when(F.col("l_orderkey") % 50 == 0, "NA").otherwise((F.col("l_quantity").cast("int") % 5).cast("string"))
+    cells = [label, F.col("l_orderkey").cast("string"), F.col("l_discount").cast("string"), F.col("l_tax").cast("string")]
     line = F.concat(cells[0], tab, cells[1], tab, cells[2], tab, cells[3])
     header = spark.createDataFrame([("label\tqid\tf0\tf1",)], "value string")
-    header.union(df.select(line.alias("value"))).write.text(path := place(spark))
-    return files.read_ranking(spark, path, 2)
+    # Files of several tasks, each with a header; lines without a readable label stay, marked.
+    headed = df.select(line.alias("value")).repartition(3, F.xxhash64("value")).withColumn("part", F.spark_partition_id())
+    titles = header.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("part")))
+    both = titles.withColumn("first", F.lit(0)).unionByName(headed.withColumn("first", F.lit(1))).repartition(3, "part").sortWithinPartitions("part", "first")
+    both.select("part", "value").write.partitionBy("part").text(path := place(spark))
+    return files.read_ranking(spark, path, 2).select("label", "qid", "f0", "f1", F.col("unread").isNotNull().alias("odd"))
+
+
+@query("aligned_parts", "select o_orderkey, o_totalprice, o_orderkey * 3 % 97 as y from orders")
+def aligned_parts(spark, d):
+    """Features and labels in files of their own, without a key, brought together by place; only the features have a header."""
+    df = read(spark, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") * 3 % 97).alias("y"))
+    top, paths = place(spark), {"x": [], "y": []}
+    for part in range(3):
+        some = df.where(F.col("o_orderkey") % 3 == part).coalesce(1).sortWithinPartitions("o_orderkey")
+        for kind, columns in (("x", ["o_orderkey", "o_totalprice"]), ("y", ["y"])):
+            some.select(columns).write.option("header", kind == "x").csv(f"{top}/{kind}{part}")
+            paths[kind].append([r[0] for r in spark.read.text(f"{top}/{kind}{part}").select("_metadata.file_path").distinct().collect()][0])
+    out = files.load_aligned(spark, paths["x"], paths["y"], "o_orderkey long, o_totalprice double", "y long", True, False)
+    return out.select("o_orderkey", "o_totalprice", "y")
 
 
 @query("libsvm_load", "select o_orderkey as id, case when o_orderkey % 2 = 0 then 0.0 else 1.0 end::double as label, o_totalprice as f1 from orders")

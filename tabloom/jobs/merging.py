@@ -16,7 +16,15 @@ def part(spark, d):
 
 @query("left_join_dim", PART + " select l_orderkey, l_linenumber, l_partkey, p_size from lineitem left join p using (l_partkey)")
 def left_join_dim(spark, d):
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(part(spark, d).select("l_partkey", "p_size"), "l_partkey", "left")
+    return merge.left_join(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), part(spark, d).select("l_partkey", "p_size"), ["l_partkey"])
+
+
+@query("left_join_hot", PART + ", l as (select l_orderkey, l_linenumber, case when l_orderkey % 2 = 0 then 1 when l_orderkey % 4 = 1 then null else l_partkey end as l_partkey from lineitem) select l_orderkey, l_linenumber, l_partkey, p_size from l left join p using (l_partkey)")
+def left_join_hot(spark, d):
+    """One part holds half of all facts, and a quarter of them have none."""
+    k = F.col("l_orderkey")
+    fact = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(k % 2 == 0, 1).when(k % 4 != 1, F.col("l_partkey")).alias("l_partkey"))
+    return merge.left_join(fact, part(spark, d).select("l_partkey", "p_size"), ["l_partkey"])
 
 
 COMPOSITE = "with s as (select l_suppkey, l_returnflag, avg(l_quantity) as q_mean from lineitem where l_linenumber > 1 group by 1, 2), t as (select l_suppkey, l_returnflag, l_linenumber, max(l_quantity) as q_max from lineitem where l_linenumber > 1 group by 1, 2, 3)"
@@ -28,7 +36,7 @@ def left_join_composite(spark, d):
     rest = df.where("l_linenumber > 1")
     s = rest.groupBy("l_suppkey", "l_returnflag").agg(F.round(F.avg("l_quantity"), 6).alias("q_mean"))
     t = rest.groupBy("l_suppkey", "l_returnflag", "l_linenumber").agg(F.max("l_quantity").alias("q_max"))
-    return df.join(s, ["l_suppkey", "l_returnflag"], "left").join(t, ["l_suppkey", "l_returnflag", "l_linenumber"], "left").drop("l_quantity")
+    return merge.left_join(merge.left_join(df, s, ["l_suppkey", "l_returnflag"]), t, ["l_suppkey", "l_returnflag", "l_linenumber"]).drop("l_quantity")
 
 
 @query("semi_join", "select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_acctbal > 5000)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.keys import bucket
 from tabloom.jobs.registry import query, read
-from tabloom.operators import model, scalar
+from tabloom.operators import encode, model, scalar
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "month"]
 #: Small fits, so that all queries of the models can run side by side; the defaults are those of model.PARAMETERS.
@@ -124,3 +124,18 @@ def stack_oof(spark, d):
     with model.held(meta.where("fold <> 0")) as train:
         fitted = model.booster("regression", GIVEN).fit(train)
     return model.score(fitted, meta.where("fold = 0")).select("id", "label", "score")
+
+
+@query("gbt_categorical")
+def gbt_categorical(spark, d):
+    """(given, n, rmse): held-out errors for a target that sets of brands decide, with brands as levels, as codes, and by the mean."""
+    part = read(spark, d, "part").select("p_partkey", "p_brand", "p_size", (F.log1p("p_retailprice") + 4 * (bucket("p_brand") % 2) + F.col("p_size") * 0.02).alias("label"))
+    codes = encode.fit_labels(part, "p_brand")
+    part = encode.apply_codes(part, codes, "p_brand", "brand_code").withColumn("fold", (bucket("p_partkey") % 4).cast("int"))
+    train, test = part.where("fold > 1"), part.where("fold = 0")
+    given = GIVEN | {"max_depth": 2, "max_bin": 64}
+    levels = model.fit_model("regression", given, train, ["p_brand", "p_size"], valid=part.where("fold = 1"), categorical=["p_brand"], discrete=["p_size"])
+    plain = model.fit_model("regression", given, train, ["brand_code", "p_size"], valid=part.where("fold = 1"))
+    scored = plain.score(levels.score(test, "levels"), "codes").crossJoin(F.broadcast(train.agg(F.avg("label").alias("mean"))))
+    error = lambda c: F.struct(F.lit(c).alias("given"), F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.col(c) - F.col("label"), 2))).alias("rmse"))
+    return scored.agg(F.array(*map(error, ("levels", "codes", "mean"))).alias("e")).select(F.inline("e"))

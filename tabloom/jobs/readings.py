@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.keys import bucket
 from tabloom.jobs.registry import query, read
 from tabloom.operators import merge
+from tabloom.operators.order import weighted_quantiles_by
 
 FOLDS = 5
 
@@ -29,14 +30,15 @@ def fold_scores(spark, d):
     """Errors by fold of the group mean and median that are fitted on the other folds.
 
     Rows are counted once by group, value and fold; what the other folds hold is all less their own, so no row is taken
-    once for each round. The median is exact.
+    once for each round. The medians are exact, from ranks by running sums with a weight for each fold.
     """
     r = joined_readings(spark, d)
     keys = ["round", "meter", "month"]
-    cells = r.groupBy("meter", "month", "y").agg(F.count("*").alias("n"), *(F.count_if(F.col("fold") == k).alias(f"n{k}") for k in range(FOLDS)))
-    others = lambda k: F.col("n") - F.col(f"n{k}")
-    stats = [F.struct(F.lit(k).alias("round"), (F.sum(F.col("y") * others(k)) / F.nullif(F.sum(others(k)), F.lit(0))).alias("g_mean"), F.percentile("y", F.lit(0.5), others(k)).alias("g_median")) for k in range(FOLDS)]
-    fitted = cells.groupBy("meter", "month").agg(F.array(*stats).alias("s")).select("meter", "month", F.inline("s"))
+    cells = r.groupBy("meter", "month", "y").agg(*((F.count("*") - F.count_if(F.col("fold") == k)).alias(f"n{k}") for k in range(FOLDS)))
+    means = cells.groupBy("meter", "month").agg(*((F.sum(F.col("y") * F.col(f"n{k}")) / F.nullif(F.sum(f"n{k}"), F.lit(0))).alias(f"m{k}") for k in range(FOLDS)))
+    medians = weighted_quantiles_by(cells, ["meter", "month"], "y", [f"n{k}" for k in range(FOLDS)], [0.5])
+    each = F.array(*(F.struct(F.lit(k).alias("round"), F.col(f"m{k}").alias("g_mean"), F.get(F.get("q", F.lit(k)), F.lit(0)).alias("g_median")) for k in range(FOLDS)))
+    fitted = means.join(medians, ["meter", "month"]).select("meter", "month", F.inline(each))
     scored = merge.apply_group_stats(r.withColumn("round", F.col("fold")), fitted, keys)
     e = F.col("y") - F.col("g_mean")
     return scored.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(F.avg(F.abs(F.col("y") - F.col("g_median"))), 6).alias("mae"))

@@ -82,10 +82,23 @@ def robust_scale(spark, d):
     return scalar.apply_scale(df, scalar.fit_robust(df, ["value"]), ["value"]).select("event_id", F.round("value", 6).alias("value"))
 
 
-@query("quantile_normal")
+def _horner(terms, x):
+    out = "0.0"
+    for t in terms:
+        out = f"({out} * {x} + {t!r})"
+    return out
+
+
+@query("quantile_normal", f"""
+with q as (select quantile_cont(value, [k / 1000.0 for k in range(1001)]) as q from events where event_id % 5 <> 0),
+u as (select event_id, value as x, q, len(list_filter(q, lambda v: v < value)) as b, len(list_filter(q, lambda v: v <= value)) as u from events, q),
+p as (select event_id, least(greatest(case when b < u then (b + u - 1) / 2.0 when u = 0 then 0 when u = 1001 then 1000 else u - 1 + (x - q[u]) / (q[u + 1] - q[u]) end / 1000, 1e-7), 1 - 1e-7) as p from u),
+r as (select event_id, p, p - 0.5 as q, (p - 0.5) * (p - 0.5) as r, sqrt(-2 * ln(least(p, 1 - p))) as s from p)
+select event_id, round(case when abs(q) <= 0.5 - 0.02425 then {_horner(scalar._CENTRE, "r")} * q / {_horner(scalar._CENTRE_BELOW, "r")} else -sign(q) * {_horner(scalar._TAIL, "s")} / {_horner(scalar._TAIL_BELOW, "s")} end, 6) + 0.0 as value from r""")
 def quantile_normal(spark, d):
     df = read(spark, d, "events").select("event_id", "value")
-    return scalar.quantile_normal(df, scalar.fit_quantiles(df.where("event_id % 5 <> 0"), ["value"]))
+    out = scalar.quantile_normal(df, scalar.fit_quantiles(df.where("event_id % 5 <> 0"), ["value"]))
+    return out.select("event_id", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("target_scale", "with m as (select avg(o_totalprice) as a, stddev_pop(o_totalprice) as s from orders where o_orderkey % 5 <> 0) select o_orderkey, round(case when o_orderkey % 5 <> 0 then (o_totalprice - a) / s else o_totalprice end, 6) as y, round(o_totalprice, 4) as back, round(ln(1 + o_totalprice), 6) as log_y from orders, m")

@@ -24,6 +24,18 @@ def group_agg_encode(spark, d):
     return stats.group_encode(df, "user_id", ["v"]).select("event_id", F.round("v_user_id_mean", 5).alias("v_mean"), F.round("v_user_id_std", 5).alias("v_std"))
 
 
+_KEYS = ("user_id", "event_type", "day", "tenth")
+
+
+@query("group_encode_all", "with e as (select event_id, user_id, event_type, (day(ts))::varchar as day, floor(value / 10) as tenth, case when event_id % 3 = 0 then null else value end as v, event_id % 100 as w from events) select event_id, " + ", ".join(f"round(coalesce(avg({v}) over (partition by {k}), -1), 7) as {v}_{k}_mean, round(coalesce(stddev_samp({v}) over (partition by {k}), -1), 5) as {v}_{k}_std" for k in _KEYS for v in ("v", "w")) + " from e")
+def group_encode_all(spark, d):
+    """Four keys and two values in one pass; key columns of few levels do not move the facts."""
+    k = F.col("event_id")
+    df = read(spark, d, "events").select("event_id", "user_id", "event_type", F.dayofmonth("ts").cast("string").alias("day"), F.floor(F.col("value") / 10).alias("tenth"), F.when(k % 3 == 0, -1.0).otherwise(F.col("value")).alias("v"), (k % 100).cast("double").alias("w"))
+    out = stats.group_encode_all(df, _KEYS, ["v", "w"], row_key="event_id")
+    return out.select("event_id", *(F.round(f"{v}_{k}_{n}", 7 if n == "mean" else 5).alias(f"{v}_{k}_{n}") for k in _KEYS for v in ("v", "w") for n in ("mean", "std")))
+
+
 @query("nunique_encode", "select event_id, count(distinct event_type) over (partition by user_id) as ct from events")
 def nunique_encode(spark, d):
     return stats.nunique_encode(events(spark, d), "user_id", "event_type").select("event_id", F.col("user_id_event_type_ct").alias("ct"))
@@ -109,6 +121,17 @@ def quantile_bins(spark, d):
     return df.select("event_id", stats.bin_of(F.col("value"), edges).alias("bin"))
 
 
+_OFTEN = "with e as (select event_id, case when event_id % 5 < 2 then 7.5 when event_id % 11 <> 0 then value end as x from events), h as (select x from e where x is not null group by x having count(*) * 16 > (select count(x) from e)), k as (select 16 - count(*) as k from h), r as (select x, row_number() over (order by x) - 1 as p, count(*) over () as n from e where x is not null and x not in (select x from h)), w as (select i / k::double * (n - 1) as w from k, range(1, 16) t(i), (select max(n) as n from r) where i < k), q as (select a.x + (b.x - a.x) * (w - floor(w)) as b from w join r a on a.p = floor(w) join r b on b.p = ceil(w)), b as (select distinct b from (select b from q union all select x from h union all select nextafter(x, 'inf'::double) from h))"
+
+
+@query("frequency_bins", _OFTEN + " select event_id, case when x is null then -1 else len(list_filter(l, lambda b: b <= x)) end::int as bin from e, (select list(b) as l from b)")
+def frequency_bins(spark, d):
+    """Values that are frequent have bins of their own: one holds 40 % of the rows."""
+    k = F.col("event_id")
+    df = events(spark, d).select("event_id", F.when(k % 5 < 2, 7.5).when(k % 11 != 0, F.col("value")).alias("x"))
+    return df.select("event_id", stats.bin_of(F.col("x"), stats.fit_bins(df, ["x"], 16, mode="frequency")["x"]).alias("bin"))
+
+
 _TARGETS = _EDGES + ", b as (select 'value' as feature, len(list_filter(e, lambda x: x <= value))::int as bin, hour(ts)::double as y from events, q union all select 'code', (user_id % 4)::int, hour(ts)::double from events), s as (select feature, bin, count(*) as n, sum(y) as sum_y, sum(y * y) as sum_y2 from b group by 1, 2)"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.order import global_row_number, quantiles_by, running_sums
+from tabloom.operators.skew import dealt_join
 
 
 def unique_keys(dim: DataFrame, keys: Sequence[str]) -> None:
@@ -25,15 +26,14 @@ def numbered_dimension(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
 def merge_pivot(fact: DataFrame, dim: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Adds @M_{name}: the number of the dimension row that a fact joins, one past the last for facts that join none.
 
-    The dimension is joined without a hint: Spark broadcasts it if its measured size allows. An error if keys repeat or
-    no fact joins.
+    Facts of a heavy key, and those with a null in theirs, are dealt out. An error if keys repeat or no fact joins.
     """
     unique_keys(dim, keys)
     numbered = numbered_dimension(dim.select(*keys), keys)
     n = dim.count()
     if fact.join(numbered, list(keys), "left_semi").isEmpty():
         raise ValueError("no fact joins the dimension")
-    return fact.join(numbered, list(keys), "left").withColumn(f"@M_{name}", F.coalesce("row_no", F.lit(n)).cast("int")).drop("row_no")
+    return dealt_join(fact, numbered, keys).withColumn(f"@M_{name}", F.coalesce("row_no", F.lit(n)).cast("int")).drop("row_no")
 
 
 def merged_histogram(fact: DataFrame, dim: DataFrame, keys: Sequence[str], target: str, edges: dict[str, Sequence[float]], name: str) -> DataFrame:
@@ -79,11 +79,16 @@ def fit_group_stats(train: DataFrame, keys: Sequence[str], value: str, prefix: s
 
 
 def apply_group_stats(df: DataFrame, fitted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(fitted, list(keys), "left")
+    return dealt_join(df, fitted, keys)
+
+
+def left_join(fact: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Facts with the columns of their dimension row, one row a key, null where there is none. A key may hold any share of the facts, or be null."""
+    return dealt_join(fact, dim, keys)
 
 
 def override_known(df: DataFrame, known: DataFrame, keys: Sequence[str], value: str, by: str) -> DataFrame:
     """Replaces value by the known one where there is one."""
-    return df.join(known.select(*keys, by), list(keys), "left").withColumn(value, F.coalesce(by, value)).drop(by)
+    return left_join(df, known.select(*keys, by), keys).withColumn(value, F.coalesce(by, value)).drop(by)
 
 

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.operators.order import first_place, numbers
+
 # Defaults of parameters, and the names that each goes by, the first given one winning.
 PARAMETERS: dict[str, tuple[Any, tuple[str, ...]]] = {
     "learning_rate": (0.1, ("learning_rate",)),
@@ -36,6 +41,8 @@ METRICS = {
 }
 #: Seed of all fits, which is no parameter.
 SEED = 42
+#: Fits that run side by side.
+SIDE_BY_SIDE = 4
 #: Depth where none is given, and the deepest that Spark ML grows.
 DEPTH, MOST_DEPTH = 5, 30
 
@@ -67,10 +74,116 @@ def booster(kind: str, given: dict[str, Any], label: str = "label", rounds: int
     )
 
 
-def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Adds features; null counts as 0."""
-    clean = df.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-    return VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="features").transform(clean).drop(*(f"_f_{c}" for c in features))
+@dataclass(frozen=True)
+class Features:
+    """The columns of a vector, in order; of categorical ones the levels in order, of discrete ones the values in order."""
+
+    names: tuple[str, ...]
+    levels: dict[str, list[str]] = field(default_factory=dict)
+    values: dict[str, list[float]] = field(default_factory=dict)
+
+
+def named(features: Sequence[str], chosen: Sequence[str | int]) -> list[str]:
+    """Columns that are given by name or by place."""
+    out = [features[c] if isinstance(c, int) else c for c in chosen]
+    if unknown := sorted(set(out) - set(features)):
+        raise ValueError(f"no features: {', '.join(unknown)}")
+    return list(dict.fromkeys(out))
+
+
+def fit_features(train: DataFrame, features: Sequence[str], categorical: Sequence[str | int] = (), discrete: Sequence[str | int] = (), max_bin: int = 256) -> Features:
+    """Levels and values of the columns named (or placed) so, from one pass over train.
+
+    A booster splits a categorical column by sets of its levels, and a discrete one, which is a number, between any two of
+    its values. Both need a bin for each, and a categorical one a bin more for nulls and levels that train has not: a
+    column with too many is an error.
+    """
+    sets, steps = named(features, categorical), named(features, discrete)
+    if both := sorted(set(sets) & set(steps)):
+        raise ValueError(f"categorical and discrete: {', '.join(both)}")
+    if not sets and not steps:
+        return Features(tuple(features))
+    cells = train.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), (F.col(c).cast("double") if c in steps else F.col(c)).cast("string").alias("level")) for c in [*sets, *steps]))))
+    distinct = cells.where("level is not null").distinct()
+    room = {c: max_bin - (c in sets) for c in [*sets, *steps]}
+    for r in distinct.groupBy("column").count().collect():  # a row for each column
+        if r["count"] > room[r["column"]]:
+            raise ValueError(f"{r['column']} has {r['count']} levels; max_bin = {max_bin} leaves room for {room[r['column']]}")
+    found: dict[str, list[str]] = {c: [] for c in room}
+    for r in distinct.collect():  # max_bin rows for each column at most
+        found[r["column"]].append(r["level"])
+    return Features(tuple(features), {c: sorted(found[c], key=lambda v: v.encode()) for c in sets}, {c: sorted(map(float, found[c])) for c in steps})
+
+
+def _slot(c: str, levels: Sequence[str]) -> Column:
+    """A level's place, by a binary search; one past the last for nulls and other levels. The column says how many slots there are."""
+    x, known = F.col(c).cast("string"), F.array(*map(F.lit, levels)).cast("array<string>")
+    at = first_place(len(levels), lambda k: F.get(known, k) < x) if levels else F.lit(0)
+    rest = "other"
+    while rest in levels:
+        rest += "_"
+    slot = F.when(F.get(known, at) == x, at).otherwise(len(levels)).cast("double")
+    return slot.alias(f"_f_{c}", metadata={"ml_attr": {"type": "nominal", "name": c, "vals": [*levels, rest]}})
+
+
+def _step(c: str, values: Sequence[float]) -> Column:
+    """The place of the greatest known value at or below a value; -1 for nulls and what lies below all."""
+    x = F.col(c).cast("double")
+    at = first_place(len(values), lambda k: F.get(numbers(values), k) <= x) if values else F.lit(0)
+    return (F.when(x.isNotNull(), at).otherwise(0) - 1).cast("double").alias(f"_f_{c}")
+
+
+def assembled(df: DataFrame, features: Sequence[str] | Features) -> DataFrame:
+    """Adds features; a null number counts as 0. Categorical columns are marked as such in the vector's attributes."""
+    made = features if isinstance(features, Features) else Features(tuple(features))
+
+    def cell(c: str) -> Column:
+        if c in made.levels:
+            return _slot(c, made.levels[c])
+        return _step(c, made.values[c]) if c in made.values else F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f_{c}")
+
+    clean = df.select("*", *map(cell, made.names))
+    return VectorAssembler(inputCols=[f"_f_{c}" for c in made.names], outputCol="features").transform(clean).drop(*(f"_f_{c}" for c in made.names))
+
+
+@dataclass
+class Fitted:
+    """A booster with the features that it was fitted on."""
+
+    features: Features
+    model: Any
+    rounds: int
+    errors: list[float]
+
+    def score(self, df: DataFrame, name: str = "score") -> DataFrame:
+        """Adds the value, or the probability of class 1; levels that the fit has not seen share a slot with nulls."""
+        return score(self.model, assembled(df, self.features), name).drop("features")
+
+
+def fit_model(
+    kind: str, given: dict[str, Any], train: DataFrame, features: Sequence[str], label: str = "label", valid: DataFrame | None = None, categorical: Sequence[str | int] = (), discrete: Sequence[str | int] = ()
+) -> Fitted:
+    """A booster of `kind` regression or binary, stopped early on valid if it is given; categorical and discrete columns by name or place."""
+    p = parameters(given)
+    made = fit_features(train, features, categorical, discrete, p["max_bin"])
+    data = assembled(train, made)
+    if valid is not None:
+        return Fitted(made, *fit_early(kind, given, data, assembled(valid, made), label))
+    with held(data) as rows:
+        return Fitted(made, booster(kind, given, label).fit(rows), p["num_trees"], [])
+
+
+def side_by_side(jobs: Sequence[Callable[[], Any]], most: int = SIDE_BY_SIDE) -> list[Any]:
+    """Results of jobs that submit work of their own, `most` at a time, each in a scheduler pool of its own."""
+    spark = SparkSession.active()
+    passed_on = inheritable_thread_target(spark)
+
+    def run(k: int, job: Callable[[], Any]) -> Any:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fits-{k % most}")
+        return job()
+
+    with ThreadPoolExecutor(max(1, min(most, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(passed_on(run), k, job) for k, job in enumerate(jobs)]]
 
 
 def round_errors(model, valid: DataFrame, metric: str, label: str = "label") -> list[float]:
@@ -132,13 +245,13 @@ def lasso_cascade(train: DataFrame, test: DataFrame, given: dict[str, Any], stre
     return boosted.transform(linear.transform(test)).withColumn("score", F.col("_linear") + F.col("prediction")).drop("prediction")
 
 
-def out_of_fold(df: DataFrame, fit: Callable[[DataFrame], Any], k: int, fold: str = "fold", name: str = "score", test: DataFrame | None = None):
+def out_of_fold(df: DataFrame, fit: Callable[[DataFrame], Any], k: int, fold: str = "fold", name: str = "score", test: DataFrame | None = None, most: int = SIDE_BY_SIDE):
     """Every row scored by the model of the other folds; with `test`, also the test rows with the mean of all k models.
 
-    The driver only loops; each fit and score is a Spark job.
+    The driver only loops, `most` fits side by side; each fit and score is a Spark job.
     """
     with held(df) as data:
-        models = [fit(data.where(F.col(fold) != i)) for i in range(k)]
+        models = side_by_side([lambda i=i: fit(data.where(F.col(fold) != i)) for i in range(k)], most)
     own = reduce(DataFrame.unionByName, [score(m, df.where(F.col(fold) == i), name) for i, m in enumerate(models)])
     return own if test is None else (own, mean_score(models, test, name))
 
@@ -151,16 +264,25 @@ def mean_score(models: Sequence[Any], df: DataFrame, name: str = "score") -> Dat
     return df.withColumn(name, sum(map(F.col, columns), F.lit(0.0)) / len(models)).drop(*columns)
 
 
-def fit_targets(df: DataFrame, test: DataFrame, targets: Sequence[str], fit: Callable[[DataFrame], Any], k: int, key: str, fold: str = "fold") -> tuple[DataFrame, DataFrame]:
+def fit_targets(df: DataFrame, test: DataFrame, targets: Sequence[str], fit: Callable[[DataFrame], Any], k: int, key: str, fold: str = "fold", most: int = SIDE_BY_SIDE) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold scores of several targets over the same folds, and the test scores in long form.
 
-    fit takes a table whose label is `label`. Returns df with score_{target} for each, and (target_id, target) of test.
+    fit takes a table whose label is `label`; fits of all targets and folds run `most` side by side over one cached table.
+    Returns df with score_{target} for each, and (target_id, target) of test.
     """
-    own, told = df, test
+    with held(df) as data:
+        jobs = [lambda t=t, i=i: fit(data.where(F.col(fold) != i).withColumn("label", F.col(t).cast("double"))) for t in targets for i in range(k)]
+        models = side_by_side(jobs, most)
+    of = {t: models[at * k : (at + 1) * k] for at, t in enumerate(targets)}
+    parts, told = [], test
+    for i in range(k):
+        own = df.where(F.col(fold) == i)
+        for t in targets:
+            own = score(of[t][i], own, f"score_{t}")
+        parts.append(own)
     for t in targets:
-        own, told = out_of_fold(own.withColumn("label", F.col(t).cast("double")), fit, k, fold, f"score_{t}", told)
-        own = own.drop("label")
-    return own, long_targets(told, key, [f"score_{t}" for t in targets])
+        told = mean_score(of[t], told, f"score_{t}")
+    return reduce(DataFrame.unionByName, parts), long_targets(told, key, [f"score_{t}" for t in targets])
 
 
 def importance(model, features: Sequence[str]) -> list[tuple[str, float, int]]:
@@ -196,7 +318,7 @@ def cross_validated(df: DataFrame, estimator, grid: dict[str, Sequence[Any]], k:
         build = build.addGrid(estimator.getParam(name), list(values))
     check = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC") if metric == "auc" else RegressionEvaluator(labelCol=label, metricName=metric)
     with held(df) as data:
-        return CrossValidator(estimator=estimator, estimatorParamMaps=build.build(), evaluator=check, numFolds=k, foldCol=fold).fit(data)
+        return CrossValidator(estimator=estimator, estimatorParamMaps=build.build(), evaluator=check, numFolds=k, foldCol=fold, parallelism=SIDE_BY_SIDE).fit(data)
 
 
 def long_targets(df: DataFrame, key: str, targets: Sequence[str]) -> DataFrame:

@@ -1,18 +1,22 @@
 """Row numbers, running sums and exact quantiles over a whole order, in ranges: no task sorts more than a range.
 
-Ranges are cut on the whole order by a sample of bounded size, taken by a hash of the order's values, so a first column
-with few values is cut by the columns after it. Rows that are equal in all of the order share a range.
+Ranges are cut on the whole order by samples, taken by a hash of the order's values, so a first column with few values is
+cut by the columns after it. Edges are a search tree: each level cuts every range of the level above in FANOUT at most, a
+row finds its place by a binary search, and there are as many levels as the rows need. Rows that are equal in all of the
+order share a range.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in one range, on average, and ranges at most.
-RANGE_ROWS, MOST_RANGES = 200_000, 1024
+from tabloom.operators.skew import dealt_join
+
+#: Rows in one range, on average, and ranges that one level of edges makes of one range.
+RANGE_ROWS, FANOUT = 200_000, 1024
 #: Sampled rows for each range.
 SAMPLED = 32
 
@@ -21,63 +25,143 @@ def _struct(order: Sequence[str | Column]) -> Column:
     return F.struct(*((F.col(o) if isinstance(o, str) else o).alias(f"k{i}") for i, o in enumerate(order)))
 
 
+def first_place(most: int, passed: Callable[[Column], Column]) -> Column:
+    """How many of up to `most` places are passed, where all passed ones come first: a binary search by falling powers of two."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(most.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, by: F.when(passed(at + by - 1), at + by).otherwise(at))
+
+
+def place_among(edges: Column, x: Column, most: int) -> Column:
+    """How many of up to `most` sorted edges lie below x."""
+    return first_place(most, lambda at: F.get(edges, at) < x)
+
+
+def _cut(sample: Column, parts: int) -> Column:
+    """parts - 1 elements of a sorted sample, evenly spaced."""
+    return F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get(sample, F.floor(i * F.size(sample) / parts).cast("int")))
+
+
 def in_ranges(df: DataFrame, order: Sequence[str | Column], parts: int | None = None) -> DataFrame:
     """Adds _k, the order's values, and _range. `parts` is from a count of the rows where it is not given."""
     keyed = df.withColumn("_k", _struct(order))
+    n = None
     if parts is None:
-        parts = min(MOST_RANGES, df.count() // RANGE_ROWS + 1)
+        n = df.count()
+        parts = n // RANGE_ROWS + 1
     if parts <= 1:
-        return keyed.withColumn("_range", F.lit(0))
-    sample = keyed.select("_k").orderBy(F.xxhash64("_k"), "_k").limit(parts * SAMPLED)
-    edges = sample.agg(F.filter(F.sort_array(F.collect_list("_k")), lambda _, i: i % SAMPLED == SAMPLED - 1).alias("_edges"))
-    return keyed.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("_k")))).drop("_edges")
+        return keyed.withColumn("_range", F.lit(0).cast("bigint"))
+    made = min(parts, FANOUT)
+    sample = keyed.select("_k").orderBy(F.xxhash64("_k"), "_k").limit(made * SAMPLED)
+    edges = sample.agg(_cut(F.sort_array(F.collect_list("_k")), made).alias("_edges"))  # one row of FANOUT edges at most
+    out = keyed.crossJoin(F.broadcast(edges)).withColumn("_range", place_among(F.col("_edges"), F.col("_k"), made - 1).cast("bigint")).drop("_edges")
+    n = n if n is not None or made == parts else df.count()
+    while made < parts:
+        # A further level: each range has edges of its own, copied for each share of its rows, to which the rows are dealt.
+        cut = min(FANOUT, -(-parts // made))
+        sampled = out.where(F.pmod(F.xxhash64("_k", F.lit(made)), F.lit(max(1, n // (made * cut * SAMPLED)))) == 0)
+        edges = sampled.groupBy("_range").agg(_cut(F.sort_array(F.collect_list("_k")), cut).alias("_edges"))
+        rows = out.groupBy("_range").agg(F.count("*").alias("_rows"))
+        out = dealt_join(out, rows.join(edges, "_range", "left"), ["_range"], "inner", "_rows")
+        place = F.coalesce(place_among(F.col("_edges"), F.col("_k"), cut - 1), F.lit(0))
+        out = out.withColumn("_range", F.col("_range") * FANOUT + place).drop("_edges")
+        made *= cut
+    return out
+
+
+def _before(totals: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """(_range, _b_...): for each range the sums of all earlier ones. Ranges are summed level by level, so that a window holds FANOUT of them."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    block = totals.withColumn("_block", F.floor(F.col("_range") / FANOUT))
+    inner = Window.partitionBy("_block").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each FANOUT ranges
+    blocks = block.groupBy("_block").agg(*(F.sum(c).alias(f"_w_{c}") for c in sums)).select("_block", *(zero(F.sum(f"_w_{c}").over(outer)).alias(f"_w_{c}") for c in sums))
+    return block.join(blocks, "_block").select("_range", *((zero(F.sum(c).over(inner)) + F.col(f"_w_{c}")).alias(f"_b_{c}") for c in sums))
 
 
 def running_sums(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str], parts: int | None = None) -> DataFrame:
     """Adds for each name the sum of its column over all rows before a row in the order, which should tell rows apart."""
     ranged = in_ranges(df, order, parts)
-    totals = ranged.groupBy("_range").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))  # MOST_RANGES rows at most
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("_range", *(zero(F.sum(f"_t_{n}").over(earlier)).alias(f"_b_{n}") for n in sums))
+    before = _before(ranged.groupBy("_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items())), [f"_{n}" for n in sums])
     own = Window.partitionBy("_range").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(before), "_range")
-    return joined.withColumns({n: zero(F.sum(c).over(own)) + F.col(f"_b_{n}") for n, c in sums.items()}).drop("_range", "_k", *(f"_b_{n}" for n in sums))
+    # Both sides are dealt by range, as the window wants them; Spark broadcasts the few rows where their size allows.
+    joined = ranged.join(before, "_range")
+    return joined.withColumns({n: F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"_b__{n}") for n, c in sums.items()}).drop("_range", "_k", *(f"_b__{n}" for n in sums))
 
 
 def global_row_number(df: DataFrame, *order: str | Column, parts: int | None = None, name: str = "row_no") -> DataFrame:
     """Adds a 0-based number in the given order; rows equal in all of it are numbered in any order."""
     ranged = in_ranges(df, order, parts)
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # MOST_RANGES rows at most
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    before = _before(ranged.groupBy("_range").agg(F.count("*").alias("_n")), ["_n"])
     own = F.row_number().over(Window.partitionBy("_range").orderBy("_k")) - 1
-    return ranged.join(F.broadcast(before), "_range").withColumn(name, (own + F.col("_before")).cast("bigint")).drop("_range", "_before", "_k")
+    return ranged.join(before, "_range").withColumn(name, (own + F.col("_b__n")).cast("bigint")).drop("_range", "_b__n", "_k")
+
+
+def numbers(values: Sequence[float]) -> Column:
+    """A constant array of doubles, as one literal however many there are."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def _asked(i: int, places: Sequence[int]) -> Column:
+    """The quantiles of one weight in the order asked for; null if it has none."""
+    own = F.transform(F.filter("_q", lambda x: x["i"] == i), lambda x: x["x"])
+    if list(places) != list(range(len(places))):
+        own = F.transform(F.lit(list(places)), lambda k: F.get(own, k))
+    return F.when(F.size(F.filter("_q", lambda x: x["i"] == i)) > 0, own)
+
+
+def weighted_quantiles_by(cells: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], levels: Sequence[float]) -> DataFrame:
+    """(keys, q array<array<double>>): for each weight in turn, the quantiles by key of values that count as often as it says.
+
+    cells has one row for each key and value, a double. Ranks are found by running sums in ranges, one for each weight, so
+    neither a hot key nor many values are one task's work. Linear between neighbours; null where a weight sums to 0.
+    """
+    marked = cells.select(F.struct(*(F.col(k) for k in keys), F.lit(0).alias("_one")).alias("_g"), F.col(value).alias("_v"), *(F.col(w).alias(f"_w{i}") for i, w in enumerate(weights)))
+    summed = running_sums(marked, ["_g", "_v"], {f"_below{i}": f"_w{i}" for i in range(len(weights))})
+    sums = [e for i in range(len(weights)) for e in (F.sum(f"_w{i}").alias(f"_n{i}"), F.min(f"_below{i}").alias(f"_start{i}"))]
+    met = dealt_join(summed, summed.groupBy("_g").agg(*sums), ["_g"], "inner", counts=marked.groupBy("_g").agg(F.count("*").alias("_rows")))
+    # The levels whose lower, or upper, rank is one of a cell's ranks [at, at + c) follow one another: two binary searches each.
+    ordered = sorted(levels)
+    known, most, hits = numbers(ordered), len(ordered), []
+    for i in range(len(weights)):
+        at, n, c = F.col(f"_below{i}") - F.col(f"_start{i}"), F.col(f"_n{i}"), F.col(f"_w{i}")
+        place = lambda k: F.get(known, k) * (n - 1)  # noqa: B023, E731
+        for upper in (False, True):
+            low, high = (first_place(most, lambda k, x=x: place(k) <= x - 1 if upper else place(k) < x) for x in (at, at + c))  # noqa: B023
+            told = F.transform(F.sequence(low, high - 1), lambda k: F.struct(F.lit(i).alias("i"), k.alias("k"), F.lit(upper).alias("upper"), (place(k) - F.floor(place(k))).alias("w")))  # noqa: B023
+            hits.append(F.when((n > 0) & (c > 0) & (high > low), told).otherwise(F.array().cast("array<struct<i:int,k:int,upper:boolean,w:double>>")))
+    found = met.withColumn("_h", F.explode(F.concat(*hits)))
+    ends = found.groupBy("_g", "_h.i", "_h.k").agg(F.max(F.when(~F.col("_h.upper"), F.col("_v"))).alias("lo"), F.max(F.when(F.col("_h.upper"), F.col("_v"))).alias("hi"), F.max("_h.w").alias("w"))
+    between = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - F.col("w")) * F.col("lo") + F.col("w") * F.col("hi"))
+    rows = ends.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("i", "k", between.alias("x")))).alias("_q"))
+    of = F.array(*(_asked(i, [ordered.index(p) for p in levels]) for i in range(len(weights))))
+    return rows.select(*(F.col(f"_g.{k}").alias(k) for k in keys), of.alias("q"))
 
 
 def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], accuracy: int | None = None) -> DataFrame:
     """(keys, q array<double>): quantiles of known values by key, linear between neighbours.
 
-    Exact ones count rows by value first, with partial sums, and find the ranks by running sums in ranges, so neither a
-    hot key nor a column of many values is one task's work. With `accuracy` they are approximate (an element of the
-    column whose rank is within n / accuracy), from one pass.
+    Exact ones count rows by value first, with partial sums, and find the ranks by weighted_quantiles_by(). With
+    `accuracy` they are approximate (an element of the column whose rank is within n / accuracy), from one pass.
     """
     known = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
     if accuracy is not None:
         return known.groupBy(*keys).agg(F.percentile_approx("_v", F.lit(list(levels)), accuracy).alias("q"))
-    cells = known.withColumn("_g", F.struct(*(F.col(k) for k in keys), F.lit(0).alias("_one"))).groupBy("_g", "_v").agg(F.count("*").alias("_c"))
-    summed = running_sums(cells, ["_g", "_v"], {"_below": "_c"})
-    groups = summed.groupBy("_g").agg(F.sum("_c").alias("_n"), F.min("_below").alias("_start"))
-    met = summed.join(groups, "_g")
-    at = F.col("_below") - F.col("_start")
-    place = lambda p: p * (F.col("_n") - 1)
-    holds = lambda rank: (at <= rank) & (rank < at + F.col("_c"))
-    hits = F.array(*(F.struct(F.lit(k).alias("k"), holds(F.floor(place(p))).alias("lo"), holds(F.ceil(place(p))).alias("hi"), (place(p) - F.floor(place(p))).alias("w")) for k, p in enumerate(levels)))
-    found = met.withColumn("_h", F.explode(F.filter(hits, lambda h: h["lo"] | h["hi"])))
-    ends = found.groupBy("_g", "_h.k").agg(F.max(F.when(F.col("_h.lo"), F.col("_v"))).alias("lo"), F.max(F.when(F.col("_h.hi"), F.col("_v"))).alias("hi"), F.max("_h.w").alias("w"))
-    between = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - F.col("w")) * F.col("lo") + F.col("w") * F.col("hi"))
-    rows = ends.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("k", between.alias("x")))).alias("_q"))
-    return rows.select(*(F.col(f"_g.{k}").alias(k) for k in keys), F.transform("_q", lambda x: x["x"]).alias("q"))
+    cells = known.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    return weighted_quantiles_by(cells, keys, "_v", ["_c"], levels).select(*keys, F.col("q")[0].alias("q"))
+
+
+#: Rows of one key in one chunk of chunked().
+CHUNK_ROWS = 200_000
+
+
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Adds _no, the row's number in the order of (keys, order), and _chunk: that of `rows` rows in a row, all of the same size."""
+    return global_row_number(df, *keys, *order, name="_no").withColumn("_chunk", F.floor(F.col("_no") / (rows or CHUNK_ROWS)))
+
+
+def longest(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the key that has most."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float], accuracy: int | None = None) -> dict[str, list[float]]:

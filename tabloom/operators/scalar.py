@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.order import quantiles
+from tabloom.functions.keys import BUCKETS, bucket
+from tabloom.operators.order import first_place, numbers, quantiles
 
 #: Period of each time part's cycle, as the feature definition has them.
 PERIODS = {"second": 86400, "minute": 1440, "hour": 24, "day": 30, "dayofweek": 7, "month": 12}
@@ -116,39 +115,57 @@ _TAIL = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00,
 _TAIL_BELOW = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
 
 
-def normal_inverse(p: np.ndarray) -> np.ndarray:
+def _polynomial(terms: Sequence[float], x: Column) -> Column:
+    out = F.lit(0.0)
+    for t in terms:
+        out = out * x + t
+    return out
+
+
+def normal_inverse(p: Column) -> Column:
     """Quantiles of the standard normal."""
-    p = np.asarray(p, float)
     q = p - 0.5
     r = q * q
-    centre = np.polyval(_CENTRE, r) * q / np.polyval(_CENTRE_BELOW, r)
-    s = np.sqrt(-2 * np.log(np.minimum(p, 1 - p)))
-    tail = np.polyval(_TAIL, s) / np.polyval(_TAIL_BELOW, s)
-    return np.where(np.abs(q) <= 0.5 - 0.02425, centre, np.where(q < 0, tail, -tail))
+    centre = _polynomial(_CENTRE, r) * q / _polynomial(_CENTRE_BELOW, r)
+    s = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = _polynomial(_TAIL, s) / _polynomial(_TAIL_BELOW, s)
+    return F.when(F.abs(q) <= 0.5 - 0.02425, centre).when(q < 0, tail).otherwise(-tail)
+
+
+def noise(key: str | Column, seed: int) -> Column:
+    """A standard normal number from a hash of the seed and a key, equal on any partitioning."""
+    return normal_inverse((bucket(key, seed) + 0.5) / BUCKETS)
+
 
+def fit_quantiles(df: DataFrame, columns: Sequence[str], n: int = 1000, accuracy: int | None = None, noised: float = 0.0, seed: int = 0, key: str | None = None) -> dict[str, list[float]]:
+    """n + 1 quantiles of each column. With `noised`, a column gets Gaussian noise of noised / max(deviation, noised) deviations first, which breaks plateaus.
 
-def fit_quantiles(df: DataFrame, columns: Sequence[str], n: int = 1000, accuracy: int | None = None, noise: float = 0.0, seed: int = 0) -> dict[str, list[float]]:
-    """n + 1 quantiles of each column. With noise, a column gets Gaussian noise of noise / max(deviation, noise) deviations first, which breaks plateaus."""
-    if noise:
+    The noise follows a hash of each row's `key`, which it needs.
+    """
+    if noised:
+        if key is None:
+            raise ValueError("noise needs a key")
         std = df.agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()
-        df = df.withColumns({c: F.col(c) + noise / max(std[c] or 0.0, noise) * F.randn(seed + k) for k, c in enumerate(columns)})
+        df = df.withColumns({c: F.col(c) + noised / max(std[c] or 0.0, noised) * noise(key, seed + k) for k, c in enumerate(columns)})
     return quantiles(df, columns, [k / n for k in range(n + 1)], accuracy)
 
 
+def level_of(x: Column, edges: Sequence[float]) -> Column:
+    """The share of rows below x by quantiles at equal steps: linear between two, the middle of a plateau where they repeat."""
+    known, most = numbers(edges), len(edges)
+    below, upto = first_place(most, lambda k: F.get(known, k) < x), first_place(most, lambda k: F.get(known, k) <= x)
+
+    def between(at: Column) -> Column:
+        lo, hi = F.get(known, at["upto"] - 1), F.get(known, at["upto"])
+        step = at["upto"] - 1 + (x - lo) / (hi - lo)
+        return F.when(at["below"] < at["upto"], (at["below"] + at["upto"] - 1) / 2).when(at["upto"] == 0, 0.0).when(at["upto"] == most, most - 1.0).otherwise(step) / (most - 1)
+
+    # Each search is made once: its place is the element of an array that the rest is a function of.
+    return F.get(F.transform(F.array(F.struct(below.alias("below"), upto.alias("upto"))), between), 0)
+
+
 def quantile_normal(df: DataFrame, fitted: dict[str, list[float]], edge: float = 1e-7) -> DataFrame:
-    """Maps columns to normal scores by their quantiles; the middle of a plateau where quantiles repeat. Null stays null."""
-    tables = {c: (np.array(q), np.linspace(0, 1, len(q))) for c, q in fitted.items()}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for c, (q, p) in tables.items():
-                x = pdf[c].to_numpy(float)
-                up, down = np.interp(x, q, p), 1 - np.interp(-x, -q[::-1], p)
-                level = np.clip((up + down) / 2, edge, 1 - edge)
-                known = ~np.isnan(x)
-                out = np.full(len(x), np.nan)
-                out[known] = normal_inverse(level[known])
-                pdf[c] = pd.Series(out).where(known, None)
-            yield pdf
-
-    return df.withColumns({c: F.col(c).cast("double") for c in tables}).mapInPandas(run, df.withColumns({c: F.col(c).cast("double") for c in tables}).schema)
+    """Maps columns to normal scores by their quantiles, two at least. Null stays null."""
+    level = {f"_p_{c}": F.least(F.greatest(level_of(F.col(c).cast("double"), q), F.lit(edge)), F.lit(1 - edge)) for c, q in fitted.items()}
+    leveled = df.withColumns(level)
+    return leveled.withColumns({c: F.when(F.col(c).isNotNull(), normal_inverse(F.col(f"_p_{c}"))) for c in fitted}).drop(*level)

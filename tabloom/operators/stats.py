@@ -2,31 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.operators.order import quantiles
+from tabloom.operators.encode import apply_levels
+from tabloom.operators.order import quantiles_by, weighted_quantiles_by
+from tabloom.operators.skew import dealt_join
 
 
 def group_encode(df: DataFrame, key: str, values: Sequence[str], missing: float = -1.0) -> DataFrame:
-    """Adds {value}_{key}_mean and _std over all rows of df, one grouping for a key; a sentinel `missing` is null before, and null is `missing` after."""
+    """Adds {value}_{key}_mean and _std over all rows of df, one grouping for a key; a sentinel `missing` is null before, and null is `missing` after.
+
+    A null key is no group: its rows get `missing`. Rows of a heavy key, and those with a null one, are dealt out in the join.
+    """
     known = {v: F.nullif(F.col(v), F.lit(missing)) for v in values}
-    fitted = df.groupBy(key).agg(*(f(c).alias(f"{v}_{key}_{n}") for v, c in known.items() for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
-    out = df.join(fitted, key, "left")
+    made = [f(c).alias(f"{v}_{key}_{n}") for v, c in known.items() for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    out = dealt_join(df, df.groupBy(key).agg(*made, F.count("*").alias("_rows")), [key], rows="_rows")
     return out.withColumns({f"{v}_{key}_{n}": F.coalesce(f"{v}_{key}_{n}", F.lit(missing)) for v in values for n in ("mean", "std")})
 
 
+def group_encode_all(df: DataFrame, keys: Sequence[str], values: Sequence[str], missing: float = -1.0, row_key: str | None = None) -> DataFrame:
+    """What group_encode() adds, for several keys: one pass fits all of them, and apply_levels() brings the values back."""
+    known = [F.nullif(F.col(v), F.lit(missing)).alias(f"_v{i}") for i, v in enumerate(values)]
+    cells = df.select(*known, F.inline(F.array(*(F.struct(F.lit(k).alias("column"), F.col(k).cast("string").alias("level")) for k in keys)))).where("level is not null")
+    made = [f(f"_v{i}").alias(f"{n}{i}") for i in range(len(values)) for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    fitted = cells.groupBy("column", "level").agg(*made, F.count("*").alias("_rows"))
+    names = {k: {f"{n}{i}": f"{v}_{k}_{n}" for i, v in enumerate(values) for n in ("mean", "std")} for k in keys}
+    out = apply_levels(df, fitted, names, row_key)
+    return out.withColumns({n: F.coalesce(n, F.lit(missing)) for of in names.values() for n in of.values()})
+
+
 def nunique_encode(df: DataFrame, key: str, value: str, error: float | None = None) -> DataFrame:
-    """Adds {key}_{value}_ct: distinct known values by key. Distinct pairs are made first, so a hot key is dealt out.
+    """Adds {key}_{value}_ct: distinct known values by key; null for keys without any. Distinct pairs are made first, so a hot key is dealt out.
 
     With `error`, the relative standard deviation, counts are approximate sketches that merge before they are shuffled.
     """
+    known = df.where(F.col(value).isNotNull())
     if error is not None:
-        return df.join(df.where(F.col(value).isNotNull()).groupBy(key).agg(F.approx_count_distinct(value, error).alias(f"{key}_{value}_ct")), key, "left")
-    pairs = df.where(F.col(value).isNotNull()).select(key, value).distinct()
-    return df.join(pairs.groupBy(key).agg(F.count("*").alias(f"{key}_{value}_ct")), key, "left")
+        counts = known.groupBy(key).agg(F.approx_count_distinct(value, error).alias(f"{key}_{value}_ct"), F.count("*").alias("_rows"))
+    else:
+        pairs = known.groupBy(key, value).agg(F.count("*").alias("_n"))
+        counts = pairs.groupBy(key).agg(F.count("*").alias(f"{key}_{value}_ct"), F.sum("_n").alias("_rows"))
+    return dealt_join(df, counts, [key], rows="_rows")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -96,19 +118,46 @@ def equal_width_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((x - lo) * bins / F.nullif(hi - lo, F.lit(0.0)))))).cast("int")
 
 
-def fit_bins(df: DataFrame, columns: Sequence[str], max_bin: int = 256, accuracy: int | None = None) -> dict[str, list[float]]:
-    """Edges for each column: its values, if they are few, else distinct exact quantiles. At most max_bin - 1 each."""
-    row = df.agg(*(F.approx_count_distinct(c).alias(f"n_{c}") for c in columns)).first()
-    out = {}
-    for c in columns:
-        if row[f"n_{c}"] <= max_bin * 0.9:
-            values = [r[0] for r in df.select(F.col(c).cast("double")).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(max_bin + 1).collect()]
-            if len(values) <= max_bin:
-                out[c] = values[1:]
-                continue
-        out[c] = []
-    if rest := [c for c in columns if not out[c]]:
-        out |= {c: sorted(set(q)) for c, q in quantiles(df, rest, [k / max_bin for k in range(1, max_bin)], accuracy).items()}
+def fit_bins(df: DataFrame, columns: Sequence[str], max_bin: int = 256, accuracy: int | None = None, mode: str = "quantile") -> dict[str, list[float]]:
+    """Edges for each column: its values, if they are few, else distinct quantiles. All columns share a pass.
+
+    In mode "quantile" there are max_bin - 1 edges at most, at equal counts of rows. In mode "frequency" a value with more
+    than a bin's share of the known rows (1 / max_bin, so they are fewer than max_bin) has a bin of its own, and the other
+    rows are cut to equal counts in the bins that are left, one at least; a bin of these that spans such a value is in two.
+    """
+    if mode not in ("quantile", "frequency"):
+        raise ValueError(f"unknown mode {mode}")
+    cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns)))).where("x is not null")
+    values = cells.groupBy("column", "x").agg(F.count("*").alias("n"))
+    per = values.groupBy("column").agg(F.count("*").alias("values"), F.sum("n").alias("total"))  # a row for each column
+    known = values.join(F.broadcast(per), "column")
+    own = F.col("n") * max_bin > F.col("total") if mode == "frequency" else F.lit(False)
+    few = known.where((F.col("values") <= max_bin) | own).groupBy("column").agg(F.first("values").alias("values"), F.sort_array(F.collect_list("x")).alias("x"))
+    out: dict[str, list[float]] = {c: [] for c in columns}
+    heavy: dict[str, list[float]] = {}
+    for r in few.collect():  # max_bin values of each column at most
+        if r["values"] <= max_bin:
+            out[r["column"]] = list(r["x"])[1:]
+            heavy[r["column"]] = []
+        else:
+            heavy[r["column"]] = list(r["x"])
+    several = [c for c in columns if not (c in heavy and not heavy[c])]
+    if not several:
+        return out
+    # Columns that keep as many quantiles are cut together, from the counts by value.
+    by_bins: dict[int, list[str]] = {}
+    for c in several:
+        by_bins.setdefault(max(1, max_bin - len(heavy.get(c, []))), []).append(c)
+    for bins, some in by_bins.items():
+        levels = [k / bins for k in range(1, bins)]
+        rest = known.where(F.col("column").isin(some) & ~own)
+        if accuracy is not None:
+            plain = cells.where(F.col("column").isin(some)).join(F.broadcast(known.where(own).select("column", "x")), ["column", "x"], "left_anti") if mode == "frequency" else cells.where(F.col("column").isin(some))
+            found = {r["column"]: r["q"] for r in quantiles_by(plain, ["column"], "x", levels, accuracy).collect()} if levels else {}
+        else:
+            found = {r["column"]: r["q"][0] or [] for r in weighted_quantiles_by(rest, ["column"], "x", ["n"], levels).collect()} if levels else {}
+        for c in some:
+            out[c] = sorted({*found.get(c, []), *(e for v in heavy.get(c, []) for e in (v, math.nextafter(v, math.inf)))})
     return out
 
 
@@ -125,10 +174,33 @@ def bin_of(x: Column, edges: Sequence[float]) -> Column:
 
 
 def bin_target_stats(df: DataFrame, edges: dict[str, Sequence[float]], target: str) -> DataFrame:
-    """(feature, bin, n, sum_y, sum_y2) of all features in one grouping."""
-    cells = F.array(*(F.struct(F.lit(c).alias("feature"), bin_of(F.col(c), e).alias("bin")) for c, e in edges.items()))
-    y = F.col(target)
-    return df.where(y.isNotNull()).select(F.explode(cells).alias("c"), y.alias("_y")).groupBy("c.feature", "c.bin").agg(F.count("*").alias("n"), F.sum("_y").alias("sum_y"), F.sum(F.col("_y") * F.col("_y")).alias("sum_y2"))
+    """(feature, bin, n, sum_y, sum_y2) of all features; a bin is what bin_of() gives, and bins without rows are left out.
+
+    Each task keeps dense counters of every feature and bin and gives them at its end, so rows are not taken once for each
+    feature, and what is shuffled depends on features, bins and tasks alone. Rows without a target count nowhere.
+    """
+    names, widest = list(edges), max(map(len, edges.values()), default=0) + 2
+    cuts = [np.asarray(e, float) for e in edges.values()]
+    fields = ["feature", "bin", "n", "sum_y", "sum_y2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((3, len(cuts), widest))
+        for b in batches:
+            y = b.column(0).to_numpy(zero_copy_only=False)
+            for k, cut in enumerate(cuts):
+                x = b.column(k + 1)
+                there = x.is_valid().to_numpy(zero_copy_only=False)
+                at = np.where(there, np.searchsorted(cut, x.fill_null(0.0).to_numpy(zero_copy_only=False), "right") + 1, 0)
+                for total, weight in zip(held, (None, y, y * y), strict=True):
+                    total[k] += np.bincount(at, weight, widest)
+        feature, bin_ = np.nonzero(held[0])
+        columns = [pa.array(feature, pa.int32()), pa.array(bin_ - 1, pa.int32()), pa.array(held[0][feature, bin_].astype(np.int64)), *(pa.array(h[feature, bin_]) for h in held[1:])]
+        yield pa.RecordBatch.from_arrays(columns, fields)
+
+    rows = df.where(F.col(target).isNotNull()).select(F.col(target).cast("double"), *(F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(names)))
+    counted = rows.mapInArrow(run, "feature int, bin int, n bigint, sum_y double, sum_y2 double").groupBy("feature", "bin")
+    named = counted.agg(*(F.sum(c).alias(c) for c in fields[2:]))
+    return named.withColumn("feature", F.get(F.array(*map(F.lit, names)), F.col("feature")))
 
 
 def best_split(binned: DataFrame, least: int = 20) -> DataFrame:

@@ -1,12 +1,14 @@
-"""Rolling statistics over the last rows of an entity."""
+"""Rolling statistics over the last rows of an entity, whatever share of all rows it holds."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.operators import order as ranges
+
 
 def rolling(value: str, keys: Sequence[str], order: Sequence[str], size: int) -> dict[str, Column]:
     """Mean, median, min, max, deviation and corrected skewness of the last `size` rows; nulls are skipped.
@@ -28,3 +30,21 @@ def rolling(value: str, keys: Sequence[str], order: Sequence[str], size: int) ->
         f"{value}_std": std,
         f"{value}_skew": F.when(fair, skew).otherwise(0.0),
     }
+
+
+def add_rolling(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], sizes: Sequence[int], rows: int | None = None) -> DataFrame:
+    """Adds what rolling() gives for each window length, named {value}_{statistic}_{length}; all lengths share one sort.
+
+    `order` tells a key's rows apart. If a key has more than `rows` rows, all are cut in chunks of that many in the order of
+    (keys, order), and each chunk starts with the rows of the one before that its windows reach (its halo).
+    """
+    rows = max(rows or ranges.CHUNK_ROWS, max(sizes))
+    by, along, out = list(keys), list(order), df
+    hot = ranges.longest(df, keys) > rows
+    if hot:
+        placed = ranges.chunked(df, keys, order, rows)
+        reaches = F.col("_no") % rows >= rows - max(sizes) + 1
+        out = placed.withColumn("_own", F.col("_chunk")).withColumn("_chunk", F.explode(F.when(reaches, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+        by, along = ["_chunk", *keys], ["_no"]
+    out = out.select("*", *(c.alias(f"{k}_{size}") for size in sizes for k, c in rolling(value, by, along, size).items()))
+    return out.where("_chunk = _own").drop("_no", "_chunk", "_own") if hot else out

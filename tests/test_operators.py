@@ -130,11 +130,20 @@ def test_quantiles_become_normal(spark):
     df = spark.range(2001).select(F.col("id").cast("double").alias("x"))
     out = np.sort([r.x for r in scalar.quantile_normal(df, scalar.fit_quantiles(df, ["x"])).collect()])
     assert abs(out.mean()) < 1e-6 and abs(out[1000]) < 1e-9 and 0.9 < out.std() < 1.1
-    assert scalar.normal_inverse(np.array([0.975]))[0] == pytest.approx(1.959963985)
-    p = np.array([1e-7, 0.001, 0.3, 0.5, 0.7, 0.999, 1 - 1e-7])
-    assert [0.5 * math.erfc(-z / math.sqrt(2)) for z in scalar.normal_inverse(p)] == pytest.approx(p, rel=1e-7)
-    flat = spark.range(300).select((F.col("id") % 3).cast("double").alias("x"))
-    assert len(set(scalar.fit_quantiles(flat, ["x"], 100)["x"])) <= 5 < 90 < len(set(scalar.fit_quantiles(flat, ["x"], 100, noise=1e-3)["x"]))
+    p = [1e-7, 0.001, 0.3, 0.5, 0.7, 0.975, 0.999, 1 - 1e-7]
+    found = spark.createDataFrame([(x,) for x in p], "p double").select(scalar.normal_inverse(F.col("p")).alias("z"), "p").collect()
+    assert [0.5 * math.erfc(-r.z / math.sqrt(2)) for r in found] == pytest.approx([r.p for r in found], rel=1e-7)
+    rows = [(float(x),) for x in (-5, 1, 1, 2, 3, 9, 1.5, 20)]
+    q, level = np.array([1.0, 1.0, 1.0, 2.0, 9.0]), np.linspace(0, 1, 5)
+    want = [(np.interp(x, q, level) + 1 - np.interp(-x, -q[::-1], level)) / 2 for (x,) in rows]
+    got = [r.l for r in spark.createDataFrame(rows, "x double").select(scalar.level_of(F.col("x"), q.tolist()).alias("l")).collect()]
+    assert got == pytest.approx(want)
+    flat = spark.range(300).select("id", (F.col("id") % 3).cast("double").alias("x"))
+    noised = scalar.fit_quantiles(flat, ["x"], 100, noised=1e-3, key="id")
+    assert len(set(scalar.fit_quantiles(flat, ["x"], 100)["x"])) <= 5 < 90 < len(set(noised["x"]))
+    assert scalar.fit_quantiles(flat.repartition(5), ["x"], 100, noised=1e-3, key="id")["x"] == pytest.approx(noised["x"], abs=1e-12)
+    with pytest.raises(ValueError):
+        scalar.fit_quantiles(flat, ["x"], noised=1e-3)
 
 
 def test_parameters_and_aliases():

@@ -14,7 +14,7 @@ sys.path.insert(0, str(REPO))
 
 from tabloom.jobs.registry import ORACLE_SQL, QUERIES  # noqa: E402
 
-FITS = {"gbt_regression", "gbt_binary", "early_stopping", "lasso_cascade", "oof_predictions", "feature_importance", "forward_selection", "grid_search", "linear_cv", "stack_oof", "grid_search_auc", "oof_test_mean", "multi_target_fit", "ensemble_models", "pipeline_readings", "pipeline_stops", "pipeline_binary"}
+FITS = {"gbt_regression", "gbt_binary", "early_stopping", "lasso_cascade", "oof_predictions", "feature_importance", "forward_selection", "grid_search", "linear_cv", "stack_oof", "grid_search_auc", "oof_test_mean", "multi_target_fit", "ensemble_models", "gbt_categorical", "pipeline_readings", "pipeline_stops", "pipeline_binary"}
 
 
 def cell(v):
@@ -48,7 +48,7 @@ def test_query_equals_sql(spark, tables, name):
 
 
 def test_queries_without_sql_are_models():
-    assert set(QUERIES) - set(ORACLE_SQL) == FITS | {"quantile_normal"}
+    assert set(QUERIES) - set(ORACLE_SQL) == FITS
 
 
 def test_entry_imports_without_the_text_operators(tmp_path):
