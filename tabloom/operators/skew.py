@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Inverse of the share of rows that makes a key heavy, and rows below which none is.
 SHARES, HEAVY_ROWS = 1024, 100_000
@@ -44,7 +45,7 @@ def dealt_join(df: DataFrame, fitted: DataFrame, keys: Sequence[str], how: str =
     if not heavy:
         left, copied = df.withColumn("_place", place.cast("int")), right.withColumn("_place", F.lit(0))
     else:
-        known = F.broadcast(df.sparkSession.createDataFrame(heavy, counts.select(*keys).schema.add("_copies", "int")))
+        known = F.broadcast(df.sparkSession.createDataFrame(heavy, counts.select(*keys).schema.add("_copies", IntegerType())))
         left = df.join(known, keys, "left").withColumn("_place", F.coalesce(deal % F.col("_copies"), place).cast("int")).drop("_copies")
         copied = right.join(known, keys, "left").withColumn("_place", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
     return left.join(copied, [*keys, "_place"], how).select(*df.columns, *new)
