@@ -8,16 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.jobs.files import place
+from tabloom.jobs.files import staged
 from tabloom.jobs.registry import query, read
 from tabloom.operators import encode, evaluate, folds, merge, model, scalar, select, stats
 
-def stage(df):
-    """df as a table in the shared folder, so that what follows reads it and does not make it again."""
-    df.write.parquet(path := place(df.sparkSession))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Parameters of the pipelines' boosters.
 GIVEN = {"num_boost_round": 4, "learning_rate": 0.3, "max_depth": 3, "max_bin": 32, "early_stop": 3, "metric": "rmse"}
 
@@ -48,10 +42,10 @@ def pipeline_readings(spark, d):
     Statistics are fitted before the folds are cut, as the readings job does; fold_scores fits them by fold.
     """
     numbers = ["l_quantity", "month", "weekday", "month_mean", "month_median", "day_mean", "day_median", "meter_code"]
-    r = stage(readings_features(spark, d))
+    r = staged(readings_features(spark, d))
     r = encode.apply_codes(r, encode.fit_labels(r, "meter"), "meter", "meter_code", -1)
     data = model.assembled(folds.kfold_contiguous(r, "l_orderkey", 3), numbers).select("l_orderkey", "fold", F.col("y").alias("label"), "features")
-    data = stage(data)
+    data = staged(data)
     scored = model.out_of_fold(data, model.booster("regression", GIVEN).fit, 3)
     mean = data.agg(F.avg("label").alias("_mean"))
     e, g = F.col("score") - F.col("label"), F.col("_mean") - F.col("label")
@@ -89,7 +83,7 @@ def pipeline_stops(spark, d):
     """(target_id, target): scores of three targets for the parts held out, fitted over the same folds of the others."""
     made = read(spark, d, "part").select("p_partkey", *((F.log1p("p_retailprice") * (k + 1) + F.col("p_size") * k).alias(t) for k, t in enumerate(STOPS)))
     numbers = ["brand_freq", "first_freq", "price_brand_mean", "price_brand_std", "first_code", "price_bin"]
-    data = stage(model.assembled(stops_features(spark, d).join(made, "p_partkey"), numbers).select("p_partkey", *STOPS, "features"))
+    data = staged(model.assembled(stops_features(spark, d).join(made, "p_partkey"), numbers).select("p_partkey", *STOPS, "features"))
     train = folds.kfold_shuffled(data.where("p_partkey % 5 <> 0"), "p_partkey", 3)
     return model.fit_targets(train, data.where("p_partkey % 5 = 0"), STOPS, model.booster("regression", GIVEN).fit, 3, "p_partkey")[1]
 
@@ -112,7 +106,7 @@ def binary_features(spark, d):
 @query("pipeline_binary")
 def pipeline_binary(spark, d):
     """(rounds, n, auc, threshold): a booster stopped on its area under the curve over a fold, scored on the held-out block."""
-    data = stage(model.assembled(binary_features(spark, d).withColumn("label", F.col("y").cast("double")), ["hour", "value", "user_mean", "user_id_counts"]).select("event_id", "split", "label", "features"))
+    data = staged(model.assembled(binary_features(spark, d).withColumn("label", F.col("y").cast("double")), ["hour", "value", "user_mean", "user_id_counts"]).select("event_id", "split", "label", "features"))
     train = folds.kfold_shuffled(data.where("split = 'train'"), "event_id", 4)
     fitted, best, _ = model.fit_early("binary", GIVEN | {"metric": "auc"}, train.where("fold <> 0"), train.where("fold = 0"))
     scored = model.score(fitted, data.where("split = 'test'")).select("label", "score")

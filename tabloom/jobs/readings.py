@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.functions.keys import bucket
+from tabloom.jobs.files import staged
 from tabloom.jobs.registry import query, read
 from tabloom.operators import merge
 from tabloom.operators.order import weighted_quantiles_by
@@ -34,7 +35,7 @@ def fold_scores(spark, d):
     """
     r = joined_readings(spark, d)
     keys = ["round", "meter", "month"]
-    cells = r.groupBy("meter", "month", "y").agg(*((F.count("*") - F.count_if(F.col("fold") == k)).alias(f"n{k}") for k in range(FOLDS)))
+    cells = staged(r.groupBy("meter", "month", "y").agg(*((F.count("*") - F.count_if(F.col("fold") == k)).alias(f"n{k}") for k in range(FOLDS))))
     means = cells.groupBy("meter", "month").agg(*((F.sum(F.col("y") * F.col(f"n{k}")) / F.nullif(F.sum(f"n{k}"), F.lit(0))).alias(f"m{k}") for k in range(FOLDS)))
     medians = weighted_quantiles_by(cells, ["meter", "month"], "y", [f"n{k}" for k in range(FOLDS)], [0.5])
     each = F.array(*(F.struct(F.lit(k).alias("round"), F.col(f"m{k}").alias("g_mean"), F.get(F.get("q", F.lit(k)), F.lit(0)).alias("g_median")) for k in range(FOLDS)))

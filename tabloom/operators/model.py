@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -19,7 +18,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.operators.order import first_place, numbers
+from tabloom.operators.order import first_place, held, numbers
 
 # Defaults of parameters, and the names that each goes by, the first given one winning.
 PARAMETERS: dict[str, tuple[Any, tuple[str, ...]]] = {
@@ -53,15 +52,6 @@ def parameters(given: dict[str, Any]) -> dict[str, Any]:
     return out | {"metric": METRICS.get(given.get("metric", "mse"), given.get("metric", "mse"))}
 
 
-@contextmanager
-def held(df: DataFrame) -> Iterator[DataFrame]:
-    """df, cached while a fit reads it over and over, and let go after."""
-    try:
-        yield df.cache()
-    finally:
-        df.unpersist()
-
-
 def booster(kind: str, given: dict[str, Any], label: str = "label", rounds: int | None = None):
     """A Spark ML booster for regression or binary classes."""
     p = parameters(given)

@@ -8,7 +8,9 @@ order share a range.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,15 @@ RANGE_ROWS, FANOUT = 200_000, 1024
 SAMPLED = 32
 
 
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """df, cached while it is read over and over, and let go after."""
+    try:
+        yield df.cache()
+    finally:
+        df.unpersist()
+
+
 def _struct(order: Sequence[str | Column]) -> Column:
     return F.struct(*((F.col(o) if isinstance(o, str) else o).alias(f"k{i}") for i, o in enumerate(order)))
 
@@ -109,6 +120,16 @@ def _asked(i: int, places: Sequence[int]) -> Column:
     return F.when(F.size(F.filter("_q", lambda x: x["i"] == i)) > 0, own)
 
 
+#: Levels of all weights together that are compared one by one.
+FEW_RANKS = 64
+
+
+def _holds(i: int, level: float, whole: Callable[[Column], Column]) -> Column:
+    """Does a cell hold the rank of a level, by the i-th weight."""
+    rank, at = whole(F.lit(level) * (F.col(f"_n{i}") - 1)), F.col(f"_below{i}") - F.col(f"_start{i}")
+    return (F.col(f"_n{i}") > 0) & (at <= rank) & (rank < at + F.col(f"_w{i}"))
+
+
 def weighted_quantiles_by(cells: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], levels: Sequence[float]) -> DataFrame:
     """(keys, q array<array<double>>): for each weight in turn, the quantiles by key of values that count as often as it says.
 
@@ -119,6 +140,9 @@ def weighted_quantiles_by(cells: DataFrame, keys: Sequence[str], value: str, wei
     summed = running_sums(marked, ["_g", "_v"], {f"_below{i}": f"_w{i}" for i in range(len(weights))})
     sums = [e for i in range(len(weights)) for e in (F.sum(f"_w{i}").alias(f"_n{i}"), F.min(f"_below{i}").alias(f"_start{i}"))]
     met = dealt_join(summed, summed.groupBy("_g").agg(*sums), ["_g"], "inner", counts=marked.groupBy("_g").agg(F.count("*").alias("_rows")))
+    if len(weights) * len(levels) <= FEW_RANKS:
+        # Few cells hold a rank that is asked for: plain comparisons leave the others out.
+        met = met.where(reduce(Column.__or__, (_holds(i, p, up) for i in range(len(weights)) for p in levels for up in (F.floor, F.ceil))))
     # The levels whose lower, or upper, rank is one of a cell's ranks [at, at + c) follow one another: two binary searches each.
     ordered = sorted(levels)
     known, most, hits = numbers(ordered), len(ordered), []
@@ -166,5 +190,8 @@ def longest(df: DataFrame, keys: Sequence[str]) -> int:
 
 def quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float], accuracy: int | None = None) -> dict[str, list[float]]:
     """Quantiles of several columns; a column without known values is left out. All columns share one pass."""
-    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("c")).select("c.*")
-    return {r["column"]: list(r["q"]) for r in quantiles_by(cells, ["column"], "x", levels, accuracy).collect()}
+    cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))))
+    if accuracy is not None:
+        return {r["column"]: list(r["q"]) for r in quantiles_by(cells, ["column"], "x", levels, accuracy).collect()}
+    with held(cells.where("x is not null").groupBy("column", "x").agg(F.count("*").alias("n"))) as counts:
+        return {r["column"]: list(r["q"][0]) for r in weighted_quantiles_by(counts, ["column"], "x", ["n"], levels).collect()}

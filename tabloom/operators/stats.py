@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.operators.encode import apply_levels
-from tabloom.operators.order import quantiles_by, weighted_quantiles_by
+from tabloom.operators.order import held, quantiles_by, weighted_quantiles_by
 from tabloom.operators.skew import dealt_join
 
 
@@ -128,7 +128,11 @@ def fit_bins(df: DataFrame, columns: Sequence[str], max_bin: int = 256, accuracy
     if mode not in ("quantile", "frequency"):
         raise ValueError(f"unknown mode {mode}")
     cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns)))).where("x is not null")
-    values = cells.groupBy("column", "x").agg(F.count("*").alias("n"))
+    with held(cells.groupBy("column", "x").agg(F.count("*").alias("n"))) as values:
+        return _edges(cells, values, columns, max_bin, accuracy, mode)
+
+
+def _edges(cells: DataFrame, values: DataFrame, columns: Sequence[str], max_bin: int, accuracy: int | None, mode: str) -> dict[str, list[float]]:
     per = values.groupBy("column").agg(F.count("*").alias("values"), F.sum("n").alias("total"))  # a row for each column
     known = values.join(F.broadcast(per), "column")
     own = F.col("n") * max_bin > F.col("total") if mode == "frequency" else F.lit(False)
