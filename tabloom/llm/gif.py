@@ -5,8 +5,8 @@ interlacing and disposal, and composes the canvas. A writer stores 8-bit samples
 WIDTH pixels, at most FRAME_ROWS rows a frame, the sample being the palette index, LZW-compressed.
 
 Null and empty payloads are stored as one block of zeros. A truncated or foreign file raises GifError in decode(); the
-frame table gives such a row no frames and its error text, and so it does for screens and images of over MAX_PIXELS. Any
-length works, in frames of bounded size. Equal payloads give equal bytes; repeated rows give repeated rows, an empty table
+frame table gives such a row no frames and its error text, and so it does for screens and images of over `max_pixels`. Any
+length works, in frames of bounded size; a file's frames go out one by one, after a first pass has found it whole. Equal payloads give equal bytes; repeated rows give repeated rows, an empty table
 none. Only the id and payload columns are read, so others cannot clash.
 """
 
@@ -29,7 +29,7 @@ FRAME_ROWS = 1024
 DELAY_CS = 10
 #: Levels of each colour channel in a histogram.
 LEVELS = 2
-#: Pixels of a screen or an image at most; larger ones are refused before memory is taken.
+#: Pixels of a screen or an image at most, unless a caller says otherwise; larger ones are refused before memory is taken.
 MAX_PIXELS = 1 << 24
 
 # Fixed values of the format: https://www.w3.org/Graphics/GIF/spec-gif89a.txt
@@ -124,25 +124,26 @@ def _pack_bits(codes: np.ndarray, widths: np.ndarray) -> bytes:
 
 
 def lzw_expand(data: bytes, size: int, want: int) -> bytes:
-    """Samples of a code stream: `want` of them, or GifError."""
+    """Samples of a code stream: `want` of them, or GifError. A full table stays until the next clear, with codes of 12 bits."""
     clear, end = 1 << size, (1 << size) + 1
     literals = [bytes([i]) for i in range(clear)] + [b"", b""]
-    widths, starts = _span(size + 1)
-    padded = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int64)
+    fresh = _span(size + 1)
+    full = np.full(MAX_CODES, 12), 12 * np.arange(MAX_CODES + 1)
+    padded = np.frombuffer(data + b"\0\0\0\0", np.uint8)
     bit, total, got, out = 0, 8 * len(data), 0, []
+    widths, starts = fresh
+    entries, before = list(literals), b""
     while got < want and bit < total:
         n = int(np.searchsorted(starts, total - bit, "right")) - 1
         if n <= 0:
             break
         at = bit + starts[:n]
         byte = at >> 3
-        word = padded[byte] | (padded[byte + 1] << 8) | (padded[byte + 2] << 16)
+        word = padded[byte].astype(np.int64) | (padded[byte + 1].astype(np.int64) << 8) | (padded[byte + 2].astype(np.int64) << 16)
         codes = (word >> (at & 7)) & ((1 << widths[:n]) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == end))
         upto = int(stops[0]) if len(stops) else n
-        entries = list(literals)
         add, put = entries.append, out.append
-        before = b""
         known = len(entries)
         for code in codes[:upto].tolist():
             if code < known:
@@ -162,33 +163,14 @@ def lzw_expand(data: bytes, size: int, want: int) -> bytes:
         if not len(stops):
             if n < len(starts) - 1:
                 break  # the stream has ended
-            bit += int(starts[n])  # a full table goes on at 12 bits until the next clear
-            return _expand_full(padded, bit, total, entries, before, out, got, want, size)
+            bit += int(starts[n])
+            widths, starts = full
+            continue
         bit += int(starts[upto] + widths[upto])
         if codes[upto] == end:
             break
-    samples = b"".join(out)
-    if len(samples) < want:
-        raise GifError(f"{len(samples)} samples; the image has {want}")
-    return samples[:want]
-
-
-def _expand_full(padded, bit, total, entries, before, out, got, want, size) -> bytes:
-    """Codes that follow a full table without a clear, all of 12 bits; after a clear the usual way goes on."""
-    clear, end = 1 << size, (1 << size) + 1
-    while got < want and bit + 12 <= total:
-        at = bit >> 3
-        code = int((padded[at] | (padded[at + 1] << 8) | (padded[at + 2] << 16)) >> (bit & 7)) & 0xFFF
-        bit += 12
-        if code == end:
-            break
-        if code == clear:
-            rest = bytes(np.packbits(np.unpackbits(padded[:-4].astype(np.uint8), bitorder="little")[bit:], bitorder="little"))
-            return b"".join(out) + lzw_expand(rest, size, want - got)
-        if code >= len(entries):
-            raise GifError("a code points past its table")
-        out.append(entries[code])
-        got += len(entries[code])
+        widths, starts = fresh
+        entries, before = list(literals), b""
     samples = b"".join(out)
     if len(samples) < want:
         raise GifError(f"{len(samples)} samples; the image has {want}")
@@ -215,34 +197,34 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
     return colours, at + 3 * n
 
 
-def decode(data: bytes) -> tuple[list[Frame], int, int]:
+def decode(data: bytes, max_pixels: int = MAX_PIXELS) -> tuple[list[Frame], int, int]:
     """Frames, width and height."""
-    frames = list(frames_of(data))
-    return frames, *screen(data)
+    frames = list(frames_of(data, max_pixels))
+    return frames, *screen(data, max_pixels)
 
 
-def screen(data: bytes) -> tuple[int, int]:
+def screen(data: bytes, max_pixels: int = MAX_PIXELS) -> tuple[int, int]:
     """Width and height, or GifError."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise GifError("no GIF signature")
     if len(data) < 13:
         raise GifError("the file is cut off")
     width, height = struct.unpack_from("<HH", data, 6)
-    if width * height > MAX_PIXELS:
+    if width * height > max_pixels:
         raise GifError(f"a screen of {width} x {height} pixels")
     return width, height
 
 
-def frames_of(data: bytes) -> Iterator[Frame]:
+def frames_of(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[Frame]:
     """Frames one by one, so that one canvas is held at a time; GifError where the file ends early."""
     try:
-        yield from _frames(data)
+        yield from _frames(data, max_pixels)
     except (IndexError, struct.error, ValueError) as e:
         raise e if isinstance(e, GifError) else GifError(f"not a whole GIF: {e}") from e
 
 
-def _frames(data: bytes) -> Iterator[Frame]:
-    width, height = screen(data)
+def _frames(data: bytes, max_pixels: int) -> Iterator[Frame]:
+    width, height = screen(data, max_pixels)
     flags = data[10]
     at, common = 13, None
     if flags & 0x80:
@@ -275,7 +257,7 @@ def _frames(data: bytes) -> Iterator[Frame]:
         size = data[at]
         if not 2 <= size <= 8:
             raise GifError(f"code size {size}")
-        if w * h > MAX_PIXELS:
+        if w * h > max_pixels:
             raise GifError(f"an image of {w} x {h} pixels")
         stream, at = _blocks(data, at + 1)
         indices = np.frombuffer(lzw_expand(stream, size, w * h), np.uint8).reshape(h, w)
@@ -326,26 +308,30 @@ def histogram(canvas: np.ndarray) -> list[int]:
     return np.bincount((level[:, 0] * LEVELS + level[:, 1]) * LEVELS + level[:, 2], minlength=LEVELS**3).tolist()
 
 
-def gif_frames(files: DataFrame, id_col: str = "id", data_col: str = "data") -> DataFrame:
+def gif_frames(files: DataFrame, id_col: str = "id", data_col: str = "data", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """A row for each frame: (id, frame, start_ms, delay_ms, width, height, disposal, transparent, rgba, histogram, error)."""
     kind = files.schema[id_col].dataType.simpleString()
     names = [id_col, "frame", "start_ms", "delay_ms", "width", "height", "disposal", "transparent", "rgba", "histogram", "error"]
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
 
+    def rows_of(data: bytes) -> Iterator[tuple]:
+        try:
+            width, height = screen(data, max_pixels)
+            for _ in frames_of(data, max_pixels):
+                pass  # a file that is not whole has no frames
+        except GifError as e:
+            yield (None,) * 9 + (str(e),)
+            return
+        start = 0
+        for k, f in enumerate(frames_of(data, max_pixels)):
+            yield k, start, f.delay_ms, width, height, f.disposal, f.transparent, f.canvas.tobytes(), histogram(f.canvas), None
+            start += f.delay_ms
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, data in enumerate(b.column(1).to_pylist()):
-                rows, start = [], 0
-                try:
-                    data = data or b""
-                    width, height = screen(data)
-                    for k, f in enumerate(frames_of(data)):
-                        rows.append((k, start, f.delay_ms, width, height, f.disposal, f.transparent, f.canvas.tobytes(), histogram(f.canvas), None))
-                        start += f.delay_ms
-                except GifError as e:
-                    rows = [(None,) * 9 + (str(e),)]
-                columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(rows), pa.int32())), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], names)
+            for i, data in enumerate(b.column(1)):
+                for row in rows_of(data.as_py() or b""):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *(pa.array([x], t) for x, t in zip(row, kinds, strict=True))], names)
 
     schema = f"{id_col} {kind}, frame int, start_ms bigint, delay_ms int, width int, height int, disposal int, transparent int, rgba binary, histogram array<bigint>, error string"
     return files.select(id_col, data_col).mapInArrow(run, schema)

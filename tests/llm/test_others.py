@@ -52,6 +52,58 @@ def test_gif_interlaced_rows():
     assert frames[0].indices[:, 0].tolist() == [0, 3, 2, 1, 1]
 
 
+def codes_of(pixels, size=8):
+    """A foreign stream: a full table is kept for a while and only then cleared, as writers may."""
+    clear = 1 << size
+    known, width, codes, prefix, late = {}, size + 1, [(clear, size + 1)], None, 0
+    for x in pixels:
+        key = (prefix, x)
+        if prefix is None or key in known:
+            prefix = x if prefix is None else known[key]
+            continue
+        codes.append((prefix, width))
+        prefix = x
+        entry = clear + 2 + len(known)
+        if entry < 4096:
+            known[key] = entry
+            width = max(width, entry.bit_length())
+        elif (late := late + 1) == 700:
+            codes.append((clear, 12))
+            known, width, late = {}, size + 1, 0
+    bits = at = 0
+    for code, n in [*codes, (prefix, width), (clear + 1, width)]:
+        bits |= code << at
+        at += n
+    return bits.to_bytes((at + 7) // 8, "little")
+
+
+@pytest.mark.parametrize("size", [2, 8])
+def test_lzw_of_streams_that_keep_a_full_table(size):
+    pixels = random.Random(5).choices(range(1 << size), k=60_000)
+    stream = codes_of(pixels, size)
+    assert gif.lzw_expand(stream, size, len(pixels)) == bytes(pixels)
+    with pytest.raises(gif.GifError):
+        gif.lzw_expand(stream[: len(stream) // 2], size, len(pixels))
+
+
+def test_lzw_of_thousands_of_clears():
+    # A clear after every literal: more clears than a recursion could take.
+    n = 5000
+    bits = at = 0
+    for code in [c for k in range(n) for c in (256, k % 256)] + [257]:
+        bits |= code << at
+        at += 9
+    assert gif.lzw_expand(bits.to_bytes((at + 7) // 8, "little"), 8, n) == bytes(k % 256 for k in range(n))
+
+
+def test_gif_limit_of_pixels_is_a_parameter(spark):
+    data = movie(image(0, 0, 3, 2, [1] * 6))
+    with pytest.raises(gif.GifError, match="3 x 2"):
+        gif.decode(data, max_pixels=5)
+    (row,) = gif.gif_frames(spark.createDataFrame([(1, bytearray(data))], "id long, data binary"), max_pixels=5).collect()
+    assert row.frame is None and "3 x 2" in row.error
+
+
 def test_gif_frames_table(spark):
     good = movie(image(0, 0, 3, 2, [1] * 6), image(0, 0, 1, 1, [2]))
     df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(good[:30])), (3, None)], "id long, data binary")
@@ -301,8 +353,9 @@ def test_chat_repeats_stay_one_row_each(spark, monkeypatch):
     rows = chat.link_messages(calls, results, spark.createDataFrame([], OTHERS), FREE).collect()
     assert len(rows) == 104 and sum(r.ambiguous for r in rows) == 100 and sum(r.linked for r in rows) == 102
     by = {(r.call_id, r.kind): r for r in rows if r.conv_id == 2}
-    assert (by["x", 0].depth, by["x", 0].level) == (0, 0) and (by["x", 1].depth, by["x", 1].level) == (0, 1) and not by["x", 1].valid
-    assert not by["lost", 1].linked and not by[None, 1].linked
+    one, two = by["x", chat.CALLS], by["x", chat.RESULT]
+    assert (one.depth, one.level) == (0, 0) and (two.depth, two.level) == (0, 1) and not two.valid
+    assert not by["lost", chat.RESULT].linked and not by[None, chat.RESULT].linked
 
 
 def test_chat_order_follows_chains_and_marks_cycles(spark):
@@ -310,23 +363,57 @@ def test_chat_order_follows_chains_and_marks_cycles(spark):
     calls = spark.createDataFrame([(1, t, i, "f", "{}", w) for i, t, w in waits] + [(2, 1, "a", "f", "{}", None), (2, 5, "b", "f", "{}", ["a"])], CALLS)
     results = spark.createDataFrame([(1, 2, "c", "r"), (1, 6, "b", "r"), (1, 20, "a", "r"), (2, 3, "a", "r")], RESULTS)
     rows = chat.with_positions(chat.link_messages(calls, results, spark.createDataFrame([(1, 0, "system", "s")], OTHERS), FREE)).collect()
-    at = {(r.call_id, r.kind): r.position for r in rows if r.conv_id == 1}
-    assert at[None, 2] == 0 and at["c", 0] < at["c", 1] < at["b", 0] < at["b", 1] < at["a", 0] < at["a", 1]
+    at = {(r.call_id, r.kind - chat.CALLS): r.position for r in rows if r.conv_id == 1}
+    assert at[None, chat.OTHER - chat.CALLS] == 0 and at["c", 0] < at["c", 1] < at["b", 0] < at["b", 1] < at["a", 0] < at["a", 1]
     assert sorted(at.values()) == list(range(11))
     assert {r.call_id for r in rows if r.cyclic} == {"p", "q", "r", "s"}
-    assert [(r.call_id, r.kind) for r in sorted((r for r in rows if r.conv_id == 2), key=lambda r: r.position)] == [("a", 0), ("a", 1), ("b", 0)]
+    assert [(r.call_id, r.kind) for r in sorted((r for r in rows if r.conv_id == 2), key=lambda r: r.position)] == [("a", chat.CALLS), ("a", chat.RESULT), ("b", chat.CALLS)]
+
+
+def test_chat_waits_of_repeated_identifiers_all_count(spark):
+    calls = spark.createDataFrame([(1, 1, "x", "f", "{}", ["p"]), (1, 1, "x", "f", "{}", ["q"]), (1, 5, "p", "f", "{}", None), (1, 7, "q", "f", "{}", None)], CALLS)
+    rows = chat.link_messages(calls, spark.createDataFrame([], RESULTS), spark.createDataFrame([], OTHERS), FREE).collect()
+    assert sorted((r.call_id, r.depth, r.level) for r in rows) == [("p", 5, 0), ("q", 7, 0), ("x", 7, 1), ("x", 7, 1)] and not any(r.cyclic for r in rows)
+
+
+def chats(spark, folder, turns):
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"call_id": F.lit("clash"), "derived": F.lit(1)}).write.parquet(str(folder / "conversations.parquet"))
+    return {r.conv_id: r for r in chat.op3_chat(spark, str(folder)).collect()}
+
+
+def test_chat_keeps_roles_content_and_arguments(spark, tmp_path):
+    weather = {"content": "Let me look that up.", "tool_calls": [{"id": "c1", "type": "function", "function": {"name": "reply", "arguments": json.dumps({"sha256": "0" * 64, "length": 3})}}]}
+    twice = '{"tool_calls":[{"id":"c2","name":"f","arguments":{"a":1,"a":2}},{"id":"c3","name":"f","arguments":"no json"}]}'
+    turns = [(1, 0, "user", "weather?"), (1, 1, "assistant", json.dumps(weather)), (1, 2, "tool", '{"tool_call_id":"c1","content":"sunny"}'), (1, 3, "assistant", "It is sunny."), (2, 0, "assistant", twice), (2, 1, "tool", '{"tool_call_id":"c2","content":{"k":1,"k":2}}')]
+    got = chats(spark, tmp_path, turns)
+    assert json.loads(got[1].chat) == [
+        {"content": "weather?", "role": "user", "turn": 0}, {"content": "Let me look that up.", "role": "assistant", "turn": 1},
+        {"arguments": {"length": 3, "sha256": "0" * 64}, "id": "c1", "name": "reply", "role": "assistant", "turn": 1}, {"content": "sunny", "id": "c1", "role": "tool", "turn": 2}, {"content": "It is sunny.", "role": "assistant", "turn": 3},
+    ]
+    first, second, result = sorted(json.loads(got[2].chat), key=lambda m: (m["role"] == "tool", m["id"]))
+    assert first["arguments"] == '{"a":1,"a":2}' and second["arguments"] == "no json" and result["content"] == '{"k":1,"k":2}' and got[2].trace == "[]"
+    traced = json.loads(got[1].trace)
+    digest = hashlib.sha256(b"weather?").hexdigest()
+    assert traced[0] == {"arguments": {"length": 8, "sha256": digest}, "id": "1-0", "name": "reply", "role": "assistant", "turn": 0}
+    assert [(m["role"], m["id"]) for m in traced] == [("assistant", "1-0"), ("tool", "1-0"), ("tool", "1-2")]
+
+
+def test_chat_escapes_every_control_character(spark):
+    texts = ["", "a\x00b\x1f\x1f", "\x01", "\x0b\n\"\\\b", "é\x7f😀\x02", None, "plain"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(chat.json_string(F.col("t")).alias("j")).collect()
+    assert [r.j for r in got] == [json.dumps(t, ensure_ascii=False) for t in texts]
 
 
 def test_chat_reads_calls_from_texts(spark, tmp_path):
-    call = json.dumps({"content": None, "tool_calls": [{"id": "c1", "name": "reply", "arguments": {"prompt": "hi", "length": 2}}, {"id": "c2", "name": "other", "arguments": {"z": [1, {"y": 2, "a": 1}]}}]})
+    call = json.dumps({"content": None, "tool_calls": [{"id": "c1", "name": "reply", "arguments": {"sha256": "x" * 64, "length": 2}}, {"id": "c2", "name": "other", "arguments": {"z": [1, {"y": 2, "a": 1}]}}]})
     turns = [(1, 0, "user", "{not json"), (1, 1, "assistant", call), (1, 2, "tool", '{"tool_call_id":"c1","content":{"b":1,"a":2}}'), (1, 3, "tool", '{"tool_call_id":"c9","content":"x"}'), (1, 4, "assistant", '{"other": 1}'), (2, 0, "tool", "plain")]
-    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("call_id", F.lit("clash")).write.parquet(str(tmp_path / "conversations.parquet"))
-    rows = {r.conv_id: r for r in chat.op3_chat(spark, str(tmp_path)).collect()}
+    rows = chats(spark, tmp_path, turns)
     messages = json.loads(rows[1].chat)
-    assert [m.get("id") for m in messages] == ["1-0", "c1", "c2", "c1", "c9", "1-3"] and rows[1].n_linked == 2 and rows[1].n_calls == 3
+    assert [m.get("id") for m in messages] == [None, "c1", "c2", "c1", "c9", None] and rows[1].n_linked == 2 and rows[1].n_calls == 3
+    assert [m["role"] for m in messages] == ["user", "assistant", "assistant", "tool", "tool", "assistant"] and messages[5]["content"] == '{"other": 1}'
     assert messages[2]["arguments"] == {"z": [1, {"a": 1, "y": 2}]} and messages[3]["content"] == '{"a":2,"b":1}'
     assert rows[1].chat == json.dumps(messages, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    assert rows[1].n_valid == 5 and rows[2].chat == '[{"content":"plain","role":"tool","turn":0}]'
+    assert rows[1].n_messages == 6 and rows[2].chat == '[{"content":"plain","role":"tool","turn":0}]'
 
 
 def test_chat_parts_of_a_long_conversation(spark):
@@ -349,7 +436,7 @@ def chat_equals_sql(spark, at):
 
 
 def test_chat_equals_sql_with_nulls_and_repeats(spark, tmp_path):
-    turns = [(1, 0, "system", 'be "kind"'), (1, 1, "user", "hi\n\t\\"), (1, 2, "assistant", "ho"), (1, 2, "assistant", "ho"), (1, 3, "tool", None), (1, 4, None, "x"), (1, None, "user", "when"), (1, None, "assistant", "now"), (1, None, "system", "s"), (None, 5, "user", "who"), (None, 6, "assistant", "me"), (2, 1, "user", None), (2, 3, "user", ""), (2, 3, "user", "é" * 50_000)]
+    turns = [(1, 0, "system", 'be "kind"'), (1, 1, "user", "hi\n\t\\\x01"), (1, 2, "assistant", "ho"), (1, 2, "assistant", "ho"), (1, 3, "tool", None), (1, 4, None, "x"), (1, None, "user", "when"), (1, None, "assistant", "now"), (1, None, "system", "s"), (None, 5, "user", "who"), (None, 6, "assistant", "me"), (2, 1, "user", None), (2, 3, "user", ""), (2, 3, "user", "é" * 50_000)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     chat_equals_sql(spark, tmp_path)
 
