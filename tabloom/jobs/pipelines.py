@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.jobs.files import staged
+from tabloom.jobs import meters
+from tabloom.jobs.files import place, staged
 from tabloom.jobs.registry import query, read
-from tabloom.operators import encode, evaluate, folds, merge, model, scalar, select, stats
+from tabloom.operators import encode, evaluate, folds, merge, model, order, scalar, select, stats
+from tabloom.sources import files
 
 #: Parameters of the pipelines' boosters.
 GIVEN = {"num_boost_round": 4, "learning_rate": 0.3, "max_depth": 3, "max_bin": 32, "early_stop": 3, "metric": "rmse"}
@@ -35,21 +37,49 @@ def readings_features(spark, d):
     return r.select("l_orderkey", "l_linenumber", "l_quantity", "meter", "o_orderpriority", "month", "weekday", *(F.round(c, n).alias(c) for c, n in rounded.items()))
 
 
+#: Weather columns that the readings job keeps, and bins in which it screens them.
+KEPT_WEATHER, SCREEN_BINS = 3, 16
+
+
+def screened(facts, dim, keys, target, columns, most):
+    """The `most` columns of a dimension that tell the target's variance best over its facts, by bins, without the wide join."""
+    edges = {c: merge.weighted_edges(facts, dim, keys, c, SCREEN_BINS) for c in columns}
+    cells = merge.merged_histogram(facts, dim, keys, target, edges, "screen").where("n > 0")
+    gain = F.sum(F.col("sum_y") * F.col("sum_y") / F.col("n")) - F.sum("sum_y") * F.sum("sum_y") / F.sum("n")
+    return [r["feature"] for r in cells.groupBy("feature").agg(gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(most).collect()]
+
+
 @query("pipeline_readings")
 def pipeline_readings(spark, d):
-    """(fold, n, rmse, mean_rmse): errors of boosters over contiguous folds, beside those of the overall mean.
+    """(fold, n, rmse, mean_rmse): errors of boosters over contiguous folds and, as fold -1, of the file that is written.
 
-    Statistics are fitted before the folds are cut, as the readings job does; fold_scores fits them by fold.
+    Weather with gaps filled and lags; its row's number in each reading; its columns screened by bins without the wide
+    join, and the best joined; statistics of meters by month and weekday, from train; narrow types; logs of the target; a
+    booster for each fold; test rows scored by the mean of all, the logs undone, and the file written, as compressed CSV.
+    Errors of folds are of the logs, that of the file is of the logs of what it holds. mean_rmse is that of train's mean.
     """
-    numbers = ["l_quantity", "month", "weekday", "month_mean", "month_median", "day_mean", "day_median", "meter_code"]
-    r = staged(readings_features(spark, d))
-    r = encode.apply_codes(r, encode.fit_labels(r, "meter"), "meter", "meter_code", -1)
-    data = model.assembled(folds.kfold_contiguous(r, "l_orderkey", 3), numbers).select("l_orderkey", "fold", F.col("y").alias("label"), "features")
-    data = staged(data)
-    scored = model.out_of_fold(data, model.booster("regression", GIVEN).fit, 3)
-    mean = data.agg(F.avg("label").alias("_mean"))
+    air = staged(meters.weather(spark, d))
+    rows = staged(meters.meters(spark, d, air).withColumn("y", F.log1p("reading")))
+    train = rows.where("split = 'train'")
+    numbered = staged(merge.numbered_dimension(air, ["site", "day"]).withColumn("weather_no", F.col("row_no").cast("int")).drop("row_no", "site", "day"))
+    best = screened(train, numbered, ["weather_no"], "y", meters.WEATHER, KEPT_WEATHER)
+    r = merge.left_join(rows, numbered.select("weather_no", *best), ["weather_no"])
+    for prefix, keys in (("month", ["meter", "month"]), ("day", ["meter", "weekday"])):
+        r = merge.apply_group_stats(r, merge.fit_group_stats(train, keys, "y", prefix), keys)
+    r = staged(encode.apply_codes(r, encode.fit_labels(train, "meter"), "meter", "meter_code", -1))
+    numbers = ["quantity", "month", "weekday", "meter_code", "month_mean", "month_median", "day_mean", "day_median", *best]
+    r = select.apply_types(r, select.narrow_types(r, numbers))
+    data = staged(model.assembled(r, numbers).select("l_orderkey", "l_linenumber", "split", F.col("y").alias("label"), "features"))
+    known = data.where("split = 'train'")
+    test = staged(order.global_row_number(data.where("split = 'test'"), "l_orderkey", "l_linenumber"))
+    own, told = model.out_of_fold(staged(folds.kfold_contiguous(known, "l_orderkey", 3)), model.booster("regression", GIVEN).fit, 3, test=test)
+    files.write_submission(told.withColumn("reading", scalar.unlog("score")), path := place(spark), "row_no", "reading")
+    sent = files.read_csv(spark, path, "id bigint, target double").select(F.col("id").alias("row_no"), F.log1p("target").alias("score"))
+    filed = test.join(sent, "row_no", "left").select(F.lit(-1).alias("fold"), "label", "score")
+    mean = known.agg(F.avg("label").alias("_mean"))
     e, g = F.col("score") - F.col("label"), F.col("_mean") - F.col("label")
-    return scored.crossJoin(F.broadcast(mean)).groupBy("fold").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.avg(g * g)).alias("mean_rmse"))
+    scored = own.select("fold", "label", "score").unionByName(filed).crossJoin(F.broadcast(mean))  # one row
+    return scored.groupBy("fold").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.avg(g * g)).alias("mean_rmse"))
 
 
 STOPS = [f"t{k}" for k in range(3)]

@@ -27,5 +27,5 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _part in ("readings", "selection", "encoding", "merging", "scalars", "imputation", "statistics", "ranking", "models", "pipelines", "files"):
+for _part in ("readings", "selection", "encoding", "merging", "scalars", "imputation", "statistics", "ranking", "models", "meters", "pipelines", "files"):
     import_module(f"tabloom.jobs.{_part}")
