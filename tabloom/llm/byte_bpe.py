@@ -4,8 +4,8 @@ A pre-token that is in the vocabulary is resolved by one probe of a minimal perf
 bytes, and a heap of adjacent pairs merges the lowest rank first (leftmost on ties) over a linked list of bytes.
 The hash is built once on the driver and broadcast; its size is that of the vocabulary, which is checked.
 
-Null and empty texts encode to no ids. A pre-token of any length costs n log n. Repeated rows give repeated rows;
-only the id and text columns are read, so other columns cannot clash.
+Null and empty texts encode to no ids. A pre-token of any length costs n log n. Repeated rows give repeated rows, an empty table
+none; only the id and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

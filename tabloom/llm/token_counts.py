@@ -9,7 +9,8 @@ no piece covers alone costs the lowest score less 10, and counts as its bytes wh
 The vocabulary is a public piece file, read as a unigram vocabulary (pieces and scores as they stand); words are cut
 before every word mark, so a memo of words gives the exact count of a whole text.
 
-Null and empty texts have no tokens. Repeated rows give repeated rows. Only the id and text columns are read.
+Null and empty texts have no tokens. A text of any length is counted whole, word by word, and a word of any length in one
+pass. Repeated rows give repeated rows, an empty table none. Only the id and text columns are read.
 """
 
 from __future__ import annotations

@@ -64,3 +64,45 @@ def test_near_duplicates_go_by_row(spark, monkeypatch):
     assert sorted(((r.doc_id, r.text, r.lang) for r in near_dedup.keep_one(docs).collect()), key=str) == got
     kept = near_dedup.near_duplicates(docs).where("stays and n_shingles > 0").collect()
     assert sorted(str(r.doc_id) for r in kept) == ["0", "1", "2", "None"]
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _score string, kept string, spans string, component_id string, length string"
+
+
+def staged_rows(spark, folder, rows, labels):
+    """What each stage gives for the rows before it; columns of other meanings but with the stages' names stay as they are."""
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "a", "b", "c", "d", "e") for i, t in rows], DOCS)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        last = stage(spark, docs, str(folder))
+        assert name == "packing" or last.columns == docs.columns
+        last.write.parquet(str(folder / name))
+        docs = spark.read.parquet(str(folder / name))
+        out.append(docs.collect())
+        if name != "packing":
+            assert all((r._score, r.kept, r.spans, r.component_id, r.length) == tuple("abcde") for r in out[-1]), name
+    return out
+
+
+def test_stages_of_null_empty_repeated_and_long_rows(spark, tmp_path):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    long, text = (" ".join(word() for _ in range(n)) for n in (30_000, 80))
+    secret = " ".join(word() for _ in range(50)) + " password=0123456789abcdef01"
+    rows = [(1, text), (1, text), (2, None), (2, None), (3, ""), (None, None), (None, secret), (4, long)]
+    quality, near, repeats, clean, packed = staged_rows(spark, tmp_path, rows, [(9, 1, 0), (None, 0, 0), (1, None, 0)])
+    assert len(quality) == len(rows)  # no label is usable, so nothing is rejected
+    texts = lambda out: sorted(((r.doc_id, r.text) for r in out), key=str)
+    assert texts(near) == sorted([(1, text), (2, None), (2, None), (3, ""), (None, None), (None, secret), (4, long)], key=str)
+    assert texts(repeats) == texts(near)
+    assert all(r.n_chars == len(r.text) for r in clean if r.text is not None)
+    masked = [r.text for r in clean if r.doc_id is None and r.text]
+    assert len(clean) == 7 and len(masked) == 1 and masked[0].endswith("[SECRET]")
+    enc = packing.encoder(corpus_pipeline.public_tokenizers.path("word_bpe_49k.json"))
+    assert sum(r.length for r in packed) == sum(len(enc.encode(r.text or "")) + 1 for r in clean)
+    assert max(r.length for r in packed) == 2048
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    assert staged_rows(spark, tmp_path, [], []) == [[], [], [], [], []]
