@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; stages but the last return
 the columns of documents. run() writes each stage's rows to the shared folder and reads them back for the next.
+
+Null and empty texts are rows like others: they are scored as empty, are near no text, hold nothing to cut or mask, and pack
+as empty documents. Rows that repeat an id or have none count each for itself; of equal texts one row stays. Other columns
+pass through, whatever their names. Without usable labels nothing is rejected; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -17,7 +21,10 @@ from tabloom.llm.common import table, written
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier rejects. It learns from labelled rows of the input."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.add_quality(docs, model, score_col="_score").where("_score >= 0.5").select(docs.columns)
+    score = "_score"
+    while score.lower() in map(str.lower, docs.columns):
+        score += "_"
+    return quality.add_quality(docs, model, score_col=score).where(F.col(score) >= 0.5).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
