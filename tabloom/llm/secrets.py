@@ -280,11 +280,15 @@ _ALNUM = string.ascii_letters + string.digits
 _BASE64 = _ALNUM + "+/"
 
 
-def seeded_secret(rng: random.Random, names: tuple[str, ...] = ("client_key", "session_key", "signing_key", "private_key", "auth", "credential", "db_pass", "pwd", "login_key", "master_key")) -> tuple[list[str], list[int]]:
-    """Tokens and tags of a secret of a form that the base rules do not know."""
+#: Bearer tokens, logins in addresses, key blocks, prefixed tokens, values joined to other names, values after other names.
+FORMS = (0, 1, 2, 3, 4, 5)
+
+
+def seeded_secret(rng: random.Random, names: tuple[str, ...] = ("client_key", "session_key", "signing_key", "private_key", "auth", "credential", "db_pass", "pwd", "login_key", "master_key"), forms: tuple[int, ...] = FORMS) -> tuple[list[str], list[int]]:
+    """Tokens and tags of a secret of one of the forms, which the base rules do not know."""
     text = lambda letters, n: "".join(rng.choices(letters, k=n))
     value = text(*rng.choice([(_ALNUM, rng.randrange(16, 48)), (_BASE64, rng.randrange(20, 64)), (_ALNUM + "-_", rng.randrange(20, 40))]))
-    form = rng.randrange(6)
+    form = rng.choice(forms)
     if form == 0:
         return [rng.choice(["Authorization:", "authorization:", "auth:", "-H"]), rng.choice(["Bearer", "bearer", "Basic"]), value], [O, O, B]
     if form == 1:
@@ -316,15 +320,15 @@ def seeded_decoy(rng: random.Random) -> list[str]:
     ])
 
 
-def _sampled_windows(docs: DataFrame, id_col: str, text_col: str, train_docs: int) -> list[tuple[list[str], list[int], list[str]]]:
-    """(tokens with a neighbour on each side, tags, file features) of windows; rows are sampled, so a hot id brings no more than others."""
+def _sampled_windows(docs: DataFrame, id_col: str, text_col: str, train_docs: int) -> list[tuple[list[list[str]], list[int], list[str]]]:
+    """(descriptions of whole tokens with a neighbour on each side, tags, file features) of windows; rows are sampled, so a hot id brings no more than others."""
     rows = max(1, docs.count())
     mark = F.xxhash64(F.col(id_col).cast("string"), text_col)
     chosen = docs.select(mark.alias("_mark"), F.col(text_col).alias("_text")).where(F.pmod("_mark", F.lit(1 << 20)) < max(1, min(1 << 20, (train_docs << 20) // rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out_tokens, out_tags, out_file, marks = [], [], [], []
+            out_tokens, out_tags, out_file, marks, places = [], [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), texts(b, "_text"), strict=True):
                 spans, words = base_spans(text), list(_WORD.finditer(text))
                 tags = []
@@ -336,40 +340,40 @@ def _sampled_windows(docs: DataFrame, id_col: str, text_col: str, train_docs: in
                 for k in odd:
                     lo, hi = max(0, k - REACH), min(len(words), k + REACH + 1)
                     marks.append(i)
-                    out_tokens.append([words[x][0][:200] if 0 <= x < len(words) else "" for x in range(lo - 1, hi + 1)])
+                    places.append(k)
+                    out_tokens.append([list(describe(words[x][0]) if 0 <= x < len(words) else _PAD) for x in range(lo - 1, hi + 1)])
                     out_tags.append(tags[lo:hi])
                     out_file.append(list(file_features(text, len(words))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(marks, pa.int64()), pa.array(out_tokens, pa.list_(pa.string())), pa.array(out_tags, pa.list_(pa.int32())), pa.array(out_file, pa.list_(pa.string()))],
-                ["mark", "tokens", "tags", "file"],
+                [pa.array(marks, pa.int64()), pa.array(places, pa.int64()), pa.array(out_tokens, pa.list_(pa.list_(pa.string()))), pa.array(out_tags, pa.list_(pa.int32())), pa.array(out_file, pa.list_(pa.string()))],
+                ["mark", "place", "described", "tags", "file"],
             )
 
-    found = chosen.mapInArrow(run, "mark bigint, tokens array<string>, tags array<int>, file array<string>").dropDuplicates(["mark", "tokens"])
-    return [(r["tokens"], list(r["tags"]), r["file"]) for r in found.orderBy("mark", "tokens").limit(MOST_WINDOWS).collect()]
+    found = chosen.mapInArrow(run, "mark bigint, place bigint, described array<array<string>>, tags array<int>, file array<string>").dropDuplicates(["mark", "place"])
+    return [(r["described"], list(r["tags"]), r["file"]) for r in found.orderBy("mark", "place").limit(MOST_WINDOWS).collect()]
 
 
-def training_windows(sampled: list[tuple[list[str], list[int], list[str]]], seeded: int = SEEDED) -> list[tuple[list[list[str]], list[int]]]:
+def training_windows(sampled: list[tuple[list[list[str]], list[int], list[str]]], seeded: int = SEEDED, forms: tuple[int, ...] = FORMS) -> list[tuple[list[list[str]], list[int]]]:
     """Features and tags of the sampled windows, and of copies with seeded secrets and look-alikes."""
     rng = random.Random(5)
     views = list(sampled)
     for k in range(2 * seeded if sampled else 0):
-        tokens, tags, file = rng.choice(sampled)
-        new, new_tags = seeded_secret(rng) if k % 2 else (seeded_decoy(rng), [])
+        described, tags, file = rng.choice(sampled)
+        new, new_tags = seeded_secret(rng, forms=forms) if k % 2 else (seeded_decoy(rng), [])
         new_tags = new_tags + [O] * (len(new) - len(new_tags))
-        at = rng.randrange(1, len(tokens))
-        views.append(([*tokens[:at], *new, *tokens[at:]], [*tags[: at - 1], *new_tags, *tags[at - 1 :]], file))
+        at = rng.randrange(1, len(described))
+        views.append(([*described[:at], *map(describe, new), *described[at:]], [*tags[: at - 1], *new_tags, *tags[at - 1 :]], file))
     out = []
-    for tokens, tags, file in views:
-        described = [describe(t) if t else _PAD for t in tokens]
-        features = window_features(described, tuple(file))[1:-1]
+    for described, tags, file in views:
+        features = window_features(list(map(tuple, described)), tuple(file))[1:-1]
         for at in range(0, len(tags), 2 * REACH + 4):  # long views in parts, as all windows take the length of the longest
             out.append((features[at : at + 2 * REACH + 4], tags[at : at + 2 * REACH + 4]))
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Field:
-    """Train the field on a bounded sample of docs."""
-    return train_field(training_windows(_sampled_windows(docs, id_col, text_col, train_docs)))
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, forms: tuple[int, ...] = FORMS) -> Field:
+    """Train the field on a bounded sample of docs, with secrets of some forms written in."""
+    return train_field(training_windows(_sampled_windows(docs, id_col, text_col, train_docs), forms=forms))
 
 
 def find_secrets(docs: DataFrame, crf: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@
 Vectors become integers and are taken in blocks of bounded size; a block keeps each dimension as a sorted list. For each
 query the algorithm reads every list downwards from the end that the sign of the query's component asks for, in rounds of
 doubling depth; a vector seen in any list is looked up in full. A query is done with a block when the bound of the next
-list places is below its k-th score, so no unseen vector could reach or tie it. The k-th score is carried from block to
+list places is below its k-th score, so no unseen vector could reach or tie it. Only the places that are walked are touched. The k-th score is carried from block to
 block within a task: a block whose list heads cannot reach it is left unread. Results of blocks are merged by a window.
 
 While the queries take up BROADCAST_BYTES at most they are broadcast, and candidates stay where they are read. Beyond
@@ -38,6 +38,8 @@ SCALE = 64
 BLOCK, QUERIES = 8192, 2048
 #: Queries are broadcast up to this size, as doubles.
 BROADCAST_BYTES = 64 << 20
+#: Tasks for each core in which pairs of blocks are searched, at most.
+TASKS = 16
 
 
 @dataclass
@@ -55,14 +57,11 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        n = self.n = len(ids)
+        n = len(ids)
         order = np.argsort(vectors, axis=0, kind="stable")
         self.lists = np.take_along_axis(vectors, order, axis=0)
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)
-        kind = np.uint16 if n <= 1 << 16 else np.uint32
-        #: How deep each list has to be read until a vector turns up: from the low ends, then from the high ends.
-        self.depths = np.ascontiguousarray(np.concatenate([place, n - 1 - place], axis=1).T.astype(kind))
+        #: The rows in each list's order, a list after the other.
+        self.rows = np.ascontiguousarray(order.T.astype(np.uint16 if n <= 1 << 16 else np.uint32))
         self.most = np.abs(vectors).max(initial=0)
         self.exact: dict[type, np.ndarray] = {}
 
@@ -73,7 +72,11 @@ class Block:
         return self.exact[kind]
 
     def search(self, query_id: int, query: np.ndarray, k: int, floor: int | None, reads: Reads) -> tuple[list[int], list[int]]:
-        """Ids and scores, best first, of the k best that may reach `floor`, which k vectors elsewhere have reached."""
+        """Ids and scores, best first, of the k best that may reach `floor`, which k vectors elsewhere have reached.
+
+        The lists of components that are not 0 are walked, as the others move no bound; a vector that none of them has
+        brought up by the end scores 0 like all that are left.
+        """
         n, dims = self.vectors.shape
         reads.all_entries += n * dims
         reads.all_vectors += n
@@ -81,31 +84,30 @@ class Block:
         kind = np.float32 if size < 2**24 else np.float64 if size < 2**53 else object
         vectors, lists = self.typed(kind)
         q = _integers(query) if kind is object else query.astype(kind)
-        high = q > 0
-        across = np.arange(dims)
-        at_depth = lambda d: (q * lists[np.where(high, n - 1 - d, d), across]).sum()
-        if floor is not None and at_depth(0) < floor:
+        high, low = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        bound = lambda d: (q[high] * lists[n - 1 - d, high]).sum() + (q[low] * lists[d, low]).sum()
+        if floor is not None and bound(0) < floor:
             return [], []
-        seen_at = self.depths[across + dims * high].min(axis=0) if dims else np.zeros(n, np.uint16)
-        order = np.argsort(seen_at, kind="stable")
-        ordered = seen_at[order]
+        unmet = np.ones(n, bool)
         best_ids, best = np.empty(0, np.int64), np.empty(0, kind)
-        depth, done = k, 0
+        depth, upto = 0, min(k, n)
         while True:
-            upto = int(np.searchsorted(ordered, min(depth, n), "left"))
-            fresh = order[done:upto]
+            walked = np.concatenate([self.rows[high, n - upto : n - depth].ravel(), self.rows[low, depth:upto].ravel()])
+            reads.entries += len(walked)
+            met = np.zeros(n, bool)
+            met[walked] = True
+            fresh = np.flatnonzero(met & unmet if upto < n else unmet)
+            unmet[fresh] = False
+            reads.vectors += len(fresh)
             fresh = fresh[self.ids[fresh] != query_id]
             best_ids, best = _best(np.concatenate([best_ids, self.ids[fresh]]), np.concatenate([best, vectors[fresh] @ q]), k)
-            done = upto
-            if done == n:
+            if not unmet.any():
                 break
             if len(best) == k:
                 floor = best[-1] if floor is None else max(floor, best[-1])
-            if floor is not None and at_depth(depth) < floor:
+            if floor is not None and bound(upto) < floor:
                 break
-            depth *= 2
-        reads.entries += min(depth, n) * dims
-        reads.vectors += done
+            depth, upto = upto, min(2 * upto, n)
         return best_ids.tolist(), [int(x) for x in best.tolist()]
 
 
@@ -242,7 +244,8 @@ def _by_blocks(rows: DataFrame, queries: DataFrame, k: int, scale: int) -> DataF
     left = cand.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
     right = asked.select(F.col("block").alias("asked"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "flat", "dims", "narrow")))
     # Blocks of one query block that meet in a task share its k-th scores.
-    pairs = left.join(right.hint("shuffle_hash"), "asked").repartition(n_cand * n_asked, "asked", F.col("block") % max(1, n_cand // 4)).sortWithinPartitions("asked")
+    tasks = min(n_cand * n_asked, TASKS * rows.sparkSession.sparkContext.defaultParallelism)
+    pairs = left.join(right.hint("shuffle_hash"), "asked").repartition(tasks, "asked", F.col("block") % max(1, n_cand // 4)).sortWithinPartitions("asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = {}

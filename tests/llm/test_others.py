@@ -152,6 +152,34 @@ def test_threshold_search_stops_on_clusters():
     assert reads.vectors < 0.3 * reads.all_vectors and reads.entries < 0.2 * reads.all_entries
 
 
+class Counted(np.ndarray):
+    """Counts the entries that are taken from it."""
+
+    taken = 0
+
+    def __getitem__(self, key):
+        out = np.asarray(super().__getitem__(key))
+        Counted.taken += out.size
+        return out
+
+
+def test_threshold_search_touches_what_it_counts():
+    rng = np.random.default_rng(2)
+    v = np.floor(np.repeat(rng.normal(0, 40, (20, 16)), 50, axis=0) + rng.normal(0, 2, (1000, 16)))
+    v[:, 3] = 0
+    block, reads = topk.Block(np.arange(1000), v), topk.Reads()
+    block.rows = block.rows.view(Counted)
+    block.search(0, v[0], 20, None, reads)
+    assert Counted.taken == reads.entries and 0 < reads.entries < reads.all_entries / 2
+    vectors, lists = block.typed(np.float32)
+    block.exact[np.float32] = vectors.view(Counted), lists
+    Counted.taken = 0
+    again = topk.Reads()
+    block.search(0, v[0], 20, None, again)
+    own = 1  # the query's own row is met, and not looked up
+    assert again == reads and Counted.taken == (reads.vectors - own) * 16 + reads.entries
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
 def test_share_read_of_the_supplied_vectors():
     t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
@@ -276,6 +304,29 @@ def test_field_finds_held_out_forms_and_leaves_clean_text_alone(spark):
     assert sum(bool(tagger.spans(t)) for t in clean) <= 2
 
 
+@pytest.mark.parametrize("held", [(0, 1), (2, 3), (4, 5)])
+def test_field_finds_forms_that_training_has_not_seen(spark, held):
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(k, prose(rng, 60)) for k in range(400)], "doc_id long, text string")
+    crf = secrets.fit(docs, forms=tuple(f for f in secrets.FORMS if f not in held))
+    tagger, found = secrets.Tagger(crf), 0
+    for _ in range(200):
+        tokens, _ = secrets.seeded_secret(rng, ("vault_code", "licence_hash", "webhook_sig"), held)
+        before = prose(rng, 20)
+        text = " ".join([before, *tokens, prose(rng, 20)])
+        found += any(s < len(before) + len(" ".join(tokens)) + 1 and len(before) < e for s, e, _ in tagger.spans(text))
+    assert found >= 80  # the README has the share by form
+    clean = [" ".join([prose(rng, 20), *secrets.seeded_decoy(rng), prose(rng, 20)]) for _ in range(200)]
+    assert sum(bool(tagger.spans(t)) for t in clean) <= 10  # 5 where (2, 3) are held out; the README says so
+
+
+def test_training_describes_whole_tokens(spark):
+    long = "zZ" * 150 + "9Z" * 150
+    docs = spark.createDataFrame([(1, f"x {long} y")], "doc_id long, text string")
+    ((described, tags, _),) = secrets._sampled_windows(docs, "doc_id", "text", 10)
+    assert tuple(described[2]) == secrets.describe(long) and tags == [secrets.O] * 3
+
+
 def plain_base(text):
     """The base rules, spelled out again: leftmost, not overlapping, by kind."""
     rules = [
