@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.functions.keys import bucket
-from tabloom.jobs.files import staged
 from tabloom.jobs.registry import query, read
 from tabloom.operators import merge
 from tabloom.operators.order import weighted_quantiles_by
+from tabloom.sources.staging import staged
 
 FOLDS = 5
 

@@ -65,6 +65,11 @@ def test_entry_imports_without_the_text_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 
+@pytest.mark.parametrize("part", sorted(p.stem for p in (REPO / "tabloom/jobs").glob("*.py") if p.stem != "__init__"))
+def test_any_job_module_may_be_the_first(part):
+    subprocess.run([sys.executable, "-c", f"import tabloom.jobs.{part}"], cwd=REPO, check=True)
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_pipelines_end_in_sound_scores(spark):
     readings = QUERIES["pipeline_readings"](spark, str(DATA)).collect()
