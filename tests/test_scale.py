@@ -204,3 +204,28 @@ def test_ranking_lines_are_not_lost(spark, tmp_path):
         (tmp_path / name).write_text("label\tqid\tf0\n1\t5\t0.5\nNA\t5\t0.5\n\\t6\\t0.25\n2\\t7\\t0.75\n")
     rows = sorted((str(r.label), r.qid, r.f0, r.unread) for r in files.read_ranking(spark, str(tmp_path), 1).collect())
     assert rows == sorted([("1", 5, 0.5, None), ("None", 5, 0.5, "NA\t5\t0.5"), ("None", 6, 0.25, "\\t6\\t0.25"), ("2", 7, 0.75, None)] * 2)
+
+
+@pytest.mark.parametrize("kind", ["regression", "binary"])
+def test_fits_of_cells_are_those_of_rows(spark, kind):
+    k = F.col("id")
+    y = (k % 10) * 2.0 + F.pmod(F.hash("id"), F.lit(7)) if kind == "regression" else (k % 10 + F.pmod(F.hash("id"), F.lit(7)) > 7).cast("double")
+    rows = lambda n: model.assembled(spark.range(n).select("id", (k % 10).alias("a"), F.pmod(F.hash(k % 10, k % 20), F.lit(4)).alias("b"), F.pmod(F.hash("id", F.lit(1)), F.lit(3)).cast("int").alias("fold"), y.alias("label")), ["a", "b"])
+    given = {"num_boost_round": 3, "max_depth": 3, "learning_rate": 0.5, "min_data_in_leaf": 100}
+    df = rows(800)
+    summed = model.cells(df, kind)
+    assert summed.count() <= 40 and model.cells(rows(4000), kind).count() <= 40  # different features, not rows
+    plain, fitted = model.booster(kind, given).fit(df), model.fit_weighted(kind, given)(summed)
+    one, two = ([r.score for r in model.score(m, df).orderBy("id").collect()] for m in (plain, fitted))
+    assert two == pytest.approx(one) and len(set(one)) > 2
+    assert all(t.numNodes == 1 for t in model.fit_weighted(kind, given | {"min_data_in_leaf": 401})(summed).trees)
+    own = model.out_of_fold(df, model.fit_weighted(kind, given), 3, kind=kind).orderBy("id").collect()
+    want = model.out_of_fold(df, model.booster(kind, given).fit, 3).orderBy("id").collect()
+    assert [r.score for r in own] == pytest.approx([r.score for r in want]) and len(own) == 800
+    if kind == "regression":
+        linear = lambda w: LinearRegression(labelCol="label", featuresCol="features", regParam=0.3, elasticNetParam=0.5, **w)
+        assert list(linear({"weightCol": model.WEIGHT}).fit(summed).coefficients) == pytest.approx(list(linear({}).fit(df).coefficients))
+        plain = linear({})
+        found = model.cross_validated(df, plain, {"regParam": [0.1, 5.0]}, 3)
+        errors = [[model.score(plain.copy({plain.regParam: p}).fit(df.where(F.col("fold") != i)), df.where(F.col("fold") == i)).agg(F.sqrt(F.avg((F.col("score") - F.col("label")) ** 2))).first()[0] for i in range(3)] for p in (0.1, 5.0)]
+        assert found.avgMetrics == pytest.approx([sum(e) / 3 for e in errors]) and found.transform(df).count() == 800
