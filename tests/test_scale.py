@@ -1,15 +1,20 @@
 """Hot entities, hot keys, ranges and wide tables: equal results by the plain way, and no task with more than its share."""
 
 import random
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tabloom.operators import encode, impute, merge, model, order, skew, stats, windows
+from tabloom.jobs.registry import ORACLE_SQL, QUERIES
+from tabloom.operators import encode, impute, merge, model, order, scalar, skew, stats, windows
 from tabloom.sources import files
 
+DATA = Path("/root/testdata/sf0.001")
+
 
 def same(one, two):
     return sorted(map(str, map(tuple, one.collect()))) == sorted(map(str, map(tuple, two.collect())))
@@ -229,3 +234,54 @@ def test_fits_of_cells_are_those_of_rows(spark, kind):
         found = model.cross_validated(df, plain, {"regParam": [0.1, 5.0]}, 3)
         errors = [[model.score(plain.copy({plain.regParam: p}).fit(df.where(F.col("fold") != i)), df.where(F.col("fold") == i)).agg(F.sqrt(F.avg((F.col("score") - F.col("label")) ** 2))).first()[0] for i in range(3)] for p in (0.1, 5.0)]
         assert found.avgMetrics == pytest.approx([sum(e) / 3 for e in errors]) and found.transform(df).count() == 800
+
+
+def test_mixed_columns_beyond_what_doubles_hold(spark, tmp_path):
+    orders = spark.createDataFrame([(1, 10, 100.0), (2, 899_999, 499_993.18), (3, 709_900, 5.0)], "o_orderkey long, o_custkey long, o_totalprice double")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    want = sorted(con.sql(ORACLE_SQL["mix_columns"]).fetchall())
+    got = sorted(map(tuple, QUERIES["mix_columns"](spark, str(tmp_path)).select("id", "exp_mean", "h_mean", "top").collect()))
+    assert got == want and got[1][1] == float("inf") and got[0][1] < 10
+
+
+def test_few_keys_do_not_move_the_facts(spark, monkeypatch):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("k"), (F.col("id") * 1.5).alias("x"), F.lit(2.0).alias("y"))
+    centers = df.where("k < 2").groupBy("k").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        few = scalar.distance_to_center(df, centers, "k", "x", "y")
+        assert "SortMergeJoin" not in (plan := few._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    monkeypatch.setattr(skew, "FEW_KEYS", 1)
+    many = scalar.distance_to_center(df, centers, "k", "x", "y")
+    assert same(few.withColumn("distance", F.round("distance", 6)), many.withColumn("distance", F.round("distance", 6))) and few.count() == 3000
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["fold_scores", "readings_features"])
+def test_facts_are_read_once(spark, name):
+    assert not [f for f in QUERIES[name](spark, str(DATA)).inputFiles() if "/lineitem.parquet" in f or "/orders.parquet" in f]
+
+
+def test_group_stats_of_unknown_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 4.0), ("a", None), ("b", None), (None, 3.0)], "k string, v double")
+    got = {r.k: (r.s_mean, r.s_median) for r in merge.fit_group_stats(df, ["k"], "v", "s").collect()}
+    assert got == {"a": (2.0, 1.0), "b": (None, None), None: (3.0, 3.0)}
+
+
+def test_ranking_lines_do_not_move(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).write_text("label\tqid\tf0\n" + "".join(f"{k % 3}\t{k}\t0.5\n" for k in range(400)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        read = files.read_ranking(spark, str(tmp_path), 1)
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SortMergeJoin" not in plan
+        assert sorted(r.qid for r in read.collect()) == sorted([*range(400)] * 2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
