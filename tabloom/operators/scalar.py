@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.keys import BUCKETS, bucket
 from tabloom.operators.order import first_place, numbers, quantiles
+from tabloom.operators.skew import checked_join
 
 #: Period of each time part's cycle, as the feature definition has them.
 PERIODS = {"second": 86400, "minute": 1440, "hour": 24, "day": 30, "dayofweek": 7, "month": 12}
@@ -42,7 +43,7 @@ def weighted_sum(weights: dict[str, float]) -> Column:
 
 def distance_to_center(df: DataFrame, centers: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Adds distance to the center (cx, cy) of the row's category; null without one."""
-    out = df.join(centers, key, "left")
+    out = checked_join(df, centers, [key])
     return out.withColumn("distance", F.sqrt(F.pow(F.col(x) - F.col("cx"), 2) + F.pow(F.col(y) - F.col("cy"), 2))).drop("cx", "cy")
 
 
