@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.order import global_row_number, quantiles_by, running_sums
-from tabloom.operators.skew import dealt_join
+from tabloom.operators.order import global_row_number, quantiles_by, running_sums, weighted_quantiles_by
+from tabloom.operators.skew import FEW_KEYS, checked_join, dealt_join
+from tabloom.sources.staging import staged
 
 
 def unique_keys(dim: DataFrame, keys: Sequence[str]) -> None:
@@ -29,11 +30,11 @@ def merge_pivot(fact: DataFrame, dim: DataFrame, keys: Sequence[str], name: str)
     Facts of a heavy key, and those with a null in theirs, are dealt out. An error if keys repeat or no fact joins.
     """
     unique_keys(dim, keys)
-    numbered = numbered_dimension(dim.select(*keys), keys)
-    n = dim.count()
-    if fact.join(numbered, list(keys), "left_semi").isEmpty():
+    numbered = staged(numbered_dimension(dim.select(*keys), keys))
+    n = numbered.count()
+    if fact.join(F.broadcast(numbered) if n <= FEW_KEYS else numbered, list(keys), "left_semi").isEmpty():
         raise ValueError("no fact joins the dimension")
-    return dealt_join(fact, numbered, keys).withColumn(f"@M_{name}", F.coalesce("row_no", F.lit(n)).cast("int")).drop("row_no")
+    return checked_join(fact, numbered, keys).withColumn(f"@M_{name}", F.coalesce("row_no", F.lit(n)).cast("int")).drop("row_no")
 
 
 def merged_histogram(fact: DataFrame, dim: DataFrame, keys: Sequence[str], target: str, edges: dict[str, Sequence[float]], name: str) -> DataFrame:
@@ -55,9 +56,9 @@ def merged_histogram(fact: DataFrame, dim: DataFrame, keys: Sequence[str], targe
     return out.agg(*(F.sum(c).alias(c) for c in ("n", "sum_y", "sum_y2"))).withColumn("desc", F.lit(name))
 
 
-def weighted_edges(fact: DataFrame, dim: DataFrame, keys: Sequence[str], feature: str, bins: int) -> list[float]:
-    """Quantile edges of a dimension feature over the facts, from counts by value: at most bins - 1."""
-    counts = fact.groupBy(*keys).agg(F.count("*").alias("n")).join(dim.select(*keys, feature), list(keys)).where(F.col(feature).isNotNull())
+def weighted_edges(fact: DataFrame, dim: DataFrame, keys: Sequence[str], feature: str, bins: int, rows: str | None = None) -> list[float]:
+    """Quantile edges of a dimension feature over the facts, from counts by value: at most bins - 1. `rows` is how many facts a row of fact stands for."""
+    counts = fact.groupBy(*keys).agg((F.sum(rows) if rows else F.count("*")).alias("n")).join(dim.select(*keys, feature), list(keys)).where(F.col(feature).isNotNull())
     by_value = counts.groupBy(feature).agg(F.sum("n").alias("_n"))
     below = running_sums(by_value, [feature], {"_below": "_n"})
     total = by_value.agg(F.sum("_n")).first()[0]
@@ -72,14 +73,21 @@ def fit_group_stats(train: DataFrame, keys: Sequence[str], value: str, prefix: s
     """Mean and median of known values by key, named apart by the prefix.
 
     The exact median is found by ranks in ranges, so a hot key is not one task's work; `accuracy` takes an approximate one.
+    Rows are counted by key and value in one pass, on which both rest.
     """
-    means = train.groupBy(*keys).agg(F.avg(value).alias(f"{prefix}_mean"))
-    medians = quantiles_by(train, keys, value, [0.5], accuracy).select(F.struct(*keys).alias("_g"), F.col("q")[0].alias(f"{prefix}_median"))
+    if accuracy is None:
+        cells = staged(train.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")))
+        means = cells.groupBy(*keys).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")))).alias(f"{prefix}_mean"))
+        found = weighted_quantiles_by(cells.where("_v is not null"), keys, "_v", ["_c"], [0.5]).withColumn("q", F.col("q")[0])
+    else:
+        means = train.groupBy(*keys).agg(F.avg(value).alias(f"{prefix}_mean"))
+        found = quantiles_by(train, keys, value, [0.5], accuracy)
+    medians = found.select(F.struct(*keys).alias("_g"), F.col("q")[0].alias(f"{prefix}_median"))
     return means.withColumn("_g", F.struct(*keys)).join(medians, "_g", "left").drop("_g")
 
 
 def apply_group_stats(df: DataFrame, fitted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return dealt_join(df, fitted, keys)
+    return checked_join(df, fitted, keys)
 
 
 def left_join(fact: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFrame:
