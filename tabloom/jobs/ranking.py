@@ -163,8 +163,9 @@ def blend_max(spark, d):
 @query("mix_columns", M + " select id, round(ln(exp(p0 / 100) + exp(p1 / 100) + exp(p2 / 100)), 6) as exp_mean, round(1 / (1 / p0 + 1 / p1 + 1 / p2), 6) as h_mean, round(greatest(p0, p1, p2), 6) as top from m")
 def mix_columns(spark, d):
     wide, names = blend.aligned(models(spark, d), "id", "p")
+    # As the SQL (and the reference) has it, without the shift: sums of exponentials that no double holds are infinite.
     small = wide.select("id", *names, *((F.col(n) / 100).alias(f"s{n}") for n in names))
-    return small.select("id", F.round(blend.log_sum_exp([f"s{n}" for n in names]), 6).alias("exp_mean"), F.round(blend.harmonic(names), 6).alias("h_mean"), F.round(blend.row_max(names), 6).alias("top"))
+    return small.select("id", F.round(blend.log_sum_exp([f"s{n}" for n in names], shifted=False), 6).alias("exp_mean"), F.round(blend.harmonic(names), 6).alias("h_mean"), F.round(blend.row_max(names), 6).alias("top"))
 
 
 @query("blend_weighted", M + " select id, floor(0.5 * p0 + 0.3 * p1 + 0.2 * p2 + 1e-7)::bigint as p from m")

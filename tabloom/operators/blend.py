@@ -35,8 +35,10 @@ def row_max(columns: Sequence[str]) -> Column:
     return F.greatest(*columns)
 
 
-def log_sum_exp(columns: Sequence[str]) -> Column:
-    """ln(sum(exp(c))), shifted by the greatest so that it cannot overflow."""
+def log_sum_exp(columns: Sequence[str], shifted: bool = True) -> Column:
+    """ln(sum(exp(c))), shifted by the greatest so that it cannot overflow; without the shift it is infinite from about 709.78."""
+    if not shifted:
+        return F.log(sum((F.exp(c) for c in columns), F.lit(0.0)))
     top = F.greatest(*columns)
     return top + F.log(sum((F.exp(F.col(c) - top) for c in columns), F.lit(0.0)))
 
