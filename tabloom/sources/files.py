@@ -46,7 +46,9 @@ def read_ranking(spark: SparkSession, path: str, n_features: int, header: bool =
     query id is.
     """
     if header:
-        lines = lines_by_place(spark, path).where("line_no > 0").select("value")
+        read = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("_file"))
+        first = read.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_at")).select("_at")
+        lines = read.join(F.broadcast(first), "_at", "left_anti").select("value")  # a row for each file
     else:
         lines = spark.read.text(path)
     rows = lines.select("value", F.split(F.replace("value", F.lit("\\t"), F.lit("\t")), "\t").alias("p"))
