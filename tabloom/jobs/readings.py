@@ -31,15 +31,20 @@ def fold_scores(spark, d):
     """Errors by fold of the group mean and median that are fitted on the other folds.
 
     Rows are counted once by group, value and fold; what the other folds hold is all less their own, so no row is taken
-    once for each round. The medians are exact, from ranks by running sums with a weight for each fold.
+    once for each round. The medians are exact, from ranks by running sums with a weight for each fold. Rows of a group and
+    value share their errors, so these come from the counts, too: facts are read once and do not meet the fits.
     """
-    r = joined_readings(spark, d)
-    keys = ["round", "meter", "month"]
-    cells = staged(r.groupBy("meter", "month", "y").agg(*((F.count("*") - F.count_if(F.col("fold") == k)).alias(f"n{k}") for k in range(FOLDS))))
+    r = joined_readings(spark, d).where("meter is not null and month is not null")
+    own = r.groupBy("meter", "month", "y").agg(F.count("*").alias("n"), *(F.count_if(F.col("fold") == k).alias(f"c{k}") for k in range(FOLDS)))
+    all_cells = staged(own.select("*", *((F.col("n") - F.col(f"c{k}")).alias(f"n{k}") for k in range(FOLDS))))
+    cells = all_cells.where("y is not null")
+    others = all_cells.groupBy("meter", "month").agg(*((F.sum(f"n{k}") > 0).alias(f"has{k}") for k in range(FOLDS)))
     means = cells.groupBy("meter", "month").agg(*((F.sum(F.col("y") * F.col(f"n{k}")) / F.nullif(F.sum(f"n{k}"), F.lit(0))).alias(f"m{k}") for k in range(FOLDS)))
     medians = weighted_quantiles_by(cells, ["meter", "month"], "y", [f"n{k}" for k in range(FOLDS)], [0.5])
-    each = F.array(*(F.struct(F.lit(k).alias("round"), F.col(f"m{k}").alias("g_mean"), F.get(F.get("q", F.lit(k)), F.lit(0)).alias("g_median")) for k in range(FOLDS)))
-    fitted = means.join(medians, ["meter", "month"]).select("meter", "month", F.inline(each))
-    scored = merge.apply_group_stats(r.withColumn("round", F.col("fold")), fitted, keys)
-    e = F.col("y") - F.col("g_mean")
-    return scored.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(F.avg(F.abs(F.col("y") - F.col("g_median"))), 6).alias("mae"))
+    fitted = others.join(means, ["meter", "month"], "left").join(medians, ["meter", "month"], "left")
+    met = merge.apply_group_stats(all_cells, fitted, ["meter", "month"])
+    each = F.array(*(F.struct(F.lit(k).alias("fold"), F.col(f"c{k}").alias("c"), F.col(f"has{k}").alias("has"), F.col(f"m{k}").alias("g_mean"), F.get(F.get("q", F.lit(k)), F.lit(0)).alias("g_median")) for k in range(FOLDS)))
+    scored = met.select("y", F.inline(each)).where("c > 0 and has")  # a group that only its own fold has is predicted by none
+    e, a = F.col("y") - F.col("g_mean"), F.abs(F.col("y") - F.col("g_median"))
+    mean = lambda x: F.sum(x * F.col("c")) / F.sum(F.when(x.isNotNull(), F.col("c")))
+    return scored.groupBy("fold").agg(F.sum("c").alias("n"), F.round(F.sqrt(mean(e * e)), 6).alias("rmse"), F.round(mean(a), 6).alias("mae"))
