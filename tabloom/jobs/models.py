@@ -53,13 +53,15 @@ def lasso_cascade(spark, d):
 @query("oof_predictions")
 def oof_predictions(spark, d):
     df = items(spark, d)
-    return model.out_of_fold(df, model.booster("regression", GIVEN).fit, 3).select("id", "fold", "label", "score")
+    return model.out_of_fold(df, model.fit_weighted("regression", GIVEN), 3, kind="regression").select("id", "fold", "label", "score")
 
 
 @query("feature_importance")
 def feature_importance(spark, d):
     df = items(spark, d)
-    rows = [(i, *r) for i in range(3) for r in model.importance(model.booster("regression", GIVEN).fit(df.where(F.col("fold") != i)), FEATURES)]
+    with model.held(model.cells(df, "regression", by=["fold"])) as data:
+        fits = model.side_by_side([lambda i=i: model.fit_weighted("regression", GIVEN)(data.where(F.col("fold") != i)) for i in range(3)])
+    rows = [(i, *r) for i, fitted in enumerate(fits) for r in model.importance(fitted, FEATURES)]
     return spark.createDataFrame(rows, "fold int, feature string, gain double, splits int")
 
 
@@ -96,7 +98,7 @@ def grid_search_auc(spark, d):
 @query("oof_test_mean")
 def oof_test_mean(spark, d):
     df = items(spark, d)
-    own, told = model.out_of_fold(df.where("month <> 12"), model.booster("regression", GIVEN).fit, 3, test=df.where("month = 12"))
+    own, told = model.out_of_fold(df.where("month <> 12"), model.fit_weighted("regression", GIVEN), 3, test=df.where("month = 12"), kind="regression")
     return own.unionByName(told).select("id", "month", "label", "score")
 
 
@@ -111,18 +113,19 @@ def multi_target_fit(spark, d):
 @query("ensemble_models")
 def ensemble_models(spark, d):
     df = items(spark, d)
-    train = df.where("fold <> 0")
-    models = [model.booster("regression", GIVEN).fit(train), LinearRegression(labelCol="label", featuresCol="features", regParam=0.001).fit(train)]
+    with model.held(model.cells(df.where("fold <> 0"), "regression")) as train:
+        models = [model.fit_weighted("regression", GIVEN)(train), LinearRegression(labelCol="label", featuresCol="features", regParam=0.001, weightCol=model.WEIGHT).fit(train)]
     return model.mean_score(models, df.where("fold = 0")).select("id", "label", "score")
 
 
 @query("stack_oof")
 def stack_oof(spark, d):
-    linear = LinearRegression(labelCol="label", featuresCol="features", regParam=0.001)
-    both = model.out_of_fold(model.out_of_fold(items(spark, d), linear.fit, 3, name="s1"), model.booster("regression", GIVEN).fit, 3, name="s2")
+    linear = LinearRegression(labelCol="label", featuresCol="features", regParam=0.001, weightCol=model.WEIGHT)
+    boosted = model.fit_weighted("regression", GIVEN)
+    both = model.out_of_fold(model.out_of_fold(items(spark, d), linear.fit, 3, name="s1", kind="regression"), boosted, 3, name="s2", kind="regression")
     meta = model.assembled(both.drop("features"), [*FEATURES, "s1", "s2"])
-    with model.held(meta.where("fold <> 0")) as train:
-        fitted = model.booster("regression", GIVEN).fit(train)
+    with model.held(model.cells(meta.where("fold <> 0"), "regression")) as train:
+        fitted = boosted(train)
     return model.score(fitted, meta.where("fold = 0")).select("id", "label", "score")
 
 
