@@ -173,6 +173,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
     shards = max(1, -(-parts.count() // shard_pieces))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        Memo.keep()
         pdf["_class"] = -np.frexp(pdf["length"].to_numpy(np.float64))[1]
         pdf = pdf.sort_values(["_class", "_order", "_row", "piece"], kind="stable").reset_index(drop=True)
         bins, offsets = place(pdf["length"].to_numpy(), capacity)

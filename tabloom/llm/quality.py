@@ -84,11 +84,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = chosen.groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.keep(_CHUNKS)
         for b in batches:
             found = [counted(t) for t in texts(b, "_text")]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([at for at, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32()))], ["id", "y", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.keep()
         rows = []
         for b in batches:
             for k in range(b.num_rows):

@@ -327,6 +327,7 @@ def _sampled_windows(docs: DataFrame, id_col: str, text_col: str, train_docs: in
     chosen = docs.select(mark.alias("_mark"), F.col(text_col).alias("_text")).where(F.pmod("_mark", F.lit(1 << 20)) < max(1, min(1 << 20, (train_docs << 20) // rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.keep()
         for b in batches:
             out_tokens, out_tags, out_file, marks, places = [], [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), texts(b, "_text"), strict=True):

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import discard, heavy_join, release, table, texts, written
+from tabloom.llm.common import Memo, discard, heavy_join, release, table, texts, written
 
 LENGTH = 100
 GRAM = 32
@@ -305,6 +305,7 @@ def _anchored(keyed: DataFrame, text_col: str) -> DataFrame:
     names = ["h", "context", "d", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.keep()
         for b in batches:
             ids = b.column(0).to_numpy()
             found = [(k, a) for k, t in enumerate(texts(b, text_col)) if len((a := anchors(t.encode()))[0])]
@@ -323,6 +324,7 @@ def _contexts(keyed: DataFrame, edges: DataFrame, text_col: str, buckets: int) -
     names = ["bucket", "h", "two", "d", "pos", "at", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.keep()
         for b in batches:
             rows = []
             for d, text, places in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
@@ -345,6 +347,7 @@ def _indexed(contexts: DataFrame) -> DataFrame:
     """(d, pos, size): covered stretches that the buckets' indexes find."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        Memo.keep()
         pdf = pdf.sort_values(["d", "pos"], kind="stable")
         rank = (pdf["d"].diff().fillna(0) != 0).cumsum().to_numpy(np.int64)
         key = (rank << 40) | pdf["pos"].to_numpy(np.int64)
@@ -414,6 +417,7 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.keep()
         for b in batches:
             rows = []
             for text, marks in zip(texts(b, text_col), b.column(2).to_pylist(), strict=True):
@@ -447,6 +451,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.columns.index(length_col) if length_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.keep()
         for b in batches:
             columns = list(b.columns[:-1])
             found = [whole_characters(t, covered(len(t.encode()), m)) if t and m else t for t, m in zip(columns[place].to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]

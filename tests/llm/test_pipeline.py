@@ -106,3 +106,26 @@ def test_stages_of_null_empty_repeated_and_long_rows(spark, tmp_path):
 
 def test_stages_of_an_empty_table(spark, tmp_path):
     assert staged_rows(spark, tmp_path, [], []) == [[], [], [], [], []]
+
+
+def test_stages_let_go_of_the_memos_of_others(spark):
+    import os
+
+    import pyarrow as pa
+
+    from tabloom.llm import near_dedup, quality
+
+    def fill(batches):
+        near_dedup._HASH["word"]
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()] * b.num_rows)], ["pid"])
+
+    def left(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows) for n in (os.getpid(), len(near_dedup._HASH))], ["pid", "n"])
+
+    tasks = spark.range(64).repartition(32)
+    filled = {r.pid for r in tasks.mapInArrow(fill, "pid long").collect()}
+    docs = tasks.selectExpr("id as doc_id", "concat('some words ', id) as text")
+    quality.fit(docs, tasks.selectExpr("id as doc_id", "cast(id % 2 as int) as quality"))
+    assert any(r.pid in filled and r.n == 0 for r in tasks.mapInArrow(left, "pid long, n long").collect())
