@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.jobs.registry import query, read
-from tabloom.operators import impute, merge, windows
+from tabloom.operators import impute, merge, skew, windows
+from tabloom.sources.staging import staged
 
 #: Window lengths of the lags, in days that a site has.
 LAGS = (3, 18)
@@ -63,10 +64,10 @@ def meters(spark, d, air):
     orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("site"), "o_orderdate")
     fact = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("meter"), F.col("l_quantity").alias("quantity"))
     dated = merge.left_join(fact, orders, ["l_orderkey"])
-    timed = dated.withColumns({"day": F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")), "month": F.month("o_orderdate"), "weekday": F.weekday("o_orderdate")})
+    timed = staged(dated.withColumns({"day": F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")), "month": F.month("o_orderdate"), "weekday": F.weekday("o_orderdate")}).drop("o_orderdate"))
     placed = merge.merge_pivot(timed, air, ["site", "day"], "weather").withColumnRenamed("@M_weather", "weather_no")
     numbered = merge.numbered_dimension(air.select("site", "day", "air"), ["site", "day"])
-    told = merge.left_join(placed, numbered.select(F.col("row_no").cast("int").alias("weather_no"), "air"), ["weather_no"])
+    told = skew.checked_join(placed, numbered.select(F.col("row_no").cast("int").alias("weather_no"), "air"), ["weather_no"])
     factor = F.when(F.col("meter") == "R", 3).when(F.col("meter") == "A", 2).otherwise(1)
     reading = F.col("quantity") * factor * F.when(F.col("weekday") >= 5, 1.5).otherwise(1.0) + 3 * F.coalesce("air", F.lit(0.0))
     split = F.when(F.col("l_orderkey") % 5 == 4, "test").otherwise("train")
