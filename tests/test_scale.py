@@ -6,11 +6,12 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tabloom.jobs.registry import ORACLE_SQL, QUERIES
-from tabloom.operators import encode, impute, merge, model, order, scalar, skew, stats, windows
+from tabloom.operators import encode, evaluate, impute, merge, model, order, scalar, skew, stats, windows
 from tabloom.sources import files
 
 DATA = Path("/root/testdata/sf0.001")
@@ -285,3 +286,24 @@ def test_ranking_lines_do_not_move(spark, tmp_path):
         assert sorted(r.qid for r in read.collect()) == sorted([*range(400)] * 2)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_area_over_folds_counts_every_score(spark):
+    """Cells stand for their rows, features are made of cells, and scores are not put in bins."""
+    k = F.col("id")
+    y = (F.pmod(F.hash("id"), F.lit(100)) + k % 61 > 80).cast("double")
+    raw = spark.range(9000).select("id", (k % 61).alias("a"), F.when(k % 59 > 0, k % 59).alias("b"), (k % 53).alias("c"), F.pmod(F.hash("id", F.lit(1)), F.lit(2)).cast("int").alias("fold"), y.alias("label"))
+    logistic = LogisticRegression(labelCol="label", featuresCol="features", regParam=0.01)
+    summed = model.assembled(model.cells(raw, "binary", by=["fold"], of=["a", "b", "c"]), ["a", "b", "c"])
+    assert summed.columns == ["a", "b", "c", "fold", "label", model.WEIGHT, "features"] and summed.agg(F.sum(model.WEIGHT)).first()[0] == 9000
+    assert same(summed.select("features", "fold", "label", model.WEIGHT), model.cells(model.assembled(raw, ["a", "b", "c"]), "binary", by=["fold"]))
+    (got,) = model.cross_validated(summed, logistic, {"regParam": [0.01]}, 2, metric="auc").avgMetrics
+    areas = []
+    for i in range(2):
+        fitted = logistic.copy().setWeightCol(model.WEIGHT).fit(summed.where(F.col("fold") != i))
+        scored = model.score(fitted, model.assembled(raw.where(F.col("fold") == i), ["a", "b", "c"])).select("score", "label").cache()
+        assert scored.select("score").distinct().count() > 2000  # more than the bins of the evaluator's default
+        areas.append(evaluate.auc(scored, "score", "label").first()["auc"])
+    assert got == pytest.approx(sum(areas) / 2, abs=1e-8)
+    with pytest.raises(ValueError, match="no cells"):
+        model.cross_validated(summed, LinearRegression(labelCol="label"), {"regParam": [0.1]}, 2, metric="mae")
