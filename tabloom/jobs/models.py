@@ -31,21 +31,23 @@ def summed(df, kind, by=("fold",)):
 @query("gbt_regression")
 def gbt_regression(spark, d):
     df = items(spark, d)
-    fitted, _, _ = model.fit_early("regression", GIVEN, df.where("fold = 1"), df.where("fold = 2"))
+    with model.held(summed(df.where("fold > 0"), "regression")) as data:
+        fitted, _, _ = model.fit_early("regression", GIVEN, data.where("fold = 1"), data.where("fold = 2"))
     return model.score(fitted, df.where("fold = 0")).select("id", "label", "score")
 
 
 @query("gbt_binary")
 def gbt_binary(spark, d):
     df = items(spark, d, "flag")
-    fitted, _, _ = model.fit_early("binary", GIVEN | {"metric": "auc"}, df.where("fold = 1"), df.where("fold = 2"))
+    with model.held(summed(df.where("fold > 0"), "binary")) as data:
+        fitted, _, _ = model.fit_early("binary", GIVEN | {"metric": "auc"}, data.where("fold = 1"), data.where("fold = 2"))
     return model.score(fitted, df.where("fold = 0")).select("id", "label", "score", model.label_of(F.col("score"), "other", "R").alias("predicted"))
 
 
 @query("early_stopping")
 def early_stopping(spark, d):
-    df = items(spark, d)
-    _, best, errors = model.fit_early("regression", GIVEN, df.where("fold <> 0"), df.where("fold = 0"))
+    with model.held(summed(items(spark, d), "regression")) as data:
+        _, best, errors = model.fit_early("regression", GIVEN, data.where("fold <> 0"), data.where("fold = 0"))
     return spark.createDataFrame([(k + 1, float(e), k + 1 == best) for k, e in enumerate(errors)], "round int, error double, best boolean")
 
 

@@ -307,3 +307,26 @@ def test_area_over_folds_counts_every_score(spark):
     assert got == pytest.approx(sum(areas) / 2, abs=1e-8)
     with pytest.raises(ValueError, match="no cells"):
         model.cross_validated(summed, LinearRegression(labelCol="label"), {"regParam": [0.1]}, 2, metric="mae")
+
+
+def test_early_stopping_takes_cells_of_one_pass(spark):
+    """Training and held-out cells of one table give the rows' errors; the rows are passed over once."""
+    k, passed = F.col("id"), spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            passed.add(len(part))
+            yield part
+
+    raw = spark.range(3000).select("id", (k % 11).alias("a"), (k % 7).alias("b"), F.pmod(F.hash("id"), F.lit(3)).cast("int").alias("fold"), (k % 11 * 2.0 + F.pmod(F.hash("id", F.lit(1)), F.lit(9))).alias("label"))
+    counted = raw.mapInPandas(count, raw.schema)
+    given = {"num_boost_round": 4, "max_depth": 2, "learning_rate": 0.5, "early_stop": 2, "metric": "rmse"}
+    with model.held(model.assembled(model.cells(counted, "regression", by=["fold"], of=["a", "b"]), ["a", "b"])) as data:
+        fitted, best, errors = model.fit_early("regression", given, data.where("fold <> 0"), data.where("fold = 0"))
+    assert passed.value == 3000
+    rows = model.assembled(raw, ["a", "b"])
+    plain = model.booster("regression", given).fit(rows.where("fold <> 0"))
+    assert errors == pytest.approx([e**0.5 for e in plain.evaluateEachIteration(rows.where("fold = 0"), "squared")]) and best == 1 + errors.index(min(errors))
+    for bad in ({"metric": "mae"}, {"subsample": 0.5}):
+        with pytest.raises(ValueError, match="no cells"):
+            model.fit_early("regression", given | bad, data.where("fold <> 0"), data.where("fold = 0"))
