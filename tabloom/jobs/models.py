@@ -54,7 +54,7 @@ def early_stopping(spark, d):
 @query("lasso_cascade")
 def lasso_cascade(spark, d):
     df = items(spark, d)
-    return model.lasso_cascade(df.where("fold <> 0"), df.where("fold = 0"), GIVEN, 0.01).select("id", "label", "score")
+    return model.lasso_cascade(summed(df.where("fold <> 0"), "regression", by=()), df.where("fold = 0"), GIVEN, 0.01).select("id", "label", "score")
 
 
 @query("oof_predictions")

@@ -330,3 +330,16 @@ def test_early_stopping_takes_cells_of_one_pass(spark):
     for bad in ({"metric": "mae"}, {"subsample": 0.5}):
         with pytest.raises(ValueError, match="no cells"):
             model.fit_early("regression", given | bad, data.where("fold <> 0"), data.where("fold = 0"))
+
+
+def test_lasso_cascade_takes_cells(spark):
+    k = F.col("id")
+    raw = spark.range(2000).select("id", (k % 13).alias("a"), (k % 7).alias("b"), (k % 13 * 2.0 + (k % 7) * (k % 7) + F.pmod(F.hash("id"), F.lit(9))).alias("label"))
+    given, rows = {"num_boost_round": 3, "max_depth": 2, "learning_rate": 0.5}, model.assembled(raw, ["a", "b"])
+    summed = model.assembled(model.cells(raw, "regression", of=["a", "b"]), ["a", "b"])
+    assert summed.count() <= 2 * 91
+    one, two = ([r.score for r in model.lasso_cascade(train, rows, given, 0.1).orderBy("id").collect()] for train in (rows, summed))
+    linear = LinearRegression(labelCol="label", featuresCol="features", elasticNetParam=1.0, regParam=0.1, predictionCol="l").fit(rows)
+    rest = model.booster("regression", given, "rest").fit(linear.transform(rows).withColumn("rest", F.col("label") - F.col("l")))
+    plain = [r.l + r.prediction for r in rest.transform(linear.transform(rows)).orderBy("id").collect()]
+    assert one == pytest.approx(plain) and two == pytest.approx(plain) and len(set(plain)) > 20
