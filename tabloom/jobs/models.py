@@ -90,10 +90,11 @@ def grid_search(spark, d):
 @query("linear_cv")
 def linear_cv(spark, d):
     raw = items(spark, d).drop("features")
-    scaled = scalar.apply_scale(raw, scalar.fit_robust(raw.where("fold <> 0"), FEATURES), FEATURES)
-    df = model.assembled(scaled, FEATURES)
-    found = model.cross_validated(df, LinearRegression(labelCol="label", featuresCol="features"), {"regParam": [0.001, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}, 3)
-    return found.transform(df).select("id", "label", F.col("prediction").alias("score"))
+    with model.held(model.cells(raw, "regression", by=["fold"], of=FEATURES)) as data:
+        fitted = scalar.fit_robust(data.where("fold <> 0"), FEATURES, weight=model.WEIGHT)
+        scaled = lambda df: model.assembled(scalar.apply_scale(df, fitted, FEATURES), FEATURES)
+        found = model.cross_validated(scaled(data), LinearRegression(labelCol="label", featuresCol="features"), {"regParam": [0.001, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}, 3)
+    return found.transform(scaled(raw)).select("id", "label", F.col("prediction").alias("score"))
 
 
 @query("grid_search_auc")

@@ -93,9 +93,9 @@ def fit_standard(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*(e for c in columns for e in (F.avg(c).alias(f"_m_{c}"), std(c).alias(f"_s_{c}"))))
 
 
-def fit_robust(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+def fit_robust(df: DataFrame, columns: Sequence[str], accuracy: int | None = None, weight: str | None = None) -> DataFrame:
     """One row: median and quartile distance of each column; a distance of 0 counts as 1, a column without values is null."""
-    found = quantiles(df, columns, [0.25, 0.5, 0.75], accuracy)
+    found = quantiles(df, columns, [0.25, 0.5, 0.75], accuracy, weight)
     cells = {}
     for c in columns:
         low, mid, high = found.get(c, [None] * 3)

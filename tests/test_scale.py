@@ -343,3 +343,14 @@ def test_lasso_cascade_takes_cells(spark):
     rest = model.booster("regression", given, "rest").fit(linear.transform(rows).withColumn("rest", F.col("label") - F.col("l")))
     plain = [r.l + r.prediction for r in rest.transform(linear.transform(rows)).orderBy("id").collect()]
     assert one == pytest.approx(plain) and two == pytest.approx(plain) and len(set(plain)) > 20
+
+
+def test_robust_scale_of_cells_is_that_of_rows(spark):
+    k = F.col("id")
+    raw = spark.range(2000).select("id", F.when(k % 9 > 0, F.pmod(F.hash("id"), F.lit(23))).alias("a"), (k % 7 * k % 5).alias("b"), F.lit(None).cast("int").alias("c"), (k % 31).alias("label"))
+    summed = model.cells(raw, "regression", of=["a", "b", "c"])
+    assert summed.count() < 1000
+    rows, cells = scalar.fit_robust(raw, ["a", "b", "c"]).collect(), scalar.fit_robust(summed, ["a", "b", "c"], weight=model.WEIGHT).collect()
+    assert cells == rows and cells[0]["_s_a"] > 1 and cells[0]["_m_c"] is None
+    with pytest.raises(ValueError):
+        scalar.fit_robust(summed, ["a"], 100, model.WEIGHT)
