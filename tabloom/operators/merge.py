@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.order import global_row_number, quantiles_by, running_sums, weighted_quantiles_by
+from tabloom.operators.order import global_row_number, median_windows, misses_medians, quantiles_by, running_sums, weighted_quantiles_by, window_cells, window_share
 from tabloom.operators.skew import FEW_KEYS, checked_join, dealt_join
 from tabloom.sources.staging import staged
 
@@ -72,13 +72,20 @@ def weighted_edges(fact: DataFrame, dim: DataFrame, keys: Sequence[str], feature
 def fit_group_stats(train: DataFrame, keys: Sequence[str], value: str, prefix: str, accuracy: int | None = None) -> DataFrame:
     """Mean and median of known values by key, named apart by the prefix.
 
-    The exact median is found by ranks in ranges, so a hot key is not one task's work; `accuracy` takes an approximate one.
-    Rows are counted by key and value in one pass, on which both rest.
+    The exact median is found by ranks among the values of a window around it, which a sample places and a count checks, so
+    neither a hot key nor many values are one task's work; `accuracy` takes an approximate one. Rows are summed up by key
+    and value in one pass, on which both rest.
     """
     if accuracy is None:
-        cells = staged(train.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")))
-        means = cells.groupBy(*keys).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")))).alias(f"{prefix}_mean"))
-        found = weighted_quantiles_by(cells.where("_v is not null"), keys, "_v", ["_c"], [0.5]).withColumn("q", F.col("q")[0])
+        share = window_share(train.count())
+        windows = median_windows(train.sample(share, seed=0), keys, value) if share else None
+        cells = staged(window_cells(train, keys, value, windows))
+        known = cells.where("_v is not null")
+        if windows is not None and misses_medians(known, keys, ["_n"]):
+            cells = staged(window_cells(train, keys, value))
+            known = cells.where("_v is not null")
+        means = cells.groupBy(*keys).agg((F.sum(F.col("_mean") * F.col("_n")) / F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))).alias(f"{prefix}_mean"))
+        found = weighted_quantiles_by(known, keys, "_v", ["_n"], [0.5]).withColumn("q", F.col("q")[0])
     else:
         means = train.groupBy(*keys).agg(F.avg(value).alias(f"{prefix}_mean"))
         found = quantiles_by(train, keys, value, [0.5], accuracy)

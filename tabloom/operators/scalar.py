@@ -32,6 +32,16 @@ def unlog(c: str | Column) -> Column:
     return F.greatest(F.expm1(c), F.lit(0.0))
 
 
+def rounded(c: str | Column, n: int) -> Column:
+    """c to n decimals in doubles, halves away from 0: nearest(c * 10^n) / 10^n, as SQL engines on doubles have it, and without the decimals by which Spark's own round goes."""
+    x = F.col(c) if isinstance(c, str) else c
+    scaled = x * float(10**n)
+    nearest = F.rint(scaled)
+    half = F.abs(scaled - F.rint(scaled)) == 0.5
+    out = F.when(half, scaled + F.signum(scaled) * 0.5).otherwise(nearest) / float(10**n)
+    return F.when(F.isnan(out) | (F.abs(out) == float("inf")), x).otherwise(out)
+
+
 def clip(c: str, lo: float, hi: float) -> Column:
     """Null stays null."""
     return F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)))

@@ -274,6 +274,26 @@ def test_group_stats_of_unknown_values(spark):
     assert got == {"a": (2.0, 1.0), "b": (None, None), None: (3.0, 3.0)}
 
 
+def test_medians_rest_on_few_values(spark, monkeypatch):
+    """Values far from a key's median are summed up; what a misplaced window loses is found again."""
+    monkeypatch.setattr(order, "RANGE_ROWS", 20_000)
+    k, made = F.col("id"), []
+    monkeypatch.setattr(merge, "staged", lambda df: made.append(df.cache()) or made[-1])
+    x = F.pmod(F.hash("id"), F.lit(1 << 24)) / 1000
+    df = spark.range(60_000).select((k % 2).alias("a"), F.when(k % 5 > 0, k % 2).alias("b"), F.when(k % 101 == 0, None).when(k % 7 == 0, 3.5).otherwise(x).alias("v")).cache()
+    want = {(r.a, r.b): (r.m, r.d) for r in df.groupBy("a", "b").agg(F.avg("v").alias("m"), F.percentile("v", 0.5).alias("d")).collect()}
+    found = lambda: {(r.a, r.b): (pytest.approx(r.s_mean), pytest.approx(r.s_median)) for r in merge.fit_group_stats(df, ["a", "b"], "v", "s").collect()}
+    assert found() == want and len(want) == 4
+    few = made[0].where("b is not null")
+    assert len(made) == 1 and few.count() < 6000 < df.where("b is not null").distinct().count() and few.agg(F.sum("_n")).first()[0] == 48_000
+    off = spark.createDataFrame([(0, 0, 0.0, 1.0), (1, 1, 1e9, 2e9)], "a long, b long, _lo double, _hi double")
+    made.clear()
+    monkeypatch.setattr(merge, "median_windows", lambda *_: off)
+    assert found() == want and len(made) == 2
+    monkeypatch.setattr(order, "RANGE_ROWS", 1_000_000)
+    assert found() == want and len(made) == 3
+
+
 def test_ranking_lines_do_not_move(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / name).write_text("label\tqid\tf0\n" + "".join(f"{k % 3}\t{k}\t0.5\n" for k in range(400)))
