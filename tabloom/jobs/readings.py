@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from tabloom.functions.keys import bucket
 from tabloom.jobs.registry import query, read
 from tabloom.operators import merge
-from tabloom.operators.order import weighted_quantiles_by
+from tabloom.operators.order import median_windows, misses_medians, weighted_quantiles_by, window_cells, window_share
 from tabloom.sources.staging import staged
 
 FOLDS = 5
 
 
 def joined_readings(spark, d):
-    """lineitem with its order's priority and month: the reading is the log of the price, the meter the return flag."""
-    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", F.month("o_orderdate").alias("month"))
-    fact = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("meter"), F.log1p("l_extendedprice").alias("y"))
-    return fact.join(orders, "l_orderkey", "left").withColumn("fold", (bucket("l_orderkey") % FOLDS).cast("int"))
+    """Lines with a meter, and their order's month and fold: the reading is the log of the price, the meter the return flag. Lines of no order have no month."""
+    orders = read(spark, d, "orders").where("o_orderkey is not null and o_orderdate is not null")
+    dated = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.month("o_orderdate").alias("month"), (bucket("o_orderkey") % FOLDS).cast("int").alias("fold"))
+    fact = read(spark, d, "lineitem").where("l_returnflag is not null")
+    return fact.select("l_orderkey", F.col("l_returnflag").alias("meter"), F.log1p("l_extendedprice").alias("y")).join(dated.hint("shuffle_hash"), "l_orderkey")
 
 
 @query("fold_scores", """
@@ -30,21 +31,32 @@ from r join p on p.round = fold and p.meter = r.meter and p.month = r.month grou
 def fold_scores(spark, d):
     """Errors by fold of the group mean and median that are fitted on the other folds.
 
-    Rows are counted once by group, value and fold; what the other folds hold is all less their own, so no row is taken
-    once for each round. The medians are exact, from ranks by running sums with a weight for each fold. Rows of a group and
-    value share their errors, so these come from the counts, too: facts are read once and do not meet the fits.
+    Rows are summed up once, by group, fold and value, where values far from the group's median, as a sample of orders
+    places it, are one cell below and one above; what the other folds hold is all less their own, so no row is taken once
+    for each round. The medians are exact, from ranks of a weight for each fold; if one is not in its group's window, every
+    value becomes a cell. Errors come from the cells' means and variances, so facts are read and joined once, but for the
+    sample's share, and do not meet the fits.
     """
-    r = joined_readings(spark, d).where("meter is not null and month is not null")
-    own = r.groupBy("meter", "month", "y").agg(F.count("*").alias("n"), *(F.count_if(F.col("fold") == k).alias(f"c{k}") for k in range(FOLDS)))
-    all_cells = staged(own.select("*", *((F.col("n") - F.col(f"c{k}")).alias(f"n{k}") for k in range(FOLDS))))
-    cells = all_cells.where("y is not null")
-    others = all_cells.groupBy("meter", "month").agg(*((F.sum(f"n{k}") > 0).alias(f"has{k}") for k in range(FOLDS)))
-    means = cells.groupBy("meter", "month").agg(*((F.sum(F.col("y") * F.col(f"n{k}")) / F.nullif(F.sum(f"n{k}"), F.lit(0))).alias(f"m{k}") for k in range(FOLDS)))
-    medians = weighted_quantiles_by(cells, ["meter", "month"], "y", [f"n{k}" for k in range(FOLDS)], [0.5])
-    fitted = others.join(means, ["meter", "month"], "left").join(medians, ["meter", "month"], "left")
-    met = merge.apply_group_stats(all_cells, fitted, ["meter", "month"])
-    each = F.array(*(F.struct(F.lit(k).alias("fold"), F.col(f"c{k}").alias("c"), F.col(f"has{k}").alias("has"), F.col(f"m{k}").alias("g_mean"), F.get(F.get("q", F.lit(k)), F.lit(0)).alias("g_median")) for k in range(FOLDS)))
-    scored = met.select("y", F.inline(each)).where("c > 0 and has")  # a group that only its own fold has is predicted by none
-    e, a = F.col("y") - F.col("g_mean"), F.abs(F.col("y") - F.col("g_median"))
-    mean = lambda x: F.sum(x * F.col("c")) / F.sum(F.when(x.isNotNull(), F.col("c")))
-    return scored.groupBy("fold").agg(F.sum("c").alias("n"), F.round(F.sqrt(mean(e * e)), 6).alias("rmse"), F.round(mean(a), 6).alias("mae"))
+    r, keys, rounds = joined_readings(spark, d), ["meter", "month"], range(FOLDS)
+    share = window_share(read(spark, d, "lineitem").count())
+    windows = median_windows(r.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(int(1 / share))) == 0), keys, "y") if share else None
+    cells, values = fold_cells(r, windows)
+    if windows is not None and misses_medians(values, keys, [f"n{k}" for k in rounds]):
+        cells, values = fold_cells(r, None)
+    rest = lambda k, x: F.sum(F.when(F.col("fold") != k, x))
+    total, known = F.col("_mean") * F.col("_n"), F.when(F.col("_mean").isNotNull(), F.col("_n"))
+    means = cells.groupBy(*keys).agg(*(c for k in rounds for c in ((F.coalesce(rest(k, F.col("_n")), F.lit(0)) > 0).alias(f"has{k}"), (rest(k, total) / F.nullif(rest(k, known), F.lit(0))).alias(f"m{k}"))))
+    fitted = means.join(weighted_quantiles_by(values, keys, "_v", [f"n{k}" for k in rounds], [0.5]), keys, "left")
+    at = lambda name: F.get(F.array(*(F.col(f"{name}{k}") for k in rounds)), F.col("fold"))
+    met = merge.apply_group_stats(cells, fitted, keys).where(at("has"))  # a group that only its own fold has is predicted by none
+    e, median = F.col("_mean") - at("m"), F.get(F.get("q", F.col("fold")), F.lit(0))
+    square, distance = F.col("_var") + e * e, F.when(F.col("_side") == 0, F.abs(F.col("_v") - median)).otherwise((F.col("_mean") - median) * F.col("_side"))
+    mean = lambda x: F.sum(x * F.col("_n")) / F.sum(F.when(x.isNotNull(), F.col("_n")))
+    return met.groupBy("fold").agg(F.sum("_n").alias("n"), F.round(F.sqrt(mean(square)), 6).alias("rmse"), F.round(mean(distance), 6).alias("mae"))
+
+
+def fold_cells(r, windows):
+    """Cells of readings by group, fold and value, and, of the known ones, (meter, month, _side, _v, n0, n1, ...): rows of the other folds."""
+    cells = staged(window_cells(r, ["meter", "month"], "y", windows, by=["fold"]))
+    others = (F.sum(F.when(F.col("fold") != k, F.col("_n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS))
+    return cells, staged(cells.where("_v is not null").groupBy("meter", "month", "_side", "_v").agg(*others))

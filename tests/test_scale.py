@@ -10,6 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from tabloom.jobs import readings
 from tabloom.jobs.registry import ORACLE_SQL, QUERIES
 from tabloom.operators import encode, evaluate, impute, merge, model, order, scalar, skew, stats, windows
 from tabloom.sources import files
@@ -294,6 +295,24 @@ def test_medians_rest_on_few_values(spark, monkeypatch):
     assert found() == want and len(made) == 3
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_fold_errors_rest_on_few_values(spark, monkeypatch):
+    """Prices far from a group's median are summed up by fold; the errors stay those of the SQL, also where a window is misplaced."""
+    con, made = duckdb.connect(), []
+    for name in ("orders", "lineitem"):
+        con.sql(f"create view {name} as select * from '{DATA}/{name}.parquet'")
+    want = sorted(con.sql(ORACLE_SQL["fold_scores"]).fetchall())
+    monkeypatch.setattr(order, "RANGE_ROWS", 2000)
+    monkeypatch.setattr(order, "WIDTHS", ((0.15, 50),))
+    monkeypatch.setattr(readings, "staged", lambda df: made.append(df.cache()) or made[-1])
+    assert sorted(map(tuple, QUERIES["fold_scores"](spark, str(DATA)).collect())) == want
+    lines = con.sql("select count(*) from lineitem join orders on l_orderkey = o_orderkey").fetchall()[0][0]
+    assert len(made) == 2 and made[0].count() < lines / 2 and made[0].agg(F.sum("_n")).first()[0] == lines
+    made.clear()
+    monkeypatch.setattr(readings, "median_windows", lambda *_: spark.sql("select 'R' as meter, 3 as month, 0D as _lo, 1D as _hi"))
+    assert sorted(map(tuple, QUERIES["fold_scores"](spark, str(DATA)).collect())) == want and len(made) == 4
+
+
 def test_ranking_lines_do_not_move(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / name).write_text("label\tqid\tf0\n" + "".join(f"{k % 3}\t{k}\t0.5\n" for k in range(400)))
