@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.keys import bucket
 from tabloom.jobs.registry import query, read
-from tabloom.operators import blend, evaluate
+from tabloom.operators import blend, evaluate, scalar
 
 S = "with s as (select event_id as id, value as s, (event_type = 'purchase')::int as y from events)"
 P = "with p as (select event_id as id, (event_type = 'purchase')::int as y, least(value / 200, 1.0) as p, (('0x'||substr(md5('0:'||event_id::varchar),1,8))::bigint % 5)::int as fold from events)"
@@ -142,7 +142,7 @@ def models(spark, d):
 
 def blended(spark, d, rule):
     wide, names = blend.aligned(models(spark, d), "id", "p")
-    return wide.select("id", F.round(rule(names), 6).alias("p"))
+    return wide.select("id", scalar.rounded(rule(names), 6).alias("p"))
 
 
 @query("blend_log_mean", M + " select id, round(exp((ln(p0) + ln(p1) + ln(p2)) / 3), 6) as p from m")
@@ -165,7 +165,8 @@ def mix_columns(spark, d):
     wide, names = blend.aligned(models(spark, d), "id", "p")
     # As the SQL (and the reference) has it, without the shift: sums of exponentials that no double holds are infinite.
     small = wide.select("id", *names, *((F.col(n) / 100).alias(f"s{n}") for n in names))
-    return small.select("id", F.round(blend.log_sum_exp([f"s{n}" for n in names], shifted=False), 6).alias("exp_mean"), F.round(blend.harmonic(names), 6).alias("h_mean"), F.round(blend.row_max(names), 6).alias("top"))
+    mixed = {"exp_mean": blend.log_sum_exp([f"s{n}" for n in names], shifted=False), "h_mean": blend.harmonic(names), "top": blend.row_max(names)}
+    return small.select("id", *(scalar.rounded(c, 6).alias(k) for k, c in mixed.items()))
 
 
 @query("blend_weighted", M + " select id, floor(0.5 * p0 + 0.3 * p1 + 0.2 * p2 + 1e-7)::bigint as p from m")

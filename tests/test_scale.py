@@ -248,6 +248,26 @@ def test_mixed_columns_beyond_what_doubles_hold(spark, tmp_path):
     assert got == want and got[1][1] == float("inf") and got[0][1] < 10
 
 
+@pytest.mark.parametrize("name", ["mix_columns", "blend_max", "blend_h_mean", "ensemble_mean"])
+def test_blends_of_large_keys_round_as_the_sql(spark, tmp_path, name):
+    orders = spark.range(3000).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7_000_003 + 43_000_000_000).alias("o_custkey"), (1000 + F.pmod(F.hash("id"), F.lit(10**7)) / 100).alias("o_totalprice"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.sql(f"select * from ({ORACLE_SQL[name]}) order by id")
+    assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(want.columns).orderBy("id").collect()] == want.fetchall()
+
+
+def test_rounding_of_halves_and_odd_values(spark):
+    xs = [0.5, -0.5, 1.5, 2.5, -2.5, 0.25, 1.005, 0.0, None, float("inf"), float("-inf"), 1e308, 4503599627370497.0, 0.49999999999999994]
+    values = ", ".join("null" if x is None else f"'{x!r}'::double" for x in xs)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    for n in (0, 1, 6):
+        want = [r[0] for r in duckdb.connect().sql(f"select round(unnest([{values}]), {n}) as x").fetchall()]
+        assert [r.x for r in df.orderBy("i").select(scalar.rounded("x", n).alias("x")).collect()] == want
+    assert np.isnan(spark.sql("select double('nan') as x").select(scalar.rounded("x", 6)).first()[0])
+
+
 def test_few_keys_do_not_move_the_facts(spark, monkeypatch):
     df = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("k"), (F.col("id") * 1.5).alias("x"), F.lit(2.0).alias("y"))
     centers = df.where("k < 2").groupBy("k").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
